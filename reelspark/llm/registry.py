@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["topk", "urls", "decontamination", "simhash", "warc", "sharding", "secrets"]
+MODULES = ["topk", "urls", "decontamination", "licenses", "toxicity", "simhash", "warc", "sharding", "secrets"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
