@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows in one Arrow batch of texts. Texts may be long, so the default of 10,000 is too many.
 TEXT_ROWS_PER_BATCH = 1000
@@ -49,3 +53,42 @@ def materialise(df: DataFrame) -> DataFrame:
 def nonnull_text(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], tuple[list[int] | None, list[list]]]], text_column: str = "text") -> DataFrame:
+    """The columns ``keep``, untouched, with the columns ``added`` that a Python function makes of each text.
+
+    ``make`` is called once in each task, and what it returns once for each batch of texts (null is
+    empty): it gives the values of each added column, and for each row of them the place of its text
+    in the batch (None: one row for each text, in order). Kept values stay in Arrow, so any type
+    and null comes back as it was.
+    """
+    use_text_batches(documents.sparkSession)
+    schema = T.StructType([*[documents.schema[c] for c in keep], *added.fields])
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            at, columns = work(batch.column(batch.num_columns - 1).to_pylist())
+            kept = batch.columns[:-1]
+            if at is not None:
+                kept = [c.take(pa.array(at, pa.int64())) for c in kept]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
+
+    return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text(text_column).alias("__text")).mapInArrow(run, schema)
+
+
+def filter_texts(documents: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``documents`` whose text (null is empty) a Python predicate keeps; nothing else changes."""
+    use_text_batches(documents.sparkSession)
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = make()
+        for batch in batches:
+            mask = pa.array([bool(keeps(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(mask)
+
+    return documents.select(*[F.col(f"`{c}`") for c in names], nonnull_text().alias("__text")).mapInArrow(run, documents.schema)

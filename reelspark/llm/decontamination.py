@@ -11,12 +11,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import nonnull_text, read_table, use_text_batches
+from reelspark.llm.common import filter_texts, map_texts, read_table
 
 #: Edits allowed, as a share of an item's normalised letters.
 ERROR_RATE = 0.1
@@ -190,7 +190,15 @@ class Matcher:
         return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
 
 
-RESULT = "item_id long, distance int, place int, places int"
+RESULT = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("distance", "place", "places")]])
+
+
+def _passes(benchmark: DataFrame, items_per_pass: int) -> Iterator[Broadcast]:
+    """The items (item_id, text), about ``items_per_pass`` at a time: a bounded broadcast each."""
+    n = max(1, -(-benchmark.count() // items_per_pass))
+    for p in range(n):
+        mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).select("item_id", "text").distinct()
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.toLocalIterator()])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
@@ -204,46 +212,33 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
 
     Each pass holds at most about ``items_per_pass`` items, a bounded broadcast; texts don't move.
     """
-    spark = documents.sparkSession
-    use_text_batches(spark)
-    n = benchmark.count()
-    passes = max(1, -(-n // items_per_pass))
-    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string(RESULT).fields])
-    texts = documents.select("doc_id", nonnull_text().alias("_text"))
     out = None
-    for p in range(passes):
-        mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text").distinct()
-        items = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.toLocalIterator()])
+    for items in _passes(benchmark, items_per_pass):
 
-        def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+        def make(items=items):
             matcher = Matcher(items.value, rate)
-            for batch in batches:
-                rows = [(i, *hit) for i, t in zip(batch["doc_id"], batch["_text"], strict=True) for hit in matcher.find(t)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-        found = texts.mapInPandas(run, schema)
+            def work(texts: list[str]):
+                hits = [(i, hit) for i, t in enumerate(texts) for hit in matcher.find(t)]
+                return [i for i, _ in hits], [[hit[k] for _, hit in hits] for k in range(len(RESULT))]
+
+            return work
+
+        found = map_texts(documents, ["doc_id"], RESULT, make)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those in which a test item occurs. Rows without a doc_id are judged by their texts too."""
-    spark = documents.sparkSession
-    use_text_batches(spark)
-    out = documents
-    passes = max(1, -(-benchmark.count() // ITEMS_PER_PASS))
-    for p in range(passes):  # a filter: nothing is joined, and no text moves
-        mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text").distinct()
-        items = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.toLocalIterator()])
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """``documents`` without those in which a test item occurs. A filter: nothing is joined, and no text moves."""
+    for items in _passes(benchmark, items_per_pass):
 
-        def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items.value, ERROR_RATE)
-            for batch in batches:
-                yield batch[[not t or not matcher.find(t) for t in batch["text"]]]
+        def make(items=items):
+            matcher = Matcher(items.value, rate)
+            return lambda text: not matcher.find(text)
 
-        out = out.mapInPandas(run, documents.schema)
-    return out
+        documents = filter_texts(documents, make)
+    return documents
 
 
 # ---- queries ----

@@ -14,12 +14,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import nonnull_text, read_table, use_text_batches
+from reelspark.llm.common import map_texts, read_table
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -139,37 +138,28 @@ def _joined(spans: list[tuple[int, int, int]], kinds: tuple[Kind, ...]) -> str:
     return ",".join(f"{kinds[n].name}:{s}:{e}" for s, n, e in spans)
 
 
-def scan(documents: DataFrame, keep: list[str] | None = None, redact: str | None = None, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def scan(documents: DataFrame, keep: list[str] | None = None, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The columns ``keep`` (default: all) and what the scan of the whole text found.
 
     Adds a count ``n_<kind>`` for each base kind, ``base_spans`` and ``spans`` (kind:start:end,
-    comma-joined, by start, then kind), and with ``redact`` the text with each found stretch
-    replaced by that string in ``redacted`` (null text stays null). Null and empty texts have no
-    spans. Every row stays, repeated ones too; columns named like the added ones are replaced.
+    comma-joined, by start, then kind). Null and empty texts have no spans. Every row stays,
+    repeated ones too; columns named like the added ones are replaced.
     """
-    use_text_batches(documents.sparkSession)
     base = [n for n, k in enumerate(kinds) if k.base]
-    added = [f"n_{kinds[n].name}" for n in base] + ["base_spans", "spans"] + (["redacted"] if redact is not None else [])
-    keep = [c for c in (documents.columns if keep is None else keep) if c not in added]
-    schema = T.StructType([documents.schema[c] for c in keep])
-    for name in added:
-        schema.add(name, T.LongType() if name.startswith("n_") else T.StringType())
+    added = T.StructType([*[T.StructField(f"n_{kinds[n].name}", T.LongType()) for n in base], T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())])
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in added.fieldNames()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(kinds)
-        for batch in batches:
-            found = [scanner.spans(t) for t in batch["_text"]]
-            out = batch[keep].copy()
-            for n in base:
-                out[f"n_{kinds[n].name}"] = [sum(k == n for _, k, _ in f) for f in found]
-            out["base_spans"] = [_joined([x for x in f if x[1] in base], kinds) for f in found]
-            out["spans"] = [_joined(f, kinds) for f in found]
-            if redact is not None:
-                out["redacted"] = [None if null else _redacted(t, f, redact) for t, f, null in zip(batch["_text"], found, batch["_null"], strict=True)]
-            yield out
 
-    taken = documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text().alias("_text"), F.col("text").isNull().alias("_null"))
-    return taken.mapInPandas(run, schema)
+        def work(texts: list[str]):
+            found = [scanner.spans(t) for t in texts]
+            counts = [[sum(k == n for _, k, _ in f) for f in found] for n in base]
+            return None, [*counts, [_joined([x for x in f if x[1] in base], kinds) for f in found], [_joined(f, kinds) for f in found]]
+
+        return work
+
+    return map_texts(documents, keep, added, make)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -181,14 +171,18 @@ def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[over:]])
 
 
-def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with each found secret replaced by ``mark``; n_chars follows where a text changed. No row goes."""
-    scanned = scan(documents, redact=mark)
-    new = F.col("redacted")
-    columns = {"text": new}
+def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """``documents`` with each found secret replaced by ``mark``; n_chars follows where a text changed. No row goes, and null texts stay null."""
+    added = T.StructType([T.StructField("__new", T.StringType())])  # null where nothing was found
+
+    def make():
+        scanner = Scanner(kinds)
+        return lambda texts: (None, [[_redacted(t, found, mark) if (found := scanner.spans(t)) else None for t in texts]])
+
+    new, columns = F.col("__new"), {"text": F.coalesce("__new", "text")}
     if "n_chars" in documents.columns:
-        columns["n_chars"] = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length(new)).cast(documents.schema["n_chars"].dataType)
-    return scanned.withColumns(columns).select(*[F.col(f"`{c}`") for c in documents.columns])
+        columns["n_chars"] = F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(documents.schema["n_chars"].dataType)
+    return map_texts(documents, documents.columns, added, make).withColumns(columns).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 # ---- queries ----

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import materialise, nonnull_text, read_table, use_text_batches
+from reelspark.llm.common import map_texts, materialise, read_table
 from reelspark.llm.components import connected_components
 
 #: A bucket of more fingerprints is compared in tiles of two parts, each its own row group.
@@ -47,16 +47,8 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def with_fingerprints(documents: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``fp`` (the 64 bits as a signed long). Null text is empty."""
-    use_text_batches(documents.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out["fp"] = np.array([fingerprint(t, shingle) for t in batch["_text"]], dtype=np.int64)
-            yield out
-
-    schema = T.StructType([*[documents.schema[c] for c in keep], T.StructField("fp", T.LongType())])
-    return documents.select(*keep, nonnull_text().alias("_text")).mapInPandas(run, schema)
+    added = T.StructType([T.StructField("fp", T.LongType())])
+    return map_texts(documents, keep, added, lambda: lambda texts: (None, [[fingerprint(t, shingle) for t in texts]]))
 
 
 def block_masks(radius: int) -> list[int]:

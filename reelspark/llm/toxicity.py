@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import materialise, nonnull_text, read_table, use_text_batches
+from reelspark.llm.common import filter_texts, map_texts, materialise, nonnull_text, read_table, use_text_batches
 
 #: Labelled documents that the lexicon is learned from at most (chosen by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -274,25 +274,24 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, keep: list[str]) -> D
 
     Null and empty texts get the chance of documents without a hit. Every row stays.
     """
-    use_text_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(lexicon)
-    schema = T.StructType([*[documents.schema[c] for c in keep], T.StructField("toxicity", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(sent.value)
-        for batch in batches:
-            out = batch[keep].copy()
-            out["toxicity"] = [scorer.score(t) for t in batch["_text"]]
-            yield out
+        return lambda texts: (None, [[scorer.score(t) for t in texts]])
 
-    return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text().alias("_text")).mapInPandas(run, schema)
+    return map_texts(documents, keep, T.StructType([T.StructField("toxicity", T.DoubleType())]), make)
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``documents`` without those whose toxicity is at least ``threshold``."""
-    lexicon = learn_lexicon(documents, labels)
-    columns = [c for c in documents.columns if c != "toxicity"]
-    return score_toxicity(documents, lexicon, columns).filter(F.col("toxicity") < threshold).select(*[F.col(f"`{c}`") for c in columns])
+    sent = documents.sparkSession.sparkContext.broadcast(learn_lexicon(documents, labels))
+
+    def make():
+        scorer = Scorer(sent.value)
+        return lambda text: scorer.score(text) < threshold
+
+    return filter_texts(documents, make)
 
 
 # ---- queries ----
