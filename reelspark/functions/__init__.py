@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Column functions: every one is a native expression that stays inside code generation where Spark can."""

@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Reading and writing: files with declared schemas, JDBC, upserts, replacements, resuming."""

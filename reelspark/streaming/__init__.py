@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Structured Streaming versions of the event-driven flows: event time, watermarks, exactly-once batches."""
