@@ -10,6 +10,7 @@ pairs but a star for each group they connect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,6 +46,42 @@ def fingerprint(text: str, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
+#: 64-bit words of a long fingerprint, of which the first LOOKED_UP find candidates and all judge them.
+WORDS, LOOKED_UP = 8, 3
+#: Bits in which candidates may differ in one word that finds them.
+CANDIDATE_RADIUS = 8
+
+
+def long_fingerprint(text: str, shingle: int) -> list[int]:
+    """WORDS fingerprints of one text, the first as ``fingerprint``, the others of the same hashes mixed anew."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * WORDS
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))], dtype="<u8")
+    mixed = np.empty((len(hashes), WORDS), dtype="<u8")
+    for k in range(WORDS):
+        x = hashes
+        if k:
+            x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        mixed[:, k] = x
+    bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of a long fingerprint in which texts of that Jaccard similarity differ, and half a standard deviation more.
+
+    Counts of shingles as vectors have cosine 2s / (1 + s), and a bit differs by chance angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WORDS
+    return round(n * p + 0.5 * math.sqrt(n * p * (1 - p)))
+
+
 def with_fingerprints(documents: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``fp`` (the 64 bits as a signed long). Null text is empty."""
     added = T.StructType([T.StructField("fp", T.LongType())])
@@ -141,20 +178,40 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _stars(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket in, edges out: each fingerprint with the root of its group in its bucket."""
+def _connected(fp: np.ndarray, group: np.ndarray, ids: np.ndarray, radius: int) -> pd.DataFrame:
+    """Each fingerprint with the root of its group in its bucket: all that matters where every link counts."""
+    root = _roots(len(fp), within_radius(fp.view(np.uint64), group, radius))
+    moved = root != np.arange(len(fp))
+    return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+
+def _candidates(fp: np.ndarray, group: np.ndarray, ids: np.ndarray, radius: int) -> pd.DataFrame:
+    """Each fingerprint with its nearest and with the first of those within the radius: candidates that are judged later."""
+    n = len(fp)
+    first, nearest = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    for i, j in within_radius(fp.view(np.uint64), group, radius):
+        apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40
+        np.minimum.at(first, i, j)
+        np.minimum.at(first, j, i)
+        np.minimum.at(nearest, i, apart | j)
+        np.minimum.at(nearest, j, apart | i)
+    found = nearest != np.iinfo(np.int64).max
+    near = nearest[found] & ((1 << 40) - 1)
+    moved = first != np.arange(n)
+    return pd.DataFrame({"a": np.r_[ids[found], ids[moved]], "b": np.r_[ids[near], ids[first[moved]]]})
+
+
+def _stars(batches: Iterator[pd.DataFrame], radius: int, of_bucket) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket in, what ``of_bucket`` makes of whole buckets out."""
     held: list[pd.DataFrame] = []
     rows = 0
+    keys = ["c", "v", "i", "j"]
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame[["c", "v", "i", "j"]].to_numpy(np.int64)
+        key = frame[keys].to_numpy(np.int64)
         group = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))] if len(key) else np.zeros(0, np.int64)
-        sizes = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        shared = sizes[group] > 1 if len(group) else np.zeros(0, bool)
-        fp, group = frame["fp"].to_numpy(np.int64)[shared], group[shared]
-        root = _roots(len(fp), within_radius(fp.view(np.uint64), group, radius))
-        moved = root != np.arange(len(fp))
-        return pd.DataFrame({"a": fp[moved], "b": fp[root[moved]]})
+        shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        return of_bucket(frame["fp"].to_numpy(np.int64)[shared], group[shared], frame["id"].to_numpy(np.int64)[shared], radius)
 
     for batch in batches:
         held.append(batch)
@@ -162,35 +219,38 @@ def _stars(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
         if rows < BATCH_ROWS:
             continue
         frame = pd.concat(held, ignore_index=True)
-        last = frame[["c", "v", "i", "j"]].iloc[-1]
-        tail = ((frame["c"] == last["c"]) & (frame["v"] == last["v"]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])).to_numpy()
+        tail = (frame[keys] == frame[keys].iloc[-1]).all(axis=1).to_numpy()
         yield edges(frame[~tail])
         held, rows = [frame[tail]], int(tail.sum())
     if held:
         yield edges(pd.concat(held, ignore_index=True))
 
 
-def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
-    """(node, root) for each distinct fingerprint that links with another; root is the component's smallest.
+def _in_buckets(keyed: DataFrame, radius: int, of_bucket) -> DataFrame:
+    """(a, b) that ``of_bucket`` finds among rows (id, fp, c, v) of equal (c, v).
 
-    ``prints`` has distinct, non-null longs in ``fp``. A bucket of over BUCKET_MOST fingerprints is
-    cut into parts, and each two parts meet in a tile of their own, so no link is lost and no task
-    holds more than two parts.
+    A bucket of over BUCKET_MOST rows is cut into parts, and each two parts meet in a tile of their
+    own, so no link is lost and no task holds more than two parts.
     """
-    spark = prints.sparkSession
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for c, m in enumerate(block_masks(radius))])).alias("k")).select("fp", "k.c", "k.v")
+    spark = keyed.sparkSession
     hot = materialise(keyed.groupBy("c", "v").count().filter(F.col("count") > BUCKET_MOST).select("c", "v", F.ceil(F.col("count") / BUCKET_MOST).cast("int").alias("parts")))
     none = F.lit(0)
     if hot.isEmpty():
-        tiles = keyed.select("c", "v", none.alias("i"), none.alias("j"), "fp")
+        tiles = keyed.select("c", "v", none.alias("i"), none.alias("j"), "fp", "id")
     else:
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         other = F.explode(F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.sequence(none, F.col("parts") - 1)))
         tiles = keyed.join(hot, ["c", "v"], "left").withColumn("p", F.coalesce(part, none)).withColumn("o", other)
-        tiles = tiles.select("c", "v", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "fp")
+        tiles = tiles.select("c", "v", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "fp", "id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    edges = tiles.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j").mapInPandas(lambda b: _stars(b, radius), "a long, b long")
-    return connected_components(materialise(edges))
+    return tiles.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j").mapInPandas(lambda b: _stars(b, radius, of_bucket), "a long, b long")
+
+
+def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, root) for each distinct fingerprint that links with another; root is the component's smallest. ``prints`` has distinct, non-null longs in ``fp``."""
+    blocks = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for c, m in enumerate(block_masks(radius))])
+    keyed = prints.select("fp", F.col("fp").alias("id"), F.explode(blocks).alias("k")).select("fp", "id", "k.c", "k.v")
+    return connected_components(materialise(_in_buckets(keyed, radius, _connected)))
 
 
 def near_duplicate_groups(documents: DataFrame, shingle: int = 5, radius: int = 4, id_column: str = "doc_id") -> DataFrame:
@@ -209,19 +269,64 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, radius: int =
     return fps.join(of_print, "fp").select(id_column, "fp", "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """``documents`` with one row left of each group of near-duplicates: the one with the smallest doc_id.
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+    """(id, component_id) for every row: groups of texts whose shingles are about ``similarity`` alike or more.
+
+    Such texts differ in more bits than short blocks can look up. So candidates are texts within
+    CANDIDATE_RADIUS bits in any of LOOKED_UP fingerprints, found and compared bit-sliced as above,
+    and of each text's candidates its nearest and the first in each bucket are judged by all WORDS
+    fingerprints (512 bits tell a similarity to about 0.04). Texts of equal first fingerprint count
+    as copies. Rows, nulls and ids are treated as in ``near_duplicate_groups``.
+    """
+    added = T.StructType([T.StructField(f"w{k}", T.LongType()) for k in range(WORDS)])
+
+    def work(texts: list[str]):
+        prints = [long_fingerprint(t, shingle) for t in texts]
+        return None, [[p[k] for p in prints] for k in range(WORDS)]
+
+    prints = materialise(map_texts(documents.select(F.col(id_column).alias("_id"), "text"), ["_id"], added, lambda: work))
+    words = F.struct(*[f"w{k}" for k in range(1, WORDS)])
+    distinct = materialise(prints.groupBy("w0").agg(F.min("_id").alias("least"), F.min(words).alias("w")).select("w0", "least", "w.*"))
+    masks = block_masks(CANDIDATE_RADIUS)
+    looked_up = F.array(*[F.struct(F.lit(t * len(masks)).alias("t"), F.col(f"w{t}").alias("fp")) for t in range(LOOKED_UP)])
+    keyed = distinct.select(F.col("w0").alias("id"), F.explode(looked_up).alias("x")).select("id", "x.t", "x.fp")
+    blocks = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, i: F.struct(i.alias("c"), F.col("fp").bitwiseAND(m).alias("v")))
+    keyed = keyed.select("id", "fp", "t", F.explode(blocks).alias("k")).select("id", "fp", (F.col("t") + F.col("k.c")).alias("c"), "k.v")
+    pairs = _in_buckets(keyed, CANDIDATE_RADIUS, _candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: distinct.select(F.col("w0").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(1, WORDS)])
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    for k in range(1, WORDS):
+        apart = apart + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= bits_apart(similarity)).select("a", "b")
+    linked = connected_components(materialise(links))
+    classes = distinct.select("w0", "least").join(linked.withColumnRenamed("node", "w0"), "w0", "left").select("w0", "least", F.coalesce("root", "w0").alias("root"))
+    leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = classes.join(leasts, "root").select("w0", "component_id")
+    return prints.join(of_print, "w0").select(F.col("_id").alias(id_column), "component_id")
+
+
+def keep_first(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """``documents`` with one row left of each group (doc_id, component_id): the one with the smallest doc_id.
 
     Of rows that share that doc_id too, one stays. A document whose doc_id is null stays: it can't
     be told from others by its id.
     """
-    groups = near_duplicate_groups(documents, shingle, radius)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
     rest = documents.filter("doc_id IS NULL")
     chosen = documents.join(keep, "doc_id", "left_semi")
     return chosen.select(documents.columns).dropDuplicates(["doc_id"]).unionByName(rest)
 
 
+def drop_near_duplicates(documents: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """One document of each group whose fingerprints link within ``radius`` bits."""
+    return keep_first(documents, near_duplicate_groups(documents, shingle, radius))
+
+
+def drop_similar(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of about ``similarity`` or more."""
+    return keep_first(documents, similar_groups(documents, shingle, similarity))
+
+
 # ---- queries ----
 
 

@@ -332,7 +332,31 @@ def test_simhash_brute_force(spark, most, monkeypatch):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
 
 
+def test_similar_groups_recall(spark):
+    """Texts of similarity 0.85 and more are grouped, nearly always; those under 0.6 aren't."""
+    rnd = random.Random(8)
+    word = lambda: "w" + str(rnd.randrange(5000))
+    texts, pairs = [], []
+    for changed in (0, 2, 4, 30, 60):
+        for _ in range(30):
+            a = [word() for _ in range(400)]
+            b = list(a)
+            for p in rnd.sample(range(400), changed):
+                b[p] = word()
+            grams = [{tuple(x[i : i + 5]) for i in range(396)} for x in (a, b)]
+            pairs.append((len(texts), len(grams[0] & grams[1]) / len(grams[0] | grams[1])))
+            texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component_id", F.lit("mine"))
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    like = [of[i] == of[i + 1] for i, s in pairs if s >= 0.85]
+    assert sum(like) >= 0.95 * len(like) and not any(of[i] == of[i + 1] for i, s in pairs if s < 0.6)
+    assert len(of) == len(texts) and sum(of[i] != i for i in of) == sum(of[i] == of[i + 1] for i, _ in pairs)
+
+
 def test_simhash_odd_rows(docs, odd, empty):
+    assert simhash.similar_groups(empty).count() == 0
+    assert simhash.drop_similar(odd).columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in simhash.drop_similar(odd).collect()) == ["1", "2", "4", "5", "7", "None"]
     assert simhash.near_duplicate_groups(empty).count() == 0
     got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_groups(odd).collect()]
     assert len(got) == len(DOCS) and (3, 2) in got and (2**60 + 1, 2) in got and got.count((5, 5)) == 2

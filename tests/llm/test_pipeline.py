@@ -29,8 +29,12 @@ def test_stages(spark, small):
         after = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert after.keys() <= kept.keys()
         if name == "simhash":
-            prints = {i: simhash.fingerprint(t, corpus_pipeline.SHINGLE) for i, t in kept.items()}
-            near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= corpus_pipeline.RADIUS
+            prints = {i: simhash.long_fingerprint(t, corpus_pipeline.SHINGLE) for i, t in kept.items()}
+
+            def near(a, b):
+                apart = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)]
+                return sum(apart) <= simhash.bits_apart(corpus_pipeline.SIMILARITY) and min(apart[: simhash.LOOKED_UP]) <= simhash.CANDIDATE_RADIUS
+
             root = {}
             for i in sorted(kept):
                 if i in root:
