@@ -75,3 +75,18 @@ def tag_shelves(preferences: DataFrame, tags: DataFrame, items: DataFrame, watch
     full = kept.groupBy(*tag, "_r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == per_tag)
     ranked = full.withColumn("tag_rank", F.row_number().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category")))
     return kept.join(ranked.select(*tag, "tag_rank"), tag).select(*tag, "tag_rank", "item_id", "item_rank")
+
+
+def similar_or_popular(items: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """(item_id, similar_id, rank): for an item page: the nearest items with a poster, or for an item without a vector the best rated of its class and genre.
+
+    The fallback takes the best ``n`` + 1 of each class and genre once, so items don't meet each other.
+    """
+    from reelspark.operators.vectors import nearest
+
+    shown = items.filter("poster_url IS NOT NULL")
+    near = nearest(vectors.withColumnRenamed("item_id", "query_id"), vectors.join(shown.select("item_id"), "item_id", "left_semi"), n)
+    near = near.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("similar_id"), "rank")
+    best = top_per_group(shown.select("ct_cl", "genre", F.col("item_id").alias("similar_id"), "vote_avg"), ["ct_cl", "genre"], [F.desc("vote_avg"), F.col("similar_id")], n + 1, "_n")
+    rest = items.join(vectors.select("item_id"), "item_id", "left_anti").join(best, ["ct_cl", "genre"]).filter("item_id <> similar_id")
+    return near.unionByName(top_per_group(rest, ["item_id"], [F.col("_n")], n).select("item_id", "similar_id", "rank"))

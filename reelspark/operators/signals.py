@@ -50,12 +50,23 @@ WEIGHTS = {"yolo": 3, "stt": 3, "clip": 2, "ocr": 2}
 
 
 def trigger_verdicts(bucketed: DataFrame) -> DataFrame:
-    """One row for each bucket with signals: weight, kinds, and the verdict on it."""
+    """One row for each bucket with signals: weight, kinds, and the verdict on it.
+
+    A ``place`` column (null: none) names the place that a signal speaks of. A caption alone triggers
+    if its place is heard anywhere in the item, and a scene of a place triggers by itself.
+    """
     has = lambda k: F.max((F.col("kind") == k).cast("int"))
-    rows = bucketed.filter(F.col("kind").isin(*WEIGHTS)).groupBy("item_id", "bucket").agg(*[has(k).alias(k) for k in WEIGHTS])
+    rows = bucketed if "place" in bucketed.columns else bucketed.withColumn("place", F.lit(None).cast("string"))
+    rows = rows.filter(F.col("kind").isin(*WEIGHTS))
+    heard = rows.filter("kind = 'stt' AND place IS NOT NULL").select("item_id", "place").distinct().withColumn("_heard", F.lit(1))
+    rows = rows.join(heard, ["item_id", "place"], "left")
+    rows = rows.groupBy("item_id", "bucket").agg(*[has(k).alias(k) for k in WEIGHTS], F.max(F.when(F.col("kind") == "ocr", F.col("_heard"))).alias("_told"), F.max(((F.col("kind") == "clip") & F.col("place").isNotNull()).cast("int")).alias("_scene"))
     weight = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
     kinds = sum((F.col(k) for k in WEIGHTS), F.lit(0))
-    verdict = F.when((weight >= 3) & (kinds >= 2), "trigger").when((weight >= 3) & (kinds == 1), "single").otherwise("weak")
+    verdict = (
+        F.when((weight >= 3) & (kinds >= 2), "trigger").when((F.col("_told") == 1) & (kinds == 1), "trigger_place")
+        .when((F.col("_scene") == 1) & (weight >= 2) & (kinds == 1), "trigger_scene").when((weight >= 3) & (kinds == 1), "single").otherwise("weak")
+    )
     return rows.select("item_id", "bucket", weight.cast("int").alias("weight"), kinds.cast("int").alias("kinds"), verdict.alias("verdict"))
 
 

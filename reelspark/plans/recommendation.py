@@ -96,6 +96,18 @@ def v9(spark, d):
     return pairs.groupBy("item_id").agg(F.max(F.struct("s", (-F.col("source_id")).alias("i"))).alias("m")).select("item_id", (-F.col("m.i")).alias("source_id"))
 
 
+@query("v10_item_page", """SELECT item_id, similar_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.item_id, b.item_id AS similar_id, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.meta, b.meta), 6) DESC, b.item_id) AS rank
+      FROM vectors a JOIN vectors b ON a.item_id <> b.item_id JOIN items i ON i.item_id = b.item_id AND i.poster_url IS NOT NULL JOIN items j ON j.item_id = a.item_id) WHERE rank <= 3
+    UNION ALL SELECT item_id, similar_id, CAST(rank AS INTEGER) FROM (SELECT i.item_id, p.item_id AS similar_id, row_number() OVER (PARTITION BY i.item_id ORDER BY p.vote_avg DESC, p.item_id) AS rank
+      FROM items i JOIN items p ON p.ct_cl = i.ct_cl AND p.genre = i.genre AND p.poster_url IS NOT NULL AND p.item_id <> i.item_id WHERE i.item_id NOT IN (SELECT item_id FROM vectors)) WHERE rank <= 3""")
+def v10(spark, d):
+    from reelspark.operators.hybrid import similar_or_popular
+
+    items = V.items(spark, d)
+    v = V.vectors(spark, d).join(items.select("item_id"), "item_id", "left_semi").select("item_id", F.col("meta").alias("vector"))
+    return similar_or_popular(items, v, 3)
+
+
 @query("v11_inverted_lists")
 def v11(spark, d):
     v = V.vectors(spark, d).select("item_id", F.col("visual").alias("vector"))

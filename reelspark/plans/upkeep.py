@@ -259,8 +259,3 @@ def r12(spark, d):
     rows = V.items(spark, d).select("item_id", "rating", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("segment"))
     return rows.select("item_id", "segment", repair.tone_allowed(C.normal_rating(F.col("rating")), F.col("segment"), {0: ("청소년관람불가",)}).alias("allowed"))
 
-
-@query("v10_item_page", "SELECT item_id, vec FROM (SELECT i.item_id, v.item_id IS NOT NULL AS vec FROM items i LEFT JOIN vectors v USING (item_id))")
-def v10(spark, d):
-    v = V.vectors(spark, d).select("item_id", F.lit(True).alias("vec"))
-    return V.items(spark, d).join(v, "item_id", "left").select("item_id", F.coalesce("vec", F.lit(False)).alias("vec"))

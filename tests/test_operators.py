@@ -131,3 +131,19 @@ def test_schema_helpers(spark, tmp_path):
     frame = spark.createDataFrame([(1, 2.0)], "a long, c double")
     assert tables.schema_drift(frame, schema) == [("b", "missing", "string", None), ("c", "extra", None, "double")]
     assert tables.conform(frame, schema, {"b": "x"}).collect()[0][:] == (1, "x")
+
+
+def test_trigger_exceptions(spark):
+    b = spark.createDataFrame([(1, 0, "ocr", "busan"), (1, 5, "stt", "busan"), (1, 7, "clip", "jeju"), (1, 8, "clip", None), (1, 9, "yolo", None), (1, 9, "clip", None), (2, 0, "ocr", "busan")], "item_id long, bucket long, kind string, place string")
+    got = rows(signals.trigger_verdicts(b), "item_id", "bucket", "verdict")
+    assert got == [(1, 0, "trigger_place"), (1, 5, "single"), (1, 7, "trigger_scene"), (1, 8, "weak"), (1, 9, "trigger"), (2, 0, "weak")]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    data = spark.createDataFrame([(i, None if i % 3 else f"n{i}") for i in range(40)], "id long, name string")
+    tables.write_jdbc(data, url, "items", properties=driver)
+    back = tables.read_jdbc(spark, url, 'SELECT * FROM items WHERE "id" < 30', "id", (0, 30), 3, driver)
+    assert back.rdd.getNumPartitions() == 3
+    assert sorted((r["id"], r["name"] or "") for r in back.collect()) == sorted((r["id"], r["name"] or "") for r in data.filter("id < 30").collect())
