@@ -232,12 +232,12 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     stems = stems.groupBy("stem").agg(F.sum("support").alias("support"), F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("endings"), F.max("t").alias("most"))
     stems = stems.filter(lifted & (F.col("endings") >= STEM_ENDINGS) & (F.col("most") <= STEM_SHARE * F.col("t"))).orderBy(F.desc("support"), "stem").limit(TERMS_MOST).collect()
     found = words.filter(lifted).orderBy(F.desc("support"), "word").limit(TERMS_MOST).collect()
-    chance = lambda r: (r["t"] + 0.5) / (r["t"] + r["c"] + 1.0)
+    chance = _chances(sample, frozenset(r["word"] for r in found), frozenset(r["stem"] for r in stems))
     chosen: dict[str, float] = {}
-    for r in sorted(stems, key=lambda r: (len(r["stem"]), r["stem"])):  # the shortest stem stands for its longer ones
-        if not any(r["stem"].startswith(s) for s in chosen):
-            chosen[r["stem"]] = chance(r)
-    kept = {r["word"]: chance(r) for r in found if not any(r["word"].startswith(s) for s in chosen)}
+    for stem in sorted((r["stem"] for r in stems), key=lambda s: (len(s), s)):  # the shortest stem stands for its longer ones
+        if chance.get((stem, True), 0.0) >= PRECISION and not any(stem.startswith(s) for s in chosen):
+            chosen[stem] = chance[stem, True]
+    kept = {w: chance[w, False] for r in found if chance.get((w := r["word"], False), 0.0) >= PRECISION and not any(w.startswith(s) for s in chosen)}
     lexicon = Lexicon(kept, chosen)
     # words within an edit of a term that clean documents use as well are words of their own
     automaton = Automaton(sorted(kept), sorted(chosen))
@@ -252,6 +252,20 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     own = own.filter((F.col("c") > 0) & (rate("t", 1) / rate("c", 0) < LIFT)).groupBy("term").agg(F.collect_set("word").alias("words")).collect()
     lexicon.harmless = frozenset(w for r in own for w in r["words"])
     lexicon.exact = frozenset(r["term"] for r in own if len(r["words"]) >= NEIGHBOURS)
+    # a term whose misspellings, where nothing else is found, stand in clean texts rather than toxic ones must be spelt exactly
+    scorer = Scorer(lexicon)
+
+    def misspelt_alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, y in zip(batch["text"], batch["y"], strict=True):
+                hits = {(term, edits) for token in text.lower().split() if scorer.kept[token] for _, term, edits in scorer.matches(token)}
+                if hits and all(edits for _, edits in hits):
+                    out += [(term, y) for term, _ in hits]
+            yield pd.DataFrame(out, columns=["term", "y"])
+
+    alone = sample.mapInPandas(misspelt_alone, "term string, y int").groupBy("term").agg(F.sum((F.col("y") == 1).cast("long")).alias("t"), F.count(F.lit(1)).alias("n"))
+    lexicon.exact |= {r["term"] for r in alone.collect() if (r["t"] + MISSPELT) / (r["n"] + 1.0) < 0.5}  # a row for each term at most
     # the chance of toxicity where nothing is found
     scorer = Scorer(replace(lexicon, base=0.0))
 
@@ -264,6 +278,26 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     return lexicon
 
 
+def _chances(sample: DataFrame, words: frozenset[str], stems: frozenset[str]) -> dict[tuple[str, bool], float]:
+    """By (term, whether it is a stem): the smoothed share of toxic texts among those of ``sample`` (text, y) that hold it.
+
+    Contexts alone mislead: one text may bring many, and a term of few texts may stand in as many clean ones.
+    """
+
+    def holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text, y in zip(batch["text"], batch["y"], strict=True):
+                seen = set(_words.findall(text.lower()))
+                hits = {(w, False, y) for w in seen & words} | {(s, True, y) for w in seen for k in STEM_LENGTHS if len(w) > k and (s := w[:k]) in stems}
+                held.update(hits)
+        yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["term", "stem", "y", "n"])
+
+    counted = sample.mapInPandas(holders, "term string, stem boolean, y int, n long").groupBy("term", "stem")
+    counted = counted.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).collect()  # a row for each candidate: 2 * TERMS_MOST at most
+    return {(r["term"], r["stem"]): (r["t"] + 0.5) / (r["n"] + 1.0) for r in counted}
+
+
 def hash_of(word: str) -> int:
     """A hash that is the same in every worker."""
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) >> 1
