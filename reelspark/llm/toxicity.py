@@ -39,6 +39,8 @@ EDIT_LENGTH = 5
 #: Words on each side that tell a quotation from abuse, and what a hit counts then.
 WINDOW, QUOTED, REPORTED, MISSPELT = 6, 0.25, 0.7, 0.9
 CACHED_WORDS = 300_000
+#: Word pairs that a task counts at once while it learns.
+PAIRS_HELD = 50_000
 
 #: Marks of a quotation, and words that report one.
 OPENING, CLOSING = "\"“„«‹‘'", "\"”“»›’'"
@@ -214,13 +216,16 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
         return Lexicon()
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each word with the word before it, once in a text."""
+        """Each word with the word before it, once in a text. Handed on in parts of bounded size: Spark adds them up."""
+        out: Counter = Counter()
         for batch in batches:
-            out: Counter = Counter()
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = _words.findall(text.lower())
                 out.update({(w, hash_of(p), y) for p, w in zip(["", *words], words) if len(w) >= 3})
-            yield pd.DataFrame([(*k, c) for k, c in out.items()], columns=["word", "before", "y", "docs"])
+                if len(out) >= PAIRS_HELD:
+                    yield pd.DataFrame([(*k, c) for k, c in out.items()], columns=["word", "before", "y", "docs"])
+                    out = Counter()
+        yield pd.DataFrame([(*k, c) for k, c in out.items()], columns=["word", "before", "y", "docs"])
 
     # by word: documents of each class, and distinct contexts in toxic ones (near copies share theirs)
     pairs = sample.mapInPandas(contexts, "word string, before long, y int, docs long").groupBy("word", "before").agg(F.sum(F.when(F.col("y") == 1, F.col("docs")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("docs")).otherwise(0)).alias("c"))
