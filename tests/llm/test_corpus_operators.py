@@ -279,6 +279,27 @@ def test_toxicity_learns(spark, small):
     assert n["tp"] / (n["tp"] + n["fn"]) > 0.85 and n["tp"] / (n["tp"] + n["fp"]) > 0.8
 
 
+def test_toxicity_chances(spark, small):
+    """The share of toxic texts among those that hold a term, against plain counting."""
+    words, stems = frozenset({"grub", "grubbing", "absent"}), frozenset({"grub", "vequ"})
+    texts = [("Grub grub grubbing", 1), ("grub", 0), ("grubbed vequaire", 1), ("vequ", 1), ("", 0), ("vequois grubs", 0), ("grubbing, grubbing", 1)] * 3
+    got = toxicity._chances(spark.createDataFrame(texts, "text string, y int").repartition(3), words, stems)
+    want = {}
+    for term, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
+        held = [y for t, y in texts if any(w.startswith(term) and len(w) > len(term) if stem else w == term for w in re.findall(r"\w+", t.lower()))]
+        if held:
+            want[term, stem] = (sum(held) + 0.5) / (len(held) + 1.0)
+    assert got == want
+
+
+def test_toxicity_parts_add_up(spark, small, monkeypatch):
+    """Word pairs counted in many small parts teach the same lexicon."""
+    documents, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    whole = toxicity.learn_lexicon(documents, labels)
+    monkeypatch.setattr(toxicity, "PAIRS_HELD", 50)
+    assert toxicity.learn_lexicon(documents, labels) == whole
+
+
 def test_toxicity_without_labels(spark, docs, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(odd, none).columns == odd.columns
