@@ -109,29 +109,18 @@ class Scanner:
     def _hex(self, text: str) -> Iterator[tuple[int, int, int]]:
         over = 0
         for m in self.hex_runs(text[HEX_STEP - 1 :: HEX_STEP]):
-            at = (m.start() + 1) * HEX_STEP - 1  # a letter within the run
-            if at < over:
-                continue
-            start = at
-            while start > 0 and text[start - 1] in "0123456789abcdef":
-                start -= 1
-            run = self.patterns[self.hex_kind].match(text, start)
-            over = run.end()
-            if over - start >= HEX_LEAST:
-                yield start, self.hex_kind, over
-            else:
-                # further samples of this match may lie in a later run
-                for k in range(m.start() + 1, m.end()):
-                    at = (k + 1) * HEX_STEP - 1
-                    if at < over:
-                        continue
-                    start = at
-                    while start > over and text[start - 1] in "0123456789abcdef":
-                        start -= 1
-                    run = self.patterns[self.hex_kind].match(text, start)
-                    over = run.end()
-                    if over - start >= HEX_LEAST:
-                        yield start, self.hex_kind, over
+            # other letters may stand between the samples, so that one match spans several runs
+            for k in range(m.start(), m.end()):
+                at = (k + 1) * HEX_STEP - 1  # a letter within a run
+                if at < over:
+                    continue
+                start = at
+                while start > over and text[start - 1] in "0123456789abcdef":
+                    start -= 1
+                run = self.patterns[self.hex_kind].match(text, start)
+                over = run.end()
+                if over - start >= HEX_LEAST:
+                    yield start, self.hex_kind, over
 
 
 def _joined(spans: list[tuple[int, int, int]], kinds: tuple[Kind, ...]) -> str:

@@ -460,6 +460,16 @@ def test_secrets_brute_force():
         assert secrets._joined(got, secrets.KINDS) == brute_secrets(text), text
 
 
+def test_secrets_of_neighbouring_hex_runs():
+    scanner = secrets.Scanner()
+    for shift in range(secrets.HEX_STEP):
+        for gap in range(1, secrets.HEX_STEP + 1):
+            for lengths in ((24, 24), (40, 32), (24, 23, 24), (23, 24, 5, 64), (32,) * 5):
+                text = "-" * shift + ("g" * gap).join("a1" * (n // 2) + "f" * (n % 2) for n in lengths)
+                got = [s for s in scanner.spans(text) if secrets.KINDS[s[1]].base]
+                assert secrets._joined(got, secrets.KINDS) == brute_secrets(text), text
+
+
 def test_secret_checksums():
     body = "a1B2" * 7 + "xy"
     n, digits = zlib.crc32(body.encode()), ""
