@@ -167,9 +167,12 @@ class Matcher:
                 while j + 1 < len(todo) and todo[j + 1] - todo[i] <= 2 * k:
                     j += 1
                 lo, hi = max(0, todo[i] - k), todo[j] + m + k
-                d, end = item.distance(text[lo:hi])
-                end += lo
-                if d <= k and self._whole(text, end, m if d == 0 else 0):
+                if k:
+                    d, end = item.distance(text[lo:hi])
+                    end += lo
+                else:
+                    d, end = 0, self._exact(text, item.text, lo, hi)
+                if d <= k and end >= 0:
                     if not found or end - over > m // 2:
                         found.append((d, end))
                         over = end
@@ -182,12 +185,15 @@ class Matcher:
         return out
 
     @staticmethod
-    def _whole(text: str, end: int, exact: int) -> bool:
-        """An exact place must end and begin at a word's border, so that short items don't match within words."""
-        if not exact:
-            return True
-        start = end - exact
-        return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+    def _exact(text: str, item: str, lo: int, hi: int) -> int:
+        """Where the first exact place of text[lo:hi] ends that begins and ends at a word's border, so that short items don't match within words. -1: there is none."""
+        at = text.find(item, lo, hi)
+        while at >= 0:
+            end = at + len(item)
+            if (at == 0 or text[at - 1] == " ") and (end == len(text) or text[end] == " "):
+                return end
+            at = text.find(item, at + 1, hi)
+        return -1
 
 
 RESULT = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("distance", "place", "places")]])

@@ -142,6 +142,18 @@ def test_decontamination_brute_force(spark, odd):
     assert decontamination.drop_contaminated(odd, bench).columns == odd.columns
 
 
+def test_decontamination_beside_letters():
+    long, short = "the quick brown fox jumps over the lazy dog", "answer 4"
+    find = lambda item, text: decontamination.Matcher([(1, item)], decontamination.ERROR_RATE).find(text)
+    assert decontamination.budget(len(long)) and not decontamination.budget(len(short))
+    for before in ("", "x", "7", "x ", "é"):
+        for after in ("", "s", "2", " s", "語"):
+            assert [(i, d, n) for i, d, _, n in find(long, f"so {before}{long}{after} on")] == [(1, 0, 1)]
+            assert bool(find(short, f"so {before}{short}{after} on")) == (before in ("", "x ") and after in ("", " s"))
+    assert find(short, f"an {short}2 and {short}") and find("aa", "aaa aa") and not find("aa", "aaa aaa")
+    assert [(i, d) for i, d, *_ in find("犬" * 40, "猫" * 50 + "犬" * 40 + "猫" * 50)] == [(1, 0)]
+
+
 # ---- 4: licenses ----
 
 
