@@ -47,9 +47,13 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 #: 64-bit words of a long fingerprint, of which the first LOOKED_UP find candidates and all judge them.
-WORDS, LOOKED_UP = 8, 3
+WORDS, LOOKED_UP = 8, 4
 #: Bits in which candidates may differ in one word that finds them.
-CANDIDATE_RADIUS = 8
+CANDIDATE_RADIUS = 10
+#: Candidate pairs that a bucket hands on for each of its fingerprints; those of a denser bucket are judged together.
+PAIRS_EACH = 4
+#: Pairs of long fingerprints that are compared at once.
+JUDGED_AT_ONCE = 1 << 20
 
 
 def long_fingerprint(text: str, shingle: int) -> list[int]:
@@ -186,19 +190,47 @@ def _connected(fp: np.ndarray, group: np.ndarray, ids: np.ndarray, radius: int)
 
 
 def _candidates(fp: np.ndarray, group: np.ndarray, ids: np.ndarray, radius: int) -> pd.DataFrame:
-    """Each fingerprint with its nearest and with the first of those within the radius: candidates that are judged later."""
-    n = len(fp)
-    first, nearest = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    """All pairs (a, b) within the radius, to be judged later.
+
+    A bucket of over PAIRS_EACH pairs for each fingerprint gives ``dense`` rows instead: each a that is
+    in a pair, with the smallest such a as b. All of equal b are then judged with each other.
+    """
+    size = np.bincount(group)
+    most, found = 2 * PAIRS_EACH * size, np.zeros(len(size), np.int64)  # pairs may come both ways
+    paired, kept = np.zeros(len(fp), bool), [np.zeros((2, 0), np.int64)]
     for i, j in within_radius(fp.view(np.uint64), group, radius):
-        apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40
-        np.minimum.at(first, i, j)
-        np.minimum.at(first, j, i)
-        np.minimum.at(nearest, i, apart | j)
-        np.minimum.at(nearest, j, apart | i)
-    found = nearest != np.iinfo(np.int64).max
-    near = nearest[found] & ((1 << 40) - 1)
-    moved = first != np.arange(n)
-    return pd.DataFrame({"a": np.r_[ids[found], ids[moved]], "b": np.r_[ids[near], ids[first[moved]]]})
+        paired[i] = paired[j] = True
+        found += np.bincount(group[i], minlength=len(size))
+        few = found[group[i]] <= most[group[i]]
+        kept.append(np.stack([i[few], j[few]]))
+    dense = found > most
+    i, j = np.concatenate(kept, axis=1)
+    few = ~dense[group[i]]
+    crowd = np.flatnonzero(paired & dense[group])
+    least = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(least, group[crowd], ids[crowd])
+    return pd.DataFrame({"a": np.r_[ids[i[few]], ids[crowd]], "b": np.r_[ids[j[few]], least[group[crowd]]], "dense": np.repeat([False, True], [few.sum(), len(crowd)])})
+
+
+def _judged(words: np.ndarray, group: np.ndarray, ids: np.ndarray, most: int) -> pd.DataFrame:
+    """Stars of the groups that texts of one crowd form when each is judged with each other by all words."""
+    words = words.view(np.uint64)
+
+    def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+        for lo, hi in zip(starts, [*starts[1:], len(group)]):
+            step = max(1, JUDGED_AT_ONCE // (hi - lo))
+            for at in range(lo, hi, step):
+                mine, others = words[at : min(at + step, hi)], words[at:hi]
+                apart = np.zeros((len(mine), len(others)), np.uint16)
+                for k in range(words.shape[1]):
+                    apart += np.bitwise_count(mine[:, k, None] ^ others[None, :, k])
+                i, j = np.nonzero(apart <= most)
+                yield at + i, at + j
+
+    root = _roots(len(words), close())
+    moved = root != np.arange(len(words))
+    return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
 def _stars(batches: Iterator[pd.DataFrame], radius: int, of_bucket) -> Iterator[pd.DataFrame]:
@@ -211,7 +243,8 @@ def _stars(batches: Iterator[pd.DataFrame], radius: int, of_bucket) -> Iterator[
         key = frame[keys].to_numpy(np.int64)
         group = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))] if len(key) else np.zeros(0, np.int64)
         shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        return of_bucket(frame["fp"].to_numpy(np.int64)[shared], group[shared], frame["id"].to_numpy(np.int64)[shared], radius)
+        prints = frame.drop(columns=[*keys, "id"]).to_numpy(np.int64)[shared]
+        return of_bucket(np.ascontiguousarray(prints[:, 0] if prints.shape[1] == 1 else prints), group[shared], frame["id"].to_numpy(np.int64)[shared], radius)
 
     for batch in batches:
         held.append(batch)
@@ -226,8 +259,8 @@ def _stars(batches: Iterator[pd.DataFrame], radius: int, of_bucket) -> Iterator[
         yield edges(pd.concat(held, ignore_index=True))
 
 
-def _in_buckets(keyed: DataFrame, radius: int, of_bucket) -> DataFrame:
-    """(a, b) that ``of_bucket`` finds among rows (id, fp, c, v) of equal (c, v).
+def _in_buckets(keyed: DataFrame, radius: int, of_bucket, schema: str = "a long, b long") -> DataFrame:
+    """What ``of_bucket`` finds among rows (id, c, v and the columns of the fingerprint) of equal (c, v).
 
     A bucket of over BUCKET_MOST rows is cut into parts, and each two parts meet in a tile of their
     own, so no link is lost and no task holds more than two parts.
@@ -235,15 +268,16 @@ def _in_buckets(keyed: DataFrame, radius: int, of_bucket) -> DataFrame:
     spark = keyed.sparkSession
     hot = materialise(keyed.groupBy("c", "v").count().filter(F.col("count") > BUCKET_MOST).select("c", "v", F.ceil(F.col("count") / BUCKET_MOST).cast("int").alias("parts")))
     none = F.lit(0)
+    prints = [x for x in keyed.columns if x not in ("id", "c", "v")]
     if hot.isEmpty():
-        tiles = keyed.select("c", "v", none.alias("i"), none.alias("j"), "fp", "id")
+        tiles = keyed.select("c", "v", none.alias("i"), none.alias("j"), *prints, "id")
     else:
         part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         other = F.explode(F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.sequence(none, F.col("parts") - 1)))
         tiles = keyed.join(hot, ["c", "v"], "left").withColumn("p", F.coalesce(part, none)).withColumn("o", other)
-        tiles = tiles.select("c", "v", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "fp", "id")
+        tiles = tiles.select("c", "v", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), *prints, "id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return tiles.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j").mapInPandas(lambda b: _stars(b, radius, of_bucket), "a long, b long")
+    return tiles.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j").mapInPandas(lambda b: _stars(b, radius, of_bucket), schema)
 
 
 def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
@@ -274,8 +308,8 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
 
     Such texts differ in more bits than short blocks can look up. So candidates are texts within
     CANDIDATE_RADIUS bits in any of LOOKED_UP fingerprints, found and compared bit-sliced as above,
-    and of each text's candidates its nearest and the first in each bucket are judged by all WORDS
-    fingerprints (512 bits tell a similarity to about 0.04). Texts of equal first fingerprint count
+    and every candidate pair is judged by all WORDS fingerprints (512 bits tell a similarity to about
+    0.04): as a pair, or in its dense bucket, which yields no pairs but a star for each group. Texts of equal first fingerprint count
     as copies. Rows, nulls and ids are treated as in ``near_duplicate_groups``.
     """
     added = T.StructType([T.StructField(f"w{k}", T.LongType()) for k in range(WORDS)])
@@ -292,13 +326,16 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
     keyed = distinct.select(F.col("w0").alias("id"), F.explode(looked_up).alias("x")).select("id", "x.t", "x.fp")
     blocks = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, i: F.struct(i.alias("c"), F.col("fp").bitwiseAND(m).alias("v")))
     keyed = keyed.select("id", "fp", "t", F.explode(blocks).alias("k")).select("id", "fp", (F.col("t") + F.col("k.c")).alias("c"), "k.v")
-    pairs = _in_buckets(keyed, CANDIDATE_RADIUS, _candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialise(_in_buckets(keyed, CANDIDATE_RADIUS, _candidates, "a long, b long, dense boolean"))
+    pairs = found.filter("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: distinct.select(F.col("w0").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(1, WORDS)])
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     for k in range(1, WORDS):
         apart = apart + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
     links = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= bits_apart(similarity)).select("a", "b")
-    linked = connected_components(materialise(links))
+    crowds = found.filter("dense").select(F.col("a").alias("w0"), F.col("b").alias("v")).distinct().join(distinct.drop("least"), "w0")
+    crowds = crowds.withColumn("id", F.col("w0")).withColumn("c", F.lit(0))
+    linked = connected_components(materialise(links.unionByName(_in_buckets(crowds, bits_apart(similarity), _judged))))
     classes = distinct.select("w0", "least").join(linked.withColumnRenamed("node", "w0"), "w0", "left").select("w0", "least", F.coalesce("root", "w0").alias("root"))
     leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = classes.join(leasts, "root").select("w0", "component_id")

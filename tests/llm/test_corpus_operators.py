@@ -386,6 +386,39 @@ def test_similar_groups_recall(spark):
     assert len(of) == len(texts) and sum(of[i] != i for i in of) == sum(of[i] == of[i + 1] for i, _ in pairs)
 
 
+@pytest.mark.parametrize("each", [4, 0])
+def test_candidates_are_all_judged(each, monkeypatch):
+    """In one bucket, a partner that is neither nearest nor first comes as a pair, or in a crowd that is judged whole."""
+    monkeypatch.setattr(simhash, "PAIRS_EACH", each)
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(simhash.WORDS)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), n))
+    far = lambda first: [first, *[rnd.getrandbits(64) for _ in base[1:]]]
+    # the first and the nearest of 2 share no other word with it; 3 is its true partner
+    texts = [far(flip(base[0], 3)), far(flip(base[0], 1)), base, [flip(base[0], 6), *base[1:]]]
+    words, ids, group = np.array(texts, dtype=np.uint64).view(np.int64), np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    got = simhash._candidates(np.ascontiguousarray(words[:, 0]), group, ids, simhash.CANDIDATE_RADIUS)
+    if each:
+        assert not got["dense"].any() and {(min(p), max(p)) for p in zip(got["a"], got["b"])} == {(i, j) for i in ids for j in ids if i < j}
+    else:
+        assert got["dense"].all() and set(zip(got["a"], got["b"])) == {(i, 0) for i in ids}
+    monkeypatch.setattr(simhash, "JUDGED_AT_ONCE", 5)
+    star = simhash._judged(words, group, ids, simhash.bits_apart(0.8))
+    assert list(zip(star["a"], star["b"])) == [(3, 2)]
+
+
+@pytest.mark.parametrize("most", [8192, 3])
+def test_similar_groups_dense(spark, most, monkeypatch):
+    """Copies of one text with a word changed in each are one group, also where their buckets are judged as crowds or in tiles."""
+    monkeypatch.setattr(simhash, "BUCKET_MOST", most)
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join([*words[:p], f"x{p}", *words[p + 1 :]]) for p in range(0, 400, 10)] + [" ".join(f"y{rnd.randrange(5000)}" for _ in range(400)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert of == {i: 0 if i < 40 else i for i in range(45)}
+
+
 def test_simhash_odd_rows(docs, odd, empty):
     assert simhash.similar_groups(empty).count() == 0
     assert simhash.drop_similar(odd).columns == odd.columns
