@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows in one Arrow batch of texts. Texts may be long, so the default of 10,000 is too many.
-TEXT_ROWS_PER_BATCH = 1000
+#: Texts that a Python function gets at once at most, in rows and in bytes; one text may be longer.
+#: Spark bounds the Arrow batches themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_text_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that go to Python small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+#: Folders of the runs under way, the innermost last; see ``scratch``.
+_scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,21 +33,42 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session, whose executors run on this machine, may leave the setting out.
     """
+    if _scratch:
+        return f"{_scratch[-1]}/{uuid.uuid4().hex}"
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = f"file://{tempfile.gettempdir()}/reelspark-shared"
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to shared storage and read it back.
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_folder`` gave."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialise`` writes in here is removed at the end. A result must have been written elsewhere by then."""
+    folder = shared_folder(spark)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        remove(spark, folder)
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to shared storage (or to ``path``) and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a new computation, and a frame that
     several jobs read is computed once. ``DataFrame.checkpoint`` would compute it twice.
     """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    path = path or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,15 +78,26 @@ def nonnull_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """A batch whose last column holds texts, in slices of bounded size: the other columns, and the texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, min(at + TEXT_ROWS, int(sizes.searchsorted(before + TEXT_BYTES, side="right"))))
+        part = batch.slice(at, to - at)
+        yield part.columns[:-1], part.column(part.num_columns - 1).to_pylist()
+        at = to
+
+
 def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], tuple[list[int] | None, list[list]]]], text_column: str = "text") -> DataFrame:
     """The columns ``keep``, untouched, with the columns ``added`` that a Python function makes of each text.
 
-    ``make`` is called once in each task, and what it returns once for each batch of texts (null is
+    ``make`` is called once in each task, and what it returns once for each slice of texts (null is
     empty): it gives the values of each added column, and for each row of them the place of its text
-    in the batch (None: one row for each text, in order). Kept values stay in Arrow, so any type
+    in the slice (None: one row for each text, in order). Kept values stay in Arrow, so any type
     and null comes back as it was.
     """
-    use_text_batches(documents.sparkSession)
     schema = T.StructType([*[documents.schema[c] for c in keep], *added.fields])
     types = [to_arrow_type(f.dataType) for f in added.fields]
     names = schema.fieldNames()
@@ -71,24 +105,23 @@ def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            at, columns = work(batch.column(batch.num_columns - 1).to_pylist())
-            kept = batch.columns[:-1]
-            if at is not None:
-                kept = [c.take(pa.array(at, pa.int64())) for c in kept]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
+            for kept, texts in _parts(batch):
+                at, columns = work(texts)
+                if at is not None:
+                    kept = [c.take(pa.array(at, pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
     return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text(text_column).alias("__text")).mapInArrow(run, schema)
 
 
 def filter_texts(documents: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of ``documents`` whose text (null is empty) a Python predicate keeps; nothing else changes."""
-    use_text_batches(documents.sparkSession)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps = make()
         for batch in batches:
-            mask = pa.array([bool(keeps(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
+            mask = pa.array([bool(keeps(t)) for _, texts in _parts(batch) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(mask)
 
     return documents.select(*[F.col(f"`{c}`") for c in names], nonnull_text().alias("__text")).mapInArrow(run, documents.schema)

@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import materialise
+from reelspark.llm.common import materialise, remove, shared_folder
+
+#: A node with more neighbours than this, and more than one in HUBS_MOST of all ends of edges, is a hub.
+HUB_LEAST, HUBS_MOST = 1000, 50_000
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the smallest node of its component.
 
     Alternates the large-star and small-star steps until nothing changes; each round is written to
-    shared storage. Minima are pre-aggregated, so a hub costs no more than its edges. Self links and
-    repeated edges are harmless; an edge with a null end is left out.
+    shared storage, and the one before is removed. Minima are pre-aggregated. The neighbours of a
+    hub don't meet in one task: its minimum goes to them as a broadcast, of HUBS_MOST rows at most,
+    as there can't be more hubs. Self links and repeated edges are harmless; an edge with a null end
+    is left out.
+
+    Rounds grow with the logarithm of the longest path (its square at worst), so that 60 are enough
+    for any graph that can be stored; an error tells if they weren't.
     """
+    spark = edges.sparkSession
     a, b = F.least("a", "b"), F.greatest("a", "b")
-    now = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(b.alias("u"), a.alias("v")).distinct()
-    now = materialise(now)
+    path = shared_folder(spark)
+    now = materialise(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(b.alias("u"), a.alias("v")).distinct(), path)
     seen = _state(now)
     for _ in range(most_rounds):
         if seen[0] == 0:
             break
-        now = materialise(_small_star(_large_star(now)))
-        state = _state(now)
+        hub = max(HUB_LEAST, -(-2 * seen[0] // HUBS_MOST))
+        after = shared_folder(spark)
+        now = materialise(_small_star(_large_star(now, hub), hub), after)
+        remove(spark, path)
+        path, state = after, _state(now)
         if state == seen:
             break
         seen = state
@@ -37,15 +49,22 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u`` from ``least`` (u, m, n)."""
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     """Each node sends the smallest of its neighbours and itself to its larger neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     """Each node sends the smallest of its smaller neighbours to those and itself. Edges run from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(edges, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import filter_texts, map_texts, materialise, nonnull_text, read_table, use_text_batches
+from reelspark.llm.common import filter_texts, map_texts, materialise, nonnull_text, read_table
 
 #: Labelled documents that the lexicon is learned from at most (chosen by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -206,7 +206,6 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     both classes the lexicon is empty.
     """
     spark = documents.sparkSession
-    use_text_batches(spark)
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(learnable(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = documents.select("doc_id", nonnull_text().alias("text")).join(F.broadcast(marked), "doc_id").select("text", "y")

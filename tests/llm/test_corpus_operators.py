@@ -365,58 +365,108 @@ def test_simhash_brute_force(spark, most, monkeypatch):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
 
 
-def test_similar_groups_recall(spark):
-    """Texts of similarity 0.85 and more are grouped, nearly always; those under 0.6 aren't."""
+def shingle_sets(texts, shingle=5):
+    out = []
+    for text in texts:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+        out.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else {()})
+    return out
+
+
+def links(texts, similarity=0.8):
+    sets = shingle_sets(texts)
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+
+
+def components(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_similar_pairs_at_the_threshold(spark):
+    """Lone pairs of similarity 0.8 to 0.85 are linked, nine in ten at least; none below 0.8 is."""
     rnd = random.Random(8)
-    word = lambda: "w" + str(rnd.randrange(5000))
-    texts, pairs = [], []
-    for changed in (0, 2, 4, 30, 60):
-        for _ in range(30):
-            a = [word() for _ in range(400)]
-            b = list(a)
-            for p in rnd.sample(range(400), changed):
-                b[p] = word()
-            grams = [{tuple(x[i : i + 5]) for i in range(396)} for x in (a, b)]
-            pairs.append((len(texts), len(grams[0] & grams[1]) / len(grams[0] | grams[1])))
+    word = lambda: "w" + str(rnd.randrange(100_000))
+    texts, alike = [], []
+    while len(alike) < 300:
+        n = rnd.choice([60, 200, 600])
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for p in rnd.sample(range(n), max(1, round(n * rnd.uniform(0.015, 0.035)))):
+            b[p] = word()
+        x, y = shingle_sets([" ".join(a), " ".join(b)])
+        s = len(x & y) / len(x | y)
+        if 0.75 <= s < 0.85:
+            alike.append(s)
             texts += [" ".join(a), " ".join(b)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component_id", F.lit("mine"))
     of = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    like = [of[i] == of[i + 1] for i, s in pairs if s >= 0.85]
-    assert sum(like) >= 0.95 * len(like) and not any(of[i] == of[i + 1] for i, s in pairs if s < 0.6)
-    assert len(of) == len(texts) and sum(of[i] != i for i in of) == sum(of[i] == of[i + 1] for i, _ in pairs)
-
-
-@pytest.mark.parametrize("each", [4, 0])
-def test_candidates_are_all_judged(each, monkeypatch):
-    """In one bucket, a partner that is neither nearest nor first comes as a pair, or in a crowd that is judged whole."""
-    monkeypatch.setattr(simhash, "PAIRS_EACH", each)
-    rnd = random.Random(4)
-    base = [rnd.getrandbits(64) for _ in range(simhash.WORDS)]
-    flip = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), n))
-    far = lambda first: [first, *[rnd.getrandbits(64) for _ in base[1:]]]
-    # the first and the nearest of 2 share no other word with it; 3 is its true partner
-    texts = [far(flip(base[0], 3)), far(flip(base[0], 1)), base, [flip(base[0], 6), *base[1:]]]
-    words, ids, group = np.array(texts, dtype=np.uint64).view(np.int64), np.arange(len(texts)), np.zeros(len(texts), np.int64)
-    got = simhash._candidates(np.ascontiguousarray(words[:, 0]), group, ids, simhash.CANDIDATE_RADIUS)
-    if each:
-        assert not got["dense"].any() and {(min(p), max(p)) for p in zip(got["a"], got["b"])} == {(i, j) for i in ids for j in ids if i < j}
-    else:
-        assert got["dense"].all() and set(zip(got["a"], got["b"])) == {(i, 0) for i in ids}
-    monkeypatch.setattr(simhash, "JUDGED_AT_ONCE", 5)
-    star = simhash._judged(words, group, ids, simhash.bits_apart(0.8))
-    assert list(zip(star["a"], star["b"])) == [(3, 2)]
+    linked = [of[2 * i] == of[2 * i + 1] for i in range(len(alike))]
+    near = [x for x, s in zip(linked, alike) if s >= 0.8]
+    assert len(near) > 100 and sum(near) >= 0.95 * len(near)
+    assert not any(x for x, s in zip(linked, alike) if s < 0.8)
 
 
 @pytest.mark.parametrize("most", [8192, 3])
-def test_similar_groups_dense(spark, most, monkeypatch):
-    """Copies of one text with a word changed in each are one group, also where their buckets are judged as crowds or in tiles."""
+def test_similar_groups_brute_force(spark, most, monkeypatch):
+    """Groups of near copies of every degree, also where buckets and groups are worked through in tiles: no link is false, and hardly any group is split."""
     monkeypatch.setattr(simhash, "BUCKET_MOST", most)
+    monkeypatch.setattr(simhash, "PART_ROWS", most)
     rnd = random.Random(9)
-    words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
-    texts = [" ".join([*words[:p], f"x{p}", *words[p + 1 :]]) for p in range(0, 400, 10)] + [" ".join(f"y{rnd.randrange(5000)}" for _ in range(400)) for _ in range(5)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = []
+    for n, copies, changes in ((400, 40, 1), (150, 30, 1), (120, 30, 3), (60, 10, 1), (4, 3, 0), (9, 4, 1)):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        for _ in range(copies):
+            new = list(words)
+            for p in rnd.sample(range(n), changes):
+                new[p] = f"x{rnd.randrange(9999)}"
+            texts.append(rnd.choice([" ", "\n", "  "]).join(new).replace("w", rnd.choice("wW")))
+    texts += [" ".join(f"y{rnd.randrange(5000)}" for _ in range(400)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     of = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    assert of == {i: 0 if i < 40 else i for i in range(45)}
+    want = components(len(texts), links(texts))
+    assert all(want[i] == want[of[i]] for i in of)
+    assert sum(of[i] != want[i] for i in of) <= 0.02 * len(texts)
+    kept = {r["doc_id"] for r in simhash.drop_similar(docs).collect()}
+    assert kept == {i for i, r in of.items() if i == r}
+
+
+def test_similar_texts_beyond_one_part():
+    """A text of more shingles than are sketched at once has the sketch of the whole."""
+    sketcher = simhash.Sketcher(5)
+    sets = sketcher.shingles(sketcher.words(" ".join(f"w{i}" for i in range(3 * simhash.SHINGLES_AT_ONCE))))
+    whole = sketcher.sketch(sets)
+    simhash.SHINGLES_AT_ONCE, before = 1 << 20, simhash.SHINGLES_AT_ONCE
+    try:
+        assert whole == sketcher.sketch(sets)
+    finally:
+        simhash.SHINGLES_AT_ONCE = before
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, hub, monkeypatch):
+    from reelspark.llm import components as c
+
+    monkeypatch.setattr(c, "HUB_LEAST", hub)
+    rnd = random.Random(12)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(400, 400 + i) for i in range(1, 40)] + [(500 + i, 501 + i) for i in range(30)] + [(7, None), (9, 9)]
+    got = {r["node"]: r["root"] for r in c.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    root = components(600, [p for p in pairs if None not in p])
+    assert got == {i: root[i] for a, b in pairs if b is not None and a != b for i in (a, b)}
+
+
+def test_rows_that_share_an_id(spark):
+    """Unrelated texts under one id stay; of rows equal in both one stays; null ids give way to others."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(5, text("a")), (5, text("b")), (5, text("a")), (6, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (8, None), (8, ""), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit(1), "_h": F.lit(2), "_in": F.lit(3)})
+    for kept in (simhash.drop_similar(docs), simhash.drop_near_duplicates(docs)):
+        assert kept.columns == docs.columns
+        got = Counter((r["doc_id"], (r["text"] or " ")[0]) for r in kept.collect())
+        assert got == {(5, "a"): 1, (5, "b"): 1, (None, "c"): 1, (8, " "): 1}
 
 
 def test_simhash_odd_rows(docs, odd, empty):
