@@ -56,8 +56,8 @@ WORDS = 4
 BANDS, MINIMA = 12, 5
 #: Shingles that are sketched at once; a longer text is sketched in parts.
 SHINGLES_AT_ONCE = 4096
-#: Words whose hashes a task keeps, and the bytes of the longest that it keeps.
-WORDS_KEPT, WORD_KEPT = 200_000, 64
+#: Texts of a group whose pairs are all verified without comparing fingerprints first.
+FEW = 32
 #: Texts that are verified against each other in one task: rows and bytes. A larger group is verified in tiles of two parts.
 PART_ROWS, PART_BYTES = 4096, 16 << 20
 
@@ -70,18 +70,6 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """The hash of each word; kept, in bounded number and size."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 42)
-        if len(word) <= WORD_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = h
-        return h
-
-
 class Sketcher:
     """Word shingles of texts as sets of hashes, and what is taken of them. Built once in each task.
 
@@ -89,14 +77,14 @@ class Sketcher:
     """
 
     def __init__(self, shingle: int):
-        self.shingle, self.hashes = shingle, _WordHashes()
+        self.shingle = shingle
         self.weights = _mixed(np.arange(shingle, dtype="<u8"), 1) | np.uint64(1)
         self.factors = _mixed(np.arange(BANDS * MINIMA, dtype="<u8"), 2) | np.uint64(1)
         self.band_weights = _mixed(np.arange(MINIMA, dtype="<u8"), 3) | np.uint64(1)
 
     def words(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.hashes.__getitem__, words), dtype="<u8", count=len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype="<u8", count=len(words))
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """The distinct shingles, ascending."""
@@ -113,10 +101,12 @@ class Sketcher:
         least, bits = None, 0
         for at in range(0, len(shingles), SHINGLES_AT_ONCE):
             part = shingles[at : at + SHINGLES_AT_ONCE]
-            values = (part[:, None] * self.factors).min(axis=0)
+            values = (self.factors[:, None] * part).min(axis=1)
             least = values if least is None else np.minimum(least, values)
             mixed = np.stack([_mixed(part, 5 + k) for k in range(WORDS)], axis=1)
-            bits = bits + np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+            for lo in range(0, len(ones), 255):  # sums that fit a byte
+                bits = bits + np.add.reduce(ones[lo : lo + 255], axis=0, dtype=np.uint8).astype(np.int64)
         bands = _mixed((least.reshape(BANDS, MINIMA) * self.band_weights).sum(axis=1, dtype="<u8"), 99)
         return np.packbits(2 * bits > len(shingles), bitorder="little").view("<i8").tolist(), bands.view("<i8").tolist()
 
@@ -236,33 +226,41 @@ def _connected(fp: np.ndarray, group: np.ndarray, ids: np.ndarray, radius: int)
     return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
-def _alike(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> np.ndarray:
+def _pairs_by_nearness(sets: list[np.ndarray], sketcher: Sketcher, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sets that may be alike: all of a few sets; of more those whose fingerprints are near, the nearer ones first."""
+    if len(sets) <= FEW:
+        yield np.triu_indices(len(sets), 1)
+        return
+    prints = np.array([sketcher.sketch(s)[0] for s in sets], np.int64).view(np.uint64)
+    for radius in (bits_apart((1 + similarity) / 2), bits_apart(similarity), bits_apart(similarity, 3)):
+        yield from within_radius(prints, np.zeros(len(sets), np.int64), radius)
+
+
+def _alike(sets: list[np.ndarray], sketcher: Sketcher, similarity: float) -> np.ndarray:
     """For each of some sets of shingles, the smallest index connected with it by links of that exact similarity or more.
 
-    Pairs come bit-sliced, those of nearer fingerprints first, and only pairs that are not connected yet are verified.
+    Only pairs that are not connected yet are verified.
     """
     root = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    group = np.zeros(len(sets), np.int64)
-    for radius in (bits_apart((1 + similarity) / 2), bits_apart(similarity), bits_apart(similarity, 3)):
-        for i, j in within_radius(prints.view(np.uint64), group, radius):
-            open_ = (root[i] != root[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9)
-            i, j = i[open_], j[open_]
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
-            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
-            for lo, hi in zip(starts, [*starts[1:], len(i)]):
-                one = i[lo]
-                others = np.unique(j[lo:hi][root[j[lo:hi]] != root[one]])
-                for at in range(0, len(others), 256):
-                    these = others[at : at + 256]
-                    mine, theirs = sets[one], np.concatenate([sets[x] for x in these])
-                    held = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-                    both = np.add.reduceat(held, np.r_[0, np.cumsum(sizes[these])[:-1]], dtype=np.int64)
-                    near = these[both >= similarity * (sizes[one] + sizes[these] - both) - 1e-9]
-                    if len(near):
-                        roots = root[np.r_[near, one]]
-                        root[np.isin(root, roots)] = roots.min()
+    for i, j in _pairs_by_nearness(sets, sketcher, similarity):
+        open_ = (root[i] != root[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9)
+        i, j = i[open_], j[open_]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for lo, hi in zip(starts, [*starts[1:], len(i)]):
+            one = i[lo]
+            others = np.unique(j[lo:hi][root[j[lo:hi]] != root[one]])
+            for at in range(0, len(others), 256):
+                these = others[at : at + 256]
+                mine, theirs = sets[one], np.concatenate([sets[x] for x in these])
+                held = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(held, np.r_[0, np.cumsum(sizes[these])[:-1]], dtype=np.int64)
+                near = these[both >= similarity * (sizes[one] + sizes[these] - both) - 1e-9]
+                if len(near):
+                    roots = root[np.r_[near, one]]
+                    root[np.isin(root, roots)] = roots.min()
     return root
 
 
@@ -273,8 +271,7 @@ def _verified(batches: Iterator[pd.DataFrame], shingle: int, similarity: float)
 
     def edges() -> pd.DataFrame:
         ids = np.array(nodes, np.int64)
-        prints = np.array([sketcher.sketch(s)[0] for s in sets], np.int64).reshape(-1, WORDS)
-        root = _alike(sets, prints, similarity)
+        root = _alike(sets, sketcher, similarity)
         moved = root != np.arange(len(ids))
         return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
@@ -352,8 +349,8 @@ def _printed(documents: DataFrame, shingle: int, radius: int, id_column: str) ->
     """(_id, _h, _r, fp, root) of every row: links are those of ``near_duplicate_groups``."""
     added = T.StructType([T.StructField("fp", T.LongType())])
     rows = _rows(documents, id_column, added, lambda: lambda texts: (None, [[fingerprint(t, shingle) for t in texts]]))
-    linked = link_fingerprints(materialise(rows.select("fp").distinct()), radius)
-    return rows.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = materialise(link_fingerprints(materialise(rows.select("fp").distinct()), radius).withColumnRenamed("node", "fp"))
+    return rows.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column: str) -> DataFrame:
@@ -385,7 +382,8 @@ def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column:
     again = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), nonnull_text().alias("text"))
     again = again.join(members.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "node", "root"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "node", "text")
     linked = connected_components(materialise(_verify(materialise(again), shingle, similarity)))
-    roots = texts.select("key", "node").join(linked.withColumnRenamed("root", "_o"), "node", "left").select("key", F.coalesce("_o", "node").alias("root"))
+    # written first: Spark splits the rows of a hot key only where it joins them with what has been shuffled as it is
+    roots = materialise(texts.select("key", "node").join(linked.withColumnRenamed("root", "_o"), "node", "left").select("key", F.coalesce("_o", "node").alias("root")))
     return rows.select("_id", "_h", "_r", "key").join(roots, "key")
 
 
@@ -423,7 +421,7 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, radius: int =
     linked = link_fingerprints(distinct.select("fp"), radius)
     classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = classes.join(leasts, "root").select("fp", "component_id")
+    of_print = materialise(classes.join(leasts, "root").select("fp", "component_id"))  # a hot fingerprint's rows are split where they meet it
     return fps.join(of_print, "fp").select(id_column, "fp", "component_id")
 
 
@@ -437,8 +435,8 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
     other. Repeated rows stay; a group whose ids are all null has a null component_id. Other
     columns are ignored, whatever their names.
     """
-    rows = _sketched(documents, shingle, similarity, id_column)
-    return rows.join(_least_of(rows), "root").select(F.col("_id").alias(id_column), "component_id")
+    rows = materialise(_sketched(documents, shingle, similarity, id_column))
+    return rows.join(materialise(_least_of(rows)), "root").select(F.col("_id").alias(id_column), "component_id")
 
 
 def _keep_first(documents: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
@@ -451,6 +449,7 @@ def _keep_first(documents: DataFrame, rows: DataFrame, id_column: str) -> DataFr
     rows = materialise(rows.select("_id", "_h", "_r", "root"))
     last = F.struct(F.col("_id").isNull(), "_id", "_r")
     several = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(last).alias("first")).filter("n > 1").select("root", F.col("first._r").alias("_first"))
+    several = materialise(several)  # a hot group's rows are split where they meet it
     marks = rows.join(several, "root").groupBy("_id", "_h").agg(F.max(F.col("_r") == F.col("_first")).alias("_stays"), F.count(F.lit(1)).alias("_n"))
     marks = materialise(marks.filter("NOT _stays OR _n > 1").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_stays"))
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_in"), F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"))
