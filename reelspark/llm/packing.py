@@ -158,21 +158,30 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[Bins]:
 
 
 class Encoder:
-    """A text's ids, as the ``tokenizers`` file at ``path`` gives them, as unsigned 32-bit little-endian bytes.
+    """A text's ids, as the ``tokenizers`` file at ``path`` gives them (without adding special tokens), as unsigned 32-bit little-endian bytes.
 
     Where that file holds a byte-level vocabulary whose ids follow the order of its merges, tiktoken
-    reads the same vocabulary and splits words the same way, in a third of the time; all others are
-    left to tokenizers. Names of special tokens in a text are ordinary text.
+    reads the same vocabulary and splits words the same way, in a third of the time. All others are
+    left to tokenizers, and so are texts that name an added token, and those that tiktoken gives up
+    (blank runs of about a million and more).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        said = json.loads(tokenizer.to_str())
         self.plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        fast = self._ranks(json.loads(tokenizer.to_str()))
-        self.encode = (lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()) if fast else self.plain
+        self.added = [t["content"] for t in said.get("added_tokens", [])]
+        self.fast = self._ranks(said)
+
+    def encode(self, text: str) -> bytes:
+        if self.fast and not any(name in text for name in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # its pattern engine has run out of stack
+                pass
+        return self.plain(text)
 
     @staticmethod
     def _ranks(said: dict):
