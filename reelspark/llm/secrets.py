@@ -1,13 +1,13 @@
 """Secret scans: an Aho-Corasick keyword prefilter, anchored regular expressions near the hits, checksums last.
 
 One automaton finds all keywords of all kinds in a lower-cased text. A kind's expression is then
-tried only at its keywords' hits, anchored there. Hexadecimal runs have no keyword: every sixth
-letter is looked at, and only where four in a row are hexadecimal digits is the run itself matched.
-Kinds whose tokens embed a checksum are kept only if it holds.
+tried only at its keywords' hits, anchored there. Hexadecimal runs have no keyword: their expression
+runs over the whole text. Kinds whose tokens embed a checksum are kept only if it holds.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,21 +47,22 @@ class Kind:
     keywords: tuple[str, ...]
     pattern: str
     keep: Callable[[re.Match], bool] = lambda m: True
-    before: int = 0  # letters before the keyword at which a match may start, for a number after a keyword: 0
-    after: int = 0  # if over 0, search this many letters after the keyword instead of matching at it
+    after: int = 0  # if over 0, a match may start up to this many letters after the keyword's start, instead of matching at it
+    until: str | None = None  # a match goes on to the end of the next match of this, unless another keyword comes before
     base: bool = False
 
 
+HEX_LEAST = 24
+
 #: The kinds in their order. Base kinds follow the fixed definitions of the scan; the others verify a checksum or a form.
 KINDS = (
     Kind("assign", ("password", "passwd", "secret", "token", "apikey", "api_key"), r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6, base=True),
     Kind("access", ("akia",), r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20, base=True),
-    Kind("hex", (), r"[0-9a-f]+", lambda m: len(m[0]) >= 24, base=True),
+    Kind("hex", (), r"[0-9a-f]+", lambda m: len(m[0]) >= HEX_LEAST, base=True),
     Kind("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc32_base62_holds(m[0])),
-    Kind("card", ("card", "visa", "mastercard"), r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", lambda m: luhn_holds(m[0]), after=40),
-    Kind("pem", ("-----begin ",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
+    Kind("card", ("card", "visa", "mastercard"), r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", lambda m: luhn_holds(m[0]), after=64),
+    Kind("pem", ("-----begin ",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", until=r"-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
-HEX_STEP, HEX_LEAST = 6, 24
 
 _lower_ascii = {c: c + 32 for c in range(65, 91)}
 
@@ -78,8 +79,9 @@ class Scanner:
                 of = self.automaton.get(word, (len(word), ()))[1]
                 self.automaton.add_word(word, (len(word), (*of, n)))
         self.automaton.make_automaton()
-        self.hex_runs = re.compile(r"[0-9a-f]{%d,}" % (HEX_LEAST // HEX_STEP)).finditer
+        self.untils = [re.compile(k.until) if k.until else None for k in kinds]
         self.hex_kind = next((n for n, k in enumerate(kinds) if not k.keywords), None)
+        self.hex_runs = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end) in code points, by start, then kind."""
@@ -92,35 +94,38 @@ class Scanner:
                 hits.setdefault(n, []).append(end + 1 - length)
         out = []
         for n, starts in hits.items():
-            kind, pattern, over = self.kinds[n], self.patterns[n], 0
-            for at in sorted(starts):
-                if at < over and not kind.after:
-                    continue  # within the match before
-                m = pattern.search(text, max(at, over), at + kind.after + 24) if kind.after else pattern.match(text, at)
-                if m:
-                    over = m.end()
-                    if kind.keep(m):
-                        out.append((m.start(), n, m.end()))
+            starts.sort()
+            out += self._near(text, n, starts) if self.kinds[n].after else self._at(text, n, starts)
         if self.hex_kind is not None:
-            out += self._hex(text)
+            out += [(m.start(), self.hex_kind, m.end()) for m in self.hex_runs.finditer(text)]
         out.sort()
         return out
 
-    def _hex(self, text: str) -> Iterator[tuple[int, int, int]]:
-        over = 0
-        for m in self.hex_runs(text[HEX_STEP - 1 :: HEX_STEP]):
-            # other letters may stand between the samples, so that one match spans several runs
-            for k in range(m.start(), m.end()):
-                at = (k + 1) * HEX_STEP - 1  # a letter within a run
-                if at < over:
-                    continue
-                start = at
-                while start > over and text[start - 1] in "0123456789abcdef":
-                    start -= 1
-                run = self.patterns[self.hex_kind].match(text, start)
-                over = run.end()
-                if over - start >= HEX_LEAST:
-                    yield start, self.hex_kind, over
+    def _at(self, text: str, n: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Matches that begin at a keyword."""
+        kind, over = self.kinds[n], 0
+        ends = [m.end() for m in self.untils[n].finditer(text)] if self.untils[n] else []
+        for k, at in enumerate(starts):
+            if at < over:
+                continue  # within the match before
+            if m := self.patterns[n].match(text, at):
+                over = m.end()
+                if (e := bisect.bisect_left(ends, over)) < len(ends) and not (k + 1 < len(starts) and starts[k + 1] < ends[e]):
+                    over = ends[e]
+                if kind.keep(m):
+                    yield at, n, over
+
+    def _near(self, text: str, n: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Matches that begin within reach of a keyword: every place is tried until one is kept."""
+        kind, over, tried = self.kinds[n], 0, 0
+        for at in starts:
+            pos, reach = max(at, over, tried), at + kind.after
+            while pos <= reach and (m := self.patterns[n].search(text, pos)) and m.start() <= reach:
+                if kind.keep(m):
+                    yield m.start(), n, m.end()
+                    pos = over = m.end()
+                else:
+                    pos = tried = m.start() + 1
 
 
 def _joined(spans: list[tuple[int, int, int]], kinds: tuple[Kind, ...]) -> str:
@@ -161,14 +166,21 @@ def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``documents`` with each found secret replaced by ``mark``; n_chars follows where a text changed. No row goes, and null texts stay null."""
-    added = T.StructType([T.StructField("__new", T.StringType())])  # null where nothing was found
+    """``documents`` with each found secret replaced by ``mark``; n_chars follows where a text changed.
+
+    No row goes, repeated ones stay, null and empty texts stay as they are, an empty table stays
+    empty, and other columns come back untouched, whatever their names.
+    """
+    name = "__new"
+    while name in documents.columns:
+        name += "_"
+    added = T.StructType([T.StructField(name, T.StringType())])  # null where nothing was found
 
     def make():
         scanner = Scanner(kinds)
         return lambda texts: (None, [[_redacted(t, found, mark) if (found := scanner.spans(t)) else None for t in texts]])
 
-    new, columns = F.col("__new"), {"text": F.coalesce("__new", "text")}
+    new, columns = F.col(name), {"text": F.coalesce(name, "text")}
     if "n_chars" in documents.columns:
         columns["n_chars"] = F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(documents.schema["n_chars"].dataType)
     return map_texts(documents, documents.columns, added, make).withColumns(columns).select(*[F.col(f"`{c}`") for c in documents.columns])
