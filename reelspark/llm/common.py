@@ -73,6 +73,11 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def nonnull_text(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

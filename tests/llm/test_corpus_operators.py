@@ -163,7 +163,7 @@ def test_licenses_brute_force(spark, docs, odd, empty):
         got = Counter((r["doc_id"], r["n_words"], tuple(sorted((p["start"], p["label"]) for p in r["places"]))) for r in licenses.scan_licenses(frame).collect())
         want = Counter()
         for d, t, *_ in DOCS if frame is not empty else []:
-            w = words.findall((t or "").lower())
+            w = words.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
             hits = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
             want[d, len(w), tuple(sorted(hits))] += 1
         assert got == want
@@ -177,6 +177,42 @@ def test_license_template_with_changes(spark):
     assert got == {1: [("mit", 2)], 2: [], 3: []}
 
 
+def brute_chain(words, template):
+    """The longest chain of word pairs that increases in both, its diagonal shifting by DIAGONAL_GAP at most between two."""
+    t = template.split()
+    pairs = list(zip(t, t[1:]))
+    hits = [(i, p) for i in range(len(words) - 1) for p, pair in enumerate(pairs) if (words[i], words[i + 1]) == pair]
+    best = {}
+    for i, p in hits:
+        best[i, p] = 1 + max((k for (j, q), k in best.items() if j < i and q < p and abs((i - j) - (p - q)) <= licenses.DIAGONAL_GAP), default=0)
+    return max(best.values(), default=0), len(pairs)
+
+
+def test_license_spans_brute_force(spark):
+    """Templates with words changed, added, left out, shuffled and scattered: a span wherever a chain holds enough, and nowhere else."""
+    rnd = random.Random(5)
+    isc = licenses.TEMPLATES[6][0].split()
+    backwards = [w for pair in reversed(list(zip(isc, isc[1:]))) for w in pair]
+    texts = [" ".join(backwards), " ".join(w for a in range(0, len(isc), 2) for w in ["of", "the", *isc[a : a + 2]]), " ".join(isc[::-1])]
+    for text, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            w = text.split()
+            for _ in range(rnd.randint(0, 5)):
+                p = rnd.randrange(len(w))
+                w[p : p + rnd.randint(0, 2)] = rnd.choice([[], ["so"], ["of", "the"], ["a", "b", "c", "d", "e"]])
+            texts.append(" ".join([*rnd.choices(["of", "the", "this", "software", "to", "any"], k=rnd.randint(0, 30)), *w, *rnd.choices(["of", "the", "license"], k=9)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in licenses.scan_licenses(docs).collect()}
+    for d, text in enumerate(texts):
+        words, want = text.split(), Counter()
+        for template, label in licenses.TEMPLATES:
+            n, total = brute_chain(words, template)
+            if n >= (total if total < licenses.WHOLE else licenses.COVERAGE * total):
+                want[label] = max(want[label], n / total)
+        assert {s["label"]: max(x["share"] for x in got[d] if x["label"] == s["label"]) for s in got[d]} == want, text
+        assert all(0 <= s["start"] < s["end"] <= len(words) and s["end"] - s["start"] <= 5 * len(isc) + 40 for s in got[d])
+
+
 # ---- 5: packing ----
 
 
@@ -185,7 +221,6 @@ def test_packing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     for frame in (docs, odd):
         got = packing.pack(frame, path, 64, with_ids=True).collect()
         by_doc = Counter()
@@ -211,6 +246,16 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_ids_of_odd_texts():
+    """Names of special tokens, and blank runs that tiktoken gives up: the ids of the tokenizers file."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ["hello <|endoftext|> world", *encoder.added, "<|endoftext|", " " * 3_000_000, "\n" * 3_000_000 + "x", "a \t" * 10]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_lengths_are_optimal_after_reduction():
     def exact(items, cap):
         items, best = sorted(items, reverse=True), [len(items)]
@@ -557,14 +602,29 @@ def test_secrets_brute_force():
 
 def test_secrets_of_neighbouring_hex_runs():
     scanner = secrets.Scanner()
-    for shift in range(secrets.HEX_STEP):
-        for gap in range(1, secrets.HEX_STEP + 1):
+    for shift in range(7):
+        for gap in range(1, 8):
             for lengths in ((24, 24), (40, 32), (24, 23, 24), (23, 24, 5, 64), (32,) * 5):
                 text = "-" * shift + ("g" * gap).join("a1" * (n // 2) + "f" * (n % 2) for n in lengths)
                 got = [s for s in scanner.spans(text) if secrets.KINDS[s[1]].base]
                 assert secrets._joined(got, secrets.KINDS) == brute_secrets(text), text
 
 
+def test_secret_keys_and_cards():
+    found = lambda t: [(secrets.KINDS[k].name, t[s:e]) for s, k, e in secrets.Scanner().spans(t) if not secrets.KINDS[k].base]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{begin}\nDEK-Info: AES-128-CBC\nabc-def\n{end}"
+    assert found(f"x {key} y {end}") == [("pem", key)]
+    assert found(f"{begin} lost {key}") == [("pem", begin), ("pem", key)]
+    assert found(f"{begin} {begin}") == [("pem", begin)] * 2
+    card = "4111 1111 1111 1111"
+    assert found(f"card order 1234567890123 number {card}") == [("card", card)]
+    assert found(f"card 12345 {card}") == [("card", card)]
+    assert found("card" + " " * 40 + "4111111111111111") == [("card", "4111111111111111")]
+    assert found("card" + " " * 40 + "4111111111111111" + "123456789") == []
+    assert found(f"card {card} visa {card.replace(' ', '-')}") == [("card", card), ("card", card.replace(" ", "-"))]
+
+
 def test_secret_checksums():
     body = "a1B2" * 7 + "xy"
     n, digits = zlib.crc32(body.encode()), ""
@@ -585,3 +645,5 @@ def test_secret_rows(docs, odd, empty):
     assert secrets.redact_secrets(odd).columns == odd.columns and len(new) == len({d for d, *_ in DOCS})
     assert new[None]["text"] == "[SECRET] [SECRET] [SECRET]" and new[None]["n_chars"] == 26 and new[2]["text"] is None and new[1]["n_chars"] == 57 and new[2**60 + 1]["text"] == " \t\n\x0b "
     assert secrets.scan(empty).count() == 0
+    clash = odd.withColumn("__new", F.lit("mine"))
+    assert {r["__new"] for r in secrets.redact_secrets(clash).collect()} == {"mine"} and secrets.redact_secrets(empty).count() == 0
