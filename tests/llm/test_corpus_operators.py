@@ -49,7 +49,7 @@ def empty(spark):
 
 
 def brute_top(rows, k):
-    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
     for q in sorted(i for i in vec if i % 3 == 0):
         s = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)
@@ -61,7 +61,7 @@ def brute_top(rows, k):
 def test_topk(spark, n, block):
     rnd = random.Random(n)
     rows = [(i, [rnd.choice([0.0, 0.5, -0.25, rnd.random()]) for _ in range(6)]) for i in range(n)]
-    rows += [(100, None), (102, [float("nan")] * 6), (105, [None] * 6), (108, [float("inf")] + [0.0] * 5)]
+    rows += [(100, None), (102, [float("nan")] * 6), (105, [None] * 6), (108, [float("inf")] + [0.0] * 5), (110, []), (111, [-1.0]), (112, [-0.5, -0.5, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit(1), "v": F.lit(2), "q": F.lit(3)})
     got = topk.top_k(frame.repartition(5), F.col("vec_id") % 3 == 0, 4, block=block)
     assert sorted(tuple(r) for r in got.collect()) == brute_top([(i, v and [np.float32(x).item() if x is not None else None for x in v]) for i, v in rows], 4)
@@ -559,8 +559,10 @@ def test_base32(spark):
 
 
 @pytest.mark.parametrize("n, shards", [(0, 4), (1, 4), (3, 4), (1000, 7)])
-def test_sharding(spark, n, shards):
-    frame = spark.createDataFrame([(i // 3, "same" if i % 3 else None) for i in range(n)], "doc_id long, text string").withColumn("slot", F.lit("x"))
+def test_sharding(spark, n, shards, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 2)
+    monkeypatch.setattr(sharding, "BUCKETS_AT_ONCE", 3)
+    frame = spark.createDataFrame([(i // 3 if i < 900 else 7, "same" if i % 3 else None) for i in range(n)], "doc_id long, text string").withColumn("slot", F.lit("x"))
     got = sharding.shuffle_into_shards(frame, shards, bucket_rows=50)
     rows = got.collect()
     assert len(rows) == n
