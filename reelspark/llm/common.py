@@ -24,6 +24,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, in order of a hash of ``key``, whose values are distinct.
+
+    The count gives a threshold of the hash, so that little more than what is wanted has to be sorted.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
+    few = rows.filter(h < int(min(1.0, (most + 6 * most**0.5 + 100) / n) * (1 << 40)))
+    return few.orderBy(h, key).limit(most)
+
+
 #: Folders of the runs under way, the innermost last; see ``scratch``.
 _scratch: list[str] = []
 

@@ -12,23 +12,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read_table
+from reelspark.llm.common import bounded_sample, lower_ascii, materialise, read_table
 
 #: Labelled addresses that the trees are fitted on at most (chosen by a hash of the address).
 FIT_ROWS = 20_000
-#: Host suffixes whose share of blocked addresses is a feature; rarer ones count as unseen.
-SUFFIX_MOST = 1000
+#: Values that host suffixes, and first parts of paths, are hashed to for their shares of blocked addresses.
+HASHED = 1 << 14
 TREES, DEPTH = 12, 4
 
 #: The rules as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty if there is none."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), _UPPER, _LOWER)
+    return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -86,10 +83,20 @@ def suffix_of(host: Column) -> Column:
 
 def lang_of(path: Column) -> Column:
     """The path's first part."""
-    return F.substring(F.regexp_extract(path, r"^/([^/]*)", 1), 1, 16)
+    return F.regexp_extract(path, r"^/([^/]*)", 1)
+
+
+def _hashed(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(HASHED)).cast("int")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42) -> DataFrame:
+def _shares(labelled: DataFrame, what: str) -> DataFrame:
+    """(h, share) of each hashed value of ``what``: the smoothed share of blocked addresses, over all labelled ones. HASHED rows at most."""
+    counted = labelled.groupBy(_hashed(F.col(what)).alias("h")).agg(((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1.0)).alias("share"))
+    return materialise(counted)
+
+
+def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42, unlearnt: Column | None = None) -> DataFrame:
     """Each row of ``pages`` with host, path, rule, score and verdict added (replacing columns so named).
 
     The verdict is the rule's; where none fits, it is the trees': block if their score is at least
@@ -97,41 +104,36 @@ def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, thre
     no address, or all alike, the score of all others is that label's (0 without any), and no trees
     are fitted. Repeated rows get equal verdicts; an empty table stays empty. Null labels don't occur.
 
-    The trees are fitted on at most ``fit_rows`` labelled addresses, taken in order of a hash.
+    Each labelled address counts once, so that hot ones don't outweigh others. Shares of suffixes
+    are taken over all of them; the trees are fitted on at most ``fit_rows``, taken in order of a
+    hash. ``unlearnt`` (of host and path) leaves labelled addresses out of both, to measure on.
     """
     taken = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    traits = {"suffix": suffix_of(F.col("host")), "lang": lang_of(F.col("path"))}
+    labelled = pages.select("url").distinct().select("url", host.alias("host"), path.alias("path")).withColumn("label", (ruled == "block").cast("double")).filter("label IS NOT NULL")
+    if unlearnt is not None:
+        labelled = labelled.filter(~unlearnt)
+    labelled = materialise(labelled.withColumns(traits))
+    labels = [r["label"] for r in labelled.select("label").distinct().collect()]
     # the given columns travel packed, so that none clashes with what the trees add
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in taken]).alias("_in"), "url", host.alias("host"), path.alias("path"))
-    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    # one row for each labelled address, so that hot ones don't outweigh others
-    labelled = rows.select("url", "host", "path", (ruled == "block").cast("double").alias("label")).filter("label IS NOT NULL")
-    sample = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(fit_rows)
-    sample = sample.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")) | {"suffix": suffix_of(F.col("host")), "lang": lang_of(F.col("path"))}).cache()
-    labels = [r["label"] for r in sample.select("label").distinct().collect()]
     if len(labels) < 2:
-        score = F.lit(labels[0] if labels else 0.0)
-        scored = rows.withColumn("score", score)
+        scored = rows.withColumn("score", F.lit(labels[0] if labels else 0.0))
     else:
-        features = [c for c in sample.columns if c.startswith("f_")]
-        # shares of blocked addresses by suffix and by first part of the path, smoothed; bounded by SUFFIX_MOST
-        shares = {}
-        for what in ("suffix", "lang"):
-            found = sample.groupBy(what).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), what).limit(SUFFIX_MOST).collect()
-            shares[what] = {r[what]: (r["b"] + 0.5) / (r["n"] + 1.0) for r in found}
-
-        def with_shares(df: DataFrame) -> DataFrame:
-            for what, of in (("suffix", suffix_of(F.col("host"))), ("lang", lang_of(F.col("path")))):
-                table = F.create_map(*[F.lit(x) for pair in sorted(shares[what].items()) for x in pair])
-                df = df.withColumn(f"f_{what}", F.coalesce(F.element_at(table, of), F.lit(0.5)))
-            return df
-
-        features += ["f_suffix", "f_lang"]
-        assembler = VectorAssembler(inputCols=features, outputCol="_features")
-        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(assembler.transform(with_shares(sample)))
-        scored = with_shares(rows.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path"))))
-        scored = model.transform(assembler.transform(scored)).withColumn("score", vector_to_array("probability")[1])
-    sample.unpersist()
+        shares = {what: _shares(labelled, what) for what in traits}
+
+        def with_features(df: DataFrame) -> DataFrame:
+            df = df.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")) | {f"h_{what}": _hashed(of) for what, of in traits.items()})
+            for what, share in shares.items():
+                df = df.join(F.broadcast(share.select(F.col("h").alias(f"h_{what}"), F.col("share").alias(f"f_{what}"))), f"h_{what}", "left")
+            return df.fillna(0.5, [f"f_{what}" for what in traits])
+
+        sample = materialise(with_features(bounded_sample(labelled, "url", fit_rows, seed).drop(*traits)))
+        assembler = VectorAssembler(inputCols=[c for c in sample.columns if c.startswith("f_")], outputCol="_features")
+        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(assembler.transform(sample))
+        scored = model.transform(assembler.transform(with_features(rows))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(ruled, F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.select("_in.*", "host", "path", rule.alias("rule"), "score", verdict.alias("verdict"))
 
