@@ -217,6 +217,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
     PIECE_LEAST letters must occur exactly, at word borders.
 
     Each pass holds at most about ``items_per_pass`` items, a bounded broadcast; texts don't move.
+    All passes' items are on the driver: a benchmark must fit there.
     """
     out = None
     for items in _passes(benchmark, items_per_pass):
@@ -236,7 +237,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """``documents`` without those in which a test item occurs. A filter: nothing is joined, and no text moves."""
+    """``documents`` without those in which a test item occurs. A filter: nothing is joined, and no text moves.
+
+    Null, empty and wordless texts stay, as do all rows if the benchmark holds no word; repeated
+    rows stay or go together; an empty table stays empty; other columns come back untouched.
+    """
     for items in _passes(benchmark, items_per_pass):
 
         def make(items=items):

@@ -19,12 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import filter_texts, map_texts, materialise, nonnull_text, read_table
+from reelspark.llm.common import bounded_sample, filter_texts, map_texts, materialise, nonnull_text, read_table
 
 #: Labelled documents that the lexicon is learned from at most (chosen by a hash of doc_id).
 FIT_ROWS = 20_000
-#: Learned terms at most, the best supported first.
-TERMS_MOST = 3000
 #: Distinct contexts in toxic documents that a term needs, and how much likelier it must be there.
 SUPPORT, LIFT = 5, 20.0
 #: Share of a term's documents that must be toxic.
@@ -38,7 +36,8 @@ STEM_ENDINGS, STEM_SHARE = 8, 0.3
 EDIT_LENGTH = 5
 #: Words on each side that tell a quotation from abuse, and what a hit counts then.
 WINDOW, QUOTED, REPORTED, MISSPELT = 6, 0.25, 0.7, 0.9
-CACHED_WORDS = 300_000
+#: Words whose weights a task keeps, the letters of the longest that it keeps, and the states of its automaton at most.
+CACHED_WORDS, CACHED_LETTERS, STATES_MOST = 300_000, 64, 100_000
 #: Word pairs that a task counts at once while it learns.
 PAIRS_HELD = 50_000
 
@@ -80,6 +79,10 @@ class Automaton:
             if ends is self.word_at:
                 self.deepest[node] = max(self.deepest[node], len(term))
             ends[node] = term
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start over without the states made so far, so that their number stays bounded."""
         #: By state: its set, the word and edits it accepts, the stem it has completed, and its next states by letter.
         self.states: list[frozenset] = []
         self.accepts: list[tuple[str, int] | None] = []
@@ -121,6 +124,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term of the word and its edits; a stem fits whole, at the word's start."""
+        if len(self.states) > STATES_MOST:
+            self._forget()
         state, stem = self.start, None
         for c in word:
             after = self.following[state].get(c)
@@ -156,9 +161,11 @@ class Scorer:
 
         class Kept(dict):
             def __missing__(self, token: str) -> float:
-                if len(self) >= CACHED_WORDS:
-                    self.clear()
-                weight = self[token] = outer.weight(token)
+                weight = outer.weight(token)
+                if len(token) <= CACHED_LETTERS:
+                    if len(self) >= CACHED_WORDS:
+                        self.clear()
+                    self[token] = weight
                 return weight
 
         self.kept = Kept()
@@ -198,16 +205,22 @@ class Scorer:
         return 1.0
 
 
-def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
+def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, unlearnt: Column | None = None) -> Lexicon:
     """Learn from the documents that ``labels`` (doc_id, toxic) marks, leaving out the held-out fifth.
 
     Only doc_id joins the two; texts are all that is learned from. Equal texts count once; labels
     that are null, or contradict each other for one id, count as toxic if any says so. Without
-    both classes the lexicon is empty.
+    both classes the lexicon is empty. ``unlearnt`` leaves out further documents by their doc_id,
+    to choose parameters on.
+
+    Terms and words near them come to the driver: no more of them than words in the sample of
+    ``fit_rows`` texts, whatever the corpus.
     """
     spark = documents.sparkSession
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(learnable(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    if unlearnt is not None:
+        marked = marked.filter(~unlearnt)
+    marked = bounded_sample(marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")), "doc_id", fit_rows)
     sample = documents.select("doc_id", nonnull_text().alias("text")).join(F.broadcast(marked), "doc_id").select("text", "y")
     sample = materialise(sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"), F.max("y").alias("y")).select("text", "y"))
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -234,8 +247,8 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     lifted = (F.col("support") >= SUPPORT) & (rate("t", 1) / rate("c", 0) >= LIFT) & (precision >= PRECISION)
     stems = words.filter(F.length("word") > min(STEM_LENGTHS)).select("word", "support", "t", "c", F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("stem")).filter("stem IS NOT NULL")
     stems = stems.groupBy("stem").agg(F.sum("support").alias("support"), F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("endings"), F.max("t").alias("most"))
-    stems = stems.filter(lifted & (F.col("endings") >= STEM_ENDINGS) & (F.col("most") <= STEM_SHARE * F.col("t"))).orderBy(F.desc("support"), "stem").limit(TERMS_MOST).collect()
-    found = words.filter(lifted).orderBy(F.desc("support"), "word").limit(TERMS_MOST).collect()
+    stems = stems.filter(lifted & (F.col("endings") >= STEM_ENDINGS) & (F.col("most") <= STEM_SHARE * F.col("t"))).collect()
+    found = words.filter(lifted).collect()
     chance = _chances(sample, frozenset(r["word"] for r in found), frozenset(r["stem"] for r in stems))
     chosen: dict[str, float] = {}
     for stem in sorted((r["stem"] for r in stems), key=lambda s: (len(s), s)):  # the shortest stem stands for its longer ones
@@ -298,7 +311,7 @@ def _chances(sample: DataFrame, words: frozenset[str], stems: frozenset[str]) ->
         yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["term", "stem", "y", "n"])
 
     counted = sample.mapInPandas(holders, "term string, stem boolean, y int, n long").groupBy("term", "stem")
-    counted = counted.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).collect()  # a row for each candidate: 2 * TERMS_MOST at most
+    counted = counted.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).collect()  # a row for each candidate
     return {(r["term"], r["stem"]): (r["t"] + 0.5) / (r["n"] + 1.0) for r in counted}
 
 
@@ -322,7 +335,11 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, keep: list[str]) -> D
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``documents`` without those whose toxicity is at least ``threshold``."""
+    """``documents`` without those whose toxicity is at least ``threshold``.
+
+    Null and empty texts stay (they have no hit), as do all rows where no label teaches anything;
+    repeated rows stay or go together; an empty table stays empty; other columns come back untouched.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(learn_lexicon(documents, labels))
 
     def make():
