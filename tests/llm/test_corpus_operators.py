@@ -95,6 +95,42 @@ def test_url_trees_learn(spark, small):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_features(spark):
+    """Lexical features against plain Python."""
+    rows = [("https://a-b.example.org/x/y1/index.html?a=1&b=22#z",), ("http://h/",), ("",), (None,), ("x://é.é/éé?=",)]
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    for r in spark.createDataFrame(rows, "url string").select("url", host.alias("h"), path.alias("p"), F.struct(*[c.alias(n) for n, c in urls.lexical_features(F.col("url"), host, path).items()]).alias("f")).collect():
+        u, h, p, f = r["url"] or "", r["h"], r["p"], r["f"]
+        query = (u.split("?", 1) + [""])[1].split("#")[0] if "?" in u else ""
+        counts = Counter(u)
+        want = {
+            "f_length": len(u), "f_host_length": len(h), "f_host_labels": h.count("."), "f_host_hyphens": h.count("-"), "f_depth": p.count("/"), "f_path_length": len(p),
+            "f_digits": sum(c in "0123456789" for c in u) / max(1, len(u)), "f_path_digits": sum(c in "0123456789" for c in p) / max(1, len(p)),
+            "f_entropy": -sum(n / len(u) * math.log2(n / len(u)) for n in counts.values()), "f_params": query.count("="), "f_query_length": len(query),
+            "f_fragment": "#" in u, "f_secure": u.startswith("https"), "f_extension": bool(re.search(r"\.[A-Za-z0-9]{1,5}$", p)),
+        }
+        assert f.asDict().keys() == want.keys() and all(abs(f[k] - want[k]) < 1e-9 for k in want), u
+
+
+def test_url_trees_on_hosts_they_have_not_seen(spark):
+    """Trees learnt without a fifth of the hosts agree with the rules on those."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    unseen = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    got = urls.judge(pages, unlearnt=unseen).filter("rule IS NOT NULL").filter(unseen)
+    n = got.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("score") >= 0.5) == (F.col("verdict") == "block")).alias("right"), F.count_if(F.col("verdict") == "block").alias("blocked")).first()
+    print(n)
+    assert 0 < n["blocked"] < n["n"] and n["right"] / n["n"] > 0.9
+
+
+def test_url_sample_is_bounded(spark):
+    from reelspark.llm.common import bounded_sample
+
+    frame = spark.range(5000).select(F.col("id").cast("string").alias("url"))
+    few = {r["url"] for r in bounded_sample(frame, "url", 300).collect()}
+    hashed = [r["url"] for r in frame.orderBy(F.pmod(F.xxhash64(F.lit(42), "url"), F.lit(1 << 40)), "url").limit(300).collect()]
+    assert few == set(hashed) and bounded_sample(frame, "url", 5000).count() == 5000
+
+
 # ---- 3: decontamination ----
 
 
@@ -305,7 +341,10 @@ def test_toxicity_of_words(lexicon, text, toxic):
     assert (toxicity.Scorer(lexicon).score(text) >= 0.5) == bool(toxic)
 
 
-def test_automaton_is_edit_distance():
+@pytest.mark.parametrize("states", [100_000, 2])
+def test_automaton_is_edit_distance(states, monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES_MOST", states)
+
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
