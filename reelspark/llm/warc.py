@@ -6,8 +6,8 @@ capture by WARC-Concurrent-To; assembly joins the three through it and emits one
 each capture.
 
 Archives are written by Spark's text sink, whose separator is the blank line that ends a record, so
-each part file is a valid gzipped WARC file; they are read by Spark's binary file source. Both work
-on any store that Spark can reach.
+each part file is a valid gzipped WARC file (one gzip member each, as Spark's sink can't begin new
+ones); they are read by Spark's binary file source. Both work on any store that Spark can reach.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ from pyspark.sql import types as T
 from reelspark.llm.common import materialise, nonnull_text, read_table, shared_folder
 
 CRLF = "\r\n"
-#: Records in one archive file at most, so that one file fits a task's memory.
-RECORDS_PER_FILE = 30_000
+#: Bytes of payload in one archive file on average, so that one file fits a task's memory, and records in it at most.
+FILE_BYTES, RECORDS_PER_FILE = 32 << 20, 30_000
 #: Bytes of payload in one Arrow batch at most (and at least one record).
 BATCH_BYTES = 8 << 20
 
+#: Stands for a null page_id where rows are joined.
+_NO_PAGE = -(1 << 63)
+
 RECORD_SCHEMA = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
@@ -70,16 +73,21 @@ def write_captures(pages: DataFrame, path: str, smallest: int = 0, date: str = "
     Of captures with equal payloads of at least ``smallest`` bytes, the one with the smallest
     page_id is a response and the others revisit it; of rows that share that page_id too, each is a
     response. Null html is an empty payload, a null url an empty target; a null page_id sorts after
-    all others. Line breaks within a url become spaces, as a header can't hold them.
+    all others. Line breaks within a url become spaces, as a header can't hold them. An empty table
+    gives no records; other columns are ignored.
+
+    Which pages revisit which is worked out by ids and digests alone. Payloads move once, dealt by
+    page and digest to files of about FILE_BYTES; a page of more makes a larger file.
     """
     payload = nonnull_text("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(nonnull_text("url"), r"[\r\n]", " ").alias("uri"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "octets": F.octet_length("payload")})
-    # of small rows only: which payloads repeat, and under which id first
-    firsts = rows.filter(F.col("octets") >= smallest).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
-    rows = rows.join(firsts, "digest", "left").withColumn("serial", F.monotonically_increasing_id())
-    revisit = F.coalesce((F.col("octets") >= smallest) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
-    rows = rows.withColumn("revisit", revisit)
+    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "octets": F.octet_length("payload"), "page_key": F.coalesce("page_id", F.lit(_NO_PAGE))})
+    short = materialise(rows.select("page_id", "page_key", "digest", "octets"))
+    firsts = materialise(short.filter(F.col("octets") >= smallest).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"))
+    revisits = short.join(firsts, "digest").filter("NOT page_id <=> first_id").select("page_key", "digest", "first_id").distinct()
+    total = short.agg(F.coalesce(F.sum(F.col("octets").cast("long")), F.lit(0)).alias("b")).first()["b"]
+    rows = rows.repartition(max(1, -(-total // FILE_BYTES)), "page_key", "digest").join(materialise(revisits), ["page_key", "digest"], "left")
+    rows = rows.withColumn("serial", F.monotonically_increasing_id()).withColumn("revisit", F.col("first_id").isNotNull())
     # a response's id follows from its page and payload, so that a revisit can name it
     rows = rows.withColumn("id", F.when(F.col("revisit"), _urn(F.lit("revisit"), F.col("page_id"), F.col("digest"), F.col("serial"))).otherwise(_urn(F.lit("response"), F.col("page_id"), F.col("digest"))))
     serial, stamp = F.col("serial").cast("string"), F.lit(date)
@@ -164,8 +172,7 @@ def _frame(held: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the WARC files (plain or gzipped) below ``path``, as RECORD_SCHEMA."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # whole files
+    """All records of the WARC files (plain or gzipped) below ``path``, as RECORD_SCHEMA. A task holds a batch of whole files, which Spark bounds by bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(_read_files, RECORD_SCHEMA)
 

@@ -566,7 +566,9 @@ def test_simhash_odd_rows(docs, odd, empty):
 # ---- 8: WARC ----
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("file_bytes", [32 << 20, 2000])
+def test_warc_round_trip(spark, tmp_path, file_bytes, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
     tricky = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(3, "http://a/x y?z", "same"), (1, "http://a/", "same"), (2, None, None), (4, "http://b/\r\nX: y", tricky), (5, "http://c/", ""), (6, "é://ü/é", "Ünïcode — 漢字" * 999), (6, "é://ü/é", "Ünïcode — 漢字" * 999), (None, "http://n/", "null id")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "serial": F.lit(2), "id": F.lit(3)})
