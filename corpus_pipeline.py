@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm.common import materialise, read_table
+from reelspark.llm.common import materialise, read_table, scratch, shared_folder
 from reelspark.llm.decontamination import drop_contaminated
 from reelspark.llm.packing import pack, tokenizer_path
 from reelspark.llm.secrets import redact_secrets
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has put by for itself is removed once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        path = shared_folder(spark)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), path)
     return STAGES[-1][1](spark, docs, sf_dir)
