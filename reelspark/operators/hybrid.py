@@ -10,8 +10,12 @@ from reelspark.operators.ranking import quota_blend, top_per_group
 
 
 def item_tags(items: DataFrame) -> DataFrame:
-    """(item_id, category, value, confidence): directors, leading actors, genre and rating of each item."""
-    values = {"director": comma_names(F.col("director")), "actor_lead": json_names(F.col("cast_lead")), "genre": detail_genres(F.col("genre")), "rating": F.array("rating")}
+    """(item_id, category, value, confidence): directors, leading and guest actors, genre and detail genres of each item."""
+    genre = F.trim("genre")
+    values = {
+        "director": comma_names(F.col("director")), "actor_lead": json_names(F.col("cast_lead")), "actor_guest": json_names(F.col("cast_guest")),
+        "genre": F.when(genre != "", F.array(genre)), "genre_detail": detail_genres(F.col("genre_detail")),
+    }
     lists = F.array(*[F.struct(F.lit(k).alias("category"), v.alias("values")) for k, v in values.items()])
     rows = items.select("item_id", item_confidence(F.col("vote_cnt"), F.col("vote_avg")).alias("confidence"), F.explode(lists).alias("t"))
     return rows.select("item_id", F.col("t.category").alias("category"), F.explode("t.values").alias("value"), "confidence").dropDuplicates(["item_id", "category", "value"])
@@ -59,22 +63,37 @@ def expand_series(candidates: DataFrame, representatives: DataFrame, items: Data
     return candidates.unionByName(best.select(candidates.columns))
 
 
-def tag_shelves(preferences: DataFrame, tags: DataFrame, items: DataFrame, watches: DataFrame, slots: dict[str, int], per_tag: int = 10, buffer: int = 500, extra: int = 10) -> DataFrame:
+def liked_tags(preferences: DataFrame, watches: DataFrame, users: DataFrame, tags: DataFrame, slots: dict[str, int], extra: int = 10, least: int = 3) -> DataFrame:
+    """(user_id, category, value, _r): each user's tags by affinity, ``extra`` more than there are ``slots`` of a category.
+
+    Who likes fewer tags of a category than it has slots also gets those that most users of their age group watched, after their own.
+    """
+    cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
+    own = preferences.filter(F.col("category").isin(*slots)).select("user_id", "category", "value", F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc(F.round("affinity", 6)), "value")).alias("_r"))
+    cold = None
+    for category, n in slots.items():
+        rows = cold_start_tags(watches, users, tags, category, n + extra, least).select("age_grp", F.lit(category).alias("category"), "value", "rank")
+        cold = rows if cold is None else cold.unionByName(rows)
+    filled = own.filter(F.col("_r") == F.element_at(cuts, F.col("category"))).select("user_id", "category")
+    spare = users.select("user_id", "age_grp").join(F.broadcast(cold), "age_grp").join(filled, ["user_id", "category"], "left_anti").join(own.select("user_id", "category", "value"), ["user_id", "category", "value"], "left_anti")
+    return own.filter(F.col("_r") <= F.element_at(cuts, F.col("category")) + extra).unionByName(spare.select("user_id", "category", "value", (F.col("rank") + 1000).alias("_r")))
+
+
+def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: DataFrame, slots: dict[str, int], per_tag: int = 10, buffer: int = 500) -> DataFrame:
     """(user_id, category, value, tag_rank, item_id, item_rank): shelves of the tags a user likes, each with ``per_tag`` unseen items of as many series.
 
-    A tag with fewer is passed over and the next one of its category moves up.
+    ``liked`` as from ``liked_tags``. A tag with fewer is passed over and the next one of its category moves up.
     """
     cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
-    liked = preferences.filter(F.col("category").isin(*slots)).withColumn("_r", F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc(F.round("affinity", 6)), "value"))).filter(F.col("_r") <= F.element_at(cuts, F.col("category")) + extra)
     known = items.filter("poster_url IS NOT NULL").select("item_id", F.coalesce("series_nm", F.col("item_id").cast("string")).alias("_s"))
-    shelf = top_per_group(tags, ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(known, "item_id").select("category", "value", "item_id", "_c", "_s")
+    shelf = top_per_group(tags.filter(F.col("category").isin(*slots)), ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(known, "item_id").select("category", "value", "item_id", "_c", "_s")
     rows = liked.select("user_id", "category", "value", "_r").join(shelf, ["category", "value"]).join(watches.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     tag = ["user_id", "category", "value"]
     one = top_per_group(rows, [*tag, "_s"], [F.col("_c"), F.col("item_id")], 1, "_n").drop("_n")
     kept = top_per_group(one, tag, [F.col("_c"), F.col("item_id")], per_tag, "item_rank")
-    full = kept.groupBy(*tag, "_r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == per_tag)
-    ranked = full.withColumn("tag_rank", F.row_number().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category")))
-    return kept.join(ranked.select(*tag, "tag_rank"), tag).select(*tag, "tag_rank", "item_id", "item_rank")
+    full = kept.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*tag))).filter(F.col("_m") == per_tag)
+    ranked = full.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r")))
+    return ranked.filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category"))).select(*tag, "tag_rank", "item_id", "item_rank")
 
 
 def similar_or_popular(items: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
@@ -90,3 +109,29 @@ def similar_or_popular(items: DataFrame, vectors: DataFrame, n: int) -> DataFram
     best = top_per_group(shown.select("ct_cl", "genre", F.col("item_id").alias("similar_id"), "vote_avg"), ["ct_cl", "genre"], [F.desc("vote_avg"), F.col("similar_id")], n + 1, "_n")
     rest = items.join(vectors.select("item_id"), "item_id", "left_anti").join(best, ["ct_cl", "genre"]).filter("item_id <> similar_id")
     return near.unionByName(top_per_group(rest, ["item_id"], [F.col("_n")], n).select("item_id", "similar_id", "rank"))
+
+
+def personal_sections(shelves: DataFrame, preferences: DataFrame, n: int, reasons: dict[str, str]) -> DataFrame:
+    """(user_id, section, category, value, reason, items): a user's ``n`` best shelves over all categories, one for each name.
+
+    A name that two categories share counts for the one that the user likes better.
+    """
+    listed = shelves.groupBy("user_id", "category", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_rank", "item_id"))), lambda s: s.item_id.cast("string")), ",").alias("items"))
+    rows = listed.join(preferences.select("user_id", "category", "value", F.round("affinity", 6).alias("_a")), ["user_id", "category", "value"], "left").fillna(0.0, ["_a"])
+    one = top_per_group(rows, ["user_id", "value"], [F.desc("_a"), F.col("category")], 1, "_n")
+    best = top_per_group(one, ["user_id"], [F.desc("_a"), F.col("category"), F.col("value")], n, "section")
+    texts = F.create_map(*[F.lit(x) for pair in reasons.items() for x in pair])
+    return best.select("user_id", "section", "category", "value", F.concat(F.element_at(texts, F.col("category")), "value").alias("reason"), "items")
+
+
+def filled_up(own: DataFrame, popular: DataFrame, users: DataFrame, watches: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, rank, personal): each user's own list, filled up to ``n`` with popular items that they haven't watched.
+
+    ``own``: user_id, item_id, rank; ``popular``: item_id, rank, a short list; only users whose own list is short meet it.
+    """
+    full = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    short = users.select("user_id").join(full, "user_id", "left_anti")
+    spare = short.crossJoin(F.broadcast(popular.select("item_id", "rank"))).join(watches.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    rows = own.select("user_id", "item_id", "rank", F.lit(True).alias("personal")).unionByName(spare.select("user_id", "item_id", "rank", F.lit(False).alias("personal")))
+    order = [F.desc("personal"), F.col("_o"), F.col("item_id")]
+    return top_per_group(rows.withColumnRenamed("rank", "_o"), ["user_id"], order, n).select("user_id", "item_id", "rank", "personal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,9 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, then
     l = left.withColumn("_t", F.col(at)).withColumn("_r", F.lit(None).cast(right.schema[then].dataType)).withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(*keys, F.col(then).alias("_t"), F.col(then).alias("_r"), F.lit(0).alias("_side")).distinct()
     line = l.unionByName(r, allowMissingColumns=True)
-    after = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_side")).rowsBetween(1, Window.unboundedFollowing)
-    return line.withColumn(then, F.first("_r", ignorenulls=True).over(after)).filter("_side = 1").select(*left.columns, then)
+    # backwards in time, the last right time so far is the soonest after; a running frame is linear
+    before = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    return line.withColumn(then, F.last("_r", ignorenulls=True).over(before)).filter("_side = 1").select(*left.columns, then)
 
 
 def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
@@ -37,13 +38,13 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
     return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
 
 
-def ngram_containing(names: DataFrame, name: str, terms: DataFrame, term: str, least: int, most: int) -> DataFrame:
-    """As ``containing``, for a dictionary of any size: names are exploded to their stretches of ``least`` to ``most`` letters, and joined by equality."""
+def ngram_containing(names: DataFrame, name: str, terms: DataFrame, term: str, least: int, most: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As ``containing``, for a dictionary of any size: names are exploded to their stretches of ``least`` to ``most`` letters, and joined by equality (of ``keys`` too)."""
     n = F.length(F.col(name))
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     stretches = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.when(i + k - 1 <= n, F.substring(F.col(name), i, k)))))
     exploded = names.withColumn(term, F.explode(F.array_distinct(F.filter(stretches, lambda s: s.isNotNull()))))
-    return exploded.join(terms, term)
+    return exploded.join(terms, [term, *keys])
 
 
 def exact_then_partial(left: DataFrame, key: str, dictionary: DataFrame, name: str, order: str) -> DataFrame:
@@ -60,15 +61,20 @@ def region_boxes(points: DataFrame, boxes: DataFrame, lat: str, lng: str, column
     return hits.groupBy(*columns).agg(F.min_by("name", "order").alias("region"))
 
 
-def most_similar_set(sets: DataFrame, owner: str, member: str, of: Column) -> DataFrame:
-    """(owner, nearest, jaccard) for the owners that ``of`` picks: the other owner whose members overlap most.
+def most_similar_set(sets: DataFrame, owner: str, member: str) -> DataFrame:
+    """(owner, nearest, jaccard): for each owner the other one whose members overlap most, ties to the smaller.
 
-    Overlaps are counted over shared members only; no pair without one is looked at.
+    Overlaps are counted over shared members only; no pair without one is looked at. Owners of one
+    member meet, so the work is the sum of squares of members' owners; a hot member's owners are
+    spread over tasks by the other owner's hash.
     """
     pairs = sets.select(owner, member).distinct()
     sizes = pairs.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    mine = pairs.filter(of).select(F.col(owner).alias("a"), member)
-    shared = mine.join(pairs.filter(~of).select(F.col(owner).alias("b"), member), member).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
+    shared_by = pairs.groupBy(member).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 1000)).cast("int").alias("parts"))
+    dealt = pairs.join(shared_by, member)
+    left = dealt.select(F.col(owner).alias("a"), member, F.pmod(F.xxhash64(owner), F.col("parts")).cast("int").alias("_p"))
+    right = dealt.select(F.col(owner).alias("b"), member, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"))
+    shared = left.join(right, [member, "_p"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
     scored = shared.join(sizes.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
     j = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
     best = scored.groupBy("a").agg(F.max(F.struct(j.alias("j"), (-F.col("b")).alias("b"))).alias("m"))

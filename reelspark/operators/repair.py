@@ -70,3 +70,42 @@ def tone_allowed(rating: Column, segment: Column, barred: dict[int, tuple[str, .
     for s, ratings in barred.items():
         out = out & ~((segment == s) & rating.isin(*ratings))
     return F.coalesce(out, F.lit(True))
+
+
+def backfill_list(items: DataFrame, columns: list[str]) -> DataFrame:
+    """The items that lack any of the columns."""
+    return items.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in columns]) == 1)
+
+
+def unify(rows: DataFrame, column: str, spellings: dict[str, str]) -> DataFrame:
+    """``rows`` with patterns of one column's values replaced, in order, and ``residual``: whether a pattern is still found (none should be)."""
+    value = F.col(column)
+    for pattern, to in spellings.items():
+        value = F.regexp_replace(value, pattern, to)
+    left = F.lit(False)
+    for pattern in spellings:
+        left = left | F.coalesce(value.rlike(pattern), F.lit(False))
+    return rows.withColumns({column: value, "residual": left})
+
+
+def merge_guests(items: DataFrame, from_text: DataFrame, by_episode: DataFrame, by_series: DataFrame, per_episode: Column) -> DataFrame:
+    """(item_id, guests, source): names found in an item's text first; else those of its episode, where ``per_episode`` holds for its class, or else of its series.
+
+    ``items``: item_id, series_nm, episode_no and what ``per_episode`` reads; ``from_text``: item_id,
+    name; ``by_episode``: series_nm, episode_no, name; ``by_series``: series_nm, name. Names come once, sorted.
+    """
+    names = lambda rows, keys, name: rows.groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias(name))
+    rows = items.join(names(from_text, ["item_id"], "_t"), "item_id", "left").join(names(by_episode, ["series_nm", "episode_no"], "_e"), ["series_nm", "episode_no"], "left").join(names(by_series, ["series_nm"], "_s"), "series_nm", "left")
+    other, kind = F.when(per_episode, F.col("_e")).otherwise(F.col("_s")), F.when(per_episode, "episode").otherwise("series")
+    return rows.select("item_id", F.coalesce("_t", other).alias("guests"), F.when(F.col("_t").isNotNull(), "text").when(other.isNotNull(), kind).alias("source"))
+
+
+def sentence_lookup(asked: DataFrame, sentences: DataFrame, default: int) -> DataFrame:
+    """(item_id, segment, sentence_id): the first sentence of an item for a segment, or else for the default segment.
+
+    ``asked``: item_id, segment; ``sentences``: item_id, segment, sentence_id.
+    """
+    firsts = sentences.groupBy("item_id", "segment").agg(F.min("sentence_id").alias("sentence_id"))
+    own = asked.join(firsts, ["item_id", "segment"], "left")
+    spare = firsts.filter(F.col("segment") == default).select("item_id", F.col("sentence_id").alias("_d"))
+    return own.join(spare, "item_id", "left").withColumn("sentence_id", F.coalesce("sentence_id", "_d")).drop("_d").filter("sentence_id IS NOT NULL")

@@ -11,9 +11,12 @@ from reelspark.operators.ranking import top_per_group
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
-    """(item_id, match_id): the most similar name of the same block, over ``least``. Only names that share a block meet."""
-    pairs = left.join(right, "block").withColumn("s", F.round(sequence_similarity(F.col("name"), F.col("match_name")), 6)).filter(F.col("s") > least)
-    return top_per_group(pairs, ["item_id"], [F.desc("s"), F.col("match_id")], 1).select("item_id", "match_id")
+    """(item_id, match_id): the most similar other name of the same block, over ``least``; one of the same type before all others.
+
+    Only names that share a block meet. ``left``: item_id, name, type, block; ``right``: match_id, match_name, match_type, block.
+    """
+    pairs = left.join(right, "block").filter("item_id <> match_id").withColumn("s", F.round(sequence_similarity(F.col("name"), F.col("match_name")), 6)).filter(F.col("s") > least)
+    return top_per_group(pairs, ["item_id"], [F.desc(F.col("type").eqNullSafe(F.col("match_type"))), F.desc("s"), F.col("match_id")], 1).select("item_id", "match_id")
 
 
 def search_index(items: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,40 +43,101 @@ def user_vectors(watches: DataFrame, vectors: DataFrame, vector: str) -> DataFra
     return packed.select("user_id", normalised(F.col("v")).alias("vector")).join(counts, "user_id")
 
 
-#: Rows of one side that are held against the other at a time.
+#: Rows of one side that are held against the other at a time, on average.
 BLOCK = 2048
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, n: int, least: float = -2.0, block: int = BLOCK) -> DataFrame:
-    """(query_id, item_id, score, rank): the ``n`` candidates of highest cosine for each query, itself left out.
+def top_positions(vector: Column, n: int) -> Column:
+    """The (position, value) of the ``n`` highest components of each row's vector, highest first, ties to the smaller position."""
+    ordered = F.array_sort(F.transform(vector, lambda x, i: F.struct((-x).alias("o"), i.alias("position"), x.alias("value"))))
+    return F.transform(F.slice(ordered, 1, n), lambda s: F.struct(s.position.alias("position"), s.value.alias("value")))
 
-    ``queries``: query_id, vector, and optionally not_item (an id to leave out); ``candidates``:
-    item_id, vector. Candidates are packed into blocks of about ``block`` rows, each one row of the
-    wire, and every batch of queries is multiplied with every block: a blocked matrix product in
-    which neither side is ever whole in one place.
+
+def partial_top(scores: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the positions of the ``n`` highest scores, highest first, ties to the smaller position. Selects by partition and sorts only what is left."""
+    if scores.shape[1] > n:
+        least = np.partition(scores, -n, axis=1)[:, -n, None]
+        tied = scores == least
+        above = scores > least
+        chosen = above | (tied & (np.cumsum(tied, axis=1) <= n - above.sum(axis=1, keepdims=True)))
+        at = np.nonzero(chosen)[1].reshape(len(scores), n)
+    else:
+        at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    order = np.argsort(-np.take_along_axis(scores, at, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(at, order, axis=1)
+
+
+def _packed(rows: DataFrame, key: str, name: str, blocks: int, by: list[str]) -> DataFrame:
+    """Blocks of about BLOCK rows (key first), dealt by a hash of the key: (by, block, name)."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by, _block_of(key, blocks).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rest)).alias(name))
+
+
+def _block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def _blocks(rows: DataFrame, block: int) -> int:
+    return max(1, -(-rows.count() // block))
+
+
+def _columns(rows: pa.ListScalar) -> list[np.ndarray]:
+    """The fields of a packed block: ids as they are, vectors as matrices."""
+    n = len(rows.values)
+    fields = rows.values.flatten()
+    return [f.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if pa.types.is_list(f.type) else f.to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _best_in_tiles(tiles: DataFrame, names: list[str], scores: Callable[..., np.ndarray], n: int, least: float) -> DataFrame:
+    """The ``n`` best of each asking row in each tile (asks, rows and, optionally, pairs to leave out): names[0], names[1], score.
+
+    Blocks are read from Arrow as matrices: no row of them becomes a Python object.
     """
-    packed = candidates.select("item_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.floor(F.col("item_id") / block))
-    packed = packed.groupBy("b").agg(F.collect_list(F.struct("item_id", "v")).alias("rows"))
-    asked = queries.select("query_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.floor(F.col("query_id") / block))
-    asked = asked.groupBy("b").agg(F.collect_list(F.struct("query_id", "v")).alias("asks"))
-    tiles = asked.select("asks").crossJoin(packed.select("rows"))  # one row for each pair of blocks
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asks, rows in zip(batch["asks"], batch["rows"], strict=True):
-                q, c = np.array([r["v"] for r in asks]), np.array([r["v"] for r in rows])
-                qi, ci = np.array([r["query_id"] for r in asks]), np.array([r["item_id"] for r in rows])
+            for i in range(batch.num_rows):
+                (qi, *q), (ci, *c) = _columns(batch["asks"][i]), _columns(batch["rows"][i])
                 order = np.argsort(ci, kind="stable")
-                scores, ci = np.round(q @ c[order].T, 6), ci[order]
-                scores[qi[:, None] == ci[None, :]] = -9.0
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                best = np.take_along_axis(scores, top, axis=1)
-                keep = best >= max(least, -2.0)
-                yield pd.DataFrame({"query_id": np.repeat(qi, top.shape[1])[keep.ravel()], "item_id": ci[top][keep], "score": best[keep]})
-
-    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = tiles.mapInPandas(multiply, "query_id long, item_id long, score double")
-    return top_per_group(found, ["query_id"], [F.desc("score"), F.col("item_id")], n)
+                ci = ci[order]
+                found = scores(q, [x[order] for x in c])
+                if "out" in batch.schema.names:
+                    if batch["out"][i].is_valid:
+                        a, b = _columns(batch["out"][i])
+                        known = np.isin(a, qi) & np.isin(b, ci)
+                        at = np.argsort(qi, kind="stable")
+                        found[at[np.searchsorted(qi[at], a[known])], np.searchsorted(ci, b[known])] = -9.0
+                else:
+                    found[qi[:, None] == ci[None, :]] = -9.0
+                top = partial_top(found, n)
+                best = np.take_along_axis(found, top, axis=1)
+                keep = best > max(least, -9.0)
+                asked = np.broadcast_to(qi[:, None], top.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[keep]), pa.array(ci[top][keep]), pa.array(best[keep])], names=[*names, "score"])
+
+    columns = [c for c in ("asks", "rows", "out") if c in tiles.columns]
+    found = tiles.select(*columns).mapInArrow(run, f"{names[0]} long, {names[1]} long, score double")
+    return top_per_group(found, [names[0]], [F.desc("score"), F.col(names[1])], n)
+
+
+def _meet(asked: DataFrame, packed: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each pair of blocks (of equal ``by``)."""
+    return asked.join(packed, by) if by else asked.crossJoin(packed)
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, n: int, least: float = -2.0, block: int = BLOCK, by: str | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, item_id, score, rank): the ``n`` candidates of highest cosine (over ``least``) for each query, itself left out.
+
+    ``queries``: query_id, vector; ``candidates``: item_id, vector; with ``by``, a column of both,
+    only rows of equal values meet. Both sides are packed into blocks of about ``block`` rows, each
+    one row of the wire, and every two blocks are multiplied: a blocked matrix product in which
+    neither side is ever whole in one place.
+    """
+    same = [by] if by else []
+    unit = normalised(F.col("vector")).alias("v")
+    packed = _packed(candidates.select("item_id", unit, *same), "item_id", "rows", _blocks(candidates, block), same)
+    asked = _packed(queries.select("query_id", unit, *same), "query_id", "asks", _blocks(queries, block), same)
+    return _best_in_tiles(_meet(asked, packed, same), ["query_id", "item_id"], lambda q, c: np.round(q[0] @ c[0].T, digits), n, least)
 
 
 def late_fusion(visual: DataFrame, content: DataFrame, alpha: float = 0.4) -> DataFrame:
@@ -100,55 +161,39 @@ def ensemble(sources: DataFrame, items: DataFrame, n: int, alpha: float = 0.4) -
     Both sides meet in blocks, as in ``nearest``.
     """
     two = lambda f: f.select("item_id", normalised(F.col("visual")).alias("s"), normalised(F.col("meta")).alias("m"))
-    packed = two(items).withColumn("b", F.floor(F.col("item_id") / BLOCK)).groupBy("b").agg(F.collect_list(F.struct("item_id", "s", "m")).alias("rows"))
-    asked = two(sources).withColumn("b", F.floor(F.col("item_id") / BLOCK)).groupBy("b").agg(F.collect_list(F.struct("item_id", "s", "m")).alias("asks"))
+    packed = _packed(two(items), "item_id", "rows", _blocks(items, BLOCK), [])
+    asked = _packed(two(sources), "item_id", "asks", _blocks(sources, BLOCK), [])
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asks, rows in zip(batch["asks"], batch["rows"], strict=True):
-                part = lambda x, k: np.array([r[k] for r in x])
-                qi, ci = part(asks, "item_id"), part(rows, "item_id")
-                order = np.argsort(ci, kind="stable")
-                ci = ci[order]
-                visual, meta = part(asks, "s") @ part(rows, "s")[order].T, part(asks, "m") @ part(rows, "m")[order].T
-                scores = np.round(np.where((visual > 0) & (visual < 1), alpha * visual + (1 - alpha) * meta, meta), 5)
-                scores[qi[:, None] == ci[None, :]] = -9.0
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                best = np.take_along_axis(scores, top, axis=1)
-                keep = best > -9.0
-                yield pd.DataFrame({"source_id": np.repeat(qi, top.shape[1])[keep.ravel()], "item_id": ci[top][keep], "score": best[keep]})
+    def scores(q: list[np.ndarray], c: list[np.ndarray]) -> np.ndarray:
+        visual, meta = q[0] @ c[0].T, q[1] @ c[1].T
+        return np.round(np.where((visual > 0) & (visual < 1), alpha * visual + (1 - alpha) * meta, meta), 5)
 
-    sources.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = asked.select("asks").crossJoin(packed.select("rows")).mapInPandas(multiply, "source_id long, item_id long, score double")
-    return top_per_group(found, ["source_id"], [F.desc("score"), F.col("item_id")], n)
+    return _best_in_tiles(asked.crossJoin(packed), ["source_id", "item_id"], scores, n, -9.0)
 
 
 def user_neighbours(users: DataFrame, items: DataFrame, watched: DataFrame, n: int, digits: int = 6) -> DataFrame:
     """(user_id, item_id, score, rank): for each user the unwatched items of highest positive cosine.
 
-    ``users``: user_id, vector; ``items``: item_id, vector. As many more are taken as a user has
-    watched, so that leaving those out leaves enough.
+    ``users``: user_id, vector; ``items``: item_id, vector. Histories are dealt to the pairs of blocks
+    that they concern, so that none travels whole.
     """
+    unit = normalised(F.col("vector")).alias("v")
+    ub, ib = _blocks(users, BLOCK), _blocks(items, BLOCK)
+    asked = _packed(users.select("user_id", unit), "user_id", "asks", ub, [])
+    packed = _packed(items.select("item_id", unit), "item_id", "rows", ib, [])
     seen = watched.select("user_id", "item_id").distinct()
-    lists = seen.groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    packed = items.select("item_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.floor(F.col("item_id") / BLOCK)).groupBy("b").agg(F.collect_list(F.struct("item_id", "v")).alias("rows"))
-    asked = users.join(lists, "user_id", "left").select("user_id", normalised(F.col("vector")).alias("v"), F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
-    asked = asked.withColumn("b", F.floor(F.col("user_id") / BLOCK)).groupBy("b").agg(F.collect_list(F.struct("user_id", "v", "seen")).alias("asks"))
+    seen = seen.groupBy(_block_of("user_id", ub).alias("asks_block"), _block_of("item_id", ib).alias("rows_block")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("out"))
+    tiles = asked.crossJoin(packed).join(seen, ["asks_block", "rows_block"], "left")
+    return _best_in_tiles(tiles, ["user_id", "item_id"], lambda q, c: np.round(q[0] @ c[0].T, digits), n, 0.0)
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asks, rows in zip(batch["asks"], batch["rows"], strict=True):
-                ids = np.array([r["item_id"] for r in rows])
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                scores = np.round(np.array([r["v"] for r in asks]) @ np.array([r["v"] for r in rows])[order].T, digits)
-                for i, ask in enumerate(asks):
-                    scores[i, np.isin(ids, ask["seen"])] = -9.0
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                best = np.take_along_axis(scores, top, axis=1)
-                keep = best > 0
-                yield pd.DataFrame({"user_id": np.repeat([r["user_id"] for r in asks], top.shape[1])[keep.ravel()], "item_id": ids[top][keep], "score": best[keep]})
-
-    users.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = asked.select("asks").crossJoin(packed.select("rows")).mapInPandas(multiply, "user_id long, item_id long, score double")
-    return top_per_group(found, ["user_id"], [F.desc("score"), F.col("item_id")], n)
+
+def attributed(recommended: DataFrame, watches: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, item_id, source_id): the other item of the same class in a user's own history that is most like a recommended one.
+
+    ``recommended``: user_id, item_id; ``vectors``: item_id, vector, ct_cl. A user's few recommendations
+    meet their own history only.
+    """
+    side = lambda rows, name: rows.join(vectors.select("item_id", "ct_cl", normalised(F.col("vector")).alias(f"_{name}")), "item_id")
+    mine = side(watches.select("user_id", "item_id").distinct(), "w").withColumnRenamed("item_id", "source_id")
+    pairs = side(recommended, "r").join(mine, ["user_id", "ct_cl"]).filter("item_id <> source_id").withColumn("_s", F.round(dot(F.col("_r"), F.col("_w")), 5))
+    return top_per_group(pairs, ["user_id", "item_id"], [F.desc("_s"), F.col("source_id")], 1, "_n").select("user_id", "item_id", "source_id")

@@ -59,10 +59,10 @@ def w14(spark, d):
     return signals.first_cluster(V.signals(spark, d).filter("kind = 'yolo'"))
 
 
-@query("w15_trigger_time", "SELECT item_id, coalesce(c.first, f.first) AS trigger_at, 'yolo' AS source FROM (SELECT item_id, min(t) AS first FROM runs GROUP BY 1) f LEFT JOIN (SELECT item_id, min(first) AS first FROM (SELECT item_id, run, min(t) AS first FROM runs GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) c USING (item_id) UNION ALL SELECT item_id, max(s.at) * 0.5, 'stt' FROM signals s WHERE kind = 'clip' AND item_id NOT IN (SELECT item_id FROM runs) GROUP BY item_id", runs=RUNS.replace("kind = 'yolo'", "kind = 'yolo' AND event_id % 20 = 0"))
+@query("w15_trigger_time", "SELECT item_id, coalesce(c.first, f.first) AS trigger_at, 'yolo' AS source FROM (SELECT item_id, min(t) AS first FROM runs GROUP BY 1) f LEFT JOIN (SELECT item_id, min(first) AS first FROM (SELECT item_id, run, min(t) AS first FROM runs GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) c USING (item_id) UNION ALL SELECT item_id, max(s.at) * 0.5, 'stt' FROM signals s WHERE kind = 'clip' AND item_id NOT IN (SELECT item_id FROM runs) GROUP BY item_id", runs=RUNS)
 def w15(spark, d):
     s = V.signals(spark, d)
-    return signals.trigger_time(s.filter("kind = 'yolo' AND event_id % 20 = 0"), s.filter("kind = 'clip'"), "yolo")
+    return signals.trigger_time(s.filter("kind = 'yolo'"), s.filter("kind = 'clip'"), "yolo")
 
 
 @query("f8_id_from_file", "SELECT item_id FROM items WHERE ct_cl IN ('PROMO', 'LARGE')")

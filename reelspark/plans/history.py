@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None, **views: str):
 
 
 TAGS = """SELECT DISTINCT * FROM (SELECT item_id, 'director' AS category, trim(unnest(string_split(director, ','))) AS value, confidence FROM conf
-    UNION ALL SELECT item_id, 'genre', genre, confidence FROM conf UNION ALL SELECT item_id, 'rating', rating, confidence FROM conf
+    UNION ALL SELECT item_id, 'genre', genre, confidence FROM conf UNION ALL SELECT item_id, 'genre_detail', trim(unnest(string_split(genre_detail, ','))), confidence FROM conf
+    UNION ALL SELECT item_id, 'actor_guest', trim(unnest(CAST(json(cast_guest) AS VARCHAR[]))), confidence FROM conf
     UNION ALL SELECT item_id, 'actor_lead', trim(unnest(CAST(json(cast_lead) AS VARCHAR[]))), confidence FROM conf)"""
 CONF = "SELECT *, CASE WHEN vote_cnt > 0 AND vote_avg > 0 THEN round(least(ln(vote_cnt + 1) / ln(40001.0) * vote_avg / 10, 1.0), 6) ELSE 0.1 END AS confidence FROM items"
 PREFS = """SELECT user_id, category, value, least(1.0, n / total * coalesce(c, 0.5) * 2) AS affinity, n AS watch_count FROM (
@@ -140,10 +141,11 @@ def j2(spark, d):
     return rows.join(names, "item_id", "left").join(names.select(F.col("item_id").alias("source_id"), F.col("title").alias("source_title")), "source_id", "left").select("item_id", "title", "source_title")
 
 
-@query("j3_semi", "SELECT DISTINCT user_id FROM watches WHERE item_id IN (SELECT item_id FROM watches WHERE user_id = 1) AND user_id <> 1")
+@query("j3_semi", "SELECT DISTINCT user_id FROM watches WHERE item_id IN (SELECT item_id FROM watches JOIN users USING (user_id) WHERE is_test) AND user_id NOT IN (SELECT user_id FROM users WHERE is_test)")
 def j3(spark, d):
     w = V.watches(spark, d)
-    return w.filter("user_id <> 1").join(w.filter("user_id = 1").select("item_id"), "item_id", "left_semi").select("user_id").distinct()
+    testers = V.users(spark, d).filter("is_test").select("user_id")
+    return w.join(w.join(testers, "user_id", "left_semi").select("item_id"), "item_id", "left_semi").select("user_id").distinct().join(testers, "user_id", "left_anti")
 
 
 @query("j4_anti", "SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM watches WHERE started_at >= TIMESTAMP '2000-01-01')")
@@ -167,11 +169,12 @@ def j6(spark, d):
     return V.users(spark, d).select("user_id").join(first, "user_id", "left")
 
 
-@query("j8_containment", "SELECT i.item_id, count(*) AS n FROM items i JOIN (SELECT item_id, ct_cl, unnest(string_split(genre_detail, ', ')) AS tag FROM items WHERE item_id < 50) s ON i.ct_cl = s.ct_cl AND contains(i.title, s.tag) GROUP BY i.item_id")
+@query("j8_containment", "SELECT i.item_id, count(*) AS n FROM items i JOIN (SELECT item_id, ct_cl, unnest(string_split(genre_detail, ', ')) AS tag FROM items) s ON i.ct_cl = s.ct_cl AND contains(i.title, s.tag) GROUP BY i.item_id")
 def j8(spark, d):
     items = V.items(spark, d)
-    s = items.filter("item_id < 50").select("ct_cl", F.explode(F.split("genre_detail", ", ")).alias("tag"))
-    return items.join(s, (items["ct_cl"] == s["ct_cl"]) & F.contains(F.col("title"), F.col("tag"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    s = items.select("ct_cl", F.explode(F.split("genre_detail", ", ")).alias("tag")).groupBy("ct_cl", "tag").agg(F.count(F.lit(1)).alias("n"))
+    found = joins.ngram_containing(items.select("item_id", "ct_cl", "title"), "title", s, "tag", 1, 16, ("ct_cl",))
+    return found.groupBy("item_id").agg(F.sum("n").alias("n"))
 
 
 TERMS = [("red", "color"), ("bolt", "part"), ("plate", "part"), ("hot", "heat")]
@@ -201,10 +204,10 @@ def j12(spark, d):
     return joins.next_after(s.filter("kind = 'yolo'").select("event_id", "item_id", "at"), then, ["item_id"], "at", "next_at").select("event_id", "next_at")
 
 
-@query("j13_region_boxes", "SELECT user_id, CASE WHEN balance BETWEEN 0 AND 3000 THEN 'low' WHEN balance BETWEEN 2000 AND 6000 THEN 'mid' END AS region FROM users")
+@query("j13_region_boxes", "SELECT user_id, CASE WHEN balance BETWEEN 0 AND 3000 AND user_id % 360 BETWEEN 0 AND 120 THEN 'low' WHEN balance BETWEEN 2000 AND 6000 AND user_id % 360 BETWEEN 100 AND 250 THEN 'mid' END AS region FROM users")
 def j13(spark, d):
-    boxes = spark.createDataFrame([(1, "low", 0.0, 3000.0, 0.0, 1e9), (2, "mid", 2000.0, 6000.0, 0.0, 1e9)], "order int, name string, lat0 double, lat1 double, lng0 double, lng1 double")
-    return joins.region_boxes(V.users(spark, d).withColumn("lng", F.col("user_id").cast("double")), boxes, "balance", "lng", ["user_id"])
+    boxes = spark.createDataFrame([(1, "low", 0.0, 3000.0, 0.0, 120.0), (2, "mid", 2000.0, 6000.0, 100.0, 250.0)], "order int, name string, lat0 double, lat1 double, lng0 double, lng1 double")
+    return joins.region_boxes(V.users(spark, d).withColumn("lng", (F.col("user_id") % 360).cast("double")), boxes, "balance", "lng", ["user_id"])
 
 
 @query("j14_key_list", "SELECT item_id, category, value FROM tags WHERE (category = 'genre' AND value = 'red') OR (category = 'director' AND value = 'Brand#7')", tags=TAGS, conf=CONF)
@@ -218,12 +221,12 @@ def j16(spark, d):
     return V.items(spark, d).groupBy(F.coalesce("series_nm", "title").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j17_fuzzy_join", "SELECT item_id, match_id FROM (SELECT a.item_id, b.item_id AS match_id, row_number() OVER (PARTITION BY a.item_id ORDER BY round(1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)), 6) DESC, b.item_id) AS n FROM items a JOIN items b ON a.genre = b.genre AND b.item_id % 40 = 1 AND a.item_id % 10 = 3 WHERE 1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)) > 0.3) WHERE n = 1")
+@query("j17_fuzzy_join", "SELECT item_id, match_id FROM (SELECT a.item_id, b.item_id AS match_id, row_number() OVER (PARTITION BY a.item_id ORDER BY (a.ct_cl = b.ct_cl) DESC, round(1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)), 6) DESC, b.item_id) AS n FROM items a JOIN items b ON a.genre = b.genre AND a.item_id <> b.item_id WHERE 1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)) > 0.3) WHERE n = 1")
 def j17(spark, d):
     from reelspark.operators.search import fuzzy_match
 
-    items = V.items(spark, d).select("item_id", F.concat("genre_detail", "provider").alias("name"), F.col("genre").alias("block"))
-    return fuzzy_match(items.filter("item_id % 10 = 3"), items.filter("item_id % 40 = 1").select(F.col("item_id").alias("match_id"), F.col("name").alias("match_name"), "block"))
+    items = V.items(spark, d).select("item_id", F.concat("genre_detail", "provider").alias("name"), F.col("ct_cl").alias("type"), F.col("genre").alias("block"))
+    return fuzzy_match(items, items.select(F.col("item_id").alias("match_id"), F.col("name").alias("match_name"), F.col("type").alias("match_type"), "block"))
 
 
 @query("j18_orphans", "SELECT (SELECT count(*) FROM watches WHERE item_id NOT IN (SELECT item_id FROM vectors)) AS no_vector, (SELECT count(*) FROM vectors WHERE item_id NOT IN (SELECT item_id FROM watches)) AS no_watch")
@@ -296,9 +299,9 @@ def a5(spark, d):
     return V.watches(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("views"), F.round(F.avg("satisfaction"), 6).alias("satisfaction")).filter("views >= 10").orderBy(F.desc("satisfaction"), "item_id").limit(100)
 
 
-@query("a6_user_timeline", "SELECT user_id, item_id, title, started_at, watch_id FROM watches JOIN items USING (item_id) WHERE user_id % 100 = 7 AND started_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-01-01'")
+@query("a6_user_timeline", "SELECT user_id, item_id, title, started_at, watch_id FROM watches JOIN items USING (item_id) WHERE started_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-01-01'")
 def a6(spark, d):
-    w = V.watches(spark, d).filter((F.col("user_id") % 100 == 7) & F.col("started_at").between("1998-01-01", "1999-01-01"))
+    w = V.watches(spark, d).filter(F.col("started_at").between("1998-01-01", "1999-01-01"))
     return w.join(V.items(spark, d), "item_id").select("user_id", "item_id", "title", "started_at", "watch_id")
 
 
@@ -373,9 +376,9 @@ def a22(spark, d):
     return n.crossJoin(v.agg(F.count_if(~norm(F.col("visual")).between(0.01, 0.8)).alias("odd")))
 
 
-@query("a23_nearest_user", "SELECT user_id, nearest, round(j, 6) AS jaccard FROM (SELECT a.user_id, b.user_id AS nearest, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j, row_number() OVER (PARTITION BY a.user_id ORDER BY count(*) / (any_value(a.n) + any_value(b.n) - count(*)) DESC, b.user_id) AS k FROM sets a JOIN sets b ON a.item_id = b.item_id AND a.user_id % 50 = 0 AND b.user_id % 50 <> 0 GROUP BY a.user_id, b.user_id) WHERE k = 1", sets="SELECT user_id, item_id, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, item_id FROM watches)")
+@query("a23_nearest_user", "SELECT user_id, nearest, round(j, 6) AS jaccard FROM (SELECT a.user_id, b.user_id AS nearest, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j, row_number() OVER (PARTITION BY a.user_id ORDER BY count(*) / (any_value(a.n) + any_value(b.n) - count(*)) DESC, b.user_id) AS k FROM sets a JOIN sets b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY a.user_id, b.user_id) WHERE k = 1", sets="SELECT user_id, item_id, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, item_id FROM watches)")
 def a23(spark, d):
-    return joins.most_similar_set(V.watches(spark, d), "user_id", "item_id", F.col("user_id") % 50 == 0).withColumn("jaccard", F.round("jaccard", 6))
+    return joins.most_similar_set(V.watches(spark, d), "user_id", "item_id").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("a25_distribution", "SELECT ct_cl, genre, count(*) AS n, count(*) FILTER (genre NOT IN ('red', 'hot', 'blue')) AS unmapped FROM items GROUP BY ALL")
@@ -448,9 +451,13 @@ def w7(spark, d):
 CAND = """SELECT user_id, item_id, round(completion * satisfaction, 6) AS score, CASE WHEN watch_id % 3 = 0 THEN 'VISUAL' ELSE 'CF' END AS type, CASE WHEN watch_id % 3 = 0 THEN watch_id % 4 END AS source_id FROM watches"""
 
 
-def candidates(spark, d):
+def candidates_of(watches):
     k = F.col("watch_id") % 3 == 0
-    return V.watches(spark, d).select("user_id", "item_id", F.round(F.col("completion") * F.col("satisfaction"), 6).alias("score"), F.when(k, "VISUAL").otherwise("CF").alias("type"), F.when(k, F.col("watch_id") % 4).alias("source_id"))
+    return watches.select("user_id", "item_id", F.round(F.col("completion") * F.col("satisfaction"), 6).alias("score"), F.when(k, "VISUAL").otherwise("CF").alias("type"), F.when(k, F.col("watch_id") % 4).alias("source_id"))
+
+
+def candidates(spark, d):
+    return candidates_of(V.watches(spark, d))
 
 
 @query("w8_deduplicated_top", "SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id, CASE WHEN ct_cl = 'PROMO' THEN CAST(item_id AS VARCHAR) ELSE coalesce(series_nm, CAST(item_id AS VARCHAR)) END ORDER BY score DESC, item_id) AS n FROM (SELECT user_id, item_id, max(score) AS score FROM cand GROUP BY ALL) JOIN items USING (item_id)) WHERE n = 1) WHERE rank <= 5", cand=CAND)
@@ -548,3 +555,15 @@ def u4(spark, d):
 def u5(spark, d):
     served = V.vectors(spark, d).select("item_id").union(V.signals(spark, d).select("item_id")).union(V.watches(spark, d).filter("completion > 0.9").select("item_id")).distinct()
     return V.items(spark, d).filter("series_nm IS NOT NULL").join(served, "item_id", "left_semi").groupBy("series_nm").agg(F.min("item_id").alias("item_id"), F.max("poster_url").alias("poster_url"))
+
+
+@query("w9_ordered_distinct", "SELECT user_id, item_id, watch_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, watch_id DESC) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY started_at DESC, watch_id DESC) AS n FROM watches) WHERE n = 1) WHERE rank <= 20")
+def w9(spark, d):
+    rows = ranking.deduplicated_top(V.watches(spark, d), ["user_id"], F.col("item_id"), [F.desc("started_at"), F.desc("watch_id")], 20)
+    return rows.select("user_id", "item_id", "watch_id", "rank")
+
+
+@query("r2_preferences", "SELECT user_id, category, value, round(affinity, 6) AS affinity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY round(affinity, 6) DESC, value) AS rank FROM prefs) WHERE rank <= 10", prefs=PREFS, tags=TAGS, conf=CONF)
+def r2(spark, d):
+    rows = preferences(spark, d).withColumn("affinity", F.round("affinity", 6))
+    return ranking.top_per_group(rows, ["user_id", "category"], [F.desc("affinity"), F.col("value")], 10).select("user_id", "category", "value", "affinity", "rank")

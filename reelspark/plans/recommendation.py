@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.operators import evaluation, factors, hybrid, ranking, search, vectors
@@ -60,7 +61,7 @@ def v5(spark, d):
     return vectors.nearest(v.withColumnRenamed("item_id", "query_id"), v, 5)
 
 
-ENS = """SELECT a.item_id AS source_id, b.item_id, round(CASE WHEN s > 0 AND s < 1 THEN 0.4 * s + 0.6 * m ELSE m END, 5) AS score FROM (SELECT a.item_id AS x, b.item_id AS y, list_cosine_similarity(a.visual, b.visual) AS s, list_cosine_similarity(a.meta, b.meta) AS m FROM vectors a JOIN vectors b ON a.item_id % 20 = 0 AND a.item_id <> b.item_id) p JOIN vectors a ON a.item_id = x JOIN vectors b ON b.item_id = y"""
+ENS = """SELECT a.item_id AS source_id, b.item_id, round(CASE WHEN s > 0 AND s < 1 THEN 0.4 * s + 0.6 * m ELSE m END, 5) AS score FROM (SELECT a.item_id AS x, b.item_id AS y, list_cosine_similarity(a.visual, b.visual) AS s, list_cosine_similarity(a.meta, b.meta) AS m FROM vectors a JOIN vectors b ON a.item_id <> b.item_id) p JOIN vectors a ON a.item_id = x JOIN vectors b ON b.item_id = y"""
 
 
 @query("v6_ensemble", "SELECT source_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, item_id) AS rank FROM ens) WHERE rank <= 5", ens=ENS)
@@ -68,7 +69,7 @@ def v6(spark, d):
     from reelspark.operators.vectors import ensemble
 
     v = V.vectors(spark, d)
-    return ensemble(v.filter("item_id % 20 = 0"), v, 5, 0.4)
+    return ensemble(v, v, 5, 0.4)
 
 
 @query("v7_late_fusion", "SELECT coalesce(a.item_id, b.item_id) AS item_id, round(CASE WHEN coalesce(a.s, 0) > 0 THEN 0.4 * a.s + 0.6 * coalesce(b.s, 0) ELSE coalesce(b.s, 0) END, 6) AS score FROM (SELECT item_id, visual[1] AS s FROM vectors WHERE item_id % 3 <> 0) a FULL JOIN (SELECT item_id, meta[1] AS s FROM vectors WHERE item_id % 4 <> 0) b ON a.item_id = b.item_id")
@@ -88,12 +89,12 @@ def v8(spark, d):
     return user_neighbours(users, v, w, 3, 5)
 
 
-@query("v9_source_attribution", "SELECT r.item_id, arg_max(v.item_id, (round(list_cosine_similarity(v.visual, r.visual), 5), -v.item_id)) AS source_id FROM vectors r JOIN vectors v ON v.ct_cl = r.ct_cl AND v.item_id <> r.item_id AND v.item_id % 10 = 1 GROUP BY r.item_id")
+@query("v9_source_attribution", """SELECT user_id, item_id, source_id FROM (SELECT r.user_id, r.item_id, w.item_id AS source_id, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY round(list_cosine_similarity(a.visual, b.visual), 5) DESC, w.item_id) AS n
+    FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM best) r JOIN vectors a ON a.item_id = r.item_id JOIN (SELECT DISTINCT user_id, item_id FROM watches) w ON w.user_id = r.user_id AND w.item_id <> r.item_id JOIN vectors b ON b.item_id = w.item_id AND b.ct_cl = a.ct_cl WHERE r.rank <= 10) WHERE n = 1""",
+    best="SELECT user_id, item_id, max(score) AS score, min(type) AS type FROM cand GROUP BY user_id, item_id", cand=H.CAND)
 def v9(spark, d):
-    v = V.vectors(spark, d)
-    s = v.filter("item_id % 10 = 1").select(F.col("item_id").alias("source_id"), F.col("visual").alias("q"), "ct_cl")
-    pairs = v.join(s, "ct_cl").filter("item_id <> source_id").withColumn("s", F.round(vectors.cosine(F.col("q"), F.col("visual")), 5))
-    return pairs.groupBy("item_id").agg(F.max(F.struct("s", (-F.col("source_id")).alias("i"))).alias("m")).select("item_id", (-F.col("m.i")).alias("source_id"))
+    v = V.vectors(spark, d).select("item_id", F.col("visual").alias("vector"), "ct_cl")
+    return vectors.attributed(ranked(spark, d).select("user_id", "item_id"), V.watches(spark, d), v)
 
 
 @query("v10_item_page", """SELECT item_id, similar_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.item_id, b.item_id AS similar_id, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.meta, b.meta), 6) DESC, b.item_id) AS rank
@@ -122,13 +123,31 @@ def v12(spark, d):
 
 @query("v13_v14_als_recommendations")
 def v13(spark, d):
-    w = V.watches(spark, d)
-    return factors.recommend(factors.fit_als(factors.confidences(w)), w, 10)
+    w = V.watches(spark, d).select("user_id", "item_id", "completion")
+    return factors.recommend(factors.fit_als(V.written(factors.confidences(w)), V.written), w, 10)
 
 
 @query("v15_segments")
 def v15(spark, d):
-    return factors.segments(vectors.user_vectors(V.watches(spark, d), V.vectors(spark, d), "visual").select("user_id", "vector"))
+    return factors.segments(V.written(vectors.user_vectors(V.watches(spark, d), V.vectors(spark, d), "visual")))
+
+
+@query("v15_elbow")
+def v15_elbow(spark, d):
+    return factors.elbow(V.written(vectors.user_vectors(V.watches(spark, d), V.vectors(spark, d), "visual")), (2, 3, 4, 5, 6))
+
+
+@query("v15_segment_profile")
+def v15_profile(spark, d):
+    w = V.watches(spark, d)
+    segmented = factors.segments(V.written(vectors.user_vectors(w, V.vectors(spark, d), "visual")))
+    return factors.segment_profile(segmented, w, V.items(spark, d))
+
+
+@query("t2_partial_sort", "SELECT item_id, CAST(position AS INTEGER) AS position, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY value DESC, position) AS rank FROM (SELECT item_id, unnest(visual) AS value, unnest(range(32)) AS position FROM vectors)) WHERE rank <= 3")
+def t2(spark, d):
+    rows = V.vectors(spark, d).select("item_id", F.posexplode(vectors.top_positions(F.col("visual"), 3)).alias("r", "t"))
+    return rows.select("item_id", "t.position", "t.value", (F.col("r") + 1).alias("rank"))
 
 
 @query("v16_label_probing", "SELECT item_id, label, CAST(rank AS INTEGER) AS rank FROM (SELECT v.item_id, l.ct_cl AS label, row_number() OVER (PARTITION BY v.item_id ORDER BY round(list_cosine_similarity(v.visual, l.visual), 5) DESC, l.ct_cl) AS rank FROM vectors v, (SELECT ct_cl, arg_min(visual, item_id) AS visual FROM vectors GROUP BY ct_cl) l) WHERE rank <= 3")
@@ -178,7 +197,10 @@ HYBRID = {**BASE, "best": CAND, "cand": H.CAND, "scored": SCORED}
 
 @query("r3_hybrid_rerank", "SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM scored) WHERE rank <= 10", **HYBRID)
 def r3(spark, d):
-    return hybrid.rerank(candidates(spark, d), H.tags(spark, d), H.preferences(spark, d)).select("user_id", "item_id", "score", "rank")
+    tags, watched = V.written(H.tags(spark, d)), V.written(V.watches(spark, d).select("user_id", "item_id", "completion", "satisfaction", "watch_id"))
+    prefs = V.written(H.statistics.tag_affinity(watched, tags))
+    best = V.written(H.candidates_of(watched).groupBy("user_id", "item_id").agg(F.max("score").alias("score"), F.min("type").alias("type")))
+    return hybrid.rerank(best, tags, prefs).select("user_id", "item_id", "score", "rank")
 
 
 @query("a17_minmax_by_type", "SELECT user_id, item_id, type, round((score - lo) / (hi - lo), 6) AS score FROM best JOIN (SELECT type, min(score) AS lo, max(score) AS hi FROM best GROUP BY type) USING (type)", **HYBRID)
@@ -199,16 +221,37 @@ def j15(spark, d):
     return hybrid.expand_series(candidates(spark, d), reps, items, "VISUAL").select("user_id", "item_id", "score", "type")
 
 
-@query("r5_tag_shelves", """SELECT user_id, category, value, CAST(tr AS INTEGER) AS tag_rank, item_id, CAST(k AS INTEGER) AS item_rank FROM (
+CUTS = "CASE category WHEN 'director' THEN {0} ELSE {1} END"
+#: A user's tags by category, and for who has fewer than there are places the commonest of their age group.
+LIKED = f"""SELECT * FROM (SELECT user_id, category, value, row_number() OVER (PARTITION BY user_id, category ORDER BY round(affinity, 6) DESC, value) AS r FROM prefs WHERE category IN ('director', 'genre')) WHERE r <= {CUTS.format(12, 13)}
+    UNION ALL SELECT u.user_id, c.category, c.value, 1000 + c.rank FROM users u JOIN cold c USING (age_grp) LEFT JOIN (SELECT user_id, category, count(*) AS n FROM prefs GROUP BY ALL) k ON k.user_id = u.user_id AND k.category = c.category
+    WHERE coalesce(k.n, 0) < CASE c.category WHEN 'director' THEN 2 ELSE 3 END AND NOT EXISTS (SELECT 1 FROM prefs p WHERE p.user_id = u.user_id AND p.category = c.category AND p.value = c.value)"""
+COLD = f"""SELECT * FROM (SELECT age_grp, category, value, row_number() OVER (PARTITION BY age_grp, category ORDER BY count(DISTINCT user_id) DESC, value) AS rank FROM (SELECT DISTINCT user_id, item_id FROM watches) JOIN users USING (user_id) JOIN tags USING (item_id)
+    WHERE NOT is_test AND category IN ('director', 'genre') GROUP BY age_grp, category, value HAVING count(DISTINCT user_id) >= 3) WHERE rank <= {CUTS.format(12, 13)}"""
+SHELVES = f"""SELECT user_id, category, value, CAST(tr AS INTEGER) AS tag_rank, item_id, CAST(k AS INTEGER) AS item_rank FROM (
     SELECT *, dense_rank() OVER (PARTITION BY user_id, category ORDER BY r) AS tr FROM (SELECT *, count(*) OVER (PARTITION BY user_id, category, value) AS m FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id, category, value ORDER BY c, item_id) AS k FROM (
         SELECT l.user_id, l.category, l.value, l.r, s.item_id, s.c, row_number() OVER (PARTITION BY l.user_id, l.category, l.value, s.s ORDER BY s.c, s.item_id) AS f
-        FROM (SELECT user_id, category, value, row_number() OVER (PARTITION BY user_id, category ORDER BY round(affinity, 6) DESC, value) AS r FROM prefs WHERE category IN ('director', 'genre')) l
+        FROM liked l
         JOIN (SELECT category, value, item_id, rank AS c, coalesce(series_nm, CAST(item_id AS VARCHAR)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY category, value ORDER BY confidence DESC, item_id) AS rank FROM tags) JOIN items USING (item_id) WHERE rank <= 60 AND poster_url IS NOT NULL) s USING (category, value)
-        WHERE l.r <= CASE l.category WHEN 'director' THEN 12 ELSE 13 END AND NOT EXISTS (SELECT 1 FROM watches w WHERE w.user_id = l.user_id AND w.item_id = s.item_id)) WHERE f = 1) WHERE k <= 5) WHERE m = 5)
-    WHERE tr <= CASE category WHEN 'director' THEN 2 ELSE 3 END""", **BASE)
+        WHERE NOT EXISTS (SELECT 1 FROM watches w WHERE w.user_id = l.user_id AND w.item_id = s.item_id)) WHERE f = 1) WHERE k <= 5) WHERE m = 5)
+    WHERE tr <= {CUTS.format(2, 3)}"""
+SHELF = {**BASE, "liked": LIKED, "cold": COLD, "shelves": SHELVES}
+
+
+def shelves(spark, d):
+    """Shelves of all users, and the preferences that they rest on. Watches are read from the order lines once."""
+    slots = {"director": 2, "genre": 3}
+    watched = V.written(V.watches(spark, d).select("user_id", "item_id", "completion"))
+    tags = V.written(H.tags(spark, d))
+    prefs = V.written(H.statistics.tag_affinity(watched, tags).filter(F.col("category").isin(*slots)))
+    liked = hybrid.liked_tags(prefs, watched, V.users(spark, d), tags, slots)
+    return hybrid.tag_shelves(liked, tags, V.items(spark, d), watched, slots, per_tag=5, buffer=60), prefs
+
+
+@query("r5_tag_shelves", "SELECT * FROM shelves", **SHELF)
 def r5(spark, d):
-    return hybrid.tag_shelves(H.preferences(spark, d), H.tags(spark, d), V.items(spark, d), V.watches(spark, d), {"director": 2, "genre": 3}, per_tag=5, buffer=60)
+    return shelves(spark, d)[0]
 
 
 @query("r7_hero_banner", "SELECT item_id, score FROM (SELECT item_id, score FROM (SELECT item_id, round(score, 6) AS score FROM pop JOIN items USING (item_id) WHERE poster_url IS NOT NULL) ORDER BY score DESC, item_id LIMIT 15) ORDER BY score DESC, item_id LIMIT 5", pop=H.POP, rolled=H.ROLLUP, stats=H.STATS)
@@ -223,17 +266,23 @@ def r8(spark, d):
     return H.w5(spark, d).groupBy("ct_cl").agg(F.array_join(F.transform(ordered, lambda s: s.item_id.cast("string")), ",").alias("items"))
 
 
-@query("r9_personal_sections", "SELECT user_id, category, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(affinity, 6) DESC, category, value) AS INTEGER) AS section FROM prefs WHERE category IN ('genre', 'director') QUALIFY section <= 4", **BASE)
+@query("r9_personal_sections", """SELECT user_id, CAST(section AS INTEGER) AS section, category, value, reason, items FROM (SELECT user_id, category, value, CASE category WHEN 'director' THEN 'More from ' || value ELSE 'Because you like ' || value END AS reason, items,
+    row_number() OVER (PARTITION BY user_id ORDER BY a DESC, category, value) AS section FROM (SELECT *, row_number() OVER (PARTITION BY user_id, value ORDER BY a DESC, category) AS n FROM (
+      SELECT s.user_id, s.category, s.value, coalesce(round(max(p.affinity), 6), 0) AS a, string_agg(CAST(s.item_id AS VARCHAR), ',' ORDER BY s.item_rank) AS items FROM shelves s LEFT JOIN prefs p ON p.user_id = s.user_id AND p.category = s.category AND p.value = s.value GROUP BY ALL)) WHERE n = 1) WHERE section <= 4""", **SHELF)
 def r9(spark, d):
-    p = H.preferences(spark, d).filter(F.col("category").isin("genre", "director")).withColumn("a", F.round("affinity", 6))
-    return ranking.top_per_group(p, ["user_id"], [F.desc("a"), F.col("category"), F.col("value")], 4, "section").select("user_id", "category", "value", "section")
+    found, prefs = shelves(spark, d)
+    return hybrid.personal_sections(found, prefs, 4, {"director": "More from ", "genre": "Because you like "})
 
 
-@query("r10_fallback", "SELECT u.user_id, coalesce(s.item_id, p.item_id) AS item_id, s.item_id IS NOT NULL AS personal FROM users u LEFT JOIN (SELECT user_id, item_id FROM scored WHERE user_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) = 1) s USING (user_id), (SELECT item_id FROM items ORDER BY vote_avg DESC, item_id LIMIT 1) p", **HYBRID)
+@query("r10_fallback", """SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank, personal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY personal DESC, o, item_id) AS rank FROM (
+    SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS o, TRUE AS personal FROM scored WHERE user_id % 3 <> 0 QUALIFY o <= 10
+    UNION ALL SELECT u.user_id, p.item_id, p.o, FALSE FROM users u, (SELECT item_id, row_number() OVER (ORDER BY vote_avg DESC, item_id) AS o FROM items QUALIFY o <= 60) p
+    WHERE NOT EXISTS (SELECT 1 FROM watches w WHERE w.user_id = u.user_id AND w.item_id = p.item_id))) WHERE rank <= 10""", **HYBRID)
 def r10(spark, d):
-    own = hybrid.rerank(candidates(spark, d).filter("user_id % 3 <> 0"), H.tags(spark, d), H.preferences(spark, d), 1).select("user_id", F.col("item_id").alias("own"))
-    popular = V.items(spark, d).orderBy(F.desc("vote_avg"), "item_id").limit(1).select(F.col("item_id").alias("popular"))
-    return V.users(spark, d).join(own, "user_id", "left").crossJoin(F.broadcast(popular)).select("user_id", F.coalesce("own", "popular").alias("item_id"), F.col("own").isNotNull().alias("personal"))
+    own = hybrid.rerank(candidates(spark, d).filter("user_id % 3 <> 0"), H.tags(spark, d), H.preferences(spark, d), 10).select("user_id", "item_id", "rank")
+    popular = V.items(spark, d).orderBy(F.desc("vote_avg"), "item_id").limit(60)
+    popular = popular.select("item_id", F.row_number().over(Window.orderBy(F.desc("vote_avg"), "item_id")).alias("rank"))  # 60 rows
+    return hybrid.filled_up(own, popular, V.users(spark, d), V.watches(spark, d), 10)
 
 
 @query("r11_segment_resolution", "SELECT user_id, CAST(CASE WHEN user_id % 4 = 0 THEN user_id % 5 WHEN age_grp = 'MACHINERY' THEN 1 WHEN age_grp = 'BUILDING' THEN 2 ELSE 4 END AS INTEGER) AS segment FROM users")
@@ -311,8 +360,8 @@ def e5(spark, d):
     return evaluation.attribute_precision(similar(spark, d), V.items(spark, d), "series_nm", 5).withColumn("precision", F.round("precision", 6))
 
 
-@query("e6_inspection", "SELECT user_id, 'history' AS part, watch_id AS ref, CAST(n AS INTEGER) AS rank FROM (SELECT user_id, watch_id, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, watch_id DESC) AS n FROM watches WHERE user_id % 20 = 3) WHERE n <= 10 UNION ALL SELECT user_id, 'recommended', item_id, CAST(rank AS INTEGER) FROM ranked WHERE rank <= 10 AND user_id % 20 = 3", ranked=RANKED, **HYBRID)
+@query("e6_inspection", "SELECT user_id, 'history' AS part, watch_id AS ref, CAST(n AS INTEGER) AS rank FROM (SELECT user_id, watch_id, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, watch_id DESC) AS n FROM watches) WHERE n <= 10 UNION ALL SELECT user_id, 'recommended', item_id, CAST(rank AS INTEGER) FROM ranked WHERE rank <= 10", ranked=RANKED, **HYBRID)
 def e6(spark, d):
-    mine = V.watches(spark, d).filter("user_id % 20 = 3")
+    mine = V.watches(spark, d)
     past = ranking.top_per_group(mine, ["user_id"], [F.desc("started_at"), F.desc("watch_id")], 10).select("user_id", F.lit("history").alias("part"), F.col("watch_id").alias("ref"), "rank")
-    return past.unionByName(ranked(spark, d).filter("user_id % 20 = 3").select("user_id", F.lit("recommended").alias("part"), F.col("item_id").alias("ref"), "rank"))
+    return past.unionByName(ranked(spark, d).select("user_id", F.lit("recommended").alias("part"), F.col("item_id").alias("ref"), "rank"))

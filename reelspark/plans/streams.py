@@ -43,24 +43,28 @@ def st1(spark, d):
     return out.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query("st2_due_reservations", "SELECT s.event_id AS reservation_id, s.user_id FROM signals s WHERE kind = 'ocr' AND EXISTS (SELECT 1 FROM events e WHERE e.ts >= s.ts + INTERVAL 3 MINUTE AND date_trunc('hour', e.ts) IN (date_trunc('hour', s.ts + INTERVAL 3 MINUTE), date_trunc('hour', s.ts + INTERVAL 3 MINUTE) + INTERVAL 1 HOUR))")
+@query("st2_due_reservations", "SELECT event_id AS reservation_id, user_id FROM signals WHERE kind = 'ocr' AND ts + INTERVAL 3 MINUTE <= (SELECT max(ts) FROM events)")
 def st2(spark, d):
     booked = V.signals(spark, d).filter("kind = 'ocr'").select(F.col("event_id").alias("reservation_id"), "user_id", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 3 MINUTES")).alias("alert_at"))
-    due = flows.due_reservations(booked, events(spark, d).select("ts"), "3650 days")
-    return ran(spark, due).select("reservation_id", "user_id")
+    top = folder(spark)
+    flows.run_batches(events(spark, d).select("ts"), flows.notify_due(booked, f"{top}/out"), f"{top}/state")
+    return spark.read.parquet(f"{top}/out").select("reservation_id", "user_id")
 
 
-@query("st3_episode_notices", "SELECT DISTINCT w.user_id, e.event_id FROM events e JOIN items i ON i.item_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT) JOIN (SELECT DISTINCT user_id, item_id FROM watches WHERE completion > 0.95) w ON w.item_id = i.item_id")
+@query("st3_episode_notices", "SELECT DISTINCT w.user_id, i.item_id, i.series_nm FROM events e JOIN items i ON i.item_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT) JOIN (SELECT DISTINCT user_id, series_nm FROM watches JOIN items USING (item_id) WHERE completion > 0.95 AND series_nm IS NOT NULL) w ON w.series_nm = i.series_nm")
 def st3(spark, d):
-    wishes = V.watches(spark, d).filter("completion > 0.95").select(F.col("user_id").alias("u"), "item_id").distinct()
-    new = events(spark, d).join(wishes, "item_id").select(F.col("u").alias("user_id"), "event_id")
-    return ran(spark, new).distinct()
+    series = V.items(spark, d).filter("series_nm IS NOT NULL").select("item_id", "series_nm")
+    wishes = V.watches(spark, d).filter("completion > 0.95").join(series, "item_id").select("user_id", "series_nm").distinct()
+    new = events(spark, d).select("item_id").join(series, "item_id")
+    return ran(spark, flows.episode_notices(new, wishes)).distinct()
 
 
 @query("st4_running_balance", "SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN -value ELSE value END), 4) AS balance FROM events GROUP BY user_id")
 def st4(spark, d):
-    ledger = V.table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "purchase", "spend").otherwise("earn").alias("kind"), F.col("value").alias("points"))
-    return flows.running_balance(ledger).withColumn("balance", F.round("balance", 4))
+    ledger = events(spark, d).select("user_id", F.when(F.col("event_type") == "purchase", "spend").otherwise("earn").alias("kind"), F.col("value").alias("points"))
+    top = folder(spark)
+    last = flows.run_batches(flows.running_balance(ledger), flows.replace_batches(f"{top}/out", ["user_id"]), f"{top}/state", "update")
+    return spark.read.parquet(f"{top}/out/v{last}").select("user_id", F.round("balance", 4).alias("balance"))
 
 
 @query("st5_change_feed", "SELECT source, action, count(*) AS n FROM (SELECT 'wish' AS source, event_type AS action FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT 'purchase', event_type FROM events WHERE event_type = 'purchase') GROUP BY ALL")
@@ -70,12 +74,12 @@ def st5(spark, d):
     return out.groupBy("source", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st6_ads_at_playback", "SELECT DISTINCT p.user_id, 'ad' || (s.event_id % 50) AS ad FROM signals p JOIN signals s ON s.kind = 'ocr' AND s.item_id = p.item_id AND p.at BETWEEN s.at AND s.at + 40 WHERE p.kind = 'yolo'")
+@query("st6_ads_at_playback", "SELECT DISTINCT p.user_id, 'ad' || (s.event_id % 50) AS ad, CAST(date_trunc('day', p.ts) AS TIMESTAMP) AS session FROM signals p JOIN signals s ON s.kind = 'ocr' AND s.item_id = p.item_id AND p.at BETWEEN s.at AND s.at + 40 WHERE p.kind = 'yolo'")
 def st6(spark, d):
     slots = V.signals(spark, d).filter("kind = 'ocr'").select("item_id", F.col("at").alias("since"), (F.col("at") + 40).alias("until"), F.concat(F.lit("ad"), (F.col("event_id") % 50).cast("string")).alias("ad"))
     at = F.round(F.expr("(minute(ts) % 10) * 60 + cast(extract(SECOND FROM ts) AS double)"), 3)
     positions = events(spark, d).filter("event_type = 'view'").withColumn("at", at).select("user_id", "item_id", "at", "ts")
-    return ran(spark, flows.ads_at_playback(positions, slots, "3650 days")).select("user_id", "ad")
+    return ran(spark, flows.ads_at_playback(positions, slots)).select("user_id", "ad", F.col("session").cast("timestamp_ntz").alias("session"))
 
 
 @query("st7_trailing_counts", "SELECT item_id, w AS since, count(*) AS views FROM (SELECT item_id, unnest(range(CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w FROM signals) WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) FROM signals) GROUP BY ALL")

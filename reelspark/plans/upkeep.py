@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from reelspark.functions import cleaning as C
@@ -26,10 +23,7 @@ def query(name: str, sql: str | None = None, **more: str):
     return add
 
 
-def folder(spark) -> str:
-    """A new folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/reelspark-shared"
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+folder = V.folder
 
 
 @query("s1_csv_load", "SELECT user_id AS id, age_grp FROM users")
@@ -110,10 +104,10 @@ def s13(spark, d):
     return S.fill_nulls(items.select("item_id", "series_nm", "poster_url"), source, "series_nm", ["poster_url"]).select("item_id", "poster_url")
 
 
-@query("s14_keyed_update", "SELECT item_id, CASE WHEN p IS NOT NULL THEN p ELSE poster_url END AS poster_url FROM items LEFT JOIN (SELECT p_name AS s, p_size AS season, 'u/' || min(p_partkey) AS p FROM part WHERE p_size <= 25 GROUP BY ALL) ON s = series_nm AND season = episode_no", fill=FILL)
+@query("s14_keyed_update", "SELECT item_id, CASE WHEN p IS NOT NULL THEN p ELSE poster_url END AS poster_url FROM items LEFT JOIN (SELECT p_name AS s, p_size AS season, 'u/' || min(p_partkey) AS p FROM part GROUP BY ALL) ON s = series_nm AND season = episode_no", fill=FILL)
 def s14(spark, d):
     items = V.items(spark, d).withColumn("k", F.concat_ws("|", F.coalesce("series_nm", F.lit("?")), F.col("episode_no").cast("string")))
-    part = V.table(spark, d, "part").filter("p_size <= 25").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("m"))
+    part = V.table(spark, d, "part").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("m"))
     source = part.select(F.concat_ws("|", "p_name", F.col("p_size").cast("string")).alias("k"), F.concat(F.lit("u/"), F.col("m").cast("string")).alias("poster_url"))
     return S.fill_nulls(items, source, "k", ["poster_url"], replace=True).select("item_id", "poster_url")
 
@@ -133,13 +127,13 @@ def s16(spark, d):
 @query("s17_weekly_layout", "SELECT CAST(started_at AS DATE) - CAST(dayofweek(started_at) AS INTEGER) AS week_start, count(*) AS n FROM watches WHERE started_at >= TIMESTAMP '1998-01-01' AND started_at < TIMESTAMP '1998-04-01' GROUP BY ALL")
 def s17(spark, d):
     path = folder(spark)
-    S.write_weekly(V.watches(spark, d).filter("started_at BETWEEN '1997-12-01' AND '1998-05-01'"), path, "started_at")
+    S.write_weekly(V.watches(spark, d), path, "started_at")
     return S.read_weeks(spark, path, "1998-01-01", "1998-04-01", "started_at").groupBy("week_start").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s19_backfill_list", "SELECT item_id FROM items WHERE series_nm IS NULL OR poster_url IS NULL")
+@query("s19_backfill_list", "SELECT item_id FROM items WHERE series_nm IS NULL OR poster_url IS NULL OR director IS NULL OR cast_lead IS NULL OR rating IS NULL OR release_date IS NULL")
 def s19(spark, d):
-    return V.items(spark, d).filter(F.col("series_nm").isNull() | F.col("poster_url").isNull()).select("item_id")
+    return repair.backfill_list(V.items(spark, d), ["series_nm", "poster_url", "director", "cast_lead", "rating", "release_date"]).select("item_id")
 
 
 @query("s20_provider_json", "SELECT item_id, title, CASE WHEN item_id % 2 = 0 THEN 'Brand#0' ELSE provider END AS director, genre, lpad(CAST(episode_no * 3 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(episode_no * 3 % 60 AS VARCHAR), 2, '0') AS disp_rtm, CASE WHEN item_id % 3 = 0 THEN 'k1' ELSE 'k2' END AS trailer FROM items")
@@ -182,9 +176,10 @@ def h23(spark, d):
     return repair.remap_genre(V.items(spark, d), {"red, ring": "jewel"}, {"PROMO": "ad"}).select("item_id", "genre")
 
 
-@query("h24_unify", "SELECT CASE WHEN ct_cl IN ('PROMO', 'ECONOMY') THEN 'VALUE' ELSE ct_cl END AS ct_cl, count(*) AS n FROM items GROUP BY 1")
+@query("h24_unify", "SELECT CASE WHEN ct_cl LIKE 'PROMO%' THEN 'VALUE' || substr(ct_cl, 6) WHEN ct_cl LIKE 'ECONOMY%' THEN 'VALUE' || substr(ct_cl, 8) ELSE ct_cl END AS ct_cl, count(*) AS n, 0::BIGINT AS residual FROM items GROUP BY 1")
 def h24(spark, d):
-    return V.items(spark, d).select(F.when(F.col("ct_cl").isin("PROMO", "ECONOMY"), "VALUE").otherwise(F.col("ct_cl")).alias("ct_cl")).groupBy("ct_cl").agg(F.count(F.lit(1)).alias("n"))
+    found = repair.unify(V.items(spark, d), "ct_cl", {"^PROMO": "VALUE", "^ECONOMY": "VALUE"})
+    return found.groupBy("ct_cl").agg(F.count(F.lit(1)).alias("n"), F.count_if("residual").alias("residual"))
 
 
 @query("h26_guest_names", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '김철수|박영희' ELSE '이민호' END AS guests FROM items")
@@ -225,37 +220,55 @@ def h36(spark, d):
     return V.items(spark, d).select("item_id", F.array_join(repair.search_queries(F.col("title"), F.col("ct_cl") == "PROMO"), "|").alias("queries"))
 
 
-@query("j7_nearest_source", "SELECT item_id, arg_max(s, (round(list_cosine_similarity(visual, sv), 5), -s)) AS source_id FROM vectors, (SELECT item_id AS s, visual AS sv, ct_cl AS c FROM vectors WHERE item_id % 25 = 0) WHERE item_id % 4 = 1 AND c = ct_cl GROUP BY item_id")
+@query("j7_nearest_source", "SELECT item_id, source_id FROM (SELECT a.item_id, b.item_id AS source_id, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.visual, b.visual), 6) DESC, b.item_id) AS n FROM vectors a JOIN vectors b ON a.ct_cl = b.ct_cl AND a.item_id <> b.item_id) WHERE n = 1")
 def j7(spark, d):
-    from reelspark.operators.vectors import cosine
+    from reelspark.operators.vectors import nearest
+
+    v = V.vectors(spark, d).select("item_id", F.col("visual").alias("vector"), "ct_cl")
+    return nearest(v.withColumnRenamed("item_id", "query_id"), v, 1, by="ct_cl").select(F.col("query_id").alias("item_id"), F.col("item_id").alias("source_id"))
 
-    v = V.vectors(spark, d)
-    s = v.filter("item_id % 25 = 0").select(F.col("item_id").alias("s"), F.col("visual").alias("sv"), "ct_cl")
-    pairs = v.filter("item_id % 4 = 1").join(s, "ct_cl").withColumn("x", F.round(cosine(F.col("visual"), F.col("sv")), 5))
-    return pairs.groupBy("item_id").agg(F.max(F.struct("x", (-F.col("s")).alias("s"))).alias("m")).select("item_id", (-F.col("m.s")).alias("source_id"))
 
+GUESTS = """SELECT i.item_id, CASE WHEN i.item_id % 5 = 0 THEN ['Text#' || i.item_id] WHEN i.ct_cl LIKE 'PROMO%' THEN e.g ELSE s.g END AS guests, CASE WHEN i.item_id % 5 = 0 THEN 'text' WHEN i.ct_cl LIKE 'PROMO%' AND e.g IS NOT NULL THEN 'episode' WHEN i.ct_cl NOT LIKE 'PROMO%' AND s.g IS NOT NULL THEN 'series' END AS source
+    FROM items i LEFT JOIN (SELECT p_name AS series_nm, p_size AS episode_no, list(DISTINCT p_brand ORDER BY p_brand) AS g FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL) e ON e.series_nm = i.series_nm AND e.episode_no = i.episode_no
+    LEFT JOIN (SELECT p_name AS series_nm, list(DISTINCT p_brand ORDER BY p_brand) AS g FROM part GROUP BY ALL) s ON s.series_nm = i.series_nm"""
 
-@query("j23_guest_merge", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'text' WHEN ct_cl = 'PROMO' AND item_id % 2 = 0 THEN 'episode' WHEN series_nm IS NOT NULL THEN 'series' END AS source FROM items")
+
+@query("j23_guest_merge", "SELECT item_id, array_to_string(guests, ',') AS guests, source FROM guests", guests=GUESTS)
 def j23(spark, d):
-    items = V.items(spark, d)
-    text = items.filter("item_id % 5 = 0").select("item_id", F.lit("text").alias("t"))
-    episode = items.filter("item_id % 2 = 0").select("item_id", F.lit("episode").alias("e"))
-    series = items.filter("series_nm IS NOT NULL").select("series_nm").distinct().withColumn("s", F.lit("series"))
-    rows = items.join(text, "item_id", "left").join(episode, "item_id", "left").join(series, "series_nm", "left")
-    return rows.select("item_id", F.coalesce("t", F.when(F.col("ct_cl") == "PROMO", F.col("e")), "s").alias("source"))
+    items, part = V.items(spark, d), V.table(spark, d, "part").select(F.col("p_name").alias("series_nm"), F.col("p_size").alias("episode_no"), F.col("p_brand").alias("name"), "p_partkey")
+    text = items.filter("item_id % 5 = 0").select("item_id", F.concat(F.lit("Text#"), F.col("item_id").cast("string")).alias("name"))
+    found = repair.merge_guests(items, text, part.filter("p_partkey % 2 = 0"), part, F.col("ct_cl").startswith("PROMO"))
+    return found.select("item_id", F.array_join("guests", ",").alias("guests"), "source")
 
 
-@query("j25_guests_by_episode", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'own' ELSE g END AS guests FROM items LEFT JOIN (SELECT p_name, p_size, min(p_brand) AS g FROM part WHERE p_size < 10 GROUP BY ALL) ON p_name = series_nm AND p_size = episode_no")
+@query("j25_guests_by_episode", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'own' ELSE g END AS guests FROM items LEFT JOIN (SELECT p_name, p_size, min(p_brand) AS g FROM part GROUP BY ALL) ON p_name = series_nm AND p_size = episode_no")
 def j25(spark, d):
     from reelspark.functions.titles import episode_number
 
-    source = V.table(spark, d, "part").filter("p_size < 10").groupBy(F.col("p_name").alias("series_nm"), F.col("p_size").alias("episode")).agg(F.min("p_brand").alias("g"))
+    source = V.table(spark, d, "part").groupBy(F.col("p_name").alias("series_nm"), F.col("p_size").alias("episode")).agg(F.min("p_brand").alias("g"))
     rows = V.items(spark, d).withColumn("episode", episode_number(F.col("title"))).join(source, ["series_nm", "episode"], "left")
     return rows.select("item_id", F.when(F.col("item_id") % 3 == 0, "own").otherwise(F.col("g")).alias("guests"))
 
 
+@query("r12_sentence_lookup", """SELECT i.item_id, CAST(u.s AS INTEGER) AS segment, arg_min(d.doc_id, CASE WHEN d.doc_id % 5 = u.s THEN 0 ELSE 1 END * 1000000000 + d.doc_id) AS sentence_id FROM items i, (SELECT unnest(range(5)) AS s) u
+    JOIN (SELECT doc_id, doc_id % (SELECT max(item_id) + 1 FROM items) AS item_id FROM documents) d ON d.item_id = i.item_id AND (d.doc_id % 5 = u.s OR d.doc_id % 5 = 4) WHERE i.rating <> '19' OR u.s <> 0 GROUP BY ALL""")
+def r12_lookup(spark, d):
+    items = V.items(spark, d).select("item_id", "rating")
+    most = items.agg(F.max("item_id")).first()[0] + 1
+    sentences = V.table(spark, d, "documents").select((F.col("doc_id") % most).alias("item_id"), (F.col("doc_id") % 5).cast("int").alias("segment"), F.col("doc_id").alias("sentence_id"))
+    asked = items.select("item_id", "rating", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("segment"))
+    return repair.sentence_lookup(asked.filter(repair.tone_allowed(C.normal_rating(F.col("rating")), F.col("segment"), {0: ("청소년관람불가",)})), sentences, 4).select("item_id", "segment", "sentence_id")
+
+
 @query("r12_r16_sentences", "SELECT item_id, CAST(s AS INTEGER) AS segment, rating <> '19' OR s <> 0 AS allowed FROM items, (SELECT unnest(range(5)) AS s)")
 def r12(spark, d):
     rows = V.items(spark, d).select("item_id", "rating", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("segment"))
     return rows.select("item_id", "segment", repair.tone_allowed(C.normal_rating(F.col("rating")), F.col("segment"), {0: ("청소년관람불가",)}).alias("allowed"))
 
+
+@query("s2_read_or_empty", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s2(spark, d):
+    """The event files and a folder that isn't there: the rows of the first."""
+    schema = V.table(spark, d, "events").schema
+    both = S.read_or_empty(spark, f"{d}/events.parquet", schema).unionByName(S.read_or_empty(spark, f"{d}/no-such-signals.parquet", schema))
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

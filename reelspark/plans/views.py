@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,23 @@ from pyspark.sql import functions as F
 AS_OF = "2001-11-05"
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share (below ``spark.checkpoint.dir``). Only a local session may leave the setting out."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}/reelspark-shared"
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to shared storage and read back: what several joins need is worked out once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +47,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 != 0, F.col("p_name")).alias("series_nm"),
         F.when(k % 2 == 0, F.concat("p_brand", F.lit(", Brand#"), (k % 25 + 1).cast("string"))).otherwise(F.col("p_brand")).alias("director"),
         F.concat(F.lit('["'), word[1], F.lit('", " '), F.col("p_brand"), F.lit('"]')).alias("cast_lead"),
+        F.concat(F.lit('["Guest#'), (k % 40).cast("string"), F.lit('", " '), word[0], F.lit('"]')).alias("cast_guest"),
         F.col("p_brand").alias("provider"),
         F.col("p_size").alias("episode_no"),
         word[0].alias("genre"),
@@ -70,7 +90,8 @@ SQL = {
     "items": """SELECT p_partkey AS item_id, p_name || ' ' || p_size || '회' AS title, p_type AS ct_cl,
         CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS series_nm,
         CASE WHEN p_partkey % 2 = 0 THEN p_brand || ', Brand#' || (p_partkey % 25 + 1) ELSE p_brand END AS director,
-        '["' || split_part(p_name, ' ', 2) || '", " ' || p_brand || '"]' AS cast_lead, p_brand AS provider, p_size AS episode_no,
+        '["' || split_part(p_name, ' ', 2) || '", " ' || p_brand || '"]' AS cast_lead,
+        '["Guest#' || (p_partkey % 40) || '", " ' || split_part(p_name, ' ', 1) || '"]' AS cast_guest, p_brand AS provider, p_size AS episode_no,
         split_part(p_name, ' ', 1) AS genre, replace(p_name, ' ', ', ') AS genre_detail,
         (['7', '12세이상', '15', '19', '전체관람가'])[p_partkey % 5 + 1] AS rating,
         round((p_retailprice - 900) / 10, 2) AS vote_avg, p_partkey * 37 % 5000 AS vote_cnt,

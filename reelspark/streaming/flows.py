@@ -42,17 +42,28 @@ def upsert_batches(path: str, keys: list[str], order: str) -> Callable[[DataFram
     return write
 
 
-def due_reservations(reservations: DataFrame, clock: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(reservation_id, user_id, alert_at): reservations whose time has come, each once.
+def due_reservations(reservations: DataFrame, now) -> DataFrame:
+    """(reservation_id, user_id, alert_at): reservations whose time has come by ``now``, each once."""
+    return reservations.filter(F.col("alert_at") <= F.lit(now)).dropDuplicates(["reservation_id"]).select("reservation_id", "user_id", "alert_at")
 
-    ``reservations`` is a table (reservation_id, user_id, alert_at); ``clock`` a stream of ts. The
-    interval of the stream's ticks is the resolution.
+
+def notify_due(reservations: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over a clock (a stream of ts): writes what has come due by each batch's latest tick and was not written before.
+
+    However late a tick comes, nothing is passed over, and no state is held: what has been sent is
+    in the batches written before. A repeated batch replaces its part.
     """
-    hour = lambda c: F.date_trunc("hour", c)
-    ticks = clock.withWatermark("ts", late).select("ts", F.explode(F.array(hour(F.col("ts")), hour(F.col("ts")) - F.expr("INTERVAL 1 HOUR"))).alias("h"))
-    due = ticks.join(reservations.withColumn("h", hour(F.col("alert_at"))), "h").filter("alert_at <= ts")
-    once = due.dropDuplicatesWithinWatermark(["reservation_id"]) if clock.isStreaming else due.dropDuplicates(["reservation_id"])
-    return once.select("reservation_id", "user_id", "alert_at")
+
+    def write(ticks: DataFrame, number: int) -> None:
+        spark = ticks.sparkSession
+        now = ticks.agg(F.max("ts")).first()[0]
+        due = due_reservations(reservations.limit(0) if now is None else reservations, now)
+        if number:
+            sent = spark.read.schema(due.schema.add("batch", "int")).parquet(path).filter(F.col("batch") < number)
+            due = due.join(sent.select("reservation_id"), "reservation_id", "left_anti")
+        due.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def episode_notices(new_items: DataFrame, wishes: DataFrame) -> DataFrame:
@@ -74,16 +85,17 @@ def change_feed(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ads_at_playback(positions: DataFrame, slots: DataFrame, late: str = "30 minutes", bucket: float = 30.0) -> DataFrame:
-    """(user_id, item_id, ad, ts): ads whose slot holds a playback position, each once for a user.
+def ads_at_playback(positions: DataFrame, slots: DataFrame, session: str = "1 day", late: str = "30 minutes", bucket: float = 30.0) -> DataFrame:
+    """(user_id, item_id, ad, session): ads whose slot holds a playback position, each once for a user and session.
 
     ``positions``: user_id, item_id, at, ts (stream); ``slots``: item_id, since, until, ad (table).
+    Sessions are spans of ``session``; what was shown in one is forgotten ``late`` after its end.
     Slots are exploded to the buckets they touch, so the join is an equality.
     """
     s = slots.withColumn("_b", F.explode(F.sequence(F.floor(F.col("since") / bucket), F.floor(F.col("until") / bucket))))
     shown = positions.withWatermark("ts", late).withColumn("_b", F.floor(F.col("at") / bucket)).join(s, ["item_id", "_b"]).filter((F.col("at") >= F.col("since")) & (F.col("at") <= F.col("until")))
-    once = shown.dropDuplicatesWithinWatermark(["user_id", "ad"]) if positions.isStreaming else shown.dropDuplicates(["user_id", "ad"])
-    return once.select("user_id", "item_id", "ad", "ts")
+    once = shown.withColumn("window", F.window("ts", session)).dropDuplicates(["user_id", "ad", "window"])
+    return once.select("user_id", "item_id", "ad", F.col("window.start").alias("session"))
 
 
 def trailing_counts(watches: DataFrame, span: str = "7 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -98,6 +110,23 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.parquet(path)
 
 
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Run a stream over all that is there now, each batch through ``write``; the number of the last batch."""
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return max((p["batchId"] for p in query.recentProgress), default=-1)
+
+
+def replace_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for update mode: keeps a Parquet table in which a batch's rows replace those of equal keys. Versions as in ``upsert_batches``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
+        old.join(batch.select(*keys), keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return write
+
+
 def stream_of(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
     """A file stream of a Parquet table's files, with the table's declared schema."""
     return spark.readStream.schema(table.schema).parquet(path)
