@@ -557,9 +557,9 @@ def u5(spark, d):
     return V.items(spark, d).filter("series_nm IS NOT NULL").join(served, "item_id", "left_semi").groupBy("series_nm").agg(F.min("item_id").alias("item_id"), F.max("poster_url").alias("poster_url"))
 
 
-@query("w9_ordered_distinct", "SELECT user_id, item_id, watch_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, watch_id DESC) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY started_at DESC, watch_id DESC) AS n FROM watches) WHERE n = 1) WHERE rank <= 20")
+@query("w9_ordered_distinct", "SELECT user_id, item_id, watch_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, watch_id DESC, item_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY started_at DESC, watch_id DESC) AS n FROM watches) WHERE n = 1) WHERE rank <= 20")
 def w9(spark, d):
-    rows = ranking.deduplicated_top(V.watches(spark, d), ["user_id"], F.col("item_id"), [F.desc("started_at"), F.desc("watch_id")], 20)
+    rows = ranking.deduplicated_top(V.watches(spark, d), ["user_id"], F.col("item_id"), [F.desc("started_at"), F.desc("watch_id"), F.col("item_id")], 20)
     return rows.select("user_id", "item_id", "watch_id", "rank")
 
 

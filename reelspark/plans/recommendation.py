@@ -190,7 +190,7 @@ def candidates(spark, d):
     return H.candidates(spark, d).groupBy("user_id", "item_id").agg(F.max("score").alias("score"), F.min("type").alias("type"))
 
 
-SCORED = """SELECT b.user_id, b.item_id, b.type, round(least(0.6 * b.score + 0.4 * coalesce(o.t, 0), 1.0), 6) AS score FROM best b LEFT JOIN (
+SCORED = """SELECT b.user_id, b.item_id, b.type, CASE WHEN b.user_id IN (SELECT user_id FROM prefs) THEN round(least(0.6 * b.score + 0.4 * coalesce(o.t, 0), 1.0), 6) ELSE b.score END AS score FROM best b LEFT JOIN (
     SELECT user_id, item_id, avg(affinity) AS t FROM (SELECT b.user_id, b.item_id, affinity, row_number() OVER (PARTITION BY b.user_id, b.item_id ORDER BY affinity DESC) AS n FROM best b JOIN tags USING (item_id) JOIN prefs p ON p.user_id = b.user_id AND p.category = tags.category AND p.value = tags.value) WHERE n <= 3 GROUP BY ALL) o USING (user_id, item_id)"""
 HYBRID = {**BASE, "best": CAND, "cand": H.CAND, "scored": SCORED}
 
