@@ -37,6 +37,18 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 42) -> Data
     return few.orderBy(h, key).limit(most)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` for the actions that run in here; the session's setting is what it was afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Folders of the runs under way, the innermost last; see ``scratch``.
 _scratch: list[str] = []
 
@@ -108,6 +120,14 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         at = to
 
 
+def _beside(names: list[str]) -> str:
+    """A name for the texts that none of the columns has."""
+    name = "__text"
+    while name in names:
+        name += "_"
+    return name
+
+
 def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], tuple[list[int] | None, list[list]]]], text_column: str = "text") -> DataFrame:
     """The columns ``keep``, untouched, with the columns ``added`` that a Python function makes of each text.
 
@@ -129,7 +149,7 @@ def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make:
                     kept = [c.take(pa.array(at, pa.int64())) for c in kept]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
-    return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text(text_column).alias("__text")).mapInArrow(run, schema)
+    return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text(text_column).alias(_beside(keep))).mapInArrow(run, schema)
 
 
 def filter_texts(documents: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
@@ -142,4 +162,4 @@ def filter_texts(documents: DataFrame, make: Callable[[], Callable[[str], bool]]
             mask = pa.array([bool(keeps(t)) for _, texts in _parts(batch) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(mask)
 
-    return documents.select(*[F.col(f"`{c}`") for c in names], nonnull_text().alias("__text")).mapInArrow(run, documents.schema)
+    return documents.select(*[F.col(f"`{c}`") for c in names], nonnull_text().alias(_beside(names))).mapInArrow(run, documents.schema)

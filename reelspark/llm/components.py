@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import materialise, remove, shared_folder
 
 #: A node with more neighbours than this, and more than one in HUBS_MOST of all ends of edges, is a hub.
-HUB_LEAST, HUBS_MOST = 1000, 50_000
+HUB_LEAST, HUBS_MOST = 50_000, 50_000
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -32,6 +32,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen[0] == 0:
             break
         hub = max(HUB_LEAST, -(-2 * seen[0] // HUBS_MOST))
+        hub = hub if seen[2] > hub else None
         after = shared_folder(spark)
         now = materialise(_small_star(_large_star(now, hub), hub), after)
         remove(spark, path)
@@ -44,26 +45,31 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return row["n"], int(row["h"])
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """How many edges there are, a sum of their hashes, and the most that one node has."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
+    by_node = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+    row = by_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("h"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    return row["n"] // 2, int(row["h"]), row["most"]
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """``edges`` with the ``m`` of their ``u`` from ``least`` (u, m, n)."""
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u`` from ``least`` (u, m, n). Nodes of over ``hub`` edges are hubs; None: there are none."""
+    if hub is None:
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
     rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
     return edges.join(hubs, "u").unionByName(rest)
 
 
-def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     """Each node sends the smallest of its neighbours and itself to its larger neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     return _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
     """Each node sends the smallest of its smaller neighbours to those and itself. Edges run from larger to smaller."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = _with_least(edges, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -378,7 +378,8 @@ def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column:
     keyed = texts.select(F.col("node").alias("id"), *[f"w{k}" for k in range(WORDS)], bands.alias("x")).filter("x.v IS NOT NULL").select("id", "x.c", "x.v", *[f"w{k}" for k in range(WORDS)])
     near = connected_components(materialise(_in_buckets(keyed, bits_apart(similarity, 3), _connected)))
     # only texts that are near another are read again, and only within their group they are verified
-    members = rows.select(F.col("_r").alias("node"), "_id", "_h").join(near, "node")
+    # (their list is written first: as long as it is small, Spark broadcasts it, and no other text moves)
+    members = materialise(rows.select(F.col("_r").alias("node"), "_id", "_h").join(near, "node"))
     again = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), nonnull_text().alias("text"))
     again = again.join(members.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "node", "root"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "node", "text")
     linked = connected_components(materialise(_verify(materialise(again), shingle, similarity)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import bounded_sample, filter_texts, map_texts, materialise, nonnull_text, read_table
+from reelspark.llm.common import TEXT_ROWS, batches_of, bounded_sample, filter_texts, map_texts, materialise, nonnull_text, read_table
 
 #: Labelled documents that the lexicon is learned from at most (chosen by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -216,7 +216,11 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     Terms and words near them come to the driver: no more of them than words in the sample of
     ``fit_rows`` texts, whatever the corpus.
     """
-    spark = documents.sparkSession
+    with batches_of(documents.sparkSession, TEXT_ROWS):
+        return _learnt(documents, labels, fit_rows, unlearnt)
+
+
+def _learnt(documents: DataFrame, labels: DataFrame, fit_rows: int, unlearnt: Column | None) -> Lexicon:
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(learnable(F.col("doc_id")))
     if unlearnt is not None:
         marked = marked.filter(~unlearnt)

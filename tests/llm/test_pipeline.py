@@ -64,3 +64,29 @@ def test_rest_stands_alone():
     for path in (root / "reelspark").rglob("*.py"):
         if "llm" not in path.parts:
             assert "reelspark.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text()
+
+
+def test_session_stays_as_it_was(spark, small):
+    """Building and running corpus queries leaves no setting behind."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for name in ("op1_topk", "op6_toxicity", "op8_warc"):
+        registry.QUERIES[name](spark, small).count()
+        assert spark.conf.get(key) == before
+
+
+def test_stages_of_odd_rows(spark, small):
+    """Nulls in any column, empty and repeated rows, columns with clashing names, and no rows: no stage fails or changes a column."""
+    from pyspark.sql import functions as F
+
+    long = "lorem ipsum dolor sit amet " * 5000
+    rows = [(1, "plain text of some words here", "en", "a", 29), (1, "plain text of some words here", "en", "a", 29), (None, "another text of some words", None, None, None), (3, None, None, None, None), (4, "", "en", "a", 0), (5, long, "la", "b", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("mine") for c in ("_id", "_h", "_in", "__text", "__new", "fp", "spans", "piece", "toxicity", "component_id")})
+    for frame, kept in ((docs, {1, None, 3, 5}), (docs.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, small)
+            assert out.columns == docs.columns
+            frame = corpus_pipeline.materialise(out)
+            assert {r["_in"] for r in frame.collect()} <= {"mine"}
+        assert {r["doc_id"] for r in frame.collect()} == kept and frame.count() == len(kept)
+        assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, frame, small).collect()} == kept
