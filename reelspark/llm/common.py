@@ -19,6 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
+#: Bits of a list's map: for each of its rows, and at most. A map has a row of two longs for each 64 bits, so what is broadcast is 4 MB at most.
+BITS_A_ROW, BITS_MOST = 16, 1 << 24
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,6 +102,30 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_listed(rows: DataFrame, listed: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where no row of ``listed`` has equal keys; nulls equal each other.
+
+    ``keys`` has pairs of a column of ``rows`` and one of ``listed`` of equal type. The list becomes a
+    map of hashed bits of a fixed largest size, which is broadcast. What is true must still meet the
+    list itself; what is false need not, and so isn't shuffled for it. A list too long for the map
+    makes more rows true, and no row false that is listed. ``listed`` is read twice.
+    """
+    bits = min(BITS_MOST, 1 << max(6, (BITS_A_ROW * listed.count()).bit_length()))
+
+    def place(columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+    def bit(at: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast({at} % 64 as int))")
+
+    def word(at: str) -> Column:
+        return F.floor(F.col(at) / 64).cast("long")
+
+    held = listed.select(place([b for _, b in keys]).alias("_at")).groupBy(word("_at").alias("_word")).agg(F.bit_or(bit("_at")).alias("_bits"))
+    marked = rows.withColumn("_at", place([a for a, _ in keys])).withColumn("_word", word("_at")).join(F.broadcast(held), "_word", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit("_at")) != 0, F.lit(False))).drop("_word", "_at", "_bits")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_texts, materialise, nonnull_text, read_table
+from reelspark.llm.common import map_texts, materialise, maybe_listed, nonnull_text, read_table
 from reelspark.llm.components import connected_components
 
 #: A bucket of more fingerprints is compared in tiles of two parts, each its own row group.
@@ -378,9 +378,10 @@ def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column:
     keyed = texts.select(F.col("node").alias("id"), *[f"w{k}" for k in range(WORDS)], bands.alias("x")).filter("x.v IS NOT NULL").select("id", "x.c", "x.v", *[f"w{k}" for k in range(WORDS)])
     near = connected_components(materialise(_in_buckets(keyed, bits_apart(similarity, 3), _connected)))
     # only texts that are near another are read again, and only within their group they are verified
-    # (their list is written first: as long as it is small, Spark broadcasts it, and no other text moves)
+    # (their list is written first; a map of it keeps other texts from moving to meet it)
     members = materialise(rows.select(F.col("_r").alias("node"), "_id", "_h").join(near, "node"))
     again = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), nonnull_text().alias("text"))
+    again = maybe_listed(again, members, [("_id", "_id"), ("_h", "_h")]).filter("_maybe")
     again = again.join(members.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "node", "root"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "node", "text")
     linked = connected_components(materialise(_verify(materialise(again), shingle, similarity)))
     # written first: Spark splits the rows of a hot key only where it joins them with what has been shuffled as it is
@@ -444,8 +445,8 @@ def _keep_first(documents: DataFrame, rows: DataFrame, id_column: str) -> DataFr
     """``documents`` with one row left of each group of ``rows`` (_id, _h, _r, root): the one with the smallest id (null ids last).
 
     Rows are told apart by id and text, so that others that share only the id stay; of rows equal
-    in both one stays. The rows that go are joined, by their short keys; where they are few, Spark
-    broadcasts them and no text moves.
+    in both one stays. Only rows that a map of those that go can hold meet their list; the others
+    stay without moving, at the cost of a second scan.
     """
     rows = materialise(rows.select("_id", "_h", "_r", "root"))
     last = F.struct(F.col("_id").isNull(), "_id", "_r")
@@ -455,11 +456,14 @@ def _keep_first(documents: DataFrame, rows: DataFrame, id_column: str) -> DataFr
     marks = materialise(marks.filter("NOT _stays OR _n > 1").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_stays"))
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_in"), F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
-    stay = packed.join(marks, same, "left_anti").select("_in.*")
+    keys = [("_id", "_i"), ("_h", "_g")]
+    packed = maybe_listed(packed, marks, keys)
+    stay = packed.filter("NOT _maybe").select("_in.*").unionByName(packed.filter("_maybe").join(marks, same, "left_anti").select("_in.*"))
     repeated = marks.filter("_stays")
     if repeated.isEmpty():
         return stay
-    return stay.unionByName(packed.join(repeated, same, "left_semi").dropDuplicates(["_id", "_h"]).select("_in.*"))
+    some = maybe_listed(packed.drop("_maybe"), repeated, keys).filter("_maybe")
+    return stay.unionByName(some.join(repeated, same, "left_semi").dropDuplicates(["_id", "_h"]).select("_in.*"))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, radius: int = 4, id_column: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontamination, licenses, packing, secrets, sharding, simhash, topk, toxicity, urls, warc
+from reelspark.llm import common, decontamination, licenses, packing, secrets, sharding, simhash, topk, toxicity, urls, warc
 
 LONG = "lorem ipsum dolor " * 20_000
 DOCS = [
@@ -553,6 +553,19 @@ def test_rows_that_share_an_id(spark):
         assert got == {(5, "a"): 1, (5, "b"): 1, (None, "c"): 1, (8, " "): 1}
 
 
+@pytest.mark.parametrize("most", [1 << 24, 64])
+def test_maybe_listed(spark, most, monkeypatch):
+    """No listed row is missed, null keys and a list too long for its map included; a fitting map leaves most others alone."""
+    monkeypatch.setattr(common, "BITS_MOST", most)
+    rows = spark.createDataFrame([(i if i % 9 else None, f"x{i}") for i in range(4000)], "a long, b string")
+    listed = rows.filter("b LIKE '%7'").select(F.col("a").alias("c"), F.col("b").alias("d"))
+    got = common.maybe_listed(rows, listed, [("a", "c"), ("b", "d")]).collect()
+    assert sorted(r["b"] for r in got) == sorted(f"x{i}" for i in range(4000))
+    assert all(r["_maybe"] for r in got if r["b"].endswith("7"))
+    assert most == 64 or sum(r["_maybe"] for r in got) < 800
+    assert not any(r["_maybe"] for r in common.maybe_listed(rows, listed.limit(0), [("a", "c"), ("b", "d")]).collect())
+
+
 def test_simhash_odd_rows(docs, odd, empty):
     assert simhash.similar_groups(empty).count() == 0
     assert simhash.drop_similar(odd).columns == odd.columns
