@@ -62,7 +62,7 @@ def test_trigram_similarity(spark, a, b, s):
     assert value(spark, N.trigram_similarity(F.lit(a), F.lit(b))) == pytest.approx(s)
 
 
-@pytest.mark.parametrize("raw, clean", [("[방송최저가] 포기김치 10kg", "포기김치"), ("아산 포기김치 3박스", "포기김치"), ("", ""), ("간고등어 ★★", "간고등어")])
+@pytest.mark.parametrize("raw, clean", [("[방송최저가] 포기김치 10kg", "포기김치"), ("아산 포기김치 3박스", "포기김치"), ("", ""), ("간고등어 ★★", "간고등어"), ("에어맥스 🔥초특가🔥 2켤레", "에어맥스"), ("견과류 🩵👍🏽❤️→", "견과류"), ("LG 스타일러 ㎏ 트롬", "스타일러 ㎏ 트롬"), ("12345", "12345"), (None, "")])
 def test_product_name(spark, raw, clean):
     assert value(spark, N.product_name(F.lit(raw))) == clean
 
