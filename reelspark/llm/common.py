@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -126,6 +126,21 @@ def maybe_listed(rows: DataFrame, listed: DataFrame, keys: list[tuple[str, str]]
     return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit("_at")) != 0, F.lit(False))).drop("_word", "_at", "_bits")
 
 
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``_at``, their place from 0 in that order, which no single task sorts or numbers.
+
+    Rows are dealt by ranges of the order and sorted where they are; a row's place is the rows of the
+    parts before it (one count a part) and its own number within. Columns of ``order`` should differ
+    between any two rows: others come in an order that is settled once they are written.
+    """
+    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    numbered = materialise(numbered.withColumn("_part", F.shiftright("_at", 33)))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(counts.select("_part", before.alias("_before")))
+    return numbered.join(starts, "_part").withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -180,6 +195,25 @@ def map_texts(documents: DataFrame, keep: list[str], added: T.StructType, make:
     return documents.select(*[F.col(f"`{c}`") for c in keep], nonnull_text(text_column).alias(_beside(keep))).mapInArrow(run, schema)
 
 
+def fold_texts(documents: DataFrame, result: T.StructType, make: Callable[[], tuple[Callable[[list[str]], None], Callable[[], Iterator[list[list]]]]], text_column: str = "text") -> DataFrame:
+    """What a Python function has gathered of all texts (null is empty) of a task, at its end.
+
+    ``make`` is called once in each task and gives two functions: one takes each slice of texts, the
+    other gives the columns of ``result`` in batches when there are no more.
+    """
+    types = [to_arrow_type(f.dataType) for f in result.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, gathered = make()
+        for batch in batches:
+            for _, texts in _parts(batch):
+                add(texts)
+        for columns in gathered():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=result.fieldNames())
+
+    return documents.select(nonnull_text(text_column).alias("__text")).mapInArrow(run, result)
+
+
 def filter_texts(documents: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of ``documents`` whose text (null is empty) a Python predicate keeps; nothing else changes."""
     names = documents.columns
