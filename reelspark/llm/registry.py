@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["topk", "urls", "decontamination", "licenses", "packing", "toxicity", "simhash", "warc", "sharding", "secrets", "resampling", "manifest"]
+MODULES = ["topk", "urls", "decontamination", "licenses", "packing", "toxicity", "simhash", "warc", "sharding", "secrets", "resampling", "manifest", "lines"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
