@@ -48,6 +48,7 @@ class Kind:
     pattern: str
     keep: Callable[[re.Match], bool] = lambda m: True
     after: int = 0  # if over 0, a match may start up to this many letters after the keyword's start, instead of matching at it
+    most: int = 0  # where after is over 0: letters of the longest match, with what it looks ahead at
     until: str | None = None  # a match goes on to the end of the next match of this, unless another keyword comes before
     base: bool = False
 
@@ -60,7 +61,7 @@ KINDS = (
     Kind("access", ("akia",), r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20, base=True),
     Kind("hex", (), r"[0-9a-f]+", lambda m: len(m[0]) >= HEX_LEAST, base=True),
     Kind("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc32_base62_holds(m[0])),
-    Kind("card", ("card", "visa", "mastercard"), r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", lambda m: luhn_holds(m[0]), after=64),
+    Kind("card", ("card", "visa", "mastercard"), r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", lambda m: luhn_holds(m[0]), after=64, most=38),
     Kind("pem", ("-----begin ",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", until=r"-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 
@@ -116,11 +117,14 @@ class Scanner:
                     yield at, n, over
 
     def _near(self, text: str, n: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
-        """Matches that begin within reach of a keyword: every place is tried until one is kept."""
+        """Matches that begin within reach of a keyword: every place is tried until one is kept.
+
+        No more of the text is searched for a keyword than matches in its reach can cover, and no place is matched twice.
+        """
         kind, over, tried = self.kinds[n], 0, 0
         for at in starts:
             pos, reach = max(at, over, tried), at + kind.after
-            while pos <= reach and (m := self.patterns[n].search(text, pos)) and m.start() <= reach:
+            while pos <= reach and (m := self.patterns[n].search(text, pos, reach + kind.most)) and m.start() <= reach:
                 if kind.keep(m):
                     yield m.start(), n, m.end()
                     pos = over = m.end()
