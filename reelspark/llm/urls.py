@@ -18,6 +18,8 @@ from reelspark.llm.common import bounded_sample, lower_ascii, materialise, read_
 FIT_ROWS = 20_000
 #: Values that host suffixes, and first parts of paths, are hashed to for their shares of blocked addresses.
 HASHED = 1 << 14
+#: Parts of the hosts: an address that trees are fitted on gets its shares from the hosts of other parts, so that they hold nothing of its own label.
+FOLDS = 5
 TREES, DEPTH = 12, 4
 
 #: The rules as (verdict, host, path).
@@ -47,11 +49,13 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a letter, over letters' counts in the text."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.greatest(F.size(letters), F.lit(1))
-    shares = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda d: d == c)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    """Bits a letter, over letters' counts in the text: letters are sorted, and each run of equal ones adds its share."""
+    letters = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.size(letters)
+    of_run = lambda a: a["sum"] + a["run"] * F.log2(F.greatest(a["run"], F.lit(1)))
+    start = F.struct(F.lit("").alias("letter"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda a, c: F.when(a["letter"] == c, F.struct(c.alias("letter"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(c.alias("letter"), F.lit(1).alias("run"), of_run(a).alias("sum")))
+    return F.when(n > 0, F.log2(n) - F.aggregate(letters, start, step, of_run) / n).otherwise(0.0)
 
 
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -91,9 +95,19 @@ def _hashed(value: Column) -> Column:
 
 
 def _shares(labelled: DataFrame, what: str) -> DataFrame:
-    """(h, share) of each hashed value of ``what``: the smoothed share of blocked addresses, over all labelled ones. HASHED rows at most."""
-    counted = labelled.groupBy(_hashed(F.col(what)).alias("h")).agg(((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1.0)).alias("share"))
-    return materialise(counted)
+    """(h, fold, share) of each hashed value of ``what``: the smoothed share of blocked addresses, over all labelled ones outside that fold.
+
+    Fold null: over all. HASHED rows for each of FOLDS + 1 at most, so it may be broadcast.
+    """
+    counted = materialise(labelled.groupBy(_hashed(F.col(what)).alias("h"), _fold().alias("fold")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")))
+    whole = counted.groupBy("h").agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    share = lambda blocked, n: ((blocked + 0.5) / (n + 1.0)).alias("share")
+    outside = counted.join(whole, "h").select("h", "fold", share(F.col("all_blocked") - F.col("blocked"), F.col("all_n") - F.col("n")))
+    return materialise(outside.unionByName(whole.select("h", F.lit(None).cast("int").alias("fold"), share(F.col("all_blocked"), F.col("all_n")))))
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(FOLDS)).cast("int")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42, unlearnt: Column | None = None) -> DataFrame:
@@ -105,8 +119,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, thre
     are fitted. Repeated rows get equal verdicts; an empty table stays empty. Null labels don't occur.
 
     Each labelled address counts once, so that hot ones don't outweigh others. Shares of suffixes
-    are taken over all of them; the trees are fitted on at most ``fit_rows``, taken in order of a
-    hash. ``unlearnt`` (of host and path) leaves labelled addresses out of both, to measure on.
+    and first path parts are taken over all of them, for the rows that trees are fitted on over those of other
+    hosts. The trees are fitted on at most ``fit_rows``, taken in order of a hash. ``unlearnt`` (of
+    host and path) leaves labelled addresses out of both, to measure on.
     """
     taken = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -124,16 +139,18 @@ def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = FIT_ROWS, thre
     else:
         shares = {what: _shares(labelled, what) for what in traits}
 
-        def with_features(df: DataFrame) -> DataFrame:
+        def with_features(df: DataFrame, fold: Column) -> DataFrame:
+            df = df.withColumn("h_fold", fold)
             df = df.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")) | {f"h_{what}": _hashed(of) for what, of in traits.items()})
             for what, share in shares.items():
-                df = df.join(F.broadcast(share.select(F.col("h").alias(f"h_{what}"), F.col("share").alias(f"f_{what}"))), f"h_{what}", "left")
+                share = F.broadcast(share.select(F.col("h").alias("_h"), F.col("fold").alias("_fold"), F.col("share").alias(f"f_{what}")))
+                df = df.join(share, (F.col(f"h_{what}") == F.col("_h")) & F.col("h_fold").eqNullSafe(F.col("_fold")), "left").drop("_h", "_fold")
             return df.fillna(0.5, [f"f_{what}" for what in traits])
 
-        sample = materialise(with_features(bounded_sample(labelled, "url", fit_rows, seed).drop(*traits)))
+        sample = materialise(with_features(bounded_sample(labelled, "url", fit_rows, seed).drop(*traits), _fold()))
         assembler = VectorAssembler(inputCols=[c for c in sample.columns if c.startswith("f_")], outputCol="_features")
         model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(assembler.transform(sample))
-        scored = model.transform(assembler.transform(with_features(rows))).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(assembler.transform(with_features(rows, F.lit(None).cast("int")))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(ruled, F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.select("_in.*", "host", "path", rule.alias("rule"), "score", verdict.alias("verdict"))
 
