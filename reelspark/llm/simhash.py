@@ -241,9 +241,11 @@ def _alike(sets: list[np.ndarray], sketcher: Sketcher, similarity: float) -> np.
 
     Only pairs that are not connected yet are verified.
     """
-    root = np.arange(len(sets))
+    root = np.arange(len(sets))  # index 0 is the smallest of all
     sizes = np.array([len(s) for s in sets])
     for i, j in _pairs_by_nearness(sets, sketcher, similarity):
+        if not root.any():  # all are connected
+            break
         open_ = (root[i] != root[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9)
         i, j = i[open_], j[open_]
         order = np.argsort(i, kind="stable")
@@ -340,9 +342,9 @@ def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def _rows(documents: DataFrame, id_column: str, added: T.StructType, make: Callable) -> DataFrame:
-    """(_id, _h, _r and ``added``) of every row: its id, a hash of its text as it is, and a number of its own."""
-    slim = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    return materialise(map_texts(slim, ["_id", "_h"], added, make).withColumn("_r", F.monotonically_increasing_id()))
+    """(_id, _h, _size, _r and ``added``) of every row: its id, a hash of its text as it is, the text's bytes, and a number of its own."""
+    slim = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), F.octet_length(nonnull_text()).cast("long").alias("_size"), "text")
+    return materialise(map_texts(slim, ["_id", "_h", "_size"], added, make).withColumn("_r", F.monotonically_increasing_id()))
 
 
 def _printed(documents: DataFrame, shingle: int, radius: int, id_column: str) -> DataFrame:
@@ -373,11 +375,12 @@ def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column:
 
     rows = _rows(documents, id_column, added, make)
     # copies have equal words, and so equal sketches: one row of each stands for all
-    texts = materialise(rows.groupBy("key").agg(F.min("_r").alias("node"), *[F.max(c).alias(c) for c in longs]))
+    texts = materialise(rows.groupBy("key").agg(F.min("_r").alias("node"), F.max("_size").alias("size"), *[F.max(c).alias(c) for c in longs]))
     bands = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"b{k}").alias("v")) for k in range(BANDS)]))
     keyed = texts.select(F.col("node").alias("id"), *[f"w{k}" for k in range(WORDS)], bands.alias("x")).filter("x.v IS NOT NULL").select("id", "x.c", "x.v", *[f"w{k}" for k in range(WORDS)])
-    near = connected_components(materialise(_in_buckets(keyed, bits_apart(similarity, 3), _connected)))
-    # only texts that are near another are read again, and only within their group they are verified
+    stars = materialise(_in_buckets(keyed, bits_apart(similarity, 3), _connected).distinct())
+    near = _units(stars, materialise(connected_components(stars)), texts)
+    # only texts that are near another are read again, and only within their unit they are verified
     # (their list is written first; a map of it keeps other texts from moving to meet it)
     members = materialise(rows.select(F.col("_r").alias("node"), "_id", "_h").join(near, "node"))
     again = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), nonnull_text().alias("text"))
@@ -389,6 +392,23 @@ def _sketched(documents: DataFrame, shingle: int, similarity: float, id_column:
     return rows.select("_id", "_h", "_r", "key").join(roots, "key")
 
 
+def _units(stars: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(root, node): the units within which texts are verified, such that any two texts that met in a bucket share one.
+
+    ``near`` (node, root) has the components of all candidates. A component that one task can hold is
+    a unit. In a larger one, which chains of candidates may have brought together, units are the
+    ``stars`` (a, b) of its buckets: what met in one bucket hangs on one b. So the work follows from
+    what met, not from the square of a component, and a text is in as many units as it has bands at most.
+    """
+    sizes = near.join(texts.select("node", "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    large = materialise(sizes.filter((F.col("n") > PART_ROWS) | (F.col("bytes") > PART_BYTES)).select("root"))
+    if large.isEmpty():
+        return near.select("root", "node")
+    within = stars.join(near.join(large, "root", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    within = materialise(within.select(F.explode(F.array(F.struct(F.col("b").alias("root"), F.col("a").alias("node")), F.struct(F.col("b").alias("root"), F.col("b").alias("node")))).alias("x")).select("x.*").distinct())
+    return near.join(large, "root", "left_anti").select("root", "node").unionByName(within)
+
+
 def _verify(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): stars of the texts (root, node, text) that are alike exactly and share a root."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
