@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import evaluation, factors, hybrid, ranking, search, vectors
+from reelspark.operators import als, evaluation, factors, hybrid, ranking, search, vectors
 from reelspark.plans import history as H
 from reelspark.plans import views as V
 from reelspark.plans.views import with_views
@@ -124,7 +124,7 @@ def v12(spark, d):
 @query("v13_v14_als_recommendations")
 def v13(spark, d):
     w = V.watches(spark, d).select("user_id", "item_id", "completion")
-    return factors.recommend(factors.fit_als(V.written(factors.confidences(w)), V.written), w, 10)
+    return als.recommend(als.fit(factors.confidences(w), V.written), w, 10, V.written)
 
 
 @query("v15_segments")

@@ -89,17 +89,6 @@ def test_inverted_lists_recall(spark, small):
     assert len(got & want) / len(want) >= 0.9
 
 
-def test_als_never_recommends_watched(spark, small):
-    from reelspark.operators import factors
-    from reelspark.plans import views as V
-
-    far = 5_000_000_000  # ids needn't be ints
-    w = V.watches(spark, small).withColumn("user_id", F.col("user_id") + far).withColumn("item_id", F.col("item_id") * far)
-    got = factors.recommend(factors.fit_als(factors.confidences(w), V.written, iterations=2, rank=4), w, 5)
-    assert got.join(w, ["user_id", "item_id"]).count() == 0
-    assert got.groupBy("user_id").count().agg(F.max("count"), F.min("count")).first()[:] == (5, 5)
-
-
 def test_late_heartbeats_are_dropped(spark, tmp_path):
     """What arrives behind the watermark in a later batch doesn't count."""
     schema = "user_id long, item_id long, progress double, ts timestamp"
