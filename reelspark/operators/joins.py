@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,8 +25,6 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, then
     Both sides are laid on one line by key and time, and the next right time is carried back over
     it: one shuffle by key, no pairs.
     """
-    from pyspark.sql import Window
-
     l = left.withColumn("_t", F.col(at)).withColumn("_r", F.lit(None).cast(right.schema[then].dataType)).withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(*keys, F.col(then).alias("_t"), F.col(then).alias("_r"), F.lit(0).alias("_side")).distinct()
     line = l.unionByName(r, allowMissingColumns=True)
@@ -61,21 +61,50 @@ def region_boxes(points: DataFrame, boxes: DataFrame, lat: str, lng: str, column
     return hits.groupBy(*columns).agg(F.min_by("name", "order").alias("region"))
 
 
-def most_similar_set(sets: DataFrame, owner: str, member: str) -> DataFrame:
+def most_similar_set(sets: DataFrame, owner: str, member: str, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(owner, nearest, jaccard): for each owner the other one whose members overlap most, ties to the smaller.
 
-    Overlaps are counted over shared members only; no pair without one is looked at. Owners of one
-    member meet, so the work is the sum of squares of members' owners; a hot member's owners are
-    spread over tasks by the other owner's hash.
+    Owners that share nothing with any other are left out. ``write`` writes a frame to shared storage and reads it back.
+
+    1. The smallest other owner of each member is the best that a single shared member can bring; the
+       best of those, measured exactly, is an owner's bound.
+    2. Who beats the bound shares two members or more, and a share of the owner's own that follows from it. So it shares one
+       of the owner's rarer members: the commonest ones (one at least) need not be joined. An item that
+       everyone has is the commonest of all, and owners don't meet over it.
+    3. Owners meet over the rarer members, if their sizes allow the bound. Only pairs that could still
+       beat it with all the members left out are counted to the end.
     """
-    pairs = sets.select(owner, member).distinct()
-    sizes = pairs.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    shared_by = pairs.groupBy(member).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 1000)).cast("int").alias("parts"))
-    dealt = pairs.join(shared_by, member)
-    left = dealt.select(F.col(owner).alias("a"), member, F.pmod(F.xxhash64(owner), F.col("parts")).cast("int").alias("_p"))
-    right = dealt.select(F.col(owner).alias("b"), member, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"))
-    shared = left.join(right, [member, "_p"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
-    scored = shared.join(sizes.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    best = scored.groupBy("a").agg(F.max(F.struct(j.alias("j"), (-F.col("b")).alias("b"))).alias("m"))
+    pairs = sets.select(F.col(owner).alias("a"), F.col(member).alias("m")).dropna().distinct()
+    pairs = write(pairs)
+    held = write(pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"))
+    smallest = F.min(F.struct("n", "a"))
+    first = held.groupBy("m").agg(F.count(F.lit(1)).alias("f"), smallest.alias("first"))
+    second = held.join(first, "m").filter(F.struct("n", "a") != F.col("first")).groupBy("m").agg(smallest.alias("second"))
+    members = write(first.join(second, "m"))  # those that one owner alone has are of no use
+    useful = held.join(members, "m")
+    other = F.when(F.col("first.a") == F.col("a"), F.col("second")).otherwise(F.col("first"))
+    start = useful.select("a", "n", other.alias("o")).groupBy("a", "n").agg(F.max(F.struct((1 / (F.col("n") + F.col("o.n") - 1)).alias("j"), (-F.col("o.a")).alias("b"), F.col("o.n").alias("bn"))).alias("s"))
+    start = start.select("a", "n", (-F.col("s.b")).alias("b"), F.col("s.bn").alias("bn"))
+    theirs = held.select(F.col("a").alias("b"), "m")
+    jaccard = lambda i: i / (F.col("n") + F.col("bn") - i)
+    bounds = start.join(held.select("a", "m"), "a").join(theirs, ["b", "m"]).groupBy("a", "n", "b", "bn").agg(F.count(F.lit(1)).alias("i")).withColumn("j", jaccard(F.col("i")))
+    bounds = write(bounds.select("a", "n", "b", "j"))
+    # the members that may be left out: one less than must be shared
+    left_out = F.greatest(F.lit(2), F.ceil(F.col("j") * F.col("n") - 1e-9)) - 1
+    place = F.row_number().over(Window.partitionBy("a").orderBy("f", "m"))
+    placed = write(held.join(members.select("m", "f"), "m", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("place", place).join(bounds.select("a", "j"), "a").withColumn("k", left_out.cast("long")))
+    rare = placed.filter(F.col("place") <= F.col("n") - F.col("k"))
+    parts = rare.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 1000)).cast("int").alias("parts"))
+    left = rare.join(parts, "m").select("a", "n", "j", "k", "m", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("_p"))
+    right = held.join(parts, "m").select(F.col("a").alias("b"), F.col("n").alias("bn"), "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"))
+    fits = (F.col("a") != F.col("b")) & (F.col("bn") >= F.col("j") * F.col("n") - 1e-9) & (F.col("bn") * F.col("j") <= F.col("n") + 1e-9)
+    met = left.join(right, ["m", "_p"]).filter(fits).groupBy("a", "b", "n", "bn", "j", "k").agg(F.count(F.lit(1)).alias("c"))
+    most = F.least(F.col("c") + F.col("k"), F.col("n"), F.col("bn"))
+    open_ = write(met.filter(jaccard(most) >= F.col("j") - 1e-12))
+    reached = open_.groupBy("a").agg(F.max(jaccard(F.col("c"))).alias("least"))
+    open_ = write(open_.join(reached, "a").filter(jaccard(most) >= F.col("least") - 1e-12).select("a", "b", "n", "bn", "c"))
+    rest = placed.filter(F.col("place") > F.col("n") - F.col("k")).select("a", "m")
+    more = open_.join(rest, "a").join(theirs, ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("d"))
+    exact = open_.join(more, ["a", "b"], "left").select("a", "b", jaccard(F.col("c") + F.coalesce("d", F.lit(0))).alias("j"))
+    best = bounds.select("a", "b", "j").unionByName(exact).groupBy("a").agg(F.max(F.struct("j", (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.col("a").alias(owner), (-F.col("m.b")).alias("nearest"), F.col("m.j").alias("jaccard"))

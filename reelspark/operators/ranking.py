@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +25,59 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(rows, keys, order, 1, "_n").drop("_n")
 
 
-def greedy_distinct(candidates: DataFrame, one_source_types: tuple[str, ...]) -> DataFrame:
+#: Rounds of ``greedy_distinct``; what is still open then is decided by a fold.
+ROUNDS = 24
+
+
+def greedy_distinct(candidates: DataFrame, one_source_types: tuple[str, ...], write: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Each user's candidates by falling score, without items and sources that an accepted one before has.
 
     Sources count only for the types named. A row that is turned down for its source doesn't use up
-    its item, so this is a fold over a user's sorted candidates and not two windows.
-    ``candidates``: user_id, item_id, score, type, source_id. A user's list is bounded by what the
-    engines before recommend for one user.
+    its item. Equal scores go by type, item and source; null items and sources never clash.
+    ``candidates``: user_id, item_id, score, type, source_id. ``write`` writes a frame to shared
+    storage and reads it back.
+
+    Works in rounds of local winners: a row that is the best open one of its item and of its source is
+    accepted, and those that clash with it go. So no list of a user is ever in one place, and most rows are
+    decided in the first rounds. Chains of clashes, of which each round takes one link, are left to a
+    fold over a user's remaining rows in their order, which keeps only what they have used up.
     """
-    row = F.struct((-F.col("score")).alias("o"), F.col("type").alias("t"), F.col("item_id").alias("i"), F.col("source_id").alias("s"), F.col("score").alias("x"))
-    lists = candidates.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    kind = "array<struct<o:double,t:string,i:bigint,s:bigint,x:double>>"
-    limited = F.array(*[F.lit(t) for t in one_source_types])
-
-    def step(kept: Column, c: Column) -> Column:
-        same_item = F.exists(kept, lambda k: k.i == c.i)
-        same_source = F.array_contains(limited, c.t) & c.s.isNotNull() & F.exists(kept, lambda k: (k.s == c.s) & F.array_contains(limited, k.t))
-        return F.when(F.coalesce(same_item | same_source, F.lit(False)), kept).otherwise(F.concat(kept, F.array(c)))
-
-    folded = lists.select("user_id", F.explode(F.aggregate("c", F.array().cast(kind), step)).alias("k"))
-    return folded.select("user_id", F.col("k.i").alias("item_id"), F.col("k.x").alias("score"), F.col("k.t").alias("type"), F.col("k.s").alias("source_id"))
+    limited = F.coalesce(F.col("type").isin(*one_source_types), F.lit(False))
+    rows = candidates.select("user_id", "item_id", "score", "type", "source_id").withColumns({"_s": F.when(limited, F.col("source_id")), "_r": F.monotonically_increasing_id()})
+    order = F.struct((-F.col("score")).alias("o"), F.col("type").alias("t"), F.col("item_id").alias("i"), F.col("source_id").alias("s"), F.col("_r").alias("r"))
+    left, accepted = write(rows.withColumn("_o", order)), None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        first = lambda key, name: left.filter(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.min("_o").alias(name))  # noqa: B023, E731
+        wins = (F.col("_bi").isNull() | (F.col("_o") == F.col("_bi"))) & (F.col("_bs").isNull() | (F.col("_o") == F.col("_bs")))
+        marked = write(left.join(first("item_id", "_bi"), ["user_id", "item_id"], "left").join(first("_s", "_bs"), ["user_id", "_s"], "left").withColumn("_wins", wins).drop("_bi", "_bs"))
+        won = marked.filter("_wins")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        left = marked.filter("NOT _wins").join(won.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(won.select("user_id", "_s"), ["user_id", "_s"], "left_anti")
+        left = write(left.drop("_wins"))
+    columns = ["user_id", "item_id", "score", "type", "source_id"]
+    out = candidates.select(*columns).limit(0) if accepted is None else accepted.select(*columns)
+    if left.isEmpty():
+        return out
+    ordered = left.repartition("user_id").sortWithinPartitions("user_id", "_o")
+    return out.unionByName(ordered.select(*columns, "_s").mapInPandas(_folded, candidates.select(*columns).schema))
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by user and order in, those out that clash with none before."""
+    user, items, sources = None, set(), set()
+    for batch in batches:
+        keep = []
+        for u, i, s in zip(batch["user_id"], batch["item_id"], batch["_s"], strict=True):
+            if u != user:
+                user, items, sources = u, set(), set()
+            clashes = not pd.isna(i) and i in items or not pd.isna(s) and s in sources
+            if not clashes:
+                items.add(i)
+                sources.add(s)
+            keep.append(not clashes)
+        yield batch[keep].drop(columns="_s")
 
 
 def quota_blend(scored: DataFrame, engine: str, slots: int, n: int) -> DataFrame:

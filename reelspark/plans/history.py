@@ -378,7 +378,7 @@ def a22(spark, d):
 
 @query("a23_nearest_user", "SELECT user_id, nearest, round(j, 6) AS jaccard FROM (SELECT a.user_id, b.user_id AS nearest, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j, row_number() OVER (PARTITION BY a.user_id ORDER BY count(*) / (any_value(a.n) + any_value(b.n) - count(*)) DESC, b.user_id) AS k FROM sets a JOIN sets b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY a.user_id, b.user_id) WHERE k = 1", sets="SELECT user_id, item_id, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, item_id FROM watches)")
 def a23(spark, d):
-    return joins.most_similar_set(V.watches(spark, d), "user_id", "item_id").withColumn("jaccard", F.round("jaccard", 6))
+    return joins.most_similar_set(V.watches(spark, d), "user_id", "item_id", V.written).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("a25_distribution", "SELECT ct_cl, genre, count(*) AS n, count(*) FILTER (genre NOT IN ('red', 'hot', 'blue')) AS unmapped FROM items GROUP BY ALL")
@@ -467,9 +467,15 @@ def w8(spark, d):
     return ranking.deduplicated_top(best, ["user_id"], series, [F.desc("score"), F.col("item_id")], 5).select("user_id", "item_id", "score", "rank")
 
 
-@query("w10_greedy_distinct")
+# a fold over each user's sorted rows, held as lists of one row
+W10 = """SELECT user_id, k.i AS item_id, k.x AS score, k.t AS type, k.s AS source_id FROM (SELECT user_id, unnest(list_reduce(list(c ORDER BY c[1].o, c[1].t, c[1].i, c[1].s NULLS FIRST),
+    lambda kept, c: CASE WHEN len(list_filter(kept, lambda k: k.i = c[1].i OR (c[1].t = 'VISUAL' AND k.t = 'VISUAL' AND k.s = c[1].s))) > 0 THEN kept ELSE list_concat(kept, c) END)) AS k
+    FROM (SELECT user_id, [{'o': -score, 't': type, 'i': item_id, 's': source_id, 'x': score}] AS c FROM cand) GROUP BY user_id)"""
+
+
+@query("w10_greedy_distinct", W10, cand=CAND)
 def w10(spark, d):
-    return ranking.greedy_distinct(candidates(spark, d), ("VISUAL",))
+    return ranking.greedy_distinct(candidates(spark, d), ("VISUAL",), V.written)
 
 
 @query("w11_quota_blend", "SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN type = 'CF' AND n <= 3 THEN 0 ELSE 1 END, score DESC, item_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY score DESC, item_id) AS n FROM best)) WHERE rank <= 6", best="SELECT user_id, item_id, max(score) AS score, min(type) AS type FROM cand GROUP BY user_id, item_id", cand=CAND)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import hybrid, ranking, signals, statistics, vectors
+from reelspark.plans import views as V
 from reelspark.sources import tables
 from reelspark.streaming import flows
 
@@ -15,7 +16,7 @@ def rows(frame, *columns):
 def test_greedy_distinct_is_a_fold(spark):
     """A row that is turned down for its source leaves its item free."""
     c = spark.createDataFrame([(1, 1, 0.9, "VS", 7), (1, 2, 0.8, "VS", 7), (1, 1, 0.7, "CF", None), (1, 2, 0.6, "CF", None), (1, 3, 0.5, "VS", None)], "user_id long, item_id long, score double, type string, source_id long")
-    got = rows(ranking.greedy_distinct(c, ("VS",)), "item_id", "type")
+    got = rows(ranking.greedy_distinct(c, ("VS",), V.written), "item_id", "type")
     assert got == [(1, "VS"), (2, "CF"), (3, "VS")]
 
 
@@ -35,7 +36,7 @@ def test_greedy_distinct_brute_force(spark):
                 sources.add(r[4])
             want.append((u, r[1], r[2], r[3]))
     c = spark.createDataFrame(data, "user_id long, item_id long, score double, type string, source_id long")
-    assert rows(ranking.greedy_distinct(c, ("VS",)), "user_id", "item_id", "score", "type") == sorted(want)
+    assert rows(ranking.greedy_distinct(c, ("VS",), V.written), "user_id", "item_id", "score", "type") == sorted(want)
 
 
 def test_hybrid_score_by_hand(spark):
