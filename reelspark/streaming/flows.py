@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelspark.sources.tables import upsert
 
@@ -47,23 +50,51 @@ def due_reservations(reservations: DataFrame, now) -> DataFrame:
     return reservations.filter(F.col("alert_at") <= F.lit(now)).dropDuplicates(["reservation_id"]).select("reservation_id", "user_id", "alert_at")
 
 
-def notify_due(reservations: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over a clock (a stream of ts): writes what has come due by each batch's latest tick and was not written before.
+def reservation_alerts(changes: DataFrame, late: str = "0 seconds", keep: str = "1 day") -> DataFrame:
+    """(reservation_id, user_id, alert_at): each reservation once, as soon as the watermark has passed its time.
 
-    However late a tick comes, nothing is passed over, and no state is held: what has been sent is
-    in the batches written before. A repeated batch replaces its part.
+    ``changes`` (stream): reservation_id, user_id, alert_at, action (book or cancel), ts. Rows with a
+    null reservation_id are ticks of the clock: they move the watermark and nothing else. A timer for
+    each reservation fires at its time; one that comes in after its time is due at once. Booking again
+    before the time moves it; one that is cancelled before its time is forgotten. That a reservation was sent is kept for ``keep`` after it
+    was sent or last came in again, so that repeats are not sent; then its state goes. Rows older than the watermark (``late``) are dropped.
     """
-
-    def write(ticks: DataFrame, number: int) -> None:
-        spark = ticks.sparkSession
-        now = ticks.agg(F.max("ts")).first()[0]
-        due = due_reservations(reservations.limit(0) if now is None else reservations, now)
-        if number:
-            sent = spark.read.schema(due.schema.add("batch", "int")).parquet(path).filter(F.col("batch") < number)
-            due = due.join(sent.select("reservation_id"), "reservation_id", "left_anti")
-        due.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
+    span = int(changes.sparkSession.sql(f"SELECT timestamp_millis(0) + INTERVAL {keep} AS t").selectExpr("unix_millis(t)").first()[0])
+
+    def on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None  # (user, time in ms, sent)
+        now, sent = state.getCurrentWatermarkMs(), []
+        if state.hasTimedOut:
+            if held[2]:
+                state.remove()
+                return
+            held = (held[0], held[1], True)
+            sent.append(held)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "action"], kind="stable")
+            for user, at, action, ms in zip(rows["user_id"], rows["alert_ms"], rows["action"], rows["ms"], strict=True):
+                if held and not held[2] and held[1] <= ms:  # its time came before this change
+                    held = (held[0], held[1], True)
+                    sent.append(held)
+                if held and held[2]:
+                    continue
+                held = None if action == "cancel" else (int(user), int(at), False)
+            if held and not held[2] and held[1] < now:
+                held = (held[0], held[1], True)
+                sent.append(held)
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(held)
+            state.setTimeoutTimestamp(max(held[1], now + 1) + (span if held[2] else 0))
+        if sent:
+            yield pd.DataFrame({"reservation_id": [key[0]], "user_id": [sent[0][0]], "alert_ms": [sent[0][1]]})
+
+    # the condition names the time, or Spark would drop the ticks before they move the watermark
+    rows = changes.withWatermark("ts", late).filter(F.when(F.col("ts").isNotNull(), F.col("reservation_id")).isNotNull()).withColumn("alert_ms", F.unix_millis(F.col("alert_at").cast("timestamp")))
+    fired = rows.select("reservation_id", "user_id", "alert_ms", "action", "ts", F.unix_millis("ts").alias("ms")).groupBy("reservation_id").applyInPandasWithState(on, "reservation_id long, user_id long, alert_ms long", "user_id long, alert_ms long, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return fired.select("reservation_id", "user_id", F.timestamp_millis("alert_ms").alias("alert_at"))
 
 
 def episode_notices(new_items: DataFrame, wishes: DataFrame) -> DataFrame:
@@ -85,17 +116,46 @@ def change_feed(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ads_at_playback(positions: DataFrame, slots: DataFrame, session: str = "1 day", late: str = "30 minutes", bucket: float = 30.0) -> DataFrame:
-    """(user_id, item_id, ad, session): ads whose slot holds a playback position, each once for a user and session.
+def ads_at_playback(positions: DataFrame, dismissals: DataFrame, slots: DataFrame, session: str = "1 day", late: str = "30 minutes", bucket: float = 30.0) -> DataFrame:
+    """(user_id, item_id, ad, session, action, ts): ads whose slot holds a playback position, ``shown`` once for a user and session, and ``dismissed`` when the user dismisses what is active for the item.
 
-    ``positions``: user_id, item_id, at, ts (stream); ``slots``: item_id, since, until, ad (table).
-    Sessions are spans of ``session``; what was shown in one is forgotten ``late`` after its end.
-    Slots are exploded to the buckets they touch, so the join is an equality.
+    ``positions``: user_id, item_id, at, ts, and ``dismissals``: user_id, item_id, ts (streams);
+    ``slots``: item_id, since, until, ad (table). Both streams feed one state for each user and
+    session: what has been shown, and what of that is active. A dismissed ad is not shown again in
+    its session. Sessions are spans of ``session``; the state of one ends ``late`` after it. Within a
+    batch rows go by time, shows before dismissals. Slots are exploded to the buckets they touch, so the join is an equality.
     """
     s = slots.withColumn("_b", F.explode(F.sequence(F.floor(F.col("since") / bucket), F.floor(F.col("until") / bucket))))
-    shown = positions.withWatermark("ts", late).withColumn("_b", F.floor(F.col("at") / bucket)).join(s, ["item_id", "_b"]).filter((F.col("at") >= F.col("since")) & (F.col("at") <= F.col("until")))
-    once = shown.withColumn("window", F.window("ts", session)).dropDuplicates(["user_id", "ad", "window"])
-    return once.select("user_id", "item_id", "ad", F.col("window.start").alias("session"))
+    hits = positions.withColumn("_b", F.floor(F.col("at") / bucket)).join(s, ["item_id", "_b"]).filter((F.col("at") >= F.col("since")) & (F.col("at") <= F.col("until")))
+    both = hits.select("user_id", "item_id", "ad", "ts").unionByName(dismissals.select("user_id", "item_id", F.lit(None).cast("string").alias("ad"), "ts"))
+    both = both.withWatermark("ts", late).select("user_id", "item_id", "ad", "ts", F.window("ts", session).alias("w")).select("user_id", "item_id", "ad", "ts", F.unix_micros("ts").alias("us"), F.unix_millis("w.start").alias("session"), F.unix_millis("w.end").alias("until"))
+
+    def on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sent, ads, items = (list(x) for x in state.get) if state.exists else ([], [], [])
+        known, out = set(sent), []
+        rows = pd.concat(list(batches))
+        rows = rows.assign(_last=rows["ad"].isna()).sort_values(["us", "_last", "item_id", "ad"], kind="stable")
+        for item, ad, us in zip(rows["item_id"].tolist(), rows["ad"], rows["us"].tolist(), strict=True):
+            if pd.isna(ad):
+                gone = [k for k, i in enumerate(items) if i == item]
+                out += [(item, ads[k], "dismissed", us) for k in gone]
+                ads, items = ([x for k, x in enumerate(of) if k not in gone] for of in (ads, items))
+            elif ad not in known:
+                known.add(ad)
+                sent.append(ad)
+                ads.append(ad)
+                items.append(item)
+                out.append((item, ad, "shown", us))
+        state.update((sent, ads, items))
+        state.setTimeoutTimestamp(max(int(rows["until"].iloc[0]), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([(key[0], key[1], *r) for r in out], columns=["user_id", "session", "item_id", "ad", "action", "us"])
+
+    found = both.groupBy("user_id", "session").applyInPandasWithState(on, "user_id long, session long, item_id long, ad string, action string, us long", "sent array<string>, ads array<string>, items array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", "item_id", "ad", F.timestamp_millis("session").alias("session"), "action", F.timestamp_micros("us").alias("ts"))
 
 
 def trailing_counts(watches: DataFrame, span: str = "7 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -110,23 +170,66 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.parquet(path)
 
 
-def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
-    """Run a stream over all that is there now, each batch through ``write``; the number of the last batch."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return max((p["batchId"] for p in query.recentProgress), default=-1)
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[int]:
+    """Run a stream over all that is there now, each batch through ``write``; the numbers of the batches that were written (none if nothing was new)."""
+    written: list[int] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        written.append(number)
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return written
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers n of the folders ``n=<n>`` below ``path`` that were written to the end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath() for f in fs.listStatus(where)]
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("n=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def replace_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for update mode: keeps a Parquet table in which a batch's rows replace those of equal keys. Versions as in ``upsert_batches``."""
+def log_batches(path: str, keys: list[str], fold_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for update mode: a table of the latest row of each key, as a log.
+
+    A batch writes its own rows only, in a folder of its number, which a repeated batch replaces. Every
+    ``fold_every`` batches what is there is folded into one base, and the folders before are removed once it stands. ``latest_of`` reads the table.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        old.join(batch.select(*keys), keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark = batch.sparkSession
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/log/n={number}")
+        done = _numbers(spark, f"{path}/log")
+        if len([n for n in done if n <= number]) >= fold_every:
+            _rows_of(spark, path, keys, batch.schema, number).write.mode("overwrite").parquet(f"{path}/base/n={number}")
+            fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            for kind, numbers in (("log", [n for n in done if n <= number]), ("base", [n for n in _numbers(spark, f"{path}/base") if n < number])):
+                for n in numbers:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/n={n}"), True)
 
     return write
 
 
-def stream_of(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """A file stream of a Parquet table's files, with the table's declared schema."""
-    return spark.readStream.schema(table.schema).parquet(path)
+def _rows_of(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, most: int | None = None) -> DataFrame:
+    bases = _numbers(spark, f"{path}/base")
+    since = max(bases, default=-1)
+    logs = [n for n in _numbers(spark, f"{path}/log") if n > since and (most is None or n <= most)]
+    parts = [f"{path}/base/n={since}"] * bool(bases) + [f"{path}/log/n={n}" for n in logs]
+    named = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(named).parquet(*parts) if parts else spark.createDataFrame([], named)
+    rest = [c for c in schema.fieldNames() if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"), F.max("_batch").alias("_batch")).select(*keys, "_r.*", "_batch")
+
+
+def latest_of(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    """The latest row of each key that ``log_batches`` has written; none if there was no batch."""
+    return _rows_of(spark, path, keys, schema).select(*schema.fieldNames())
+
+
+def stream_of(spark: SparkSession, path: str, table: DataFrame, files_a_batch: int | None = None) -> DataFrame:
+    """A file stream of a Parquet table's files, with the table's declared schema; oldest files first, so many a batch (default: all)."""
+    reader = spark.readStream.schema(table.schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
