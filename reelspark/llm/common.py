@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Texts that a Python function gets at once at most, in rows and in bytes; one text may be longer.
-#: Spark bounds the Arrow batches themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
@@ -102,6 +101,12 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_texts(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``materialise`` what Python makes of texts, which go to it TEXT_ROWS rows at a time rather than Spark's 10,000: both sides hold a batch in memory."""
+    with batches_of(df.sparkSession, TEXT_ROWS):
+        return materialise(df, path)
+
+
 def maybe_listed(rows: DataFrame, listed: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """``rows`` with ``_maybe``: false only where no row of ``listed`` has equal keys; nulls equal each other.
 

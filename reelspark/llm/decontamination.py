@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import filter_texts, map_texts, read_table
+from reelspark.llm.common import filter_texts, map_texts, materialise_texts, read_table
 
 #: Edits allowed, as a share of an item's normalised letters.
 ERROR_RATE = 0.1
@@ -249,7 +249,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float =
             return lambda text: not matcher.find(text)
 
         documents = filter_texts(documents, make)
-    return documents
+    return materialise_texts(documents)
 
 
 # ---- queries ----

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_texts, materialise, read_table
+from reelspark.llm.common import map_texts, materialise_texts, read_table
 
 SEQUENCE = 2048
 #: The id that closes every document.
@@ -258,7 +258,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = SEQUENCE, keep: l
     """
     spark = documents.sparkSession
     keep = ["doc_id"] if keep is None else keep
-    pieces = materialise(tokenised_pieces(documents, tokenizer, capacity, keep, with_ids))
+    pieces = materialise_texts(tokenised_pieces(documents, tokenizer, capacity, keep, with_ids))
     by_task = pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n"))
     # at most ``capacity`` rows, whatever the corpus
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}

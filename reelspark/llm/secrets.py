@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_texts, read_table
+from reelspark.llm.common import map_texts, materialise_texts, read_table
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -187,7 +187,7 @@ def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", kinds: tuple[Ki
     new, columns = F.col(name), {"text": F.coalesce(name, "text")}
     if "n_chars" in documents.columns:
         columns["n_chars"] = F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(documents.schema["n_chars"].dataType)
-    return map_texts(documents, documents.columns, added, make).withColumns(columns).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return materialise_texts(map_texts(documents, documents.columns, added, make).withColumns(columns).select(*[F.col(f"`{c}`") for c in documents.columns]))
 
 
 # ---- queries ----

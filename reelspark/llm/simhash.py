@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_texts, materialise, maybe_listed, nonnull_text, read_table
+from reelspark.llm.common import map_texts, materialise, materialise_texts, maybe_listed, nonnull_text, read_table
 from reelspark.llm.components import connected_components
 
 #: A bucket of more fingerprints is compared in tiles of two parts, each its own row group.
@@ -344,7 +344,7 @@ def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
 def _rows(documents: DataFrame, id_column: str, added: T.StructType, make: Callable) -> DataFrame:
     """(_id, _h, _size, _r and ``added``) of every row: its id, a hash of its text as it is, the text's bytes, and a number of its own."""
     slim = documents.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64("text").alias("_h"), F.octet_length(nonnull_text()).cast("long").alias("_size"), "text")
-    return materialise(map_texts(slim, ["_id", "_h", "_size"], added, make).withColumn("_r", F.monotonically_increasing_id()))
+    return materialise_texts(map_texts(slim, ["_id", "_h", "_size"], added, make).withColumn("_r", F.monotonically_increasing_id()))
 
 
 def _printed(documents: DataFrame, shingle: int, radius: int, id_column: str) -> DataFrame:
@@ -438,7 +438,7 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, radius: int =
     have fingerprint 0 and link with each other; a group whose ids are all null has a null
     component_id; repeated rows stay. Other columns are ignored, whatever their names.
     """
-    fps = materialise(with_fingerprints(documents, shingle, [id_column]))
+    fps = materialise_texts(with_fingerprints(documents, shingle, [id_column]))
     distinct = materialise(fps.groupBy("fp").agg(F.min(id_column).alias("least")))
     linked = link_fingerprints(distinct.select("fp"), radius)
     classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import TEXT_ROWS, batches_of, bounded_sample, filter_texts, map_texts, materialise, nonnull_text, read_table
+from reelspark.llm.common import TEXT_ROWS, batches_of, bounded_sample, filter_texts, map_texts, materialise, materialise_texts, nonnull_text, read_table
 
 #: Labelled documents that the lexicon is learned from at most (chosen by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -350,7 +350,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
         scorer = Scorer(sent.value)
         return lambda text: scorer.score(text) < threshold
 
-    return filter_texts(documents, make)
+    return materialise_texts(filter_texts(documents, make))
 
 
 # ---- queries ----
