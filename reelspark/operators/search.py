@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.titles import initials, initials_only, sequence_similarity, trigram_similarity
@@ -26,14 +26,67 @@ def search_index(items: DataFrame) -> DataFrame:
     return one.select("series", "item_id", F.concat_ws(" ", "series", "genre", "director").alias("search_text"), initials(F.col("series")).alias("initials"))
 
 
-def search(index: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
-    """(query, series, rank) for a table of queries: by initial consonants where a query has no others, else by contained text, most similar first.
+#: Letters of the stretches that texts are found by, at most.
+GRAM = 3
+#: What may follow an episode's number, and the letters that mark one in a title.
+EPISODE, MARKS = r"\s+(\d+)\s*[화회]?\s*$", ("화", "회")
 
-    ``queries`` is a bounded set, as a service collects it for one batch.
+
+def _grams(text: Column, least: Column) -> Column:
+    """The distinct stretches of ``least`` to GRAM letters of a text."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    stretches = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(least, F.lit(GRAM)), lambda k: F.when(i + k - 1 <= n, F.substring(text, i, k)))))
+    return F.array_distinct(F.filter(stretches, lambda g: g.isNotNull()))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(kind, gram, series): the stretches of 1 to GRAM letters of each series' text (kind t), and the beginnings of its initial consonants (kind i). Written once, it serves any number of queries."""
+    text = index.select("series", F.lit("t").alias("kind"), F.explode(_grams(F.lower("search_text"), F.lit(1))).alias("gram"))
+    begins = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.when(k <= F.length("initials"), F.substring("initials", 1, k)))
+    first = index.select("series", F.lit("i").alias("kind"), F.explode(F.array_distinct(F.filter(begins, lambda g: g.isNotNull()))).alias("gram"))
+    return text.unionByName(first).select("kind", "gram", "series")
+
+
+def search(index: DataFrame, posted: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
+    """(query, series, similarity, rank) for a table of queries of any size: by initial consonants where a query has no others, else by contained text, most similar first; ties by series.
+
+    A text that contains a query holds all its stretches of GRAM letters (itself, if it is shorter). So
+    a query meets only the texts that ``posted`` has under its rarest stretch, and those are looked at. Queries that are null or empty find nothing.
     """
     q = F.lower("query")
     by_initials = initials_only(F.col("query")) & F.col("query").rlike("[ㄱ-ㅎ]")
-    hit = F.when(by_initials, F.col("initials").startswith(F.col("query"))).otherwise(F.contains(F.lower("search_text"), q))
-    pairs = index.join(F.broadcast(queries), hit)
-    similar = F.when(by_initials, 0.0).otherwise(F.round(trigram_similarity(F.col("search_text"), F.col("query")), 6))
+    asked = queries.select("query").distinct().filter(F.length("query") > 0).withColumn("kind", F.when(by_initials, "i").otherwise("t"))
+    grams = F.when(by_initials, F.array(F.substring("query", 1, GRAM))).otherwise(_grams(q, F.least(F.length(q), F.lit(GRAM))))
+    sizes = posted.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    spelt = asked.select("query", "kind", F.explode(grams).alias("gram")).join(sizes, ["kind", "gram"], "left")
+    rarest = spelt.groupBy("query", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r")).filter("r.n > 0").select("query", "kind", F.col("r.gram").alias("gram"))
+    hit = F.when(F.col("kind") == "i", F.col("initials").startswith(F.col("query"))).otherwise(F.contains(F.lower("search_text"), q))
+    pairs = rarest.join(posted, ["kind", "gram"]).select("query", "kind", "series").join(index, "series").filter(hit)
+    similar = F.when(F.col("kind") == "i", 0.0).otherwise(F.round(trigram_similarity(F.col("search_text"), F.col("query")), 6))
     return top_per_group(pairs.withColumn("similarity", similar), ["query"], [F.desc("similarity"), F.col("series")], n).select("query", "series", "similarity", "rank")
+
+
+def search_episodes(index: DataFrame, posted: DataFrame, items: DataFrame, queries: DataFrame, providers: tuple[str, ...] = (), n: int = 8) -> DataFrame:
+    """(query, series, title, item_id, rank): as ``search``, but a query that ends in a number asks for that episode of the series that the rest of it finds.
+
+    Episodes are the series' items whose title holds the number and a mark of episodes; of equal
+    titles the first by ``providers`` (then by id) stands, in order of title. If there is none, the series themselves are
+    the answer. ``items``: item_id, series_nm, title, provider.
+    """
+    number = F.regexp_extract("query", EPISODE, 1)
+    name = F.trim(F.regexp_replace("query", EPISODE, ""))
+    split = (number != "") & (name != "")
+    parsed = queries.select("query").distinct().filter(F.length("query") > 0).withColumn("name", F.when(split, name).otherwise(F.col("query"))).withColumn("episode", F.when(split, F.regexp_replace(number, "^0+(?=[0-9])", "")))
+    found = search(index, posted, parsed.select(F.col("name").alias("query")), n).withColumnRenamed("query", "name")
+    hits = parsed.join(found, "name")
+    titles = items.select("item_id", F.col("series_nm").alias("series"), "title", "provider").filter("series IS NOT NULL")
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked = marked | F.contains("title", F.concat("episode", F.lit(mark)))
+    place = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider")), F.lit(0)) if providers else F.lit(0)
+    rows = hits.filter("episode IS NOT NULL").select("query", "episode", "series").join(titles, "series").filter(marked)
+    one = first_per_group(rows.withColumn("_place", F.when(place == 0, len(providers) + 1).otherwise(place)), ["query", "title"], [F.col("_place"), F.col("item_id")])
+    episodes = top_per_group(one, ["query"], [F.col("title"), F.col("item_id")], n).select("query", "series", "title", "item_id", "rank")
+    whole = hits.join(episodes.select("query").distinct(), "query", "left_anti").join(index.select("series", "item_id"), "series").select("query", "series", F.lit(None).cast("string").alias("title"), "item_id", "rank")
+    return episodes.unionByName(whole)

@@ -67,10 +67,16 @@ def partial_top(scores: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(at, order, axis=1)
 
 
-def _packed(rows: DataFrame, key: str, name: str, blocks: int, by: list[str]) -> DataFrame:
-    """Blocks of about BLOCK rows (key first), dealt by a hash of the key: (by, block, name)."""
-    rest = [c for c in rows.columns if c not in by]
-    return rows.groupBy(*by, _block_of(key, blocks).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rest)).alias(name))
+def _packed(rows: DataFrame, key: str, name: str, blocks: int) -> DataFrame:
+    """Blocks of about BLOCK rows (key first), dealt by a hash of the key: (block, name)."""
+    return rows.groupBy(_block_of(key, blocks).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+
+
+def _packed_by(rows: DataFrame, key: str, name: str, block: int, by: str) -> DataFrame:
+    """As ``_packed`` within each value of ``by``, which gets as many blocks as its own rows ask for."""
+    rest = [c for c in rows.columns if c != by]
+    counts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    return rows.join(counts, by).groupBy(by, F.pmod(F.xxhash64(key), F.col("_blocks")).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rest)).alias(name))
 
 
 def _block_of(key: str, blocks: int) -> Column:
@@ -120,11 +126,6 @@ def _best_in_tiles(tiles: DataFrame, names: list[str], scores: Callable[..., np.
     return top_per_group(found, [names[0]], [F.desc("score"), F.col(names[1])], n)
 
 
-def _meet(asked: DataFrame, packed: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each pair of blocks (of equal ``by``)."""
-    return asked.join(packed, by) if by else asked.crossJoin(packed)
-
-
 def nearest(queries: DataFrame, candidates: DataFrame, n: int, least: float = -2.0, block: int = BLOCK, by: str | None = None, digits: int = 6) -> DataFrame:
     """(query_id, item_id, score, rank): the ``n`` candidates of highest cosine (over ``least``) for each query, itself left out.
 
@@ -133,11 +134,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, n: int, least: float = -2
     one row of the wire, and every two blocks are multiplied: a blocked matrix product in which
     neither side is ever whole in one place.
     """
-    same = [by] if by else []
     unit = normalised(F.col("vector")).alias("v")
-    packed = _packed(candidates.select("item_id", unit, *same), "item_id", "rows", _blocks(candidates, block), same)
-    asked = _packed(queries.select("query_id", unit, *same), "query_id", "asks", _blocks(queries, block), same)
-    return _best_in_tiles(_meet(asked, packed, same), ["query_id", "item_id"], lambda q, c: np.round(q[0] @ c[0].T, digits), n, least)
+    scores = lambda q, c: np.round(q[0] @ c[0].T, digits)
+    if by:
+        packed = _packed_by(candidates.select("item_id", unit, by), "item_id", "rows", block, by)
+        tiles = _packed_by(queries.select("query_id", unit, by), "query_id", "asks", block, by).join(packed, by)
+    else:
+        packed = _packed(candidates.select("item_id", unit), "item_id", "rows", _blocks(candidates, block))
+        tiles = _packed(queries.select("query_id", unit), "query_id", "asks", _blocks(queries, block)).crossJoin(packed)
+    return _best_in_tiles(tiles, ["query_id", "item_id"], scores, n, least)
 
 
 def late_fusion(visual: DataFrame, content: DataFrame, alpha: float = 0.4) -> DataFrame:
@@ -161,8 +166,8 @@ def ensemble(sources: DataFrame, items: DataFrame, n: int, alpha: float = 0.4) -
     Both sides meet in blocks, as in ``nearest``.
     """
     two = lambda f: f.select("item_id", normalised(F.col("visual")).alias("s"), normalised(F.col("meta")).alias("m"))
-    packed = _packed(two(items), "item_id", "rows", _blocks(items, BLOCK), [])
-    asked = _packed(two(sources), "item_id", "asks", _blocks(sources, BLOCK), [])
+    packed = _packed(two(items), "item_id", "rows", _blocks(items, BLOCK))
+    asked = _packed(two(sources), "item_id", "asks", _blocks(sources, BLOCK))
 
     def scores(q: list[np.ndarray], c: list[np.ndarray]) -> np.ndarray:
         visual, meta = q[0] @ c[0].T, q[1] @ c[1].T
@@ -179,8 +184,8 @@ def user_neighbours(users: DataFrame, items: DataFrame, watched: DataFrame, n: i
     """
     unit = normalised(F.col("vector")).alias("v")
     ub, ib = _blocks(users, BLOCK), _blocks(items, BLOCK)
-    asked = _packed(users.select("user_id", unit), "user_id", "asks", ub, [])
-    packed = _packed(items.select("item_id", unit), "item_id", "rows", ib, [])
+    asked = _packed(users.select("user_id", unit), "user_id", "asks", ub)
+    packed = _packed(items.select("item_id", unit), "item_id", "rows", ib)
     seen = watched.select("user_id", "item_id").distinct()
     seen = seen.groupBy(_block_of("user_id", ub).alias("asks_block"), _block_of("item_id", ib).alias("rows_block")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("out"))
     tiles = asked.crossJoin(packed).join(seen, ["asks_block", "rows_block"], "left")

@@ -305,14 +305,39 @@ def r14(spark, d):
     return search.search_index(V.items(spark, d)).select("series", "item_id")
 
 
-@query("r15_search", "SELECT query, count(*) AS hits, min(item_id) AS first FROM (SELECT coalesce(series_nm, title) AS series, arg_min(item_id, (poster_url IS NULL, item_id)) AS item_id, arg_min(genre, (poster_url IS NULL, item_id)) AS genre, arg_min(director, (poster_url IS NULL, item_id)) AS director FROM items GROUP BY 1) JOIN (VALUES ('red ring'), ('HOT'), ('plate')) q(query) ON contains(lower(series || ' ' || genre || ' ' || director), lower(query)) GROUP BY query")
+INDEX = "SELECT coalesce(series_nm, title) AS series, arg_min(item_id, (poster_url IS NULL, item_id)) AS item_id, arg_min(genre, (poster_url IS NULL, item_id)) AS genre, arg_min(director, (poster_url IS NULL, item_id)) AS director FROM items GROUP BY 1"
+
+
+def searched(spark, d):
+    index = V.written(search.search_index(V.items(spark, d)))
+    return index, V.written(search.postings(index))
+
+
+# every genre with the letters before it cut to three, in upper case
+@query("r15_search", "SELECT query, count(*) AS hits, min(item_id) AS first FROM idx JOIN (SELECT DISTINCT upper(right(split_part(genre_detail, ', ', 1), 3) || ' ' || split_part(genre_detail, ', ', 2)) AS query FROM items) q ON contains(lower(series || ' ' || genre || ' ' || director), lower(query)) GROUP BY query", idx=INDEX)
 def r15(spark, d):
-    queries = spark.createDataFrame([("red ring",), ("HOT",), ("plate",)], "query string")
-    index = search.search_index(V.items(spark, d))
-    found = search.search(index, queries, 1000)
+    words = F.split("genre_detail", ", ")
+    queries = V.items(spark, d).select(F.upper(F.concat(F.right(words[0], F.lit(3)), F.lit(" "), words[1])).alias("query")).distinct()
+    index, posted = searched(spark, d)
+    found = search.search(index, posted, queries, 1_000_000)
     return found.join(index.select("series", "item_id"), "series").groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("item_id").alias("first"))
 
 
+# every series with a number behind it: that episode where there is one, else the series
+R15_EPISODES = """WITH asked AS (SELECT DISTINCT series_nm || ' ' || (episode_no % 30) || '회' AS query, series_nm AS name, CAST(episode_no % 30 AS VARCHAR) AS episode FROM items WHERE series_nm IS NOT NULL),
+hits AS (SELECT query, episode, series, item_id FROM idx JOIN asked ON contains(lower(series || ' ' || genre || ' ' || director), lower(name))),
+eps AS (SELECT DISTINCT ON (query, title) query, series, title, i.item_id FROM hits h JOIN items i ON i.series_nm = h.series AND (contains(title, episode || '회') OR contains(title, episode || '화')) ORDER BY query, title, CASE provider WHEN 'Brand#13' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 3 END, i.item_id)
+SELECT query, series, title, item_id FROM eps UNION ALL SELECT query, series, NULL, item_id FROM hits WHERE query NOT IN (SELECT query FROM eps)"""
+
+
+@query("r15_episode_search", f"SELECT * FROM ({R15_EPISODES})", idx=INDEX)
+def r15_episodes(spark, d):
+    items = V.items(spark, d)
+    queries = items.filter("series_nm IS NOT NULL").select(F.concat("series_nm", F.lit(" "), (F.col("episode_no") % 30).cast("string"), F.lit("회")).alias("query"))
+    index, posted = searched(spark, d)
+    return search.search_episodes(index, posted, items, queries, ("Brand#13", "Brand#22"), 1_000_000).select("query", "series", "title", "item_id")
+
+
 # ---- evaluation ----
 
 RANKED = "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM best"
