@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions.titles import season_of
+
 
 def expand_episodes(shows: DataFrame, most: int = 200) -> DataFrame:
     """One row for each episode of a show, its number in the title; a show with over ``most`` stays one row."""
@@ -61,6 +63,13 @@ def missing_episodes(items: DataFrame, expected: DataFrame, episode: Column) ->
     return wanted.join(have, ["series_nm", "episode"], "left_anti").join(fields, "series_nm")
 
 
+def season_work_list(items: DataFrame, column: str) -> DataFrame:
+    """(series_nm, season, item_id): the first item of each series and season, as titles name it, that lacks ``column``. ``items``: item_id, series_nm, title."""
+    season = F.when(F.col("title").isNull(), 1).otherwise(season_of(F.col("title"))[1])
+    rows = items.filter(F.col(column).isNull() & F.col("series_nm").isNotNull()).withColumn("season", season)
+    return rows.groupBy("series_nm", "season").agg(F.min("item_id").alias("item_id"))
+
+
 def rename_collisions(items: DataFrame) -> DataFrame:
     """Series whose name stands for several classes get their class in the name, and lose their poster."""
     several = items.filter("series_nm IS NOT NULL").groupBy("series_nm").agg(F.count_distinct("ct_cl").alias("_classes")).filter("_classes > 1")

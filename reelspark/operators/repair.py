@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.functions.cleaning import comma_names, mapping
+from reelspark.functions.cleaning import comma_names, json_names, mapping
 from reelspark.functions.titles import series_name
 
 #: What may follow a name, and family names that make a word a person.
@@ -49,6 +49,30 @@ def replace_names(names: Column, table: dict[str, str]) -> Column:
     return F.array_join(F.array_distinct(F.transform(comma_names(names), lambda n: F.coalesce(F.element_at(mapping(table), n), n))), ", ")
 
 
+#: Categories of tags that name people.
+PEOPLE = ("director", "actor_lead", "actor_guest")
+
+
+def rename_people(items: DataFrame, tags: DataFrame, preferences: DataFrame, table: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, tags, preferences) with people renamed throughout; rows whose keys become equal are one then.
+
+    ``items``: director (comma-separated), cast_lead and cast_guest (JSON lists); a name that a list
+    then has twice stays once. ``tags``: item_id, category, value, confidence, of which equal keys keep the largest confidence.
+    ``preferences``: user_id, category, value, affinity, watch_count, of which equal keys keep the
+    largest affinity and add up their counts. Only tags that name people are renamed; nulls stay. Names are replaced
+    once: a new name that is an old one of another entry is left alone.
+    """
+    def listed(column: str) -> Column:
+        names = F.array_distinct(F.transform(json_names(F.col(column)), lambda n: F.coalesce(F.element_at(mapping(table), n), n)))
+        return F.when(F.coalesce(F.size(names) > 0, F.lit(False)), F.to_json(names)).otherwise(F.col(column))  # what isn't a list stays
+
+    renamed = items.withColumns({"director": F.when(F.col("director").isNotNull(), replace_names(F.col("director"), table)), **{c: listed(c) for c in ("cast_lead", "cast_guest")}})
+    value = F.when(F.col("category").isin(*PEOPLE), F.coalesce(F.element_at(mapping(table), F.col("value")), F.col("value"))).otherwise(F.col("value"))
+    of_items = tags.withColumn("value", value).groupBy("item_id", "category", "value").agg(F.max("confidence").alias("confidence"))
+    of_users = preferences.withColumn("value", value).groupBy("user_id", "category", "value").agg(F.max("affinity").alias("affinity"), F.sum("watch_count").alias("watch_count"))
+    return renamed, of_items, of_users
+
+
 def sentence_flags(sentence: Column, synopsis: Column, banned: list[str], least: int = 20, most: int = 80, overlap: float = 0.3) -> Column:
     """What speaks against a generated sentence: its length, banned words, markup, and too much taken from the synopsis."""
     grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))

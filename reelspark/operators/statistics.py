@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.cleaning import freshness
+from reelspark.operators.ranking import top_per_group
 
 
 def watch_stats(watches: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -80,7 +81,7 @@ def activity_segment(watches: DataFrame, warm: int, hot: int) -> DataFrame:
 
 
 def profile(frame: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """One row for each column: rows, nulls, distinct values (approximate), and values out of range. One pass over the data."""
+    """One row for each column: rows, nulls, and values out of range. One pass over the data."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(frame.columns):
         aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{i}")]
@@ -91,6 +92,30 @@ def profile(frame: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFra
     return one.select(F.inline(cells))
 
 
+def profile_keys(rows: DataFrame, key: str, value: str, expected: DataFrame, least: float, most: float) -> DataFrame:
+    """(key, rows, nulls, least, most, out_of_range, state) of each key of ``rows`` and of ``expected`` (key): state is ok, missing (expected, and without a row) or unexpected.
+
+    Null keys of ``rows`` are a key that none expects.
+    """
+    of_key = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value).isNull()).alias("nulls"), F.min(value).alias("least"), F.max(value).alias("most"), F.count_if(~F.col(value).between(least, most)).alias("out_of_range"))
+    both = of_key.join(expected.select(F.col(key).alias("_want")).filter("_want IS NOT NULL").distinct(), F.col("_key") == F.col("_want"), "full_outer")
+    state = F.when(F.col("rows").isNull(), "missing").when(F.col("_want").isNull(), "unexpected").otherwise("ok")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.coalesce("_key", "_want").alias(key), none("rows"), none("nulls"), "least", "most", none("out_of_range"), state.alias("state"))
+
+
+def top_by_group(watches: DataFrame, owners: DataFrame, group: str, n: int = 50, least: int = 10) -> DataFrame:
+    """(group, item_id, views, satisfaction, rank): in each group of users the ``n`` items of highest mean satisfaction, of those with at least ``least`` views in it."""
+    stats = watches.join(owners.select("user_id", group), "user_id").groupBy(group, "item_id").agg(F.count(F.lit(1)).alias("views"), F.round(F.avg("satisfaction"), 6).alias("satisfaction"))
+    return top_per_group(stats.filter(F.col("views") >= least), [group], [F.desc("satisfaction"), F.col("item_id")], n)
+
+
+def coverage_by_type(items: DataFrame, vectors: DataFrame, kind: str, length: Column, least: float, most: float) -> DataFrame:
+    """(kind, items, with_vector, odd): of each type how many items there are, how many have a vector, and how many vectors are of odd ``length``."""
+    measured = vectors.select("item_id", length.alias("_length"))
+    return items.select("item_id", kind).join(measured, "item_id", "left").groupBy(kind).agg(F.count(F.lit(1)).alias("items"), F.count("_length").alias("with_vector"), F.count_if(~F.col("_length").between(least, most)).alias("odd"))
+
+
 def gap_runs(rows: DataFrame, keys: list[str], at: Column, gap: float) -> DataFrame:
     """Rows with the number of their run: a new one begins after more than ``gap``."""
     w = Window.partitionBy(*keys).orderBy("_at")

@@ -299,6 +299,11 @@ def a5(spark, d):
     return V.watches(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("views"), F.round(F.avg("satisfaction"), 6).alias("satisfaction")).filter("views >= 10").orderBy(F.desc("satisfaction"), "item_id").limit(100)
 
 
+@query("a5_top_by_age", "SELECT age_grp, item_id, views, satisfaction, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY age_grp ORDER BY satisfaction DESC, item_id) AS rank FROM (SELECT age_grp, item_id, count(*) AS views, round(avg(satisfaction), 6) AS satisfaction FROM watches JOIN users USING (user_id) GROUP BY ALL HAVING count(*) >= 5)) WHERE rank <= 50")
+def a5_by_age(spark, d):
+    return statistics.top_by_group(V.watches(spark, d), V.users(spark, d), "age_grp", 50, 5)
+
+
 @query("a6_user_timeline", "SELECT user_id, item_id, title, started_at, watch_id FROM watches JOIN items USING (item_id) WHERE started_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-01-01'")
 def a6(spark, d):
     w = V.watches(spark, d).filter(F.col("started_at").between("1998-01-01", "1999-01-01"))
@@ -359,6 +364,13 @@ def a19(spark, d):
     return statistics.profile(V.items(spark, d).select("item_id", "series_nm", "vote_avg"), {"vote_avg": (2.0, 8.0)})
 
 
+@query("a19_key_profile", "SELECT coalesce(r.genre, e.genre) AS genre, coalesce(rows, 0) AS rows, coalesce(nulls, 0) AS nulls, least, most, coalesce(out_of_range, 0) AS out_of_range, CASE WHEN rows IS NULL THEN 'missing' WHEN e.genre IS NULL THEN 'unexpected' ELSE 'ok' END AS state FROM (SELECT genre, count(*) AS rows, count(*) FILTER (vote_avg IS NULL) AS nulls, min(vote_avg) AS least, max(vote_avg) AS most, count(*) FILTER (vote_avg NOT BETWEEN 2 AND 8) AS out_of_range FROM items GROUP BY genre) r FULL OUTER JOIN (SELECT DISTINCT genre FROM items WHERE length(genre) <> 4 UNION ALL SELECT DISTINCT upper(genre) FROM items WHERE length(genre) = 3) e ON r.genre = e.genre")
+def a19_keys(spark, d):
+    items = V.items(spark, d)
+    expected = items.filter(F.length("genre") != 4).select("genre").unionByName(items.filter(F.length("genre") == 3).select(F.upper("genre").alias("genre")))
+    return statistics.profile_keys(items, "genre", "vote_avg", expected, 2.0, 8.0)
+
+
 @query("a20_validation", "SELECT (SELECT count(*) - count(DISTINCT watch_id) FROM watches) AS repeated, (SELECT count(*) FROM watches WHERE user_id NOT IN (SELECT user_id FROM users)) AS orphans, (SELECT count(*) FROM watches WHERE completion NOT BETWEEN 0 AND 1) AS out_of_range, (SELECT count(*) FROM items WHERE series_nm IS NULL) AS nulls")
 def a20(spark, d):
     w = V.watches(spark, d)
@@ -367,6 +379,13 @@ def a20(spark, d):
     return one.crossJoin(orphans).crossJoin(V.items(spark, d).agg(F.count_if(F.col("series_nm").isNull()).alias("nulls")))
 
 
+@query("a22_coverage_by_type", "SELECT ct_cl, count(*) AS items, count(v.item_id) AS with_vector, count(*) FILTER (sqrt(list_dot_product(visual, visual)) NOT BETWEEN 0.01 AND 0.8) AS odd FROM items i LEFT JOIN (SELECT item_id, visual FROM vectors) v USING (item_id) GROUP BY ct_cl")
+def a22_by_type(spark, d):
+    from reelspark.operators.vectors import norm
+
+    return statistics.coverage_by_type(V.items(spark, d), V.vectors(spark, d), "ct_cl", norm(F.col("visual")), 0.01, 0.8)
+
+
 @query("a22_vector_coverage", "SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM items WHERE item_id IN (SELECT item_id FROM vectors)) AS with_vector, (SELECT count(*) FROM vectors WHERE sqrt(list_dot_product(visual, visual)) NOT BETWEEN 0.01 AND 0.8) AS odd")
 def a22(spark, d):
     from reelspark.operators.vectors import norm

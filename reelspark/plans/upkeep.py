@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelspark.functions import cleaning as C
 from reelspark.operators import repair
+from reelspark.operators.catalogue import season_work_list
 from reelspark.plans import views as V
 from reelspark.plans.views import with_views
 from reelspark.sources import tables as S
@@ -112,6 +115,36 @@ def s14(spark, d):
     return S.fill_nulls(items, source, "k", ["poster_url"], replace=True).select("item_id", "poster_url")
 
 
+def titled(spark, d):
+    """Items whose titles name a season: every third by a word, every third by a number, the others not at all."""
+    k = F.col("item_id")
+    name = F.regexp_replace("title", r" \d+회$", "")
+    season = (k % 4 + 1).cast("string")
+    return V.items(spark, d).withColumn("title", F.when(k % 3 == 0, F.concat(name, F.lit(" 시즌"), season, F.lit(" 01회"))).when(k % 3 == 1, F.concat(name, F.lit(" "), season, F.lit(" 02회"))).otherwise(F.col("title")))
+
+
+SEASON = "CAST(CASE WHEN item_id % 3 = 2 THEN 1 ELSE item_id % 4 + 1 END AS INTEGER)"
+
+
+@query("s14_by_season", f"SELECT item_id, coalesce(p, poster_url) AS poster_url FROM (SELECT *, {SEASON} AS season FROM items) LEFT JOIN (SELECT series_nm AS s, item_id % 4 + 1 AS of, 'u/' || min(item_id) AS p FROM items WHERE item_id % 2 = 0 AND series_nm IS NOT NULL GROUP BY ALL) ON s = series_nm AND of = season")
+def s14_by_season(spark, d):
+    source = V.items(spark, d).filter("item_id % 2 = 0 AND series_nm IS NOT NULL").groupBy("series_nm", (F.col("item_id") % 4 + 1).alias("season")).agg(F.concat(F.lit("u/"), F.min("item_id").cast("string")).alias("poster_url"))
+    return S.update_by_season(titled(spark, d), source, ["poster_url"]).select("item_id", "poster_url")
+
+
+@query("w19_by_season", f"SELECT series_nm, {SEASON} AS season, min(item_id) AS item_id FROM items WHERE poster_url IS NULL AND series_nm IS NOT NULL GROUP BY ALL")
+def w19_by_season(spark, d):
+    return season_work_list(titled(spark, d), "poster_url").withColumn("season", F.col("season").cast("int"))
+
+
+@query("s3_jdbc_extract", "SELECT item_id, title, vote_avg FROM items")
+def s3(spark, d):
+    # a database in the memory of this process, so for local masters
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    S.write_jdbc(V.items(spark, d).select("item_id", "title", "vote_avg"), url, "items", properties=driver)
+    return S.extract_jdbc(spark, url, "SELECT * FROM items", "item_id", folder(spark), 6, 3, driver)
+
+
 @query("s15_merge_parts", "SELECT series_nm, coalesce(min(CASE WHEN item_id % 3 = 0 THEN item_id END), min(CASE WHEN item_id % 3 = 1 THEN item_id END)) AS item_id FROM items WHERE series_nm IS NOT NULL AND item_id % 3 < 2 GROUP BY 1")
 def s15(spark, d):
     items = V.items(spark, d).filter("series_nm IS NOT NULL")
@@ -201,6 +234,35 @@ def h28(spark, d):
     return V.items(spark, d).select("item_id", repair.replace_names(F.col("director"), {"Brand#1": "Eins", "Brand#2": "Eins"}).alias("director"))
 
 
+RENAMED = {"Brand#11": "Eins", "Brand#12": "Eins", "Brand#13": "Eins", "Brand#21": "Brand#22", "Brand#31": "Brand#32"}
+OLD = "CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMED.items()) + " ELSE {x} END"
+NAMED = """SELECT item_id, 'director' AS category, unnest(l) AS value, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, list_transform(string_split(director, ','), lambda x: trim(x)) AS l FROM items)
+    UNION ALL SELECT item_id, 'actor_lead', unnest(l), unnest(range(1, len(l) + 1)) FROM (SELECT item_id, list_transform(from_json(cast_lead, '["VARCHAR"]'), lambda x: trim(x)) AS l FROM items) UNION ALL SELECT item_id, 'provider', provider, 1 FROM items"""
+ONCE = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+@query(
+    "h28_rename_cascade",
+    f"""SELECT 'item' AS part, item_id AS id, array_to_string({ONCE.format(l='dl')}, ', ') AS a, '["' || array_to_string({ONCE.format(l='cl')}, '","') || '"]' AS b, NULL::DOUBLE AS x, NULL::BIGINT AS n FROM (SELECT item_id,
+        list_transform(string_split(director, ','), lambda x: {OLD.format(x='trim(x)')}) AS dl, list_transform(from_json(cast_lead, '["VARCHAR"]'), lambda x: {OLD.format(x='trim(x)')}) AS cl FROM items)
+    UNION ALL SELECT 'tag', item_id, category, CASE WHEN category = 'provider' THEN value ELSE {OLD.format(x='value')} END AS v, round(max(0.5 + 0.1 * i), 6), NULL FROM named GROUP BY item_id, category, v
+    UNION ALL SELECT 'preference', user_id, category, CASE WHEN category = 'provider' THEN value ELSE {OLD.format(x='value')} END AS v, round(max(a), 6), sum(n)::BIGINT FROM (SELECT user_id, category, value, max(completion) AS a, count(*) AS n FROM watches JOIN named USING (item_id) GROUP BY ALL) GROUP BY user_id, category, v""",
+    named=NAMED,
+)
+def h28_cascade(spark, d):
+    items = V.items(spark, d)
+    listed = lambda names, category: items.select("item_id", F.lit(category).alias("category"), F.posexplode(names).alias("i", "value"))
+    tags = listed(C.comma_names(F.col("director")), "director").unionByName(listed(C.json_names(F.col("cast_lead")), "actor_lead")).unionByName(listed(F.array("provider"), "provider"))
+    tags = tags.select("item_id", "category", "value", (F.lit(0.5) + 0.1 * (F.col("i") + 1)).alias("confidence"))
+    liked = V.watches(spark, d).join(tags, "item_id").groupBy("user_id", "category", "value").agg(F.max("completion").alias("affinity"), F.count(F.lit(1)).alias("watch_count"))
+    a, b, c = repair.rename_people(items, tags, liked, RENAMED)
+    row = lambda rows, part, *columns: rows.select(F.lit(part).alias("part"), *[x.alias(n) for x, n in zip(columns, ("id", "a", "b", "x", "n"), strict=True)])
+    none = F.lit(None)
+    out = row(a, "item", F.col("item_id"), F.col("director"), F.col("cast_lead"), none.cast("double"), none.cast("long"))
+    out = out.unionByName(row(b, "tag", F.col("item_id"), F.col("category"), F.col("value"), F.round("confidence", 6), none.cast("long")))
+    return out.unionByName(row(c, "preference", F.col("user_id"), F.col("category"), F.col("value"), F.round("affinity", 6), F.col("watch_count")))
+
+
 @query("h33_templates", "SELECT item_id, CASE WHEN genre = 'red' THEN 'all red things' WHEN genre = 'hot' THEN 'hot for you' ELSE 'more ' || genre END AS label FROM items")
 def h33(spark, d):
     overrides = spark.createDataFrame([("red", "all red things")], "value string, special string")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from reelspark.functions.titles import season_of
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, renames: dict[str, str] | None = None) -> DataFrame:
     """A CSV with a header and a declared schema (nothing is inferred), columns renamed."""
@@ -43,6 +45,39 @@ def read_jdbc(spark: SparkSession, url: str, query: str, key: str, bounds: tuple
     return spark.read.format("jdbc").options(**options, **(properties or {})).load()
 
 
+def extract_jdbc(spark: SparkSession, url: str, query: str, key: str, path: str, ranges: int, at_once: int = 8, properties: dict | None = None) -> DataFrame:
+    """A query's rows as Parquet below ``path``, read by ranges of a numeric key; an extract that broke off goes on where it was.
+
+    The ranges are taken from the source once and written beside the data; the first and the last are open, so rows
+    that come in later, and null keys (in the first), are in one of them. Ranges are read ``at_once`` at a time, one task each,
+    into folders of their own. A folder that was written to the end is not read again.
+    """
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/ranges/_SUCCESS")):
+        quoted = f'"{key}"'
+        lo, hi = spark.read.format("jdbc").options(url=url, dbtable=f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM ({query}) a) q", **(properties or {})).load().first()
+        edges = [] if lo is None else sorted({int(lo) + (int(hi) - int(lo) + 1) * k // ranges for k in range(1, ranges)} - {int(lo)})
+        spark.createDataFrame([(e,) for e in edges], "edge long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    edges = [None, *sorted(r["edge"] for r in spark.read.parquet(f"{path}/ranges").collect()), None]
+    parts = []
+    for n, (since, until) in enumerate(zip(edges, edges[1:], strict=False)):
+        conditions = [f'"{key}" >= {since}'] * (since is not None) + [f'"{key}" < {until}'] * (until is not None)
+        whole = " AND ".join(conditions) or "1 = 1"
+        parts.append((n, whole if since is not None else f'({whole} OR "{key}" IS NULL)'))
+    folder = lambda wave: f"{path}/wave={wave[0][0]}"
+    waves = [parts[k : k + at_once] for k in range(0, len(parts), at_once)]
+    for wave in waves:
+        if not fs.exists(at(f"{folder(wave)}/_SUCCESS")):
+            spark.read.jdbc(url, f"({query}) q", predicates=[w for _, w in wave], properties={"fetchsize": "50000", **(properties or {})}).write.mode("overwrite").parquet(folder(wave))
+    return spark.read.parquet(*[folder(wave) for wave in waves])
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes paths for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, properties: dict | None = None) -> None:
     """Rows into a database table, in batches from every partition."""
     rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **(properties or {})).mode(mode).save()
@@ -91,6 +126,19 @@ def fill_nulls(target: DataFrame, source: DataFrame, key: str, columns: list[str
     return target.join(s, key, "left").withColumns({c: pick(c) for c in columns}).select(target.columns)
 
 
+def update_by_season(items: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
+    """Items with ``columns`` from the source's row of the same series and season, where it has a value.
+
+    The season is the one that an item's title names (1 without one). ``items``: series_nm, title and
+    the columns; ``source``: series_nm, season and the columns, a row for each key. Items without a
+    series, and seasons that the source lacks, stay as they are.
+    """
+    keyed = items.withColumn("_season", F.when(F.col("title").isNull(), 1).otherwise(season_of(F.col("title"))[1]))
+    s = source.select(F.col("series_nm").alias("_series"), F.col("season").alias("_of"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = keyed.join(s, (F.col("series_nm") == F.col("_series")) & (F.col("_season") == F.col("_of")), "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(items.columns)
+
+
 def merge_parts(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """The union of parts; of each key the row of the earliest part stays."""
     out = None
