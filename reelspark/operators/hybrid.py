@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.cleaning import comma_names, detail_genres, item_confidence, json_names
@@ -33,10 +33,16 @@ def hybrid_scores(candidates: DataFrame, tags: DataFrame, preferences: DataFrame
 
     A user without preferences keeps the scores as they are. ``candidates``: user_id, item_id, score, type.
     """
-    matched = candidates.select("user_id", "item_id").distinct().join(tags.select("item_id", "category", "value"), "item_id").join(preferences.select("user_id", "category", "value", "affinity"), ["user_id", "category", "value"])
-    ranked = top_per_group(matched, ["user_id", "item_id"], [F.desc("affinity"), F.col("category"), F.col("value")], max(top_tags, explained))
-    tag = F.struct("rank", "category", "value", "affinity")
-    overlap = ranked.groupBy("user_id", "item_id").agg(F.avg(F.when(F.col("rank") <= top_tags, F.col("affinity"))).alias("_t"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= explained, tag))), lambda s: F.struct(s.category.alias("category"), s.value.alias("value"), s.affinity.alias("affinity"))).alias("explanation"))
+    liked = preferences.select("category", "value").distinct()
+    known_tags = tags.select("item_id", "category", "value").join(liked, ["category", "value"], "left_semi")  # others match no one
+    matched = candidates.select("user_id", "item_id").distinct().join(known_tags, "item_id").join(preferences.select("user_id", "category", "value", "affinity"), ["user_id", "category", "value"])
+    # an item has few tags, so those that match meet in one short list
+    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("affinity")).alias("o"), "category", "value"))), 1, max(top_tags, explained))
+    overlap = matched.groupBy("user_id", "item_id").agg(listed.alias("_l"))
+    first = F.slice("_l", 1, top_tags)
+    mean = F.aggregate(first, F.lit(0.0), lambda t, x: t - x["o"]) / F.size(first)
+    why = F.transform(F.slice("_l", 1, explained), lambda x: F.struct(x["category"].alias("category"), x["value"].alias("value"), (-x["o"]).alias("affinity")))
+    overlap = overlap.select("user_id", "item_id", mean.alias("_t"), why.alias("explanation"))
     known = preferences.select("user_id").distinct().withColumn("_known", F.lit(True))
     rows = candidates.join(overlap, ["user_id", "item_id"], "left").join(known, "user_id", "left")
     score = F.when(F.col("_known"), F.round(F.least(beta * F.col("score") + (1 - beta) * F.coalesce("_t", F.lit(0.0)), F.lit(1.0)), 6)).otherwise(F.col("score"))
@@ -87,13 +93,22 @@ def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: Da
     cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
     known = items.filter("poster_url IS NOT NULL").select("item_id", F.coalesce("series_nm", F.col("item_id").cast("string")).alias("_s"))
     shelf = top_per_group(tags.filter(F.col("category").isin(*slots)), ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(known, "item_id").select("category", "value", "item_id", "_c", "_s")
-    rows = liked.select("user_id", "category", "value", "_r").join(shelf, ["category", "value"]).join(watches.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    # a shelf is a short list; of a user's history only what stands on some shelf matters
+    listed = shelf.groupBy("category", "value").agg(F.array_sort(F.collect_list(F.struct("_c", "item_id", "_s"))).alias("_shelf"))
+    seen = watches.select("user_id", "item_id").distinct().join(shelf.select("item_id").distinct(), "item_id", "left_semi").groupBy("user_id").agg(F.collect_list("item_id").alias("_seen"))
+    rows = liked.select("user_id", "category", "value", "_r").join(listed, ["category", "value"]).join(seen, "user_id", "left")
+    none = F.array().cast("array<bigint>")
+    start = F.struct(none.alias("items"), F.array().cast("array<string>").alias("series"))
+
+    def add(kept: Column, x: Column) -> Column:
+        """The next unseen item of a series that isn't there yet, until there are enough."""
+        skip = (F.size(kept["items"]) >= per_tag) | F.array_contains(F.coalesce(F.col("_seen"), none), x["item_id"]) | F.array_contains(kept["series"], x["_s"])
+        return F.when(skip, kept).otherwise(F.struct(F.array_append(kept["items"], x["item_id"]).alias("items"), F.array_append(kept["series"], x["_s"]).alias("series")))
+
     tag = ["user_id", "category", "value"]
-    one = top_per_group(rows, [*tag, "_s"], [F.col("_c"), F.col("item_id")], 1, "_n").drop("_n")
-    kept = top_per_group(one, tag, [F.col("_c"), F.col("item_id")], per_tag, "item_rank")
-    full = kept.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*tag))).filter(F.col("_m") == per_tag)
-    ranked = full.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r")))
-    return ranked.filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category"))).select(*tag, "tag_rank", "item_id", "item_rank")
+    kept = rows.select(*tag, "_r", F.aggregate("_shelf", start, add)["items"].alias("_items")).filter(F.size("_items") == per_tag)
+    ranked = kept.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category")))
+    return ranked.select(*tag, "tag_rank", F.posexplode("_items").alias("_p", "item_id")).select(*tag, "tag_rank", "item_id", (F.col("_p") + 1).alias("item_rank"))
 
 
 def similar_or_popular(items: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
