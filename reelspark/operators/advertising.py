@@ -57,6 +57,48 @@ def item_summary(signals: DataFrame, bucketed: DataFrame, keywords: int = 3) ->
     return whole.join(head, "item_id").join(multi, "item_id", "left").select("item_id", "kinds", "top_kinds", "signals", F.coalesce("multi_buckets", F.lit(0)).cast("long").alias("multi_buckets"))
 
 
+#: Endings of names of sights, and sights without one, as against towns.
+SIGHT_ENDINGS = ("산", "사", "궁", "대교", "시장", "오일장", "해변", "해수욕장", "마을", "성", "봉", "폭포", "길", "공원")
+SIGHTS = ("경기전", "객사", "태종대", "광안대교", "상당산성", "정선아리랑시장", "정선오일장", "한옥마을", "순천만")
+
+
+def is_sight(place: Column) -> Column:
+    """Whether a place is a sight rather than a town, by its name alone: a town that ends like one (부산) counts as one."""
+    return place.isin(*SIGHTS) | place.rlike(f"({'|'.join(SIGHT_ENDINGS)})$")
+
+
+def item_regions(items: DataFrame, mentions: DataFrame, stated: DataFrame, looked_at: int = 10, listed: int = 5) -> DataFrame:
+    """(item_id, regions, region, basis): the places that an item names, most often named first, and the one that it is about.
+
+    ``mentions``: item_id, place, source (spoken or written), at; ``stated``: item_id, place, from the
+    item's own description. Ties go to what was spoken before what was written, then to the first
+    mention. ``regions`` has ``listed`` of them. ``region`` is the stated place; else, of the ``looked_at``
+    most named, the first town; else the first sight. ``basis`` tells which. An item without evidence has no
+    region; null places don't count; of several stated places the first by name stands.
+    """
+    order = F.struct((-F.col("n")).alias("n"), F.col("first"), F.col("place"))
+    first = F.min(F.struct((F.col("source") != "spoken").alias("written"), F.col("at")))
+    counted = mentions.filter("place IS NOT NULL").groupBy("item_id", "place").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    top = top_per_group(counted.withColumn("o", order), ["item_id"], [F.col("o")], looked_at)
+    places = top.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "place"))), lambda x: x["place"]).alias("_p"))
+    said = stated.filter("place IS NOT NULL").groupBy("item_id").agg(F.min("place").alias("_s"))
+    town = F.try_element_at(F.filter("_p", lambda p: ~is_sight(p)), F.lit(1))
+    sight = F.try_element_at(F.filter("_p", is_sight), F.lit(1))
+    rows = items.select("item_id").join(places, "item_id", "left").join(said, "item_id", "left")
+    basis = F.when(F.col("_s").isNotNull(), "stated").when(town.isNotNull(), "town").when(sight.isNotNull(), "sight")
+    return rows.select("item_id", F.coalesce(F.slice("_p", 1, listed), F.array().cast("array<string>")).alias("regions"), F.coalesce("_s", town, sight).alias("region"), basis.alias("basis"))
+
+
+def place_hints(texts: DataFrame, key: str, text: str, dictionary: DataFrame, place_category: str, least: int = 2) -> DataFrame:
+    """(key, category, place): what a text's keywords of at least ``least`` letters say: the category of the last one, and the last one that is a place.
+
+    ``dictionary``: keyword, category, hint, position, whose order decides which is last. Texts without such a keyword have no row.
+    """
+    hits = spot_keywords(texts.select(key, text), text, dictionary).filter(F.length("keyword") >= least)
+    place = F.max_by(F.when(F.col("category") == place_category, F.col("keyword")), F.when(F.col("category") == place_category, F.col("position")))
+    return hits.groupBy(key).agg(F.max_by("category", "position").alias("category"), place.alias("place"))
+
+
 def match_ads(items: DataFrame, events: DataFrame, products: DataFrame) -> DataFrame:
     """(item_id, ad, source, score): an event of the item's place first; else the best product for its first food keyword.
 

@@ -134,6 +134,57 @@ def p1(spark, d):
     return advertising.match_ads(rows, events, products)
 
 
+# places are nations, and sights in them where a signal is strong; every fifth item states a nation of its own
+MENTIONS = "SELECT s.item_id, CASE WHEN s.score > 20 THEN n_name || '산' ELSE n_name END AS place, CASE WHEN kind = 'stt' THEN 0 ELSE 1 END AS written, s.at AS moment FROM signals s JOIN nation ON n_nationkey = s.event_id % 7 WHERE kind IN ('stt', 'ocr')"
+PLACES = """SELECT item_id, place, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, w, moment, place) AS rank FROM (SELECT item_id, place, count(*) AS n, min(written) AS w, arg_min(moment, (written, moment)) AS moment FROM mentions GROUP BY ALL)"""
+REGIONS = """SELECT i.item_id, coalesce(p.regions, '') AS regions, coalesce(n.n_name, p.town, p.sight) AS region, CASE WHEN n.n_name IS NOT NULL THEN 'stated' WHEN p.town IS NOT NULL THEN 'town' WHEN p.sight IS NOT NULL THEN 'sight' END AS basis FROM items i
+    LEFT JOIN (SELECT item_id, string_agg(place, ',' ORDER BY rank) FILTER (rank <= 5) AS regions, arg_min(place, rank) FILTER (NOT place LIKE '%산') AS town, arg_min(place, rank) FILTER (place LIKE '%산') AS sight FROM places WHERE rank <= 10 GROUP BY item_id) p USING (item_id)
+    LEFT JOIN nation n ON i.item_id % 5 = 0 AND n.n_nationkey = i.item_id % 25"""
+REGION = {"mentions": MENTIONS, "places": PLACES, "regions": REGIONS}
+
+
+def regions(spark, d):
+    nation = V.table(spark, d, "nation").select("n_nationkey", "n_name")
+    said = V.signals(spark, d).filter(F.col("kind").isin("stt", "ocr")).join(nation, F.col("event_id") % 7 == F.col("n_nationkey"))
+    place = F.when(F.col("score") > 20, F.concat("n_name", F.lit("산"))).otherwise(F.col("n_name"))
+    mentions = said.select("item_id", place.alias("place"), F.when(F.col("kind") == "stt", "spoken").otherwise("written").alias("source"), "at")
+    stated = V.items(spark, d).filter("item_id % 5 = 0").join(nation, F.col("item_id") % 25 == F.col("n_nationkey")).select("item_id", F.col("n_name").alias("place"))
+    return advertising.item_regions(V.items(spark, d), mentions, stated)
+
+
+@query("a14_regions", "SELECT * FROM regions", **REGION)
+def a14_regions(spark, d):
+    return regions(spark, d).withColumn("regions", F.array_join("regions", ","))
+
+
+# events in the nations of two regions; a product of each series comes from the nation of its first item
+P1 = """WITH rows AS (SELECT i.item_id, i.series_nm, r.region AS place, i.title || ' ' || n.n_name AS text FROM items i JOIN regions r USING (item_id) JOIN nation n ON n.n_nationkey = i.item_id % 25 WHERE series_nm IS NOT NULL),
+products AS (SELECT series_nm, n_name AS region, 'dish ' || series_nm AS product FROM (SELECT series_nm, min(item_id) AS m FROM items WHERE series_nm IS NOT NULL GROUP BY 1) JOIN nation ON n_nationkey = m % 25)
+SELECT item_id, coalesce('fair ' || n.n_name, product) AS ad, CASE WHEN n.n_name IS NULL THEN 'product' ELSE 'event' END AS source, CAST(CASE WHEN n.n_name IS NULL THEN 2 + 2 * CAST(contains(text, p.region) AS INTEGER) + CAST(coalesce(p.region = place, false) AS INTEGER) ELSE 1 END AS INTEGER) AS score
+FROM rows JOIN products p USING (series_nm) LEFT JOIN nation n ON n.n_name = place AND n.n_regionkey < 2"""
+
+
+@query("p1_by_region", f"SELECT * FROM ({P1})", **REGION)
+def p1_by_region(spark, d):
+    nation = V.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    items = V.items(spark, d).filter("series_nm IS NOT NULL")
+    of = lambda rows, key: rows.join(nation, F.col(key) % 25 == F.col("n_nationkey"))
+    rows = of(items, "item_id").join(regions(spark, d).select("item_id", "region"), "item_id").select("item_id", F.col("region").alias("place"), F.array("series_nm").alias("foods"), F.concat("title", F.lit(" "), "n_name").alias("text"))
+    products = of(items.groupBy("series_nm").agg(F.min("item_id").alias("m")), "m").select(F.col("series_nm").alias("food"), F.col("n_name").alias("region"), F.concat(F.lit("dish "), "series_nm").alias("product"))
+    events = nation.filter("n_regionkey < 2").select(F.col("n_name").alias("place"), F.concat(F.lit("fair "), "n_name").alias("event"))
+    return advertising.match_ads(rows, events, products)
+
+
+# two nations in each text; some names hold others, and a name is passed over where the longest that holds it is found too
+@query("p2_place_hints", "SELECT item_id, arg_max(CASE WHEN n_regionkey < 3 THEN 'place' ELSE 'food' END, n_nationkey) AS category, arg_max(n_name, n_nationkey) FILTER (n_regionkey < 3) AS place FROM (SELECT item_id, a.n_name || ' / ' || b.n_name AS text FROM items JOIN nation a ON a.n_nationkey = item_id % 25 JOIN nation b ON b.n_nationkey = item_id * 7 % 25) JOIN (SELECT n.*, (SELECT arg_max(o.n_name, (length(o.n_name), o.n_name)) FROM nation o WHERE contains(o.n_name, n.n_name) AND o.n_name <> n.n_name) AS longer FROM nation n) n ON contains(text, n_name) AND NOT coalesce(contains(text, longer), false) GROUP BY item_id")
+def p2_place_hints(spark, d):
+    nation = V.table(spark, d, "nation")
+    name = lambda n: nation.select(F.col("n_nationkey").alias(f"k{n}"), F.col("n_name").alias(f"n{n}"))
+    texts = V.items(spark, d).join(name(1), F.col("item_id") % 25 == F.col("k1")).join(name(2), F.col("item_id") * 7 % 25 == F.col("k2")).select("item_id", F.concat_ws(" / ", "n1", "n2").alias("text"))
+    words = nation.select(F.col("n_name").alias("keyword"), F.when(F.col("n_regionkey") < 3, "place").otherwise("food").alias("category"), F.lit("").alias("hint"), F.col("n_nationkey").alias("position"))
+    return advertising.place_hints(texts, "item_id", "text", words, "place")
+
+
 @query("p3_event_feed", "SELECT series_nm, release_date, min(item_id) AS item_id FROM items WHERE year(release_date) = 2000 AND series_nm IS NOT NULL GROUP BY ALL")
 def p3(spark, d):
     feed = V.items(spark, d).filter((F.year("release_date") == 2000) & F.col("series_nm").isNotNull())

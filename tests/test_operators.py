@@ -138,3 +138,25 @@ def test_jdbc_round_trip(spark, tmp_path):
     back = tables.read_jdbc(spark, url, 'SELECT * FROM items WHERE "id" < 30', "id", (0, 30), 3, driver)
     assert back.rdd.getNumPartitions() == 3
     assert sorted((r["id"], r["name"] or "") for r in back.collect()) == sorted((r["id"], r["name"] or "") for r in data.filter("id < 30").collect())
+
+
+def test_regions_by_weight_of_evidence(spark):
+    """Stated places, towns and sights in conflict; ties by source, then by first mention; no evidence."""
+    from reelspark.operators import advertising
+
+    items = spark.createDataFrame([(i,) for i in range(1, 7)], "item_id long")
+    mentions = [(1, "태종대", "spoken", 1.0), (1, "태종대", "written", 2.0), (1, "강릉", "written", 3.0), (2, "한라산", "written", 1.0), (2, "한라산", "spoken", 9.0), (2, None, "spoken", 0.0), (3, "전주", "spoken", 5.0), (3, "제주", "written", 1.0), (3, "서울", "spoken", 4.0), (4, "부산", "spoken", 1.0), (6, "오사", "spoken", 1.0)]
+    stated = [(4, "제주"), (4, "강릉"), (5, "대전"), (6, None)]
+    got = advertising.item_regions(items, spark.createDataFrame(mentions, "item_id long, place string, source string, at double"), spark.createDataFrame(stated, "item_id long, place string"))
+    assert {r["item_id"]: (r["regions"], r["region"], r["basis"]) for r in got.collect()} == {
+        1: (["태종대", "강릉"], "강릉", "town"), 2: (["한라산"], "한라산", "sight"), 3: (["서울", "전주", "제주"], "서울", "town"), 4: (["부산"], "강릉", "stated"), 5: ([], "대전", "stated"), 6: (["오사"], "오사", "sight"),
+    }
+
+
+def test_place_hints_take_the_last_keyword(spark):
+    from reelspark.operators import advertising
+
+    words = spark.createDataFrame([("부산", "place", "", 1), ("콩나물", "food", "", 2), ("나물", "food", "", 3), ("제주", "place", "", 4), ("회", "food", "", 5)], "keyword string, category string, hint string, position int")
+    texts = spark.createDataFrame([(1, "제주에서 부산까지 콩나물"), (2, "콩나물을"), (3, "회"), (4, None), (5, "부산은 나물")], "id long, t string")
+    got = advertising.place_hints(texts, "id", "t", words, "place")
+    assert sorted(map(tuple, got.collect())) == [(1, "place", "제주"), (2, "food", None), (5, "food", "부산")]
