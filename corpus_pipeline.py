@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir). Its result is written as Parquet to shared
-storage and reread as the next one's docs; all but the last return the columns of documents.
+storage and reread as the next one's docs; all but the last return the columns of documents, whatever
+their names, untouched but for what the stage is for. An empty table goes through all of them.
 """
 
 from __future__ import annotations
@@ -20,27 +21,36 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the lexicon is learned from ``labels`` without its held-out fifth."""
+    """Documents that score as toxic go; the lexicon is learned from ``labels`` without its held-out fifth.
+
+    Null and empty texts stay, and so does all where no label teaches anything; repeated rows stay or go together.
+    """
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id (null ids last).
+
+    Null, empty and wordless texts are copies of each other; of repeated rows one stays; rows that share an id but not a group all stay.
+    """
     return drop_similar(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of ``benchmark`` within its error budget go."""
+    """Documents that hold an item of ``benchmark`` within its error budget go.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together.
+    """
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark; no document goes. Null and empty texts stay as they are, repeated rows each."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, packed into sequences of 2048 tokens: a row for each piece."""
+    """All that is left, packed into sequences of 2048 tokens: a row for each piece. Null and empty texts are the end mark alone; repeated rows are packed each."""
     return pack(docs, tokenizer_path())
 
 
