@@ -221,12 +221,15 @@ def j16(spark, d):
     return V.items(spark, d).groupBy(F.coalesce("series_nm", "title").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j17_fuzzy_join", "SELECT item_id, match_id FROM (SELECT a.item_id, b.item_id AS match_id, row_number() OVER (PARTITION BY a.item_id ORDER BY (a.ct_cl = b.ct_cl) DESC, round(1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)), 6) DESC, b.item_id) AS n FROM items a JOIN items b ON a.genre = b.genre AND a.item_id <> b.item_id WHERE 1 - levenshtein(a.genre_detail || a.provider, b.genre_detail || b.provider) / greatest(length(a.genre_detail || a.provider), length(b.genre_detail || b.provider)) > 0.3) WHERE n = 1")
+@query("j17_fuzzy_join", """SELECT item_id, match_id FROM (SELECT l.item_id, r.item_id AS match_id, row_number() OVER (PARTITION BY l.item_id ORDER BY p.same DESC, p.s DESC, r.item_id) AS n FROM named l
+    JOIN (SELECT * FROM (SELECT a.name AS a, a.type AS ta, b.name AS b, b.type AS tb, a.type = b.type AS same, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS s FROM kinds a, kinds b) WHERE s > 0.3
+      QUALIFY rank() OVER (PARTITION BY a, ta ORDER BY same DESC, s DESC) <= 2) p ON p.a = l.name AND p.ta = l.type JOIN named r ON r.name = p.b AND r.type = p.tb AND r.item_id <> l.item_id) WHERE n = 1""",
+    named="SELECT item_id, genre_detail || provider AS name, ct_cl AS type FROM items", kinds="SELECT DISTINCT name, type FROM named")
 def j17(spark, d):
     from reelspark.operators.search import fuzzy_match
 
-    items = V.items(spark, d).select("item_id", F.concat("genre_detail", "provider").alias("name"), F.col("ct_cl").alias("type"), F.col("genre").alias("block"))
-    return fuzzy_match(items, items.select(F.col("item_id").alias("match_id"), F.col("name").alias("match_name"), F.col("type").alias("match_type"), "block"))
+    items = V.items(spark, d).select("item_id", F.concat("genre_detail", "provider").alias("name"), F.col("ct_cl").alias("type"))
+    return fuzzy_match(items, items.select(F.col("item_id").alias("match_id"), F.col("name").alias("match_name"), F.col("type").alias("match_type")), V.written)
 
 
 @query("j18_orphans", "SELECT (SELECT count(*) FROM watches WHERE item_id NOT IN (SELECT item_id FROM vectors)) AS no_vector, (SELECT count(*) FROM vectors WHERE item_id NOT IN (SELECT item_id FROM watches)) AS no_watch")
