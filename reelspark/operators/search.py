@@ -84,10 +84,11 @@ def _nearest_names(left: DataFrame, ids: DataFrame, least: float, write: Callabl
     clues = lambda name: F.array_distinct(F.array_append(_letters_of(F.col(name), F.lit(3)), F.concat(F.lit("="), F.col(name))))
     stand = right.select("k", "b", F.explode(clues("b")).alias("clue")).groupBy("k", "clue").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("bs"))
     first = left.select("k", "a", F.explode(clues("a")).alias("clue")).join(stand, ["k", "clue"]).select("k", "a", F.explode("bs").alias("b")).distinct()
-    seeds = write(_two_best(first, ids, least))
+    # pairs are written before they are measured: a condition on the distance would move below distinct, to every stretch that two names share
+    seeds = write(_two_best(write(first), ids, least))
     bounds = seeds.groupBy("k", "a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).filter("n = 2").select("k", "a", "s")
     asked = left.join(bounds, ["k", "a"], "left").select("k", "a", F.coalesce("s", F.lit(least)).alias("bound"))
-    more = _two_best(similar_name_pairs(asked, right, least, write), ids, least)
+    more = _two_best(write(similar_name_pairs(asked, right, least, write)), ids, least)
     one = more.unionByName(seeds).groupBy("k", "a", "match_id").agg(F.max("s").alias("s"))
     return write(top_per_group(one, ["k", "a"], [F.desc("s"), F.col("match_id")], 2, "_n").drop("_n"))
 
