@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from reelspark.functions.cleaning import comma_names, json_names, mapping
 from reelspark.functions.titles import series_name
 
-#: What may follow a name, and family names that make a word a person.
-PARTICLES = "(?:은|는|이|가|과|와|을|를|의|도)"
-FAMILY_NAMES = "김이박최정강조윤장임한오서신권황안송전홍"
+#: Fixed values, to find equal names: how a synopsis names its guests, in the order in which they count. The first gives a list, the others names.
+GUESTS = r"(?:특별\s*)?게스트\s*[:\-]?\s*([가-힣A-Za-z0-9\s,·&X×]+?)(?:[。.!?\n(]|$)"
+GUEST_PATTERNS = (
+    r"특별\s*출연\s*[:\-]?\s*([가-힣]{2,4})",
+    r"(?:배우|가수|개그맨|방송인|모델|운동선수|아이돌|MC|래퍼|코미디언|탤런트)\s+([가-힣]{2,4})",
+    r"([가-힣]{2,4})(?:이|가)\s+(?:출연|등장|방문|합류|전격\s*합류|특별출연)",
+    r"([가-힣]{2,4})[X×&]\s*([가-힣]{2,4})",
+    r"(?:고수|달인|스타|셰프|요리사)\s+([가-힣]{2,4})",
+    r"([가-힣]{2,4})(?:이|가|은|는|의|와|과|도|을|를)\s+(?:출연|등장|방문|합류|초대|진행|참여|함께|소개|이야기|준비)",
+)
+#: Particles, family names that make a word a person, and words that are none.
+PARTICLES = "이가은는을를의도와과에서로"
+FAMILY_NAMES = "김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노하곽성차주우구나민진지엄채원천방공현함변염여추도소석선설마길봉시형"
+NO_NAMES = (
+    "오늘 이번 지난 다음 그날 매주 매일 처음 출연 게스트 방송 특집 편집 에피 시리즈 스튜디오 무대 현장 이야기 준비 진행 특별 연예 오락 예능 드라마 영화 프로그램 리얼리티 "
+    "여성 남성 어린이 어른 노인 청년 커플 한국 서울 부산 미국 중국 일본 음악 노래 댄스 춤 요리 여행 토크 결승 예선 미션 라운드 시즌"
+).split()
 
 
 def keyword_genre(text: Column, rules: list[tuple[str, list[str]]], ambiguous: list[tuple[str, str]] = ()) -> tuple[Column, Column, Column]:
@@ -30,11 +44,19 @@ def remap_genre(items: DataFrame, by_detail: dict[str, str], by_class: dict[str,
 
 
 def guest_names(text: Column, most: int = 8) -> Column:
-    """Names that a synopsis gives after words such as 게스트 or 배우, without particles, in order."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?:게스트|배우|가수|출연자)\s+((?:[가-힣]{2,5}(?:,\s*)?)+)"), 1)
-    names = F.flatten(F.transform(runs, lambda r: F.split(r, r",\s*")))
-    bare = F.transform(names, lambda n: F.regexp_replace(n, rf"^([가-힣]{{3}}){PARTICLES}$", "$1"))
-    return F.slice(F.array_distinct(F.filter(bare, lambda n: n.rlike(rf"^[{FAMILY_NAMES}][가-힣]{{1,3}}$"))), 1, most)
+    """Names that a synopsis gives to guests: by a list behind their label, then by each further pattern; in order, once each, ``most`` at most.
+
+    Up to two particles come off the end; words of two to four syllables stay, if they begin with a family name and are no stop words. None of a null text.
+    """
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit("(?U)" + pattern), group)
+    listed = F.flatten(F.transform(found(GUESTS, 1), lambda r: F.split(r, r"(?U)[,·\s&X×]+")))
+    single = []
+    for pattern in GUEST_PATTERNS:
+        groups = [found(pattern, g + 1) for g in range(pattern.count("([가-힣]"))]
+        single.append(groups[0] if len(groups) == 1 else F.flatten(F.zip_with(*groups, lambda x, y: F.array(x, y))))
+    bare = F.transform(F.concat(listed, *single), lambda n: F.regexp_replace(n, f"[{PARTICLES}]{{1,2}}$", ""))
+    person = lambda n: n.rlike(f"^[{FAMILY_NAMES}][가-힣]{{1,3}}$") & ~n.isin(*NO_NAMES)
+    return F.slice(F.array_distinct(F.filter(bare, person)), 1, most)
 
 
 def romanised_name(text: Column, syllables: dict[str, str]) -> Column:

@@ -215,10 +215,20 @@ def h24(spark, d):
     return found.groupBy("ct_cl").agg(F.count(F.lit(1)).alias("n"), F.count_if("residual").alias("residual"))
 
 
-@query("h26_guest_names", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '김철수|박영희' ELSE '이민호' END AS guests FROM items")
+# two names spelt from the letters of an item's words, in one of eight kinds of synopsis
+LETTERS, FAMILY, GIVEN = "abcdefghijklmnopqrstuvwxyz", "김이박최정강조윤장임한오서신권황안송류전홍고문양손배", "민준연지우현수진영호선태경미혜정훈성희재윤하빈솔찬람"
+NAMED = "SELECT item_id, " + ", ".join(f"translate(substr(split_part(genre_detail, ', ', {i}), 1, 1), '{LETTERS}', '{FAMILY}') || translate(substr(split_part(genre_detail, ', ', {i}), 2, 2), '{LETTERS}', '{GIVEN}') AS {n}" for i, n in ((1, "a"), (2, "b"))) + " FROM items"
+
+
+@query("h26_guest_names", "SELECT item_id, CASE WHEN item_id % 8 IN (0, 2, 3) THEN CASE WHEN a = b THEN a ELSE a || '|' || b END WHEN item_id % 8 IN (1, 4, 5) THEN a ELSE '' END AS guests FROM people", people=NAMED)
 def h26(spark, d):
-    text = F.concat("genre", F.when(F.col("item_id") % 2 == 0, " 게스트 김철수, 박영희가 출연").otherwise(" 배우 이민호와 함께"))
-    return V.items(spark, d).select("item_id", F.array_join(repair.guest_names(text), "|").alias("guests"))
+    word = F.split("genre_detail", ", ")
+    a, b = (F.concat(F.translate(F.substring(word[i], 1, 1), LETTERS, FAMILY), F.translate(F.substring(word[i], 2, 2), LETTERS, GIVEN)) for i in (0, 1))
+    told = F.array(
+        F.concat(F.lit("게스트: "), a, F.lit(", "), b, F.lit("가 출연")), F.concat(F.lit("특별 출연 "), a), F.concat(F.lit("가수 "), a, F.lit("의 무대, 셰프 "), b, F.lit("의 요리")), F.concat(a, F.lit("X"), b, F.lit(" 특집")),
+        F.concat(a, F.lit("가 전격 합류")), F.concat(a, F.lit("과 함께 오늘의 이야기")), F.col("genre_detail"), F.lit("갈매기가 등장"),
+    )
+    return V.items(spark, d).select("item_id", F.array_join(repair.guest_names(F.get(told, (F.col("item_id") % 8).cast("int"))), "|").alias("guests"))
 
 
 @query("h27_romanised", "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN (['김민수', '박지영'])[item_id % 3 + 1] END AS name FROM items")
