@@ -82,3 +82,21 @@ def first_per_group(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each group: the first in that order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+#: Lengths in seconds that suit a trailer best, and next best.
+BEST_LENGTH, NEXT_LENGTH = (60, 300), (30, 600)
+
+
+def ranked_clips(clips: DataFrame, keys: list[str], words: list[str], least: int, most: Column) -> DataFrame:
+    """``clips`` (item_id, title, duration in seconds) of a length that is allowed, with their score and rank within ``keys``.
+
+    A word of trailers in the title, in either case, counts three; the length one or two. Equal scores go to the shorter clip, then to the smaller id.
+    A clip without a length is too short; one without a title has no such word. ``most`` may differ by row.
+    """
+    duration = F.coalesce("duration", F.lit(0))
+    named = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w)) if words else F.lit(False)
+    length = F.when(duration.between(*BEST_LENGTH), 2).when(duration.between(*NEXT_LENGTH), 1).otherwise(0)
+    rows = clips.filter((duration >= least) & (duration <= most)).withColumn("score", F.when(named, 3).otherwise(0) + length)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "duration", "item_id")
+    return rows.withColumn("rank", F.row_number().over(order))

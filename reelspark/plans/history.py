@@ -93,11 +93,13 @@ def f12(spark, d):
     return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("m", F.lit(False)).alias("major"))
 
 
-@query("f13_best_candidate", "SELECT series_nm, item_id FROM (SELECT *, row_number() OVER (PARTITION BY series_nm ORDER BY CASE WHEN episode_no BETWEEN 10 AND 30 THEN 2 WHEN episode_no < 10 THEN 1 ELSE 0 END + CASE WHEN contains(title, 'red') THEN 1 ELSE 0 END DESC, episode_no, item_id) AS n FROM items WHERE series_nm IS NOT NULL) WHERE n = 1")
+@query("f13_best_candidate", """SELECT series_nm, item_id, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY series_nm ORDER BY score DESC, duration, item_id) AS n FROM (
+    SELECT series_nm, item_id, duration, CASE WHEN contains(lower(title), 'red') OR contains(lower(title), '7회') THEN 3 ELSE 0 END + CASE WHEN duration BETWEEN 60 AND 300 THEN 2 WHEN duration BETWEEN 30 AND 600 THEN 1 ELSE 0 END AS score
+    FROM (SELECT *, episode_no * 20 AS duration FROM items WHERE series_nm IS NOT NULL) WHERE duration BETWEEN 40 AND CASE WHEN ct_cl LIKE 'PROMO%' THEN 1200 WHEN ct_cl LIKE 'ECONOMY%' THEN 300 ELSE 600 END)) WHERE n = 1""")
 def f13(spark, d):
-    score = F.when(F.col("episode_no").between(10, 30), 2).when(F.col("episode_no") < 10, 1).otherwise(0) + F.contains("title", F.lit("red")).cast("int")
-    rows = V.items(spark, d).filter("series_nm IS NOT NULL").withColumn("s", score)
-    return catalogue.first_per_group(rows, ["series_nm"], [F.desc("s"), "episode_no", "item_id"]).select("series_nm", "item_id")
+    clips = V.items(spark, d).filter("series_nm IS NOT NULL").select("series_nm", "item_id", "title", "ct_cl", (F.col("episode_no") * 20).alias("duration"))
+    most = F.when(F.col("ct_cl").startswith("PROMO"), 1200).when(F.col("ct_cl").startswith("ECONOMY"), 300).otherwise(600)
+    return catalogue.ranked_clips(clips, ["series_nm"], ["Red", "7회"], 40, most).filter("rank = 1").select("series_nm", "item_id", "score")
 
 
 @query("f14_relabel", "SELECT item_id, CASE WHEN ct_cl <> 'PROMO' AND genre = 'hot' AND episode_no IN (1, 2, 3) THEN 'PAID' ELSE ct_cl END AS ct_cl FROM items")
