@@ -100,3 +100,21 @@ def ranked_clips(clips: DataFrame, keys: list[str], words: list[str], least: int
     rows = clips.filter((duration >= least) & (duration <= most)).withColumn("score", F.when(named, 3).otherwise(0) + length)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "duration", "item_id")
     return rows.withColumn("rank", F.row_number().over(order))
+
+
+def match_conflict(classes: dict[str, list[str]], clashing: list[str], harmless: list[str], language: str, least: float = 0.4, sure: float = 0.7) -> Column:
+    """Why a link to another catalogue is doubtful, the first reason that holds: missing, title, genre, kind or language; else ok.
+
+    Of columns ct_cl, match_id, similarity, genres (the match's), kind (movie or tv) and match_language. ``classes`` lists those for children, of shows, and of
+    all that runs on television. Genres that clash do so with the first two; a film for children needs a harmless one; a match in another language must be the surer for television.
+    Null genres are none, a null similarity is 0, a null language is another one.
+    """
+    of = lambda name: F.coalesce(F.col("ct_cl").isin(*classes[name]), F.lit(False))
+    genres = F.coalesce("genres", F.array().cast("array<string>"))
+    any_of = lambda listed: F.arrays_overlap(F.filter(genres, lambda g: g.isNotNull()), F.array(*[F.lit(g) for g in listed]).cast("array<string>"))
+    near = F.coalesce("similarity", F.lit(0.0))
+    return (
+        F.when(F.col("match_id").isNull(), "missing").when(near < least, "title").when((of("children") | of("shows")) & any_of(clashing), "genre")
+        .when(of("children") & F.col("kind").eqNullSafe("movie") & ~any_of(harmless), "kind")
+        .when(of("television") & ~F.col("match_language").eqNullSafe(language) & (near < sure), "language").otherwise("ok")
+    )

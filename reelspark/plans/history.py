@@ -118,13 +118,20 @@ def f15(spark, d):
     return last.select("user_id", "item_id", F.when(F.col("m.watch_id") % 3 == 0, "permanent").when(active, "active").otherwise("expired").alias("status"))
 
 
-@query("f16_match_conflict", "SELECT item_id, CASE WHEN 1 - levenshtein(genre_detail, provider) / greatest(length(genre_detail), length(provider)) < 0.1 THEN 'title' WHEN genre = 'hot' AND ct_cl = 'PROMO' THEN 'genre' WHEN rating = '19' THEN 'language' ELSE 'ok' END AS verdict FROM items")
+# each item is linked to the one after it, the last to none
+@query("f16_match_conflict", """SELECT item_id, CASE WHEN match_id IS NULL THEN 'missing' WHEN s < 0.4 THEN 'title' WHEN (children OR shows) AND (contains(words, 'hot') OR contains(words, 'blue') OR contains(words, 'red')) THEN 'genre'
+    WHEN children AND even AND NOT contains(words, 'green') THEN 'kind' WHEN (children OR shows OR drama) AND other_language AND s < 0.7 THEN 'language' ELSE 'ok' END AS verdict FROM (
+    SELECT a.item_id, b.item_id AS match_id, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS s, string_split(b.genre_detail, ', ') AS words,
+      a.ct_cl LIKE 'PROMO%' AS children, a.ct_cl LIKE 'ECONOMY%' AS shows, a.ct_cl LIKE 'MEDIUM%' AS drama, b.episode_no % 2 = 0 AS even, b.provider <> a.provider AS other_language
+    FROM named a LEFT JOIN named b ON b.item_id = a.item_id + 1)""", named="SELECT *, genre || right(provider, 3) AS name FROM items")
 def f16(spark, d):
     from reelspark.functions.titles import sequence_similarity
 
-    clash = F.arrays_overlap(F.array("genre"), F.array(F.lit("hot"))) & (F.col("ct_cl") == "PROMO")
-    verdict = F.when(sequence_similarity(F.col("genre_detail"), F.col("provider")) < 0.1, "title").when(clash, "genre").when(F.col("rating") == "19", "language").otherwise("ok")
-    return V.items(spark, d).select("item_id", verdict.alias("verdict"))
+    items = V.items(spark, d).select("item_id", F.split("ct_cl", " ")[0].alias("ct_cl"), F.concat("genre", F.right("provider", F.lit(3))).alias("name"), "provider", "genre_detail", "episode_no")
+    match = items.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("match_id"), F.col("name").alias("match_name"), F.col("provider").alias("match_provider"), F.split("genre_detail", ", ").alias("genres"), F.when(F.col("episode_no") % 2 == 0, "movie").otherwise("tv").alias("kind"))
+    linked = items.join(match, "item_id", "left").withColumn("similarity", sequence_similarity(F.col("name"), F.col("match_name"))).withColumn("match_language", F.when(F.col("match_provider") == F.col("provider"), "ko").otherwise("en"))
+    classes = {"children": ["PROMO"], "shows": ["ECONOMY"], "television": ["PROMO", "ECONOMY", "MEDIUM"]}
+    return linked.select("item_id", catalogue.match_conflict(classes, ["hot", "blue", "red"], ["green"], "ko").alias("verdict"))
 
 
 # ---- joins ----
