@@ -10,15 +10,22 @@ from reelspark.operators.ranking import quota_blend, top_per_group
 
 
 def item_tags(items: DataFrame) -> DataFrame:
-    """(item_id, category, value, confidence): directors, leading and guest actors, genre and detail genres of each item."""
+    """(item_id, category, value, confidence): directors, leading and guest actors, genre and detail genres of each item.
+
+    Items are dealt by their id before they become tags: a few MB of items are many times that in
+    tags, so no task makes more than its share, and copies of a tag are dropped where they arise. For
+    the same reason Spark takes the tags for smaller than they are; the hint keeps it from broadcasting them.
+    """
     genre = F.trim("genre")
     values = {
         "director": comma_names(F.col("director")), "actor_lead": json_names(F.col("cast_lead")), "actor_guest": json_names(F.col("cast_guest")),
         "genre": F.when(genre != "", F.array(genre)), "genre_detail": detail_genres(F.col("genre_detail")),
     }
     lists = F.array(*[F.struct(F.lit(k).alias("category"), v.alias("values")) for k, v in values.items()])
-    rows = items.select("item_id", item_confidence(F.col("vote_cnt"), F.col("vote_avg")).alias("confidence"), F.explode(lists).alias("t"))
-    return rows.select("item_id", F.col("t.category").alias("category"), F.explode("t.values").alias("value"), "confidence").dropDuplicates(["item_id", "category", "value"])
+    dealt = items.select("item_id", "director", "cast_lead", "cast_guest", "genre", "genre_detail", "vote_cnt", "vote_avg").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
+    rows = dealt.select("item_id", item_confidence(F.col("vote_cnt"), F.col("vote_avg")).alias("confidence"), F.explode(lists).alias("t"))
+    tags = rows.select("item_id", F.col("t.category").alias("category"), F.explode("t.values").alias("value"), "confidence")
+    return tags.dropDuplicates(["item_id", "category", "value"]).hint("merge")
 
 
 def cold_start_tags(watches: DataFrame, users: DataFrame, tags: DataFrame, category: str, n: int, least: int = 3) -> DataFrame:
@@ -33,9 +40,10 @@ def hybrid_scores(candidates: DataFrame, tags: DataFrame, preferences: DataFrame
 
     A user without preferences keeps the scores as they are. ``candidates``: user_id, item_id, score, type.
     """
-    liked = preferences.select("category", "value").distinct()
-    known_tags = tags.select("item_id", "category", "value").join(liked, ["category", "value"], "left_semi")  # others match no one
-    matched = candidates.select("user_id", "item_id").distinct().join(known_tags, "item_id").join(preferences.select("user_id", "category", "value", "affinity"), ["user_id", "category", "value"])
+    # an item's tags travel as one list and are taken apart where the user's preferences are
+    listed_tags = tags.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_tags")).hint("merge")
+    mine = candidates.select("user_id", "item_id").distinct().join(listed_tags, "item_id").repartition("user_id").select("user_id", "item_id", F.inline("_tags"))
+    matched = mine.join(preferences.select("user_id", "category", "value", "affinity"), ["user_id", "category", "value"])
     # an item has few tags, so those that match meet in one short list
     listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("affinity")).alias("o"), "category", "value"))), 1, max(top_tags, explained))
     overlap = matched.groupBy("user_id", "item_id").agg(listed.alias("_l"))

@@ -20,11 +20,14 @@ def watch_stats(watches: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 def tag_affinity(watches: DataFrame, tags: DataFrame, least: int = 2) -> DataFrame:
     """How much each user likes each tag of what they watched, 0 to 1, and on how many views that rests.
 
-    Both inputs are aggregated before they are joined: by user and item, then by user and tag.
+    Views are aggregated by user and item and meet each item's tags as one list, which is taken apart
+    only where a user's rows are together: what is shuffled is a row for each user and item, not one for each tag of it.
     """
     by_item = watches.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("completion").alias("c"), F.count("completion").alias("k"))
     total = watches.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    liked = by_item.join(tags.select("item_id", "category", "value"), "item_id").groupBy("user_id", "category", "value").agg(F.sum("n").alias("watch_count"), (F.sum("c") / F.nullif(F.sum("k"), F.lit(0))).alias("avg"))
+    listed = tags.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_tags")).hint("merge")  # small to Spark, which can't see what lists hold
+    mine = by_item.join(listed, "item_id").repartition("user_id").select("user_id", "n", "c", "k", F.inline("_tags"))
+    liked = mine.groupBy("user_id", "category", "value").agg(F.sum("n").alias("watch_count"), (F.sum("c") / F.nullif(F.sum("k"), F.lit(0))).alias("avg"))
     affinity = F.least(F.lit(1.0), F.col("watch_count") / F.col("total") * F.coalesce("avg", F.lit(0.5)) * 2)
     return liked.filter(F.col("watch_count") >= least).join(total, "user_id").select("user_id", "category", "value", affinity.alias("affinity"), "watch_count")
 

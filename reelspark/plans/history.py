@@ -139,7 +139,10 @@ def f16(spark, d):
 
 @query("j1_multi_join", "SELECT u.age_grp, t.category, count(*) AS n FROM watches w JOIN tags t USING (item_id) JOIN users u USING (user_id) GROUP BY ALL", tags=TAGS, conf=CONF)
 def j1(spark, d):
-    return V.watches(spark, d).join(tags(spark, d), "item_id").join(V.users(spark, d), "user_id").groupBy("age_grp", "category").agg(F.count(F.lit(1)).alias("n"))
+    # views of an item by age group meet its tags by category: as many rows as items, not as views
+    views = V.watches(spark, d).select("user_id", "item_id").join(V.users(spark, d), "user_id").groupBy("item_id", "age_grp").agg(F.count(F.lit(1)).alias("v"))
+    kinds = tags(spark, d).groupBy("item_id", "category").agg(F.count(F.lit(1)).alias("t"))
+    return views.join(kinds, "item_id").groupBy("age_grp", "category").agg(F.sum(F.col("v") * F.col("t")).alias("n"))
 
 
 @query("j2_left_enrichment", "SELECT r.item_id, a.title AS title, b.title AS source_title FROM (SELECT item_id, (item_id * 7) % 3000 AS source_id FROM items) r LEFT JOIN items a ON a.item_id = r.item_id LEFT JOIN items b ON b.item_id = r.source_id")
