@@ -39,12 +39,15 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
 
 
 def ngram_containing(names: DataFrame, name: str, terms: DataFrame, term: str, least: int, most: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """As ``containing``, for a dictionary of any size: names are exploded to their stretches of ``least`` to ``most`` letters, and joined by equality (of ``keys`` too)."""
+    """As ``containing``, for a dictionary of any size: names are exploded to their stretches of ``least`` to ``most`` letters, and joined by equality (of ``keys`` too).
+
+    Spark takes the stretches for as small as the names, so a hint keeps it from broadcasting them. A caller with a small dictionary may broadcast that.
+    """
     n = F.length(F.col(name))
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     stretches = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.when(i + k - 1 <= n, F.substring(F.col(name), i, k)))))
     exploded = names.withColumn(term, F.explode(F.array_distinct(F.filter(stretches, lambda s: s.isNotNull()))))
-    return exploded.join(terms, [term, *keys])
+    return exploded.hint("merge").join(terms, [term, *keys])
 
 
 def exact_then_partial(left: DataFrame, key: str, dictionary: DataFrame, name: str, order: str) -> DataFrame:

@@ -265,7 +265,7 @@ def j20(spark, d):
 @query("j21_ngram_join", f"SELECT item_id, min(term) AS term FROM items JOIN {TERMS_SQL} ON contains(title, term) GROUP BY item_id")
 def j21(spark, d):
     terms = spark.createDataFrame(TERMS, "term string, kind string")
-    return joins.ngram_containing(V.items(spark, d).select("item_id", "title"), "title", terms, "term", 3, 5).groupBy("item_id").agg(F.min("term").alias("term"))
+    return joins.ngram_containing(V.items(spark, d).select("item_id", "title"), "title", F.broadcast(terms), "term", 3, 5).groupBy("item_id").agg(F.min("term").alias("term"))
 
 
 @query("j22_source_merge", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN genre WHEN item_id % 3 = 0 THEN provider END AS genre, CASE WHEN item_id % 3 = 0 THEN provider END AS network, concat_ws('+', CASE WHEN item_id % 2 = 0 THEN 'A' END, CASE WHEN item_id % 3 = 0 THEN 'B' END) AS provenance FROM items")

@@ -37,3 +37,58 @@ def test_scores_where_no_tag_is_known(spark):
     prefs = spark.createDataFrame([(1, "genre", "a", 0.5)], "user_id long, category string, value string, affinity double")
     got = {(r.user_id, r.item_id): round(r.score, 6) for r in hybrid.hybrid_scores(cand, tags, prefs).collect()}
     assert got == {(1, 1): 0.5, (1, 7): 0.3, (2, 1): 0.5}
+
+
+def test_dictionary_is_broadcast_and_stretches_are_not(spark, small):
+    from reelspark.operators.joins import ngram_containing
+
+    text = plan(H.j21(spark, small))
+    assert "BroadcastHashJoin" in text and "BuildRight" in text, text
+    terms = spark.createDataFrame([("red",)], "term string")
+    assert "SortMergeJoin" in plan(ngram_containing(V.items(spark, small).select("item_id", "title"), "title", terms, "term", 3, 5))
+
+
+def test_segments_of_no_or_one_user(spark):
+    from reelspark.operators import factors
+
+    schema = "user_id long, vector array<double>, items long"
+    for rows, want in (([(1, [0.6, 0.8], 3)], []), ([], []), ([(1, [0.6, 0.8], 30), (2, [0.6, 0.8], 1)], [(1, 0)])):
+        frame = spark.createDataFrame(rows, schema)
+        assert [tuple(r) for r in factors.segments(frame).collect()] == want
+        assert [tuple(r) for r in factors.elbow(frame, (2, 3)).collect()] == [(2, 0.0), (3, 0.0)]
+
+
+def test_half_milliseconds_round_as_in_sql(spark):
+    import duckdb
+
+    sql = "SELECT i, round((epoch_us(ts) % 600000000) / 1e6, 3) AS at FROM (SELECT i, TIMESTAMP '2024-01-01 00:10:00' + to_microseconds(i * 1000 + 500) AS ts FROM range(0, 600000, 7) t(i))"
+    want = dict(duckdb.sql(sql).fetchall())
+    ts = "TIMESTAMP_NTZ '2024-01-01 00:10:00' + make_dt_interval(0, 0, 0, (id * 1000 + 500) / 1000000)"
+    got = {r.id: r["at"] for r in spark.range(0, 600000, 7).selectExpr("id", f"{ts} AS ts").select("id", V.seconds_of("ts").alias("at")).collect()}
+    assert len(got) == len(want) and not [k for k in want if want[k] != got[k]]
+
+
+def test_users_vectors_count_their_items(spark):
+    from reelspark.operators.vectors import user_vectors
+
+    watches = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.5), (1, 2, 1.0), (1, 9, 1.0), (2, 9, 1.0), (3, 2, 0.0)], "user_id long, item_id long, completion double")
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "item_id long, v array<double>")
+    (row,) = user_vectors(watches, items, "v").collect()
+    assert (row.user_id, row["items"], [round(x, 6) for x in row.vector]) == (1, 2, [0.707107, 0.707107])
+
+
+def test_items_that_come_in_again_meet_wishes_once(spark):
+    from reelspark.streaming.flows import episode_notices
+
+    new = spark.createDataFrame([(1, "s"), (1, "s"), (2, "s")], "item_id long, series_nm string")
+    wishes = spark.createDataFrame([(7, "s"), (8, "s")], "user_id long, series_nm string")
+    got = sorted((r.user_id, r.item_id) for r in episode_notices(new, wishes).collect())
+    assert got == [(7, 1), (7, 2), (8, 1), (8, 2)]
+
+
+def test_overlapping_slots_of_an_ad_are_one(spark):
+    from reelspark.streaming.flows import _merged
+
+    rows = [(1, "a", 0.0, 40.0), (1, "a", 10.0, 20.0), (1, "a", 30.0, 70.0), (1, "a", 70.0, 71.0), (1, "a", 71.5, 80.0), (1, "b", 0.0, 5.0), (2, "a", 0.0, 5.0), (1, "a", 0.0, 40.0)]
+    got = sorted(tuple(r) for r in _merged(spark.createDataFrame(rows, "item_id long, ad string, since double, until double")).collect())
+    assert got == [(1, "a", 0.0, 71.0), (1, "a", 71.5, 80.0), (1, "b", 0.0, 5.0), (2, "a", 0.0, 5.0)]
