@@ -33,14 +33,15 @@ def cosine(a: Column, b: Column) -> Column:
 def user_vectors(watches: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
     """(user_id, vector, items): the mean of a user's item vectors, weighted by completion, at length 1.
 
-    Weighted sums are taken by position, with partial sums before the shuffle.
+    Weighted sums are taken by position, with partial sums before the shuffle. Views of items without a
+    vector are left out before anything is grouped, and history is read once: each position counts the items.
     """
-    weights = watches.filter("completion > 0").groupBy("user_id", "item_id").agg(F.sum("completion").alias("w"))
+    known = watches.filter("completion > 0").join(vectors.select("item_id"), "item_id", "left_semi")
+    weights = known.groupBy("user_id", "item_id").agg(F.sum("completion").alias("w"))
     joined = weights.join(vectors.select("item_id", vector), "item_id")
-    counts = joined.groupBy("user_id").agg(F.count(F.lit(1)).alias("items"))
-    sums = joined.select("user_id", "w", F.posexplode(vector).alias("p", "x")).groupBy("user_id", "p").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    packed = sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("v"))
-    return packed.select("user_id", normalised(F.col("v")).alias("vector")).join(counts, "user_id")
+    sums = joined.select("user_id", "w", F.posexplode(vector).alias("p", "x")).groupBy("user_id", "p").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.count(F.lit(1)).alias("n"))
+    packed = sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("v"), F.max("n").alias("items"))
+    return packed.select("user_id", normalised(F.col("v")).alias("vector"), "items")
 
 
 #: Rows of one side that are held against the other at a time, on average.
@@ -180,13 +181,13 @@ def user_neighbours(users: DataFrame, items: DataFrame, watched: DataFrame, n: i
     """(user_id, item_id, score, rank): for each user the unwatched items of highest positive cosine.
 
     ``users``: user_id, vector; ``items``: item_id, vector. Histories are dealt to the pairs of blocks
-    that they concern, so that none travels whole.
+    that they concern, so that none travels whole, and only views of items that are to be ranked travel at all.
     """
     unit = normalised(F.col("vector")).alias("v")
     ub, ib = _blocks(users, BLOCK), _blocks(items, BLOCK)
     asked = _packed(users.select("user_id", unit), "user_id", "asks", ub)
     packed = _packed(items.select("item_id", unit), "item_id", "rows", ib)
-    seen = watched.select("user_id", "item_id").distinct()
+    seen = watched.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi").distinct()
     seen = seen.groupBy(_block_of("user_id", ub).alias("asks_block"), _block_of("item_id", ib).alias("rows_block")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("out"))
     tiles = asked.crossJoin(packed).join(seen, ["asks_block", "rows_block"], "left")
     return _best_in_tiles(tiles, ["user_id", "item_id"], lambda q, c: np.round(q[0] @ c[0].T, digits), n, 0.0)
