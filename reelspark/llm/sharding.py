@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import materialise, nonnull_text, read_table
+from reelspark.llm.common import materialise, nonnull_text, read_table, shared_folder
 
 #: Records that one bucket holds on average; one bucket is shuffled in one task's memory.
 BUCKET_ROWS = 20_000
@@ -82,15 +82,24 @@ def _bucket_starts(shuffled: DataFrame) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, shards: int, seed: int = 42, bucket_bytes: int = 64 << 20) -> DataFrame:
-    """Shuffle whole documents, text and all, and write them as Parquet below ``path``, one folder a shard.
+    """Shuffle whole documents, text and all, and write them as Parquet below ``path``, one folder a shard. Returns the written table, with shard and slot.
 
-    Buckets hold about ``bucket_bytes`` of text. Returns the written table.
+    Only two hashes of each row are shuffled into places; rows follow by them once places are dealt, one of equal
+    rows to all the places of its copies. A task writes about ``bucket_bytes`` of text, in order of slots, so a large shard is several files.
     """
+    names = [c for c in documents.columns if c not in ("shard", "slot")]
+    columns = [F.col(f"`{c}`") for c in names]
+    # hashes pass over nulls, so which columns are null is hashed too
+    hashed = [F.xxhash64(F.lit(k), *[c.isNull() for c in columns], *columns).alias(name) for k, name in ((1, "_a"), (2, "_b"))]
     total = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(nonnull_text())), F.lit(0)).alias("b")).first()
     rows = max(1, int(bucket_bytes / max(1.0, total["b"] / max(1, total["n"]))))
-    dealt = shuffle_into_shards(documents, shards, seed, min(rows, BUCKET_ROWS))
-    dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return documents.sparkSession.read.parquet(path)
+    places = materialise(shuffle_into_shards(documents.select(*hashed), shards, seed))
+    one = documents.select(*hashed, *columns).dropDuplicates(["_a", "_b"])
+    placed = places.join(one, ["_a", "_b"]).select(*columns, "slot", "shard")
+    parts = max(shards, -(-total["n"] // rows))
+    piece = F.floor(F.col("slot") / rows)
+    placed.repartition(parts, "shard", piece).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path, compression="zstd")
+    return documents.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 # ---- queries ----
@@ -99,11 +108,11 @@ SHARDS = 40
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents dealt into 40 shards under the law ``rows``: counts at most one apart."""
+    """All documents dealt and written into 40 shards under the law ``rows``: counts at most one apart. What is returned is read from the shards."""
     text = nonnull_text()
-    records = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    dealt = shuffle_into_shards(records, SHARDS)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    written = write_shards(read_table(spark, sf_dir, "documents"), shared_folder(spark), SHARDS)
+    size, checksum = (F.octet_length(text) + 16).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    return written.select("doc_id", size.alias("size"), checksum.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op9_sharding": op9_sharding}
