@@ -64,50 +64,69 @@ def region_boxes(points: DataFrame, boxes: DataFrame, lat: str, lng: str, column
     return hits.groupBy(*columns).agg(F.min_by("name", "order").alias("region"))
 
 
+#: Owners of one member in one list, and pairs of owners that one task counts.
+LIST_OWNERS = 1000
+TASK_PAIRS = 2_000_000
+
+
 def most_similar_set(sets: DataFrame, owner: str, member: str, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(owner, nearest, jaccard): for each owner the other one whose members overlap most, ties to the smaller.
 
     Owners that share nothing with any other are left out. ``write`` writes a frame to shared storage and reads it back.
+    An owner's members are held as one array.
 
     1. The smallest other owner of each member is the best that a single shared member can bring; the
        best of those, measured exactly, is an owner's bound.
-    2. Who beats the bound shares two members or more, and a share of the owner's own that follows from it. So it shares one
-       of the owner's rarer members: the commonest ones (one at least) need not be joined. An item that
-       everyone has is the commonest of all, and owners don't meet over it.
-    3. Owners meet over the rarer members, if their sizes allow the bound. Only pairs that could still
-       beat it with all the members left out are counted to the end.
+    2. Who beats the bound shares two members or more, and a share of the owner's own that follows from it. If an owner leaves
+       out all but one of as many of its commonest members, who beats it shares one of the others; if it leaves out one less,
+       two of them. The first is taken only where the member in question has more owners than all the rarer ones together, as
+       each owner of those must then be looked at to the end. So owners don't meet over an item that everyone has.
+    3. A member's owners go to each other as lists, each pair in one direction, and are counted where the lists of an owner
+       come together: pairs are never shuffled before they are known to share enough.
+    4. What both of a pair left out is compared at the end.
     """
-    pairs = sets.select(F.col(owner).alias("a"), F.col(member).alias("m")).dropna().distinct()
-    pairs = write(pairs)
-    held = write(pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"))
-    smallest = F.min(F.struct("n", "a"))
-    first = held.groupBy("m").agg(F.count(F.lit(1)).alias("f"), smallest.alias("first"))
-    second = held.join(first, "m").filter(F.struct("n", "a") != F.col("first")).groupBy("m").agg(smallest.alias("second"))
-    members = write(first.join(second, "m"))  # those that one owner alone has are of no use
-    useful = held.join(members, "m")
-    other = F.when(F.col("first.a") == F.col("a"), F.col("second")).otherwise(F.col("first"))
-    start = useful.select("a", "n", other.alias("o")).groupBy("a", "n").agg(F.max(F.struct((1 / (F.col("n") + F.col("o.n") - 1)).alias("j"), (-F.col("o.a")).alias("b"), F.col("o.n").alias("bn"))).alias("s"))
-    start = start.select("a", "n", (-F.col("s.b")).alias("b"), F.col("s.bn").alias("bn"))
-    theirs = held.select(F.col("a").alias("b"), "m")
+    pairs = sets.select(F.col(owner).alias("a"), F.col(member).alias("m")).dropna()
+    held = write(pairs.groupBy("a").agg(F.collect_set("m").alias("ms")).withColumn("n", F.size("ms")))
+    by_size = Window.partitionBy("m").orderBy("n", "a")
+    me = F.struct("n", "a")
+    met = held.select("a", "n", F.explode("ms").alias("m"))
+    met = met.withColumn("o", F.when(F.row_number().over(by_size) == 1, F.lead(me).over(by_size)).otherwise(F.first(me).over(by_size)))
+    met = met.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("m"))).filter("f > 1")  # those that one owner alone has are of no use
+    best = F.max(F.struct((1 / (F.col("n") + F.col("o.n") - 1)).alias("j"), (-F.col("o.a")).alias("b"), F.col("o.n").alias("bn"))).alias("s")
+    start = met.groupBy("a", "n").agg(best, F.array_sort(F.collect_list(F.struct("f", "m"))).alias("fm"))
+    start = write(start.select("a", "n", (-F.col("s.b")).alias("b"), F.col("s.bn").alias("bn"), F.col("fm.f").alias("fs"), F.col("fm.m").alias("ms")))
+
     jaccard = lambda i: i / (F.col("n") + F.col("bn") - i)
-    bounds = start.join(held.select("a", "m"), "a").join(theirs, ["b", "m"]).groupBy("a", "n", "b", "bn").agg(F.count(F.lit(1)).alias("i")).withColumn("j", jaccard(F.col("i")))
-    bounds = write(bounds.select("a", "n", "b", "j"))
+    bounds = start.join(held.select(F.col("a").alias("b"), F.col("ms").alias("theirs")), "b").withColumn("j", jaccard(F.size(F.array_intersect("ms", "theirs"))))
     # the members that may be left out: one less than must be shared
-    left_out = F.greatest(F.lit(2), F.ceil(F.col("j") * F.col("n") - 1e-9)) - 1
-    place = F.row_number().over(Window.partitionBy("a").orderBy("f", "m"))
-    placed = write(held.join(members.select("m", "f"), "m", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("place", place).join(bounds.select("a", "j"), "a").withColumn("k", left_out.cast("long")))
-    rare = placed.filter(F.col("place") <= F.col("n") - F.col("k"))
-    parts = rare.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 1000)).cast("int").alias("parts"))
-    left = rare.join(parts, "m").select("a", "n", "j", "k", "m", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("_p"))
-    right = held.join(parts, "m").select(F.col("a").alias("b"), F.col("n").alias("bn"), "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"))
-    fits = (F.col("a") != F.col("b")) & (F.col("bn") >= F.col("j") * F.col("n") - 1e-9) & (F.col("bn") * F.col("j") <= F.col("n") + 1e-9)
-    met = left.join(right, ["m", "_p"]).filter(fits).groupBy("a", "b", "n", "bn", "j", "k").agg(F.count(F.lit(1)).alias("c"))
-    most = F.least(F.col("c") + F.col("k"), F.col("n"), F.col("bn"))
-    open_ = write(met.filter(jaccard(most) >= F.col("j") - 1e-12))
-    reached = open_.groupBy("a").agg(F.max(jaccard(F.col("c"))).alias("least"))
-    open_ = write(open_.join(reached, "a").filter(jaccard(most) >= F.col("least") - 1e-12).select("a", "b", "n", "bn", "c"))
-    rest = placed.filter(F.col("place") > F.col("n") - F.col("k")).select("a", "m")
-    more = open_.join(rest, "a").join(theirs, ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("d"))
-    exact = open_.join(more, ["a", "b"], "left").select("a", "b", jaccard(F.col("c") + F.coalesce("d", F.lit(0))).alias("j"))
-    best = bounds.select("a", "b", "j").unionByName(exact).groupBy("a").agg(F.max(F.struct("j", (-F.col("b")).alias("b"))).alias("m"))
+    bounds = bounds.withColumn("k", (F.greatest(F.lit(2), F.ceil(F.col("j") * F.col("n") - 1e-9)) - 1).cast("int")).withColumn("g", F.size("ms"))
+    rarer = F.aggregate(F.slice("fs", 1, F.greatest(F.col("g") - F.col("k"), F.lit(0))), F.lit(0).cast("long"), lambda s, f: s + f)
+    one = (F.col("g") > F.col("k")) & (F.get("fs", F.col("g") - F.col("k")) > rarer)
+    bounds = bounds.withColumn("l", F.when(one, 1).otherwise(2)).withColumn("k", F.when(F.col("g") <= F.col("k"), F.col("g")).otherwise(F.col("k") + 1 - F.col("l")))
+    placed = write(bounds.select("a", "n", "b", "j", "l", "k", "fs", "ms"))
+
+    owners = placed.select("a", "l", (F.size("ms") - F.col("k")).alias("rare"), F.posexplode(F.arrays_zip("fs", "ms")).alias("at", "x"))
+    parts = F.ceil(F.col("x.fs") / LIST_OWNERS).cast("int")
+    owners = owners.select("a", "l", (F.col("at") < F.col("rare")).alias("rare"), F.col("x.ms").alias("m"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("p"), parts.alias("parts"))
+    those = lambda l, rare, name: F.collect_list(F.when((F.col("l") == l) & (F.col("rare") == rare), F.col("a"))).alias(name)  # noqa: E731, E741
+    lists = owners.groupBy("m", "p", "parts").agg(those(1, True, "r1"), those(1, False, "c1"), those(2, True, "r2"), those(2, False, "c2"))
+    lists = lists.select("m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "r1", "c1", "r2", "c2")
+    # a pair goes from the owner who looks at more to the other, else from the smaller; over a member that one of them at least has kept
+    after = lambda name: F.filter(name, lambda b: b > F.col("a"))
+    first = F.when(F.col("rare"), F.concat(after("r1"), after("c1"), "r2", "c2")).otherwise(F.concat(after("r1"), "r2"))
+    second = F.when(F.col("rare"), F.concat(after("r2"), after("c2"))).otherwise(after("r2"))
+    sent = owners.drop("parts").join(lists, ["m", "p"]).select("a", "l", F.when(F.col("l") == 1, first).otherwise(second).alias("bs")).filter(F.size("bs") > 0)
+    total = start.agg(F.sum(F.aggregate("fs", F.lit(0).cast("long"), lambda s, f: s + f))).first()[0] or 0
+    tasks = max(1, total // 2 // TASK_PAIRS)
+    counted = sent.repartition(tasks, "a").select("a", "l", F.explode("bs").alias("b")).groupBy("a", "l", "b").agg(F.count(F.lit(1)).alias("c")).filter("c >= l").drop("l")
+    theirs = placed.select(F.col("a").alias("b"), F.col("n").alias("bn"), F.col("j").alias("bj"), F.col("k").alias("bk"))
+    shared = counted.join(placed.select("a", "n", "j", "k"), "a").join(theirs, "b")
+    most = jaccard(F.least(F.col("c") + F.least("k", "bk"), F.col("n"), F.col("bn")))
+    shared = write(shared.filter(most >= F.least("j", "bj") - 1e-12).select("a", "n", "b", "bn", "c", (F.least("k", "bk") > 0).alias("open")))
+    left = placed.filter("k > 0").select("a", F.slice("ms", F.size("ms") - F.col("k") + 1, F.col("k")).alias("rest"))
+    rest = shared.filter("open").join(left, "a").join(left.select(F.col("a").alias("b"), F.col("rest").alias("other")), "b")
+    rest = rest.withColumn("c", F.col("c") + F.size(F.array_intersect("rest", "other")))
+    exact = shared.filter("NOT open").select("a", "b", jaccard(F.col("c")).alias("j")).unionByName(rest.select("a", "b", jaccard(F.col("c")).alias("j")))
+    both = exact.select("j", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*", "j")
+    best = placed.select("a", "b", "j").unionByName(both).groupBy("a").agg(F.max(F.struct("j", (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.col("a").alias(owner), (-F.col("m.b")).alias("nearest"), F.col("m.j").alias("jaccard"))

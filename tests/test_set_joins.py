@@ -91,3 +91,31 @@ def test_owners_do_not_meet_over_what_all_have(spark, monkeypatch):
     got = joins.most_similar_set(spark.createDataFrame(rows, "a long, m long"), "a", "m", write).collect()
     print(written)
     assert len(got) == 2000 and max(written) < 10 * len(rows)  # 4,000,000 pairs share the common one
+
+
+def test_pairs_that_share_one_member_are_not_written(spark):
+    """Owners who share a single member are some 140 for each owner here; the few pairs that share two are written."""
+    written = []
+    rnd = random.Random(8)
+    rows = [(a, m) for a in range(3000) for m in rnd.sample(range(2000), 10)]
+
+    def write(df):
+        out = V.written(df)
+        written.append(out.count())
+        return out
+
+    got = joins.most_similar_set(spark.createDataFrame(rows, "a long, m long"), "a", "m", write).collect()
+    assert len(got) == 3000 and max(written) < len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_most_similar_set_leaves_out_several_ways(spark, monkeypatch, seed):
+    """Owners who leave out common members, or none, or nearly all, beside each other; lists of three owners."""
+    monkeypatch.setattr(joins, "LIST_OWNERS", 3)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 2000)
+    rnd = random.Random(seed)
+    sets = {a: {m for m in range(3) if rnd.random() < 0.8} | {rnd.randrange(3, 60 if a % 2 else 600) for _ in range(rnd.choice([0, 1, 3, 9]))} | ({*range(1000, 1020)} if a % 7 == 0 else set()) for a in range(160)}
+    sets = {a: s for a, s in sets.items() if s}
+    rows = [(a, m) for a, x in sets.items() for m in x]
+    got = joins.most_similar_set(spark.createDataFrame(rows, "a long, m long"), "a", "m", V.written)
+    assert sorted((r["a"], r["nearest"], round(r["jaccard"], 9)) for r in got.collect()) == nearest(sets)
