@@ -228,7 +228,8 @@ def h26(spark, d):
         F.concat(F.lit("게스트: "), a, F.lit(", "), b, F.lit("가 출연")), F.concat(F.lit("특별 출연 "), a), F.concat(F.lit("가수 "), a, F.lit("의 무대, 셰프 "), b, F.lit("의 요리")), F.concat(a, F.lit("X"), b, F.lit(" 특집")),
         F.concat(a, F.lit("가 전격 합류")), F.concat(a, F.lit("과 함께 오늘의 이야기")), F.col("genre_detail"), F.lit("갈매기가 등장"),
     )
-    return V.items(spark, d).select("item_id", F.array_join(repair.guest_names(F.get(told, (F.col("item_id") % 8).cast("int"))), "|").alias("guests"))
+    texts = V.dealt(V.items(spark, d).select("item_id", F.get(told, (F.col("item_id") % 8).cast("int")).alias("text")), "item_id")
+    return texts.select("item_id", F.array_join(repair.guest_names(F.col("text")), "|").alias("guests"))
 
 
 @query("h27_romanised", "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN (['김민수', '박지영'])[item_id % 3 + 1] END AS name FROM items")

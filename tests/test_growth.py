@@ -92,3 +92,10 @@ def test_overlapping_slots_of_an_ad_are_one(spark):
     rows = [(1, "a", 0.0, 40.0), (1, "a", 10.0, 20.0), (1, "a", 30.0, 70.0), (1, "a", 70.0, 71.0), (1, "a", 71.5, 80.0), (1, "b", 0.0, 5.0), (2, "a", 0.0, 5.0), (1, "a", 0.0, 40.0)]
     got = sorted(tuple(r) for r in _merged(spark.createDataFrame(rows, "item_id long, ad string, since double, until double")).collect())
     assert got == [(1, "a", 0.0, 71.0), (1, "a", 71.5, 80.0), (1, "b", 0.0, 5.0), (2, "a", 0.0, 5.0)]
+
+
+def test_items_are_dealt_before_their_guests_are_looked_for(spark, small):
+    from reelspark.plans import upkeep
+
+    text = upkeep.h26(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert text.index("regexp_extract_all") < text.index("Exchange"), text
