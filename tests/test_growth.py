@@ -99,3 +99,7 @@ def test_items_are_dealt_before_their_guests_are_looked_for(spark, small):
 
     text = upkeep.h26(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert text.index("regexp_extract_all") < text.index("Exchange"), text
+
+
+def test_weights_of_a_sequence_hash_nothing(spark, small):
+    assert "HashAggregate" not in plan(H.w17(spark, small))
