@@ -265,7 +265,11 @@ def h28_cascade(spark, d):
     listed = lambda names, category: items.select("item_id", F.lit(category).alias("category"), F.posexplode(names).alias("i", "value"))
     tags = listed(C.comma_names(F.col("director")), "director").unionByName(listed(C.json_names(F.col("cast_lead")), "actor_lead")).unionByName(listed(F.array("provider"), "provider"))
     tags = tags.select("item_id", "category", "value", (F.lit(0.5) + 0.1 * (F.col("i") + 1)).alias("confidence"))
-    liked = V.watches(spark, d).join(tags, "item_id").groupBy("user_id", "category", "value").agg(F.max("completion").alias("affinity"), F.count(F.lit(1)).alias("watch_count"))
+    # an item's tags travel as one list and are taken apart where a user's rows are together
+    lists = tags.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_tags")).hint("merge")
+    views = V.watches(spark, d).select("user_id", "item_id", "completion")
+    mine = V.dealt(views.join(lists, "item_id"), "user_id").select("user_id", "completion", F.inline("_tags"))
+    liked = mine.groupBy("user_id", "category", "value").agg(F.max("completion").alias("affinity"), F.count(F.lit(1)).alias("watch_count"))
     a, b, c = repair.rename_people(items, tags, liked, RENAMED)
     row = lambda rows, part, *columns: rows.select(F.lit(part).alias("part"), *[x.alias(n) for x, n in zip(columns, ("id", "a", "b", "x", "n"), strict=True)])
     none = F.lit(None)
