@@ -30,9 +30,20 @@ def item_tags(items: DataFrame) -> DataFrame:
 
 def cold_start_tags(watches: DataFrame, users: DataFrame, tags: DataFrame, category: str, n: int, least: int = 3) -> DataFrame:
     """The tags of one category that most users of an age group watched, testers left out."""
-    rows = watches.select("user_id", "item_id").distinct().join(users.filter(~F.col("is_test")), "user_id").join(tags.filter(F.col("category") == category), "item_id")
-    counted = rows.groupBy("age_grp", "value").agg(F.count_distinct("user_id").alias("users")).filter(F.col("users") >= least)
-    return top_per_group(counted, ["age_grp"], [F.desc("users"), F.col("value")], n)
+    return _common_tags(watches, users, tags.filter(F.col("category") == category), F.lit(n), least).select("age_grp", "value", "users", "rank")
+
+
+def _common_tags(watches: DataFrame, users: DataFrame, tags: DataFrame, most: Column, least: int) -> DataFrame:
+    """(age_grp, category, value, users, rank): of each category the ``most`` tags that most users of an age group watched, testers left out.
+
+    An item's tags travel as one list, and a user's tags come together where the user is, so what is shuffled on is a count for each task.
+    """
+    listed = tags.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_tags")).hint("merge")
+    mine = watches.select("user_id", "item_id").join(listed, "item_id").join(users.filter(~F.col("is_test")).select("user_id", "age_grp"), "user_id")
+    mine = mine.repartition(int(watches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    once = mine.select("user_id", "age_grp", F.inline("_tags")).dropDuplicates(["user_id", "age_grp", "category", "value"])
+    counted = once.groupBy("age_grp", "category", "value").agg(F.count(F.lit(1)).alias("users")).filter(F.col("users") >= least)
+    return top_per_group(counted, ["age_grp", "category"], [F.desc("users"), F.col("value")], 1 << 30).filter(F.col("rank") <= most)
 
 
 def hybrid_scores(candidates: DataFrame, tags: DataFrame, preferences: DataFrame, beta: float = 0.6, top_tags: int = 3, explained: int = 5) -> DataFrame:
@@ -84,10 +95,7 @@ def liked_tags(preferences: DataFrame, watches: DataFrame, users: DataFrame, tag
     """
     cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
     own = preferences.filter(F.col("category").isin(*slots)).select("user_id", "category", "value", F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc(F.round("affinity", 6)), "value")).alias("_r"))
-    cold = None
-    for category, n in slots.items():
-        rows = cold_start_tags(watches, users, tags, category, n + extra, least).select("age_grp", F.lit(category).alias("category"), "value", "rank")
-        cold = rows if cold is None else cold.unionByName(rows)
+    cold = _common_tags(watches, users, tags.filter(F.col("category").isin(*slots)), F.element_at(cuts, F.col("category")) + extra, least).select("age_grp", "category", "value", "rank")
     filled = own.filter(F.col("_r") == F.element_at(cuts, F.col("category"))).select("user_id", "category")
     spare = users.select("user_id", "age_grp").join(F.broadcast(cold), "age_grp").join(filled, ["user_id", "category"], "left_anti").join(own.select("user_id", "category", "value"), ["user_id", "category", "value"], "left_anti")
     return own.filter(F.col("_r") <= F.element_at(cuts, F.col("category")) + extra).unionByName(spare.select("user_id", "category", "value", (F.col("rank") + 1000).alias("_r")))
@@ -101,10 +109,12 @@ def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: Da
     cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
     known = items.filter("poster_url IS NOT NULL").select("item_id", F.coalesce("series_nm", F.col("item_id").cast("string")).alias("_s"))
     shelf = top_per_group(tags.filter(F.col("category").isin(*slots)), ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(known, "item_id").select("category", "value", "item_id", "_c", "_s")
-    # a shelf is a short list; of a user's history only what stands on some shelf matters
+    # a shelf is a short list; of a user's history only what stands on a shelf of theirs matters, and who has none of that there gets the shelf's first items
+    tag = ["user_id", "category", "value"]
     listed = shelf.groupBy("category", "value").agg(F.array_sort(F.collect_list(F.struct("_c", "item_id", "_s"))).alias("_shelf"))
-    seen = watches.select("user_id", "item_id").distinct().join(shelf.select("item_id").distinct(), "item_id", "left_semi").groupBy("user_id").agg(F.collect_list("item_id").alias("_seen"))
-    rows = liked.select("user_id", "category", "value", "_r").join(listed, ["category", "value"]).join(seen, "user_id", "left")
+    places = shelf.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_on"))
+    seen = watches.select("user_id", "item_id").join(places, "item_id").distinct().select("user_id", "item_id", F.inline("_on")).groupBy(*tag).agg(F.collect_list("item_id").alias("_seen"))
+    rows = liked.select(*tag, "_r").join(seen, tag, "left")
     none = F.array().cast("array<bigint>")
     start = F.struct(none.alias("items"), F.array().cast("array<string>").alias("series"))
 
@@ -113,8 +123,11 @@ def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: Da
         skip = (F.size(kept["items"]) >= per_tag) | F.array_contains(F.coalesce(F.col("_seen"), none), x["item_id"]) | F.array_contains(kept["series"], x["_s"])
         return F.when(skip, kept).otherwise(F.struct(F.array_append(kept["items"], x["item_id"]).alias("items"), F.array_append(kept["series"], x["_s"]).alias("series")))
 
-    tag = ["user_id", "category", "value"]
-    kept = rows.select(*tag, "_r", F.aggregate("_shelf", start, add)["items"].alias("_items")).filter(F.size("_items") == per_tag)
+    first = listed.withColumn("_seen", none).withColumn("_first", F.aggregate("_shelf", start, add)["items"]).drop("_seen")
+    met = rows.join(first, ["category", "value"])
+    # the fold runs only where a seen item is among the first ones
+    items_of = F.when(F.arrays_overlap("_first", F.coalesce("_seen", none)), F.aggregate("_shelf", start, add)["items"]).otherwise(F.col("_first"))
+    kept = met.select(*tag, "_r", items_of.alias("_items")).filter(F.size("_items") == per_tag)
     ranked = kept.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category")))
     return ranked.select(*tag, "tag_rank", F.posexplode("_items").alias("_p", "item_id")).select(*tag, "tag_rank", "item_id", (F.col("_p") + 1).alias("item_rank"))
 

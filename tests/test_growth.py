@@ -103,3 +103,22 @@ def test_items_are_dealt_before_their_guests_are_looked_for(spark, small):
 
 def test_weights_of_a_sequence_hash_nothing(spark, small):
     assert "HashAggregate" not in plan(H.w17(spark, small))
+
+
+def test_renamed_tags_travel_as_lists(spark, small):
+    from reelspark.plans import upkeep
+
+    assert "inline(_tags" in plan(upkeep.h28_cascade(spark, small))
+
+
+def test_shelves_are_taken_apart_only_where_a_seen_item_is_among_the_first(spark):
+    items = spark.createDataFrame([(i, f"s{i // 2}" if i < 8 else None, "p" if i != 9 else None) for i in range(12)], "item_id long, series_nm string, poster_url string")
+    tags = spark.createDataFrame([(i, "genre", "a", 0.5) for i in range(12)] + [(i, "genre", "b", 0.5) for i in range(3)], "item_id long, category string, value string, confidence double")
+    watches = spark.createDataFrame([(1, 11), (2, 0), (2, 2), (2, 0), (3, 0), (3, 1)], "user_id long, item_id long")
+    liked = spark.createDataFrame([(u, "genre", v, r) for u in (1, 2, 3, 4) for r, v in enumerate("ba", 1)], "user_id long, category string, value string, _r int")
+    found = hybrid.tag_shelves(liked, tags, items, watches, {"genre": 2}, per_tag=4, buffer=60)
+    assert "arrays_overlap" in plan(found)
+    got = {}
+    for r in found.orderBy("user_id", "item_rank").collect():
+        got.setdefault((r.user_id, r.value, r.tag_rank), []).append(r.item_id)
+    assert got == {(1, "a", 1): [0, 2, 4, 6], (2, "a", 1): [1, 3, 4, 6], (3, "a", 1): [2, 4, 6, 8], (4, "a", 1): [0, 2, 4, 6]}
