@@ -131,3 +131,27 @@ def test_held_out_items_rank_as_high_as_by_sparks_als(spark, small):
     theirs = {10**12 + 7 * r["u"]: [x for x in (10**9 + s["i"] for s in r["recommendations"]) if (10**12 + 7 * r["u"], x) not in known][:10] for r in model.recommendForAllUsers(40).collect()}
     print(ndcg(ours), ndcg(theirs))
     assert ndcg(ours) >= 0.9 * ndcg(theirs) > 0.1
+
+
+def test_slices_give_the_same_factors_and_leave_no_old_ones(spark):
+    from pyspark.sql import functions as F
+
+    from reelspark.operators import als
+    from reelspark.plans import views as V
+
+    frame = spark.range(4000).select((F.col("id") % 97).alias("user_id"), (F.col("id") * 31 % 211).alias("item_id"), (F.col("id") % 7 + 1.0).alias("confidence"))
+    block, als.BLOCK = als.BLOCK, 20
+    gone = []
+    try:
+        whole = als.fit(frame, V.written, rank=4, iterations=2)
+        sliced = als.fit(frame, V.written, rank=4, iterations=2, at_once=1500, drop=lambda f: (gone.append(f), V.dropped(f)))
+    finally:
+        als.BLOCK = block
+    rows = lambda f: sorted((tuple(r.ids), bytes(r.f)) for r in f.users.unionByName(f.items).collect())
+    a, b = rows(whole), rows(sliced)
+    assert [x[0] for x in a] == [x[0] for x in b]
+    import numpy as np
+
+    assert all(np.allclose(np.frombuffer(x[1], np.float32), np.frombuffer(y[1], np.float32), atol=1e-4) for x, y in zip(a, b, strict=True))
+    assert len(gone) == 2 + 2 * 3 + 2  # the started ones, three slices of each side, tiles and pairs
+    assert spark.conf.get(als._CLEANUP, "false") == "false"
