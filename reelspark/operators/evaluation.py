@@ -38,9 +38,14 @@ def via_history(similar: DataFrame, history: DataFrame, k: int) -> DataFrame:
 
     ``similar``: source_id, item_id, rank.
     """
-    past = history.select("user_id", "item_id").distinct()
-    best = past.withColumnRenamed("item_id", "source_id").join(similar, "source_id").groupBy("user_id", "item_id").agg(F.min("rank").alias("best"))
-    return top_per_group(best.join(past, ["user_id", "item_id"], "left_anti"), ["user_id"], [F.col("best"), F.col("item_id")], k).select("user_id", "item_id", "rank")
+    # a source's list travels as one row; taken apart where the user is, it meets there what the user has watched
+    found = F.struct("item_id", "rank", F.lit(False).alias("seen"))
+    lists = similar.groupBy("source_id").agg(F.collect_list(found).alias("_similar")).hint("merge")
+    own = F.array(F.struct(F.col("source_id").alias("item_id"), F.lit(None).cast(similar.schema["rank"].dataType).alias("rank"), F.lit(True).alias("seen")))
+    past = history.select("user_id", F.col("item_id").alias("source_id")).join(lists, "source_id", "left")
+    past = past.select("user_id", F.concat(own, F.coalesce("_similar", F.slice(own, 1, 0))).alias("_items")).repartition(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    best = past.select("user_id", F.inline("_items")).groupBy("user_id", "item_id").agg(F.min("rank").alias("best"), F.bool_or("seen").alias("seen"))
+    return top_per_group(best.filter("NOT seen"), ["user_id"], [F.col("best"), F.col("item_id")], k).select("user_id", "item_id", "rank")
 
 
 def by_series(rows: DataFrame, items: DataFrame) -> DataFrame:

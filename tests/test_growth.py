@@ -122,3 +122,13 @@ def test_shelves_are_taken_apart_only_where_a_seen_item_is_among_the_first(spark
     for r in found.orderBy("user_id", "item_rank").collect():
         got.setdefault((r.user_id, r.value, r.tag_rank), []).append(r.item_id)
     assert got == {(1, "a", 1): [0, 2, 4, 6], (2, "a", 1): [1, 3, 4, 6], (3, "a", 1): [2, 4, 6, 8], (4, "a", 1): [0, 2, 4, 6]}
+
+
+def test_lists_meet_a_history_where_the_user_is(spark):
+    from reelspark.operators import evaluation
+
+    similar = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 1), (2, 1, 2)], "source_id long, item_id long, rank int")
+    history = spark.createDataFrame([(7, 1), (7, 1), (7, 9), (8, 1), (8, 2), (9, 9)], "user_id long, item_id long")
+    found = evaluation.via_history(similar, history, 5)
+    assert "LeftAnti" not in plan(found) and "inline(_items" in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 2, 1), (7, 3, 2), (8, 3, 1)]
