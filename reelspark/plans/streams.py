@@ -22,9 +22,12 @@ def query(name: str, sql: str | None = None, **more: str):
     return add
 
 
-#: Files that the event table is laid out in, in order of time, one a batch.
+#: Batches that the event table comes in, in order of time.
 BATCHES = 3
 
+#: Rows of a file at least, where a batch has several.
+FILE_ROWS = 100_000
+
 
 def events(spark, d):
     """The event table as a stream of BATCHES batches in order of time, its times as instants."""
@@ -33,9 +36,14 @@ def events(spark, d):
     edges = table.select(F.unix_seconds("ts").cast("double").alias("s")).approxQuantile("s", [k / BATCHES for k in range(1, BATCHES)], 0.01)
     kind = sum((F.when(F.unix_seconds("ts") > e, 1).otherwise(0) for e in edges), F.lit(0))
     path = folder(spark)
-    for k in range(BATCHES):  # a file stream takes the oldest file first
-        table.filter(kind == k).coalesce(1).write.mode("append").parquet(path)
-    return flows.stream_of(spark, path, table, 1)
+    parts = {k: table.filter(kind == k) for k in range(BATCHES)}
+    rows = dict(table.groupBy(kind.alias("k")).count().collect())
+    # a batch is told by its number of files, so all have the same; a hash of the row's number leaves none of them empty, which would not be written
+    files = max(1, min(rows.get(k, 0) for k in parts) // FILE_ROWS)
+    for part in parts.values():  # a file stream takes the oldest file first
+        spread = part.withColumn("_n", F.monotonically_increasing_id()).repartition(files, "_n").drop("_n") if files > 1 else part.coalesce(1)
+        spread.write.mode("append").parquet(path)
+    return flows.stream_of(spark, path, table, files)
 
 
 def ran(spark, stream, mode="append"):

@@ -125,3 +125,22 @@ def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == [(1, 8), (2, 6)]
     assert flows.latest_of(spark, f"{top}-none", ["user_id"], frame([(1, 1)]).schema).count() == 0
     assert rows.filter(F.col("user_id") == 3).isEmpty()
+
+
+def test_a_batch_of_the_event_table_is_several_files(spark, small, tmp_path, monkeypatch):
+    """One task no longer writes or reads a whole third; batches stay in order of time, and rows are the same."""
+    import glob
+    import os
+
+    from reelspark.plans import streams
+
+    want = sorted(map(tuple, streams.st1(spark, small).collect()))
+    monkeypatch.setattr(streams, "FILE_ROWS", 50, raising=False)
+    assert sorted(map(tuple, streams.st1(spark, small).collect())) == want
+    monkeypatch.setattr(streams, "folder", lambda spark: f"file://{tmp_path}/events")
+    streams.events(spark, small)
+    files = sorted(glob.glob(f"{tmp_path}/events/part-*"), key=lambda f: os.stat(f).st_mtime_ns)
+    each = len(files) // streams.BATCHES
+    assert len(files) == each * streams.BATCHES and each > 1
+    spans = [spark.read.parquet(*(f"file://{f}" for f in files[k : k + each])).agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first() for k in range(0, len(files), each)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(s[2] for s in spans) == spark.read.parquet(f"{small}/events.parquet").count()
