@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,31 +38,36 @@ def greedy_distinct(candidates: DataFrame, one_source_types: tuple[str, ...], wr
     ``candidates``: user_id, item_id, score, type, source_id. ``write`` writes a frame to shared
     storage and reads it back.
 
-    Works in rounds of local winners: a row that is the best open one of its item and of its source is
-    accepted, and those that clash with it go. So no list of a user is ever in one place, and most rows are
-    decided in the first rounds. Chains of clashes, of which each round takes one link, are left to a
+    Works in rounds. Within an item, what comes after a row without a source is turned down, and its first row has the item
+    for itself; such a row uses up its source too, by itself or by one before it, so what comes after it in the source is turned down. A row that
+    is the first of its item and of its source is accepted. So no list of a user is ever in one place, a round moves
+    all rows by item once and those with a source once more, and most rows are decided in the first. Chains of clashes, of which each round takes a link, are left to a
     fold over a user's remaining rows in their order, which keeps only what they have used up.
     """
-    limited = F.coalesce(F.col("type").isin(*one_source_types), F.lit(False))
-    rows = candidates.select("user_id", "item_id", "score", "type", "source_id").withColumns({"_s": F.when(limited, F.col("source_id")), "_r": F.monotonically_increasing_id()})
-    order = F.struct((-F.col("score")).alias("o"), F.col("type").alias("t"), F.col("item_id").alias("i"), F.col("source_id").alias("s"), F.col("_r").alias("r"))
-    left, accepted = write(rows.withColumn("_o", order)), None
+    columns = ["user_id", "item_id", "score", "type", "source_id"]
+    source = F.when(F.coalesce(F.col("type").isin(*one_source_types), F.lit(False)), F.col("source_id"))
+    order = [-F.col("score"), F.col("type"), F.col("item_id"), F.col("source_id")]
+    by_item = Window.partitionBy("user_id", "item_id").orderBy(*order)
+    by_source = Window.partitionBy("user_id", "_s").orderBy(*order, F.desc("_first"))  # of equal rows the one that is the first of the item
+    item = F.col("item_id").isNotNull()
+
+    def none_before(flag: Column, w) -> Column:
+        return ~F.coalesce(F.max(flag).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+
+    left, accepted = candidates.select(*columns), []
     for _ in range(rounds):
+        marks = {"_open": ~item | none_before(F.col("_s").isNull(), by_item), "_first": ~item | (F.row_number().over(by_item) == 1), "_more": item & F.lead(F.lit(True)).over(by_item).isNotNull()}
+        marked = write(left.withColumn("_s", source).withColumns(marks).filter("_open").drop("_open", "_s")).withColumn("_s", source)
+        firsts = marked.filter("_s IS NOT NULL").withColumns({"_open": none_before(F.col("_first"), by_source), "_wins": F.col("_first") & (F.row_number().over(by_source) == 1)})
+        picked = write(firsts.filter("_open").drop("_open", "_s"))
+        won = picked.filter("_wins")
+        accepted += [marked.filter("_s IS NULL AND _first").select(*columns), won.select(*columns)]
+        rest = marked.filter("_s IS NULL AND NOT _first").select(*columns).unionByName(picked.filter("NOT _wins").select(*columns))
+        left = write(rest.join(won.filter("_more").select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select(*columns))
         if left.isEmpty():
-            break
-        first = lambda key, name: left.filter(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.min("_o").alias(name))  # noqa: B023, E731
-        wins = (F.col("_bi").isNull() | (F.col("_o") == F.col("_bi"))) & (F.col("_bs").isNull() | (F.col("_o") == F.col("_bs")))
-        marked = write(left.join(first("item_id", "_bi"), ["user_id", "item_id"], "left").join(first("_s", "_bs"), ["user_id", "_s"], "left").withColumn("_wins", wins).drop("_bi", "_bs"))
-        won = marked.filter("_wins")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        left = marked.filter("NOT _wins").join(won.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(won.select("user_id", "_s"), ["user_id", "_s"], "left_anti")
-        left = write(left.drop("_wins"))
-    columns = ["user_id", "item_id", "score", "type", "source_id"]
-    out = candidates.select(*columns).limit(0) if accepted is None else accepted.select(*columns)
-    if left.isEmpty():
-        return out
-    ordered = left.repartition("user_id").sortWithinPartitions("user_id", "_o")
-    return out.unionByName(ordered.select(*columns, "_s").mapInPandas(_folded, candidates.select(*columns).schema))
+            return reduce(DataFrame.unionByName, accepted)
+    ordered = left.withColumn("_s", source).repartition("user_id").sortWithinPartitions("user_id", *order)
+    return reduce(DataFrame.unionByName, [*accepted, ordered.mapInPandas(_folded, left.schema)])
 
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -52,6 +52,31 @@ def test_greedy_distinct_of_one_long_list(spark):
     assert time.time() - began < 120
 
 
+def test_greedy_distinct_writes_each_row_about_once(spark):
+    """Few clashes: rows are marked once, and written again only where they have a source of their own."""
+    written = []
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(60), rnd.randrange(4000), rnd.random(), *rnd.choice([("VS", rnd.randrange(4)), ("CF", None), ("CF", 1)])) for _ in range(3000)]
+
+    def write(df):
+        out = V.written(df)
+        written.append(out.count())
+        return out
+
+    got = ranking.greedy_distinct(spark.createDataFrame(rows, CANDIDATE), ("VS",), write)
+    assert sorted(map(tuple, got.collect()), key=repr) == fold(rows)
+    assert sum(written) < 1.3 * len(rows), written
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 24])
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_distinct_of_equal_and_null_rows(spark, rounds, seed):
+    """Few users, items, sources and scores, so rows clash in every way and many are equal; either type may lack a source or an item."""
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(40), rnd.choice([None, *range(5)]), rnd.randrange(3) / 2, rnd.choice(["VS", "CF", "AB"]), rnd.choice([None, *range(4)])) for _ in range(1200)]
+    assert taken(spark, rows, rounds=rounds) == fold(rows)
+
+
 def nearest(sets):
     out = []
     for a, x in sets.items():
