@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,23 +95,79 @@ def liked_tags(preferences: DataFrame, watches: DataFrame, users: DataFrame, tag
 
     Who likes fewer tags of a category than it has slots also gets those that most users of their age group watched, after their own.
     """
-    cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
-    own = preferences.filter(F.col("category").isin(*slots)).select("user_id", "category", "value", F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc(F.round("affinity", 6)), "value")).alias("_r"))
-    cold = _common_tags(watches, users, tags.filter(F.col("category").isin(*slots)), F.element_at(cuts, F.col("category")) + extra, least).select("age_grp", "category", "value", "rank")
-    filled = own.filter(F.col("_r") == F.element_at(cuts, F.col("category"))).select("user_id", "category")
-    spare = users.select("user_id", "age_grp").join(F.broadcast(cold), "age_grp").join(filled, ["user_id", "category"], "left_anti").join(own.select("user_id", "category", "value"), ["user_id", "category", "value"], "left_anti")
-    return own.filter(F.col("_r") <= F.element_at(cuts, F.col("category")) + extra).unionByName(spare.select("user_id", "category", "value", (F.col("rank") + 1000).alias("_r")))
+    near = _cuts(slots) + extra
+    own = _own_tags(preferences, slots)
+    cold = _common_tags(watches, users, tags.filter(F.col("category").isin(*slots)), near, least).select("age_grp", "category", "value", "rank")
+    return own.filter(F.col("_r") <= near).unionByName(_spare_tags(_short(users, own, slots), F.broadcast(cold), own))
+
+
+def _cuts(slots: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in slots.items() for x in pair]), F.col("category"))
+
+
+def _own_tags(preferences: DataFrame, slots: dict[str, int]) -> DataFrame:
+    return preferences.filter(F.col("category").isin(*slots)).select("user_id", "category", "value", F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc(F.round("affinity", 6)), "value")).alias("_r"))
+
+
+def _short(users: DataFrame, own: DataFrame, slots: dict[str, int]) -> DataFrame:
+    """(user_id, age_grp, category): where a user likes fewer tags than there are slots."""
+    each = users.select("user_id", "age_grp", F.explode(F.array(*[F.lit(c) for c in slots])).alias("category"))
+    return each.join(own.filter(F.col("_r") == _cuts(slots)).select("user_id", "category"), ["user_id", "category"], "left_anti")
+
+
+def _spare_tags(short: DataFrame, cold: DataFrame, own: DataFrame) -> DataFrame:
+    """(user_id, category, value, _r): the age group's tags that a user doesn't have, after their own."""
+    spare = short.join(cold, ["age_grp", "category"]).join(own.select("user_id", "category", "value"), ["user_id", "category", "value"], "left_anti")
+    return spare.select("user_id", "category", "value", (F.col("rank") + 1000).alias("_r"))
 
 
 def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: DataFrame, slots: dict[str, int], per_tag: int = 10, buffer: int = 500) -> DataFrame:
     """(user_id, category, value, tag_rank, item_id, item_rank): shelves of the tags a user likes, each with ``per_tag`` unseen items of as many series.
 
-    ``liked`` as from ``liked_tags``. A tag with fewer is passed over and the next one of its category moves up.
+    ``liked`` as from ``liked_tags``. A tag with fewer among its first ``buffer`` items is passed over and the next one of its category moves up.
+    ``whole_tag_shelves`` has no such bounds.
+    """
+    shelf = top_per_group(tags.filter(F.col("category").isin(*slots)), ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(_shown(items), "item_id").select("category", "value", "item_id", "_c", "_s")
+    return _in_slots(_filled(liked, shelf, watches, per_tag).filter(F.size("_items") == per_tag), slots)
+
+
+def whole_tag_shelves(preferences: DataFrame, watches: DataFrame, users: DataFrame, tags: DataFrame, items: DataFrame, slots: dict[str, int], write: Callable[[DataFrame], DataFrame], per_tag: int = 10, head: int = 60, extra: int = 10, least: int = 3) -> DataFrame:
+    """As ``tag_shelves`` of ``liked_tags``, over all items of all tags that a user likes or that their age group watched.
+
+    Most shelves are full from the first ``head`` items of a tag, and most users from ``extra`` tags more than there are slots.
+    Only what these leave open is looked for in whole shelves and among all the other tags. ``write`` writes a frame to shared storage and reads it back.
+    """
+    tag, near = ["category", "value"], _cuts(slots) + extra
+    mine = tags.filter(F.col("category").isin(*slots))
+    shelf = write(mine.join(_shown(items), "item_id").select(*tag, "item_id", (-F.col("confidence")).alias("_o"), "_s"))
+    heads = write(top_per_group(shelf, tag, [F.col("_o"), F.col("item_id")], head, "_c").select(*tag, "item_id", "_c", "_s"))
+    longer = shelf.groupBy(*tag).agg((F.count(F.lit(1)) > head).alias("_longer"))
+    own = write(_own_tags(preferences, slots))
+    cold = write(_common_tags(watches, users, mine, F.lit(1 << 30), least).select("age_grp", *tag, "rank"))
+    short = write(_short(users, own, slots))
+
+    def full(rows: DataFrame) -> DataFrame:
+        tried = write(_filled(rows, heads, watches, per_tag).join(longer, tag))
+        left = tried.filter((F.size("_items") < per_tag) & F.col("_longer")).select("user_id", *tag, "_r")
+        done = tried.filter(F.size("_items") == per_tag).drop("_longer")
+        return done if left.isEmpty() else done.unionByName(write(_from_whole_shelves(left, shelf, watches, per_tag)))
+
+    first = full(own.filter(F.col("_r") <= near).unionByName(_spare_tags(short, F.broadcast(cold.filter(F.col("rank") <= near)), own)))
+    enough = write(first.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= _cuts(slots)).select("user_id", "category"))
+    at = ["user_id", "category"]
+    rest = write(own.filter(F.col("_r") > near).join(enough, at, "left_anti").unionByName(_spare_tags(short.join(enough, at, "left_anti"), cold.filter(F.col("rank") > near), own)))
+    return _in_slots(first if rest.isEmpty() else first.unionByName(full(rest)), slots)
+
+
+def _shown(items: DataFrame) -> DataFrame:
+    return items.filter("poster_url IS NOT NULL").select("item_id", F.coalesce("series_nm", F.col("item_id").cast("string")).alias("_s"))
+
+
+def _filled(liked: DataFrame, shelf: DataFrame, watches: DataFrame, per_tag: int) -> DataFrame:
+    """(user_id, category, value, _r, _items): of each tag a user likes the first ``per_tag`` unseen items of as many series, or fewer.
+
+    A shelf is a short list; of a user's history only what stands on a shelf of theirs matters, and who has none of that there gets the shelf's first items.
     """
-    cuts = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
-    known = items.filter("poster_url IS NOT NULL").select("item_id", F.coalesce("series_nm", F.col("item_id").cast("string")).alias("_s"))
-    shelf = top_per_group(tags.filter(F.col("category").isin(*slots)), ["category", "value"], [F.desc("confidence"), F.col("item_id")], buffer, "_c").join(known, "item_id").select("category", "value", "item_id", "_c", "_s")
-    # a shelf is a short list; of a user's history only what stands on a shelf of theirs matters, and who has none of that there gets the shelf's first items
     tag = ["user_id", "category", "value"]
     listed = shelf.groupBy("category", "value").agg(F.array_sort(F.collect_list(F.struct("_c", "item_id", "_s"))).alias("_shelf"))
     places = shelf.groupBy("item_id").agg(F.collect_list(F.struct("category", "value")).alias("_on"))
@@ -127,8 +185,36 @@ def tag_shelves(liked: DataFrame, tags: DataFrame, items: DataFrame, watches: Da
     met = rows.join(first, ["category", "value"])
     # the fold runs only where a seen item is among the first ones
     items_of = F.when(F.arrays_overlap("_first", F.coalesce("_seen", none)), F.aggregate("_shelf", start, add)["items"]).otherwise(F.col("_first"))
-    kept = met.select(*tag, "_r", items_of.alias("_items")).filter(F.size("_items") == per_tag)
-    ranked = kept.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= F.element_at(cuts, F.col("category")))
+    return met.select(*tag, "_r", items_of.alias("_items"))
+
+
+def _from_whole_shelves(left: DataFrame, shelf: DataFrame, watches: DataFrame, per_tag: int) -> DataFrame:
+    """As ``_filled``, from all items of a tag, and only what is full. ``shelf``: category, value, item_id, _o (order, before item_id), _s.
+
+    Who has seen n items of a shelf needs no more than its first n + ``per_tag`` series and the first n + 1 items of each: n seen
+    items leave so many series with an unseen one before any later series begins. So rows meet cuts of their shelf, made for n up to 1, 2, 4, ...
+    """
+    tag, of = ["category", "value"], ["user_id", "category", "value"]
+    shelf = shelf.join(left.select(*tag).distinct(), tag, "left_semi")
+    order = [F.col("_o"), F.col("item_id")]
+    by_series = Window.partitionBy(*tag, "_s").orderBy(*order)
+    placed = shelf.withColumns({"_within": F.row_number().over(by_series), "_begin": F.first(F.struct(*order)).over(by_series)}).withColumn("_series", F.dense_rank().over(Window.partitionBy(*tag).orderBy("_begin")))
+    history = watches.select("user_id", "item_id").join(left.select("user_id").distinct(), "user_id", "left_semi").distinct()
+    seen = history.join(shelf.select(*tag, "item_id"), "item_id").join(left.select(*of), of, "left_semi").select(*of, "item_id")
+    size = F.ceil(F.log2(F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1)))).cast("int")
+    asked = left.join(seen.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")), of, "left").withColumn("_size", size).drop("_n")
+    most = F.pow(F.lit(2.0), F.col("_size"))
+    cut = placed.join(asked.select(*tag, "_size").distinct(), tag).filter((F.col("_series") <= most + per_tag) & (F.col("_within") <= most + 1)).select(*tag, "_size", *order, "_s")
+    unseen = asked.join(cut, [*tag, "_size"]).join(seen, [*of, "item_id"], "left_anti")
+    one = top_per_group(unseen, [*of, "_s"], order, 1, "_n")
+    best = top_per_group(one, of, order, per_tag, "_c").groupBy(*of, "_r").agg(F.array_sort(F.collect_list(F.struct("_c", "item_id"))).alias("_l"))
+    return best.filter(F.size("_l") == per_tag).select(*of, "_r", F.transform("_l", lambda x: x["item_id"]).alias("_items"))
+
+
+def _in_slots(full: DataFrame, slots: dict[str, int]) -> DataFrame:
+    """Full shelves as rows of items, as many of a category as it has slots."""
+    tag = ["user_id", "category", "value"]
+    ranked = full.withColumn("tag_rank", F.dense_rank().over(Window.partitionBy("user_id", "category").orderBy("_r"))).filter(F.col("tag_rank") <= _cuts(slots))
     return ranked.select(*tag, "tag_rank", F.posexplode("_items").alias("_p", "item_id")).select(*tag, "tag_rank", "item_id", (F.col("_p") + 1).alias("item_rank"))
 
 
