@@ -31,18 +31,101 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+#: Ids that are broadcast, so that what has no vector isn't moved; longer lists are joined as Spark likes.
+IDS = 1_000_000
+
+
+def ids_of(items: DataFrame) -> DataFrame:
+    """(item_id): each id once, to be broadcast if there are few."""
+    ids = items.select("item_id").distinct()
+    return F.broadcast(ids) if items.count() <= IDS else ids
+
+
+def known_views(watches: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, item_id, w): who watched which of the items with a vector, and the sum of the completions over 0, null without any.
+
+    Views of items without a vector are left out before anything is grouped.
+    """
+    known = watches.select("user_id", "item_id", "completion").join(ids_of(vectors), "item_id", "left_semi")
+    return known.groupBy("user_id", "item_id").agg(F.sum(F.when(F.col("completion") > 0, F.col("completion"))).alias("w"))
+
+
 def user_vectors(watches: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
-    """(user_id, vector, items): the mean of a user's item vectors, weighted by completion, at length 1.
+    """(user_id, vector, items): the mean of a user's item vectors, weighted by completion, at length 1."""
+    return mean_vectors(known_views(watches, vectors), vectors, vector)
 
-    Weighted sums are taken by position, with partial sums before the shuffle. Views of items without a
-    vector are left out before anything is grouped, and history is read once: each position counts the items.
+
+def mean_vectors(known: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
+    """(user_id, vector, items) from ``known_views``: the weighted mean of a user's item vectors, at length 1.
+
+    A block of users has its views as one row, which meets blocks of vectors where they are: a view is
+    shuffled as two ids and a weight, and neither with its vector nor as a row for each component.
     """
-    known = watches.filter("completion > 0").join(vectors.select("item_id"), "item_id", "left_semi")
-    weights = known.groupBy("user_id", "item_id").agg(F.sum("completion").alias("w"))
-    joined = weights.join(vectors.select("item_id", vector), "item_id")
-    sums = joined.select("user_id", "w", F.posexplode(vector).alias("p", "x")).groupBy("user_id", "p").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.count(F.lit(1)).alias("n"))
-    packed = sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("v"), F.max("n").alias("items"))
-    return packed.select("user_id", normalised(F.col("v")).alias("vector"), "items")
+    views = known.filter("w IS NOT NULL")
+    n = views.count()
+    asks, rows = max(1, -(-n // VIEWS)), max(1, -(-vectors.count() // HELD_ROWS))
+    packed = vectors.select("item_id", vector).filter(F.col(vector).isNotNull()).withColumn("_of", _block_of("item_id", rows)).repartition(max(1, -(-rows // HELD)), "_of").groupBy("_of").agg(F.collect_list(F.struct("item_id", vector)).alias("rows"))
+    packed = _matrices(packed, "rows", unit=False)
+    views = views.withColumn("_block", _block_of("user_id", asks)).repartition(asks, "_block").groupBy("_block").agg(F.collect_list(F.struct("user_id", "item_id", "w")).alias("views"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, users, total = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch["_block"][i].as_py() != block:
+                    if total is not None:
+                        yield _sums(block, users, total)
+                    block, total = batch["_block"][i].as_py(), None
+                    u, item, w = _columns(batch["views"][i])
+                    order = np.argsort(u, kind="stable")
+                    (users, at), item, w = np.unique(u[order], return_inverse=True), item[order], w[order]
+                ids, x = _read(batch["rows"][i])
+                order = np.argsort(ids, kind="stable")
+                place = np.searchsorted(ids[order], item)
+                times = np.searchsorted(ids[order], item, side="right") - place
+                there = np.repeat(np.arange(len(item)), times)  # a view counts for each vector of its item
+                place = order[np.arange(len(there)) - np.repeat(np.cumsum(times) - times, times) + place[there]]
+                if total is None:  # of each user the sum of weighted vectors, of the weights, and the items
+                    total = np.zeros((len(users), x.shape[1] + 2))
+                for k in range(0, len(there), PART):
+                    some = there[k : k + PART]
+                    first = np.flatnonzero(np.r_[True, at[some][1:] != at[some][:-1]])
+                    of = w[some][:, None]
+                    total[at[some][first]] += np.add.reduceat(np.hstack([x[place[k : k + PART]] * of, of, np.ones_like(of)]), first, axis=0)
+        if total is not None:
+            yield _sums(block, users, total)
+
+    sums = views.crossJoin(packed).select("_block", "views", "rows").mapInArrow(run, "_block long, ids binary, sums binary")
+    if rows > HELD:  # else each block has met all vectors in one task
+        sums = sums.groupBy("_block").applyInArrow(_added, sums.schema)
+    return sums.mapInArrow(_means, "user_id long, vector array<double>, items long")
+
+
+#: Views of a block of users and vectors of a block that it meets, on average, and views whose vectors are looked at at a time.
+VIEWS, HELD_ROWS, PART = 100_000, 16_384, 50_000
+
+
+def _sums(block: int, users: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([users.astype(np.int64).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["_block", "ids", "sums"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """The sums of one block, whose users are the same and in the same order in all parts."""
+    ids = np.frombuffer(parts["ids"][0].as_buffer(), np.int64)
+    return pa.Table.from_batches([_sums(parts["_block"][0].as_py(), ids, sum(np.frombuffer(s.as_buffer()).reshape(len(ids), -1) for s in parts["sums"]))])
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, raw in zip(batch["ids"], batch["sums"], strict=True):
+            ids = np.frombuffer(ids.as_buffer(), np.int64)
+            total = np.frombuffer(raw.as_buffer()).reshape(len(ids), -1)
+            some = total[:, -1] > 0
+            mean, items = total[some, :-2] / total[some, -2:-1], total[some, -1].astype(np.int64)
+            length = np.sqrt(np.einsum("ij,ij->i", mean, mean))[:, None]
+            mean = mean / np.where(length < 1e-9, 1.0, length)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mean) + 1) * mean.shape[1], pa.int32()), pa.array(mean.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), lists, pa.array(items)], names=["user_id", "vector", "items"])
 
 
 #: Rows of one side that are held against the other at a time, on average.
@@ -71,8 +154,13 @@ def partial_top(scores: np.ndarray, n: int) -> np.ndarray:
 
 def _packed(rows: DataFrame, key: str, name: str, blocks: int, parts: int = 0) -> DataFrame:
     """Blocks of about BLOCK rows (key first, then vectors), dealt by a hash of the key: (block, name). They lie in ``parts`` partitions, as many as there are blocks if 0."""
-    grouped = rows.groupBy(_block_of(key, blocks).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
-    return _matrices(grouped, name).repartition(parts or blocks, f"{name}_block")
+    return _matrices(_grouped(rows, key, name, blocks, parts), name)
+
+
+def _grouped(rows: DataFrame, key: str, name: str, blocks: int, parts: int = 0) -> DataFrame:
+    """As ``_packed``, as lists of rows. They are shuffled once."""
+    dealt = rows.withColumn(f"{name}_block", _block_of(key, blocks)).repartition(parts or blocks, f"{name}_block")
+    return dealt.groupBy(f"{name}_block").agg(F.collect_list(F.struct(*rows.columns)).alias(name))
 
 
 def _packed_by(rows: DataFrame, key: str, name: str, block: int, by: str) -> DataFrame:
@@ -82,8 +170,8 @@ def _packed_by(rows: DataFrame, key: str, name: str, block: int, by: str) -> Dat
     return _matrices(rows.join(counts, by).groupBy(by, F.pmod(F.xxhash64(key), F.col("_blocks")).alias(f"{name}_block")).agg(F.collect_list(F.struct(*rest)).alias(name)), name)
 
 
-def _matrices(grouped: DataFrame, name: str) -> DataFrame:
-    """Lists of ids and vectors as raw ids and matrices of vectors at length 1, which cost the same to read each time they meet a block."""
+def _matrices(grouped: DataFrame, name: str, unit: bool = True) -> DataFrame:
+    """Lists of ids and vectors as raw ids and matrices of vectors at length 1 (with ``unit``), which cost the same to read each time they meet a block."""
     at = grouped.columns.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +181,7 @@ def _matrices(grouped: DataFrame, name: str) -> DataFrame:
                 raw = [ids.astype(np.int64).tobytes()]
                 for x in some:
                     length = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-                    raw.append((x / np.where(length < 1e-9, 1.0, length)).tobytes())
+                    raw.append((x / np.where(length < 1e-9, 1.0, length) if unit else x).tobytes())
                 columns = [batch.column(k).slice(i, 1) for k in range(batch.num_columns)]
                 columns[at] = pa.array([raw], pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
@@ -278,16 +366,15 @@ def ensemble(sources: DataFrame, items: DataFrame, n: int, alpha: float = 0.4) -
 def user_neighbours(users: DataFrame, items: DataFrame, watched: DataFrame, n: int, digits: int = 6) -> DataFrame:
     """(user_id, item_id, score, rank): for each user the unwatched items of highest positive cosine.
 
-    ``users``: user_id, vector; ``items``: item_id, vector. Histories are dealt to the pairs of blocks
-    that they concern, so that none travels whole, and only views of items that are to be ranked travel at all.
+    ``users``: user_id, vector; ``items``: item_id, vector. What the users of a block have watched of the items
+    that are to be ranked lies beside the block, so the products of blocks are made where they are used and never shuffled.
     """
     ub, ib = _blocks(users, BLOCK), _blocks(items, BLOCK)
-    asked = _packed(users.select("user_id", "vector"), "user_id", "asks", ub)
-    packed = _packed(items.select("item_id", "vector"), "item_id", "rows", ib)
-    seen = watched.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi").distinct()
-    seen = seen.groupBy(_block_of("user_id", ub).alias("asks_block"), _block_of("item_id", ib).alias("rows_block")).agg(F.collect_list(F.struct("user_id", "item_id")).alias("out"))
-    tiles = asked.crossJoin(packed).join(seen, ["asks_block", "rows_block"], "left")
-    return _best_in_tiles(tiles, ["user_id", "item_id"], lambda q, c: q[0] @ c[0].T, n, 0.0, digits)
+    seen = watched.select("user_id", "item_id").join(ids_of(items), "item_id", "left_semi").distinct()
+    seen = _grouped(seen.select("user_id", "item_id"), "user_id", "asks", ub).withColumnRenamed("asks", "out")
+    asked = _matrices(_grouped(users.select("user_id", "vector"), "user_id", "asks", ub).join(seen.hint("merge"), "asks_block", "left"), "asks")
+    packed = _packed(items.select("item_id", "vector"), "item_id", "rows", ib, min(ib, max(-(-ib // HELD), -(-TASKS // ub))))
+    return _best_in_tiles(asked.crossJoin(packed), ["user_id", "item_id"], lambda q, c: q[0] @ c[0].T, n, 0.0, digits)
 
 
 def attributed(recommended: DataFrame, watches: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -74,9 +74,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def watches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who watched what: order lines with their customers. The orders side is no dimension table: Spark picks the join."""
+def watches(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Who watched what: order lines with their customers. The orders side is no dimension table: Spark picks the join.
+
+    With ``of`` (item_id) only views of these items: other lines go before they meet orders.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
+    if of is not None:
+        lines = lines.join(of, F.col("l_partkey") == F.col("item_id"), "left_semi")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_shipdate").alias("started_at"), (F.col("l_quantity") / 50).alias("completion"),
