@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,129 @@ def rerank(candidates: DataFrame, tags: DataFrame, preferences: DataFrame, n: in
     return top_per_group(scored, ["user_id"], [F.desc("score"), F.col("item_id")], n)
 
 
+#: Rows of users that are scored together, more only where one user has more, and what stands for a null id there.
+TOGETHER, NONE = 100_000, -(1 << 63)
+
+
+def rerank_viewed(rows: DataFrame, tags: DataFrame, n: int = 10, engine: str = "CF", slots: int = 0, beta: float = 0.6, top_tags: int = 3, least: int = 2) -> DataFrame:
+    """``rerank`` of candidates by the affinities that ``statistics.tag_affinity`` finds in the same users' views: user_id, item_id, score, type, rank.
+
+    ``rows``: user_id, item_id, views (0 or more), completion, score, type; a row is some views of an item, a candidate, or both (without a
+    type it is no candidate). A candidate that comes several times has its highest score and first type. A row meets its item's tags
+    as a list of numbers and goes to its user once: affinities are counted, matched and summed up there, and only what may be among the best leaves.
+    """
+    listed = tags.groupBy("item_id").agg(F.collect_list(_number(tags)).alias("_tags")).hint("merge")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select("user_id", "item_id", F.col("views").cast("int").alias("views"), "completion", "score", "type").join(listed, "item_id", "left").repartition(parts, "user_id").sortWithinPartitions("user_id")
+    run = _scored(n, engine, slots, beta, top_tags, least)
+    found = met.select("user_id", "item_id", "views", "completion", "score", "type", "_tags").mapInArrow(run, "user_id long, item_id long, score double, type string, _t double, _known boolean")
+    score = F.when(F.col("_known"), F.round(F.least(beta * F.col("score") + (1 - beta) * F.col("_t"), F.lit(1.0)), 6)).otherwise(F.col("score"))
+    scored = found.withColumn("score", score).drop("_t", "_known")
+    return quota_blend(scored, engine, slots, n) if slots else top_per_group(scored, ["user_id"], [F.desc("score"), F.col("item_id")], n)
+
+
+def _number(tags: DataFrame) -> Column:
+    """A hash that gives no two of the tags the same number: of 32 bits where one of a few does, else of 64."""
+    each = tags.select("category", "value").distinct()
+    for hashed in (F.hash, F.xxhash64):
+        for salt in range(8):
+            number = hashed(F.lit(salt), "category", "value")
+            if each.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+                return number
+    raise ValueError("tags have the same numbers with every salt")
+
+
+def _scored(n: int, engine: str, slots: int, beta: float, top_tags: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by user in; out the candidates that may be among the ``n`` best of their user, with the mean of their best affinities and whether the user has any."""
+
+    def first(group: np.ndarray, most: int) -> np.ndarray:
+        """Which rows are among the first ``most`` of their group; equal groups lie together."""
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)])) < most
+
+    def may_be(user: np.ndarray, raw: np.ndarray, most: int, users: int) -> np.ndarray:
+        """Whether a row may be among the ``most`` highest of its user once scores are rounded to six places."""
+        order = np.lexsort((-raw, user))
+        kept, last = order[first(user[order], most)], np.full(users, np.inf)
+        np.minimum.at(last, user[kept], raw[kept])
+        return raw >= last[user] - 2e-6
+
+    def ids(column: pa.ChunkedArray) -> np.ndarray:
+        return column.fill_null(NONE).to_numpy()
+
+    def back(some: np.ndarray) -> pa.Array:
+        return pa.array(some, pa.int64(), mask=some == NONE)
+
+    def some(rows: pa.Table) -> pa.RecordBatch:
+        users, user = np.unique(ids(rows["user_id"]), return_inverse=True)
+        views, item = rows["views"].to_numpy(), ids(rows["item_id"])
+        completion, score = rows["completion"].to_numpy(), rows["score"].to_numpy()  # null is NaN
+        lists = rows["_tags"].combine_chunks()
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        row, tag = np.repeat(np.arange(len(user)), lengths), lists.flatten().to_numpy()
+        # affinities: of each user and tag the views and their mean completion
+        tags, tag = np.unique(tag, return_inverse=True)
+        pairs, pair = np.unique(user[row] * max(1, len(tags)) + tag, return_inverse=True)
+        there = views * ~np.isnan(completion)
+        seen, known, watched = (np.bincount(pair, weights=x[row], minlength=len(pairs)) for x in (views, there, np.where(there > 0, completion, 0.0) * there))
+        total, owner = np.bincount(user, weights=views, minlength=len(users)), pairs // max(1, len(tags))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            affinity = np.minimum(1.0, seen / total[owner] * np.where(known > 0, watched / known, 0.5) * 2)
+        liked = seen >= least
+        has = np.zeros(len(users), bool)
+        has[owner[liked]] = True
+        has &= users != NONE
+        # candidates, each with the tags of one of its rows
+        kinds = rows["type"].combine_chunks().dictionary_encode()
+        names = np.array(kinds.dictionary.to_pylist(), object)
+        place = np.argsort(names) if len(names) else np.zeros(0, np.int64)
+        kind = np.where(kinds.indices.is_valid().to_numpy(zero_copy_only=False), kinds.indices.fill_null(0).to_numpy(zero_copy_only=False), -1)
+        rank = np.empty(len(names), np.int64)
+        rank[place] = np.arange(len(names))
+        of = np.flatnonzero(kind >= 0)
+        of = of[np.lexsort((-np.nan_to_num(score[of], nan=-np.inf), item[of], user[of]))]
+        new = np.r_[True, (user[of][1:] != user[of][:-1]) | (item[of][1:] != item[of][:-1])] if len(of) else np.zeros(0, bool)
+        best = of[new]
+        kind = np.minimum.reduceat(rank[kind[of]], np.flatnonzero(new)) if len(of) else np.zeros(0, np.int64)
+        candidate = np.full(len(user), -1)
+        candidate[best] = np.arange(len(best))
+        at = np.flatnonzero((candidate[row] >= 0) & liked[pair])
+        group, value = candidate[row[at]], affinity[pair[at]]
+        order = np.lexsort((-value, group))
+        group, value = group[order], value[order]
+        keep = first(group, top_tags)
+        sums, counts = (np.bincount(group[keep], weights=w, minlength=len(best)) for w in (value[keep], None))
+        mean = sums / np.maximum(counts, 1)
+        user, score = user[best], score[best]
+        raw = np.where(has[user], np.nan_to_num(np.minimum(beta * score + (1 - beta) * mean, 1.0), nan=1.0), np.nan_to_num(score, nan=-1e300))
+        able = may_be(user, raw, n, len(users))
+        if slots:
+            mine = np.flatnonzero(names[place][kind] == engine) if len(best) else np.zeros(0, np.int64)
+            able[mine] |= may_be(user[mine], raw[mine], slots, len(users))
+        return pa.RecordBatch.from_arrays(
+            [back(users[user[able]]), back(item[best][able]), pa.array(score[able], from_pandas=True), pa.array(names[place][kind[able]].tolist(), pa.string()), pa.array(mean[able]), pa.array(has[user[able]])],
+            names=["user_id", "item_id", "score", "type", "_t", "_known"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, enough = [], 0, TOGETHER
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= enough:
+                rows = pa.Table.from_batches(held)
+                user = ids(rows["user_id"])
+                whole = int(np.searchsorted(user, user[-1]))  # the last user may go on
+                if whole:
+                    yield some(rows.slice(0, whole))
+                held, size = rows.slice(whole).to_batches(), len(user) - whole
+                enough = max(TOGETHER, 2 * size)
+        if size:
+            yield some(pa.Table.from_batches(held))
+
+    return run
+
+
 def expand_series(candidates: DataFrame, representatives: DataFrame, items: DataFrame, engine: str) -> DataFrame:
     """Candidates of one engine also for the other episodes of the series they stand for, unless the user has these already.
 
@@ -253,7 +378,12 @@ def filled_up(own: DataFrame, popular: DataFrame, users: DataFrame, watches: Dat
     """
     full = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
     short = users.select("user_id").join(full, "user_id", "left_anti")
-    spare = short.crossJoin(F.broadcast(popular.select("item_id", "rank"))).join(watches.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    # the short list goes as one row; of a history only what is on the list matters, and of the list a user's first n
+    ids = F.broadcast(popular.select("item_id"))
+    seen = watches.select("user_id", "item_id").join(ids, "item_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("_seen"))
+    listed = popular.agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("_list"))
+    unseen = F.filter("_list", lambda x: ~F.coalesce(F.array_contains("_seen", x["item_id"]), F.lit(False)))
+    spare = short.join(seen, "user_id", "left").crossJoin(F.broadcast(listed)).select("user_id", F.inline(F.slice(unseen, 1, n)))
     rows = own.select("user_id", "item_id", "rank", F.lit(True).alias("personal")).unionByName(spare.select("user_id", "item_id", "rank", F.lit(False).alias("personal")))
     order = [F.desc("personal"), F.col("_o"), F.col("item_id")]
     return top_per_group(rows.withColumnRenamed("rank", "_o"), ["user_id"], order, n).select("user_id", "item_id", "rank", "personal")

@@ -485,9 +485,9 @@ def w7(spark, d):
 CAND = """SELECT user_id, item_id, round(completion * satisfaction, 6) AS score, CASE WHEN watch_id % 3 = 0 THEN 'VISUAL' ELSE 'CF' END AS type, CASE WHEN watch_id % 3 = 0 THEN watch_id % 4 END AS source_id FROM watches"""
 
 
-def candidates_of(watches):
+def candidates_of(watches, *more):
     k = F.col("watch_id") % 3 == 0
-    return watches.select("user_id", "item_id", F.round(F.col("completion") * F.col("satisfaction"), 6).alias("score"), F.when(k, "VISUAL").otherwise("CF").alias("type"), F.when(k, F.col("watch_id") % 4).alias("source_id"))
+    return watches.select("user_id", "item_id", *more, F.round(F.col("completion") * F.col("satisfaction"), 6).alias("score"), F.when(k, "VISUAL").otherwise("CF").alias("type"), F.when(k, F.col("watch_id") % 4).alias("source_id"))
 
 
 def candidates(spark, d):
