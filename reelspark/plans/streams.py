@@ -106,6 +106,7 @@ SELECT user_id, ad, session, EXISTS (SELECT 1 FROM signals c WHERE c.kind = 'cli
 def st6(spark, d):
     channel = (F.col("item_id") % 20).alias("item_id")
     slots = V.signals(spark, d).filter("kind = 'ocr'").select(channel, F.col("at").alias("since"), (F.col("at") + 40).alias("until"), F.concat(F.lit("ad"), (F.col("event_id") % 50).cast("string")).alias("ad"))
+    slots = V.written(flows._merged(slots))  # a batch would merge them again
     at = V.seconds_of("ts")
     stream = events(spark, d)
     positions = stream.filter("event_type = 'view'").withColumn("at", at).select("user_id", channel, "at", "ts")

@@ -144,3 +144,34 @@ def test_a_batch_of_the_event_table_is_several_files(spark, small, tmp_path, mon
     assert len(files) == each * streams.BATCHES and each > 1
     spans = [spark.read.parquet(*(f"file://{f}" for f in files[k : k + each])).agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first() for k in range(0, len(files), each)]
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(s[2] for s in spans) == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_users_share_states_of_their_ads(spark, tmp_path):
+    """Few states, whose calls see all sessions of many users: as a fold over each user's rows by time."""
+    import random
+
+    rng = random.Random(9)
+    slots = [(i, float(t), t + 40.0, f"ad{rng.randrange(6)}") for i in range(4) for t in range(0, 200, 25)]
+    day = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(9), rng.randrange(4), rng.choice([None, float(rng.randrange(240))]), day + dt.timedelta(minutes=k)) for k in range(600)]
+    want, sent, active = [], {}, {}
+    for u, i, at, ts in rows:
+        of = (u, ts.replace(minute=0))
+        if at is None:
+            want += [(u, i, ad, "dismissed", ts) for ad, on in active.get(of, {}).items() if on == i]
+            active[of] = {ad: on for ad, on in active.get(of, {}).items() if on != i}
+        else:
+            for ad in sorted({ad for j, since, until, ad in slots if j == i and since <= at <= until} - sent.get(of, set())):
+                sent.setdefault(of, set()).add(ad)
+                active.setdefault(of, {})[ad] = i
+                want.append((u, i, ad, "shown", ts))
+    schema = "user_id long, item_id long, at double, ts timestamp"
+    path = str(tmp_path / "in")
+    for k in range(0, 600, 150):
+        spark.createDataFrame([(*r[:3], r[3].replace(tzinfo=dt.timezone.utc)) for r in rows[k : k + 150]], schema).coalesce(1).write.mode("append").parquet(path)
+    s = flows.stream_of(spark, path, spark.read.parquet(path), 1)
+    found = flows.ads_at_playback(s.filter("at IS NOT NULL"), s.filter("at IS NULL"), spark.createDataFrame(slots, "item_id long, since double, until double, ad string"), "1 hour", "1 minute", groups=2)
+    out = flows.run_available(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [(r.user_id, r.item_id, r.ad, r.action, dt.datetime.fromtimestamp(r.us / 1e6, dt.timezone.utc).replace(tzinfo=None)) for r in out.selectExpr("*", "unix_micros(ts) us").collect()]
+    assert sorted(got) == sorted(want)
+    assert 0 < state_rows(spark, tmp_path) <= 2
